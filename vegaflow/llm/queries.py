@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vegaflow.llm.common import held_out, table
+from vegaflow.llm.decontamination import find_leaks
+from vegaflow.llm.packing import pack
 from vegaflow.llm.token_counts import count_tokens
 from vegaflow.llm.toxicity import toxicity
 from vegaflow.llm.url_filter import DEFAULT_WORDS, filter_urls
@@ -22,6 +24,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_encoder() -> tuple[str, str, str]:
+    import public_tokenizers
+
+    return tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, table(spark, sf_dir, "documents"), byte_encoder())
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -62,7 +78,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_url_filter, op8_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op5_url_filter, op8_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
