@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vegaflow.llm.common import held_out, table
 from vegaflow.llm.decontamination import find_leaks
+from vegaflow.llm.near_duplicates import near_duplicates
 from vegaflow.llm.packing import pack
 from vegaflow.llm.token_counts import count_tokens
 from vegaflow.llm.toxicity import toxicity
@@ -38,6 +39,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), width=2)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -78,7 +83,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op5_url_filter, op8_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op4_near_duplicates, op5_url_filter, op8_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
