@@ -11,6 +11,7 @@ from vegaflow.llm.common import held_out, table
 from vegaflow.llm.decontamination import find_leaks
 from vegaflow.llm.near_duplicates import near_duplicates
 from vegaflow.llm.packing import pack
+from vegaflow.llm.pivot_index import near_vectors
 from vegaflow.llm.token_counts import count_tokens
 from vegaflow.llm.toxicity import toxicity
 from vegaflow.llm.url_filter import DEFAULT_WORDS, filter_urls
@@ -51,6 +52,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
@@ -83,7 +88,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op4_near_duplicates, op5_url_filter, op8_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op4_near_duplicates, op5_url_filter, op8_token_counts, op9_near_vectors, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
