@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vegaflow.llm.common import byte_slices, held_out, mix64
+from vegaflow.llm.crf import forward_backward
 
 LETTERS = re.compile(r"[^\W\d_]+")
 CHAIN = 64
@@ -88,36 +89,6 @@ def chains(scores: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarr
     return out, mask
 
 
-def forward_backward(scores: np.ndarray, mask: np.ndarray, transition: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Marginals (chains, CHAIN, labels) and, if asked, expected transitions summed over all chains."""
-    n, steps, k = scores.shape
-    emit = np.exp(scores - scores.max(axis=2, keepdims=True))
-    emit[~mask] = 1.0
-    move = np.exp(transition - transition.max())
-    ahead, behind = np.empty_like(emit), np.empty_like(emit)
-    a = emit[:, 0] / emit[:, 0].sum(axis=1, keepdims=True)
-    ahead[:, 0] = a
-    for t in range(1, steps):
-        step = (a @ move) * emit[:, t]
-        step /= step.sum(axis=1, keepdims=True)
-        a = np.where(mask[:, t, None], step, a)
-        ahead[:, t] = a
-    b = np.ones((n, k))
-    behind[:, -1] = b
-    for t in range(steps - 2, -1, -1):
-        step = (b * emit[:, t + 1]) @ move.T
-        step /= step.sum(axis=1, keepdims=True)
-        b = np.where(mask[:, t + 1, None], step, b)
-        behind[:, t] = b
-    marginal = ahead * behind
-    marginal /= marginal.sum(axis=2, keepdims=True)
-    if not pairs:
-        return marginal, None
-    both = ahead[:, :-1, :, None] * move[None, None] * (behind[:, 1:] * emit[:, 1:])[:, :, None, :]
-    both /= both.sum(axis=(2, 3), keepdims=True)
-    return marginal, (both * mask[:, 1:, None, None]).sum(axis=(0, 1))
-
-
 def spliced(texts: dict[str, list[list[str]]], labels: list[str], rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
     """Words and states of chains of ``CHAIN`` words, every second one switching language once."""
     words, states = [], []

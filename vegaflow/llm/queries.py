@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vegaflow.llm.common import held_out, table
 from vegaflow.llm.decontamination import find_leaks
 from vegaflow.llm.language_id import language_id
+from vegaflow.llm.main_text import main_text
 from vegaflow.llm.near_duplicates import near_duplicates
 from vegaflow.llm.packing import pack
 from vegaflow.llm.pivot_index import near_vectors
@@ -54,6 +55,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -94,7 +99,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op4_near_duplicates, op5_url_filter, op6_language_id, op8_token_counts, op9_near_vectors, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op4_near_duplicates, op5_url_filter, op6_language_id, op7_main_text, op8_token_counts, op9_near_vectors, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
