@@ -19,8 +19,7 @@ import dataclasses
 import math
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,8 @@ from vegaflow.llm.common import held_out
 
 #: Words are runs of letters, digits or underscores, lower-cased.
 WORD = re.compile(r"\w+")
-#: Bounds on what the driver learns from: documents of each kind, and UTF-8 bytes of each text's share of them.
-MAX_POSITIVES, MAX_UNLABELLED, MAX_BYTES = 4_000, 12_000, 64 << 20
+#: Bounds on what the driver learns from: documents of each kind, and characters of all texts of a kind.
+MAX_POSITIVES, MAX_UNLABELLED, MAX_BYTES = 2_000, 8_000, 64 << 20
 #: Class prior of toxic text if the labels give none.
 DEFAULT_PRIOR = 0.05
 
@@ -61,16 +60,13 @@ class ToxicModel:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def choose_words(positive: list[set[str]], unlabelled: list[set[str]], size: int, least: int) -> list[str]:
-    """Words by p * log((p + s) / (u + s)), p and u their document rates; ties by word."""
-    pos, unl = Counter(w for d in positive for w in d), Counter(w for d in unlabelled for w in d)
-    n, m = max(1, len(positive)), max(1, len(unlabelled))
+def choose_features(pos: dict[str, int], n: int, unl: dict[str, int], m: int, size: int) -> list[str]:
+    """Features by p * log((p + 1/n) / (u + 1/n)), p and u their document rates; ties by text."""
     gain = {}
     for w, k in pos.items():
-        if k >= least:
-            p, u = k / n, unl[w] / m
-            if p > 10 * u:
-                gain[w] = p * math.log((p + 1 / n) / (u + 1 / n))
+        p, u = k / n, unl.get(w, 0) / max(1, m)
+        if p > 10 * u:
+            gain[w] = p * math.log((p + 1 / n) / (u + 1 / n))
     return sorted(gain, key=lambda w: (-gain[w], w))[:size]
 
 
@@ -97,45 +93,51 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, epochs: int = 4
     return theta[:-1], float(theta[-1])
 
 
-def without_copies(texts: list[str]) -> list[set[str]]:
+def without_copies(texts: Iterable[str]) -> Iterator[set[str]]:
     """Feature sets of the texts, one of each group of copies.
 
     A group is told by its two smallest word hashes (of words over seven
     letters, which are rarely shared by chance), so that a copied passage does
     not count as independent evidence.
     """
-    seen, out = set(), []
+    seen = set()
     for t in texts:
         words = set(WORD.findall(t.lower()))
         least = sorted(zlib.crc32(w.encode()) for w in words if len(w) > 7)[:2]
-        key = tuple(least) if len(least) == 2 else t
+        key = tuple(least) if len(least) == 2 else hash(t)
         if key not in seen:
             seen.add(key)
-            out.append(features(words))
-    return out
+            yield features(words)
 
 
-def matrix(docs: list[set[str]], index: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(docs), len(index)))
+def matrix(docs: list[np.ndarray], columns: dict[int, int]) -> np.ndarray:
+    out = np.zeros((len(docs), len(columns)), "f4")
     for i, d in enumerate(docs):
-        for w in d & index.keys():
-            out[i, index[w]] = 1
+        out[i, [columns[x] for x in d.tolist() if x in columns]] = 1
     return out
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, size: int = 512, least: int = 5) -> ToxicModel:
-    """A model from texts. Without positives every score is the prior."""
-    pos, unl = without_copies(positive), without_copies(unlabelled)
+def fit(positive: Iterable[str], unlabelled: Iterable[str], prior: float, size: int = 512, least: int = 5) -> ToxicModel:
+    """A model from texts, each read once. Without positives every score is the prior.
+
+    Only features of enough positives are held for the unlabelled texts.
+    """
     prior = min(max(prior, 1e-3), 0.9)
-    words = choose_words(pos, unl, size, max(least, len(pos) // 30)) if pos and unl else []
-    index = {w: i for i, w in enumerate(words)}
-    if not words:
+    ids: dict[str, int] = {}
+    pos = [np.array([ids.setdefault(f, len(ids)) for f in d], np.int32) for d in without_copies(positive)]
+    counts = np.bincount(np.concatenate(pos), minlength=len(ids)) if pos else np.zeros(0, int)
+    ids = {f: i for f, i in ids.items() if counts[i] >= max(least, len(pos) // 30)}
+    unl = [np.array([ids[f] for f in d & ids.keys()], np.int32) for d in without_copies(unlabelled)] if ids else []
+    there = np.bincount(np.concatenate(unl), minlength=len(counts)) if unl else np.zeros(len(counts), int)
+    chosen = choose_features({f: int(counts[i]) for f, i in ids.items()}, max(1, len(pos)), {f: int(there[i]) for f, i in ids.items()}, len(unl), size) if unl else []
+    if not chosen:
         return ToxicModel({}, np.zeros(0), math.log(prior / (1 - prior)))
-    w, b = fit_nnpu(matrix(pos, index), matrix(unl, index), prior)
-    return ToxicModel(index, w, b)
+    columns = {ids[f]: k for k, f in enumerate(chosen)}
+    w, b = fit_nnpu(matrix(pos, columns), matrix(unl, columns), prior)
+    return ToxicModel({f: k for k, f in enumerate(chosen)}, w, b)
 
 
-def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str], float]:
+def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[Iterator[str], Iterator[str], float]:
     """(positives, unlabelled, prior) of the learning rows; the texts are bounded samples by a hash of the id.
 
     Unlabelled is every learning row that no label confirms as toxic, the
@@ -149,19 +151,18 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[
     prior = toxic / n if toxic else DEFAULT_PRIOR
     readable = learn.where(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES // 256))
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 32))
-    out = []
-    for wanted, most, there in ((1, MAX_POSITIVES, toxic), (0, MAX_UNLABELLED, total)):
+
+    def texts(wanted: int, most: int, there: int) -> Iterator[str]:
         share = F.lit(min(1 << 32, int((1 << 32) * most / max(1, there))))
-        ids = marks.where("toxic = 1")
-        rows = readable.where(draw < share).join(ids.select("doc_id"), "doc_id", "left_semi" if wanted else "left_anti")
-        texts, room = [], MAX_BYTES
-        for r in rows.select("text").toLocalIterator():
+        confirmed = marks.where("toxic = 1").select("doc_id")
+        room = MAX_BYTES
+        for r in readable.where(draw < share).join(confirmed, "doc_id", "left_semi" if wanted else "left_anti").select("text").toLocalIterator():
             room -= len(r["text"])
             if room < 0:
-                break
-            texts.append(r["text"])
-        out.append(texts)
-    return out[0], out[1], prior
+                return
+            yield r["text"]
+
+    return texts(1, MAX_POSITIVES, toxic), texts(0, MAX_UNLABELLED, total), prior
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> DataFrame:
