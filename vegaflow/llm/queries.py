@@ -14,6 +14,7 @@ from vegaflow.llm.main_text import main_text
 from vegaflow.llm.near_duplicates import near_duplicates
 from vegaflow.llm.packing import pack
 from vegaflow.llm.pivot_index import near_vectors
+from vegaflow.llm.suffix_dedup import remove_repeats
 from vegaflow.llm.token_counts import count_tokens
 from vegaflow.llm.toxicity import toxicity
 from vegaflow.llm.url_filter import DEFAULT_WORDS, filter_urls
@@ -42,6 +43,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), width=2)
 
@@ -99,7 +104,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op4_near_duplicates, op5_url_filter, op6_language_id, op7_main_text, op8_token_counts, op9_near_vectors, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_suffix_dedup, op4_near_duplicates, op5_url_filter, op6_language_id, op7_main_text, op8_token_counts, op9_near_vectors, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
