@@ -334,13 +334,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
     """
     work = Workspace(spark, "repeats")
     rows = with_spans(docs, covered(spark, docs, work, depth))
+    names, kept = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t if not r else kept_bytes(t.encode(), merged(r)).decode(errors="ignore") for t, r in zip(b.column("text").to_pylist(), b.column("_ranges").to_pylist(), strict=True)]
-            columns = {n: b.column(n) for n in docs.columns}
+            columns = {n: b.column(n) for n in names}
             columns["text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    out = rows.mapInArrow(run, docs.schema)
+    out = rows.mapInArrow(run, kept)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

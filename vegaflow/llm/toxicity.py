@@ -184,3 +184,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     id are scored and never learnt from; repeated rows are scored each.
     """
     return score_documents(docs, fit(*training_texts(docs, labels)), threshold)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with all their columns; no shuffle."""
+    model, at = fit(*training_texts(docs, labels)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
