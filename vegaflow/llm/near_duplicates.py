@@ -9,11 +9,13 @@ probability equal to their Jaccard similarity, concentrated as by minwise
 hashing with t independent functions.
 
 1. Documents with the same shingle set form a class; only its least id goes on.
-2. Bands of coordinates are hashed; each bucket links its members to its least
-   one; those pairs are verified on the full sets.
+2. Bands of coordinates are hashed; each bucket links its members to its hub, the
+   member that meets most others; those pairs are verified on the full sets.
 3. Buckets whose members are not all connected by then are finished exactly: in
-   blocks of bounded size, all pairs from different components whose sketches
-   agree enough are verified as well. Blocks keep no pair but those.
+   blocks of bounded size, every pair from different components is compared, in
+   its first common bucket only, by sketch and then by the sets folded to 65,536
+   bits. A block gives only pairs that pass both, and those are verified on the
+   full sets.
 4. Components are the transitive closure of the verified links.
 """
 
@@ -91,7 +93,7 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), bands, sketch (a byte a coordinate)."""
+    """doc_id, n, f1, f2 (fingerprint of the set), bands, sketch (a byte a coordinate), folded (the set modulo 65,536)."""
     t = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,12 +113,12 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
                 small = (mix64(sk.copy()) & U(255)).astype("u1")
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), bands, pa.array([x.tobytes() for x in small], pa.binary())],
-                    names=["doc_id", "n", "f1", "f2", "bands", "sketch"],
+                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), bands, pa.array([x.tobytes() for x in small], pa.binary()), pa.array([np.unique((s & U(0xFFFF)).astype("<u2")).tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "n", "f1", "f2", "bands", "sketch", "folded"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch binary, folded binary")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -158,21 +160,48 @@ def fitting_sizes(x, y, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def bitset(folded: bytes) -> int:
+    bits = np.zeros(1 << 16, "u1")
+    bits[np.frombuffer(folded, "<u2")] = 1
+    return int.from_bytes(np.packbits(bits).tobytes())
+
+
 def block_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs from different components with fitting sizes and enough agreement, of the keys in one block group."""
-    found: set[tuple[int, int]] = set()
-    for _, g in rows.groupby("key", sort=False):
+    """Pairs from different components with fitting sizes that pass the sketch and the folded sets.
+
+    Folding can only lower the common part by as many shingles as it joined in
+    the smaller set of such losses, which ``loose`` gives back: no link is lost.
+    """
+    found: list[tuple[int, int]] = []
+    crossing = rows["i"].iloc[0] != rows["j"].iloc[0]
+    for key, g in rows.groupby("key", sort=False):
         g = g.drop_duplicates("doc_id")
-        ids, n, comp = g["doc_id"].to_numpy(), g["n"].to_numpy(), g["component"].to_numpy()
+        ids, n, comp, mine = (g[c].to_numpy() for c in ("doc_id", "n", "component", "mine"))
         sk = np.frombuffer(b"".join(g["sketch"]), "u1").reshape(len(g), -1)
+        bands = np.stack(g["bands"].to_list())
+        bits: dict[int, int] = {}
         for i in range(len(g) - 1):
             j = np.arange(i + 1, len(g))
             ok = (comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent)
+            if crossing:
+                ok &= mine[j] != mine[i]
             j = j[ok]
-            if len(j):
-                j = j[(sk[j] == sk[i]).mean(axis=1) >= AGREE * percent / 80]
-                found.update((min(ids[i], ids[k]), max(ids[i], ids[k])) for k in j)
-    return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+            if not len(j):
+                continue
+            j = j[(sk[j] == sk[i]).mean(axis=1) >= AGREE * percent / 80]
+            if not len(j):
+                continue
+            same = bands[j] == bands[i]
+            j = j[bands[i][same.argmax(axis=1)] == key]
+            for k in j.tolist():
+                for x in (i, k):
+                    if x not in bits:
+                        bits[x] = bitset(g["folded"].iat[x])
+                common = (bits[i] & bits[k]).bit_count()
+                loose = 4 + int(max(n[i], n[k])) ** 2 // 60_000
+                if 100 * (common + loose) >= percent * (int(n[i]) + int(n[k]) - common - loose):
+                    found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -191,10 +220,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     reps = members.where("doc_id = rep").select("doc_id").distinct()
     firsts = full.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     banded = firsts.select("doc_id", "n", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
-    linked = banded.join(buckets, "key").select("key", "doc_id", "n", F.col("least.doc_id").alias("a"), F.col("least.n").alias("n_a"), "size")
-    linked = work.save(linked, "linked")
-    tried = linked.where((F.col("doc_id") != F.col("a")) & fitting_sizes(F.col("n"), F.col("n_a"), percent)).select("a", F.col("doc_id").alias("b")).distinct()
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    linked = work.save(banded.join(buckets, "key"), "linked")
+    # the hub of a bucket is the member that meets most others in all its buckets: the text that others were copied from
+    met = linked.groupBy("doc_id").agg(F.sum("size").alias("met"))
+    scored = linked.join(met, "doc_id")
+    hubs = scored.groupBy("key").agg(F.min(F.struct(-F.col("met"), "doc_id", "n")).alias("hub"))
+    tried = linked.join(hubs.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("n_hub")), "key")
+    tried = tried.where((F.col("doc_id") != F.col("hub")) & fitting_sizes(F.col("n"), F.col("n_hub"), percent))
+    tried = tried.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     tried = work.save(tried, "tried")
     links = work.save(verified(tried, docs, width, percent), "links")
     groups = components(work, links, "stars")
@@ -203,12 +237,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     named = linked.where("size > 2").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "size", F.coalesce("component", "doc_id").alias("component"))
     named = work.save(named, "named")
     split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = named.join(split, "key", "left_semi").join(firsts.select("doc_id", "sketch"), "doc_id")
+    rest = named.join(split, "key", "left_semi").join(firsts.select("doc_id", "sketch", "bands", "folded"), "doc_id")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("mine", mine)
-    small = rest.where("blocks = 1").select(F.pmod(F.col("key"), F.lit(1 << 16)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "key", "doc_id", "n", "component", "sketch")
-    large = rest.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("key").alias("g"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "doc_id", "n", "component", "sketch")
+    carried = ["mine", "key", "doc_id", "n", "component", "sketch", "bands", "folded"]
+    small = rest.where("blocks = 1").select(F.pmod(F.col("key"), F.lit(1 << 12)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), *carried)
+    large = rest.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("key").alias("g"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *carried)
     more = small.unionAll(large).groupBy("g", "i", "j").applyInPandas(lambda df: block_pairs(df, percent), "a bigint, b bigint").distinct()
     more = work.save(more.join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
