@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("chain",)
+AREAS = ("chain", "daily")
 
 
 def registered():
