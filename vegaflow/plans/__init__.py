@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("chain", "daily")
+AREAS = ("chain", "daily", "surface")
 
 
 def registered():
