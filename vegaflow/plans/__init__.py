@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("chain", "daily", "surface")
+AREAS = ("chain", "daily", "surface", "records", "schedule", "text")
 
 
 def registered():
