@@ -35,7 +35,7 @@ from vegaflow.llm.common import Workspace, byte_slices, byte_views, mix64
 DEPTH, GRAM = 50, 24
 CHUNK_BYTES = 1 << 20
 #: Bytes of contexts whose suffixes are sorted together in a task.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 
 U = np.uint64
 
@@ -92,7 +92,7 @@ def window_anchors(hashes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarra
 
 def bucket_ranks(keys: np.ndarray) -> np.ndarray:
     """Bucket identifiers, dense and in the order of the keys."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     ids = np.empty(len(keys), np.int64)
     ids[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
@@ -126,11 +126,9 @@ def refine(flat: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
         short = np.flatnonzero((ids >= 0) & ~long)
         new[short] = -1 - short
         if len(active):
-            later = ids[active + step]
-            order = np.lexsort((later, ids[active]))
-            a, b = ids[active][order], later[order]
-            fresh = np.cumsum(np.r_[0, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            new[active[order]] = fresh + ids.max() + 1
+            # one key of both identifiers: own in the high half, the later one (which may be negative) in the low half
+            pair = (ids[active] << 32) + (ids[active + step] + n + 1)
+            new[active] = bucket_ranks(pair) + ids.max() + 1
         ids = new
         reached += step
     return ids
@@ -144,7 +142,7 @@ def repeated_windows(contexts: list[bytes], docs: np.ndarray, depth: int) -> tup
     owner = np.repeat(np.arange(len(contexts)), sizes)
     ids = refine(flat, (starts + sizes)[owner], depth)
     full = np.flatnonzero((starts + sizes)[owner] - np.arange(len(flat)) >= depth)
-    order = full[np.argsort(ids[full], kind="stable")]
+    order = full[np.argsort(ids[full])]
     if not len(order):
         z = np.zeros(0, np.int64)
         return z, z
@@ -210,51 +208,76 @@ def sent_contexts(rows: DataFrame, depth: int, gram: int) -> DataFrame:
             flat, starts = byte_views(whole.column(1))
             ids, lists = whole.column(0).to_numpy(zero_copy_only=False), whole.column(2)
             met: dict[bytes, int] = {}
-            out: list[tuple[int, int, int, bytes | None, int]] = []
+            cols: tuple[list, ...] = ([], [], [], [], [])
             for lo, hi in byte_slices(np.diff(starts), CHUNK_BYTES):
                 base = int(starts[lo])
                 part = flat[base : starts[hi]]
-                own, h, first, end = doc_anchors(part, starts[lo : hi + 1] - base, depth, gram)
-                raw = part.tobytes()
                 begins = starts[lo : hi + 1] - base
+                own, h, first, end = doc_anchors(part, begins, depth, gram)
+                signed = h.view("i8")
                 edges = np.searchsorted(own, np.arange(hi - lo + 1))
-                for d in range(hi - lo):
-                    a, b = edges[d], edges[d + 1]
-                    wanted = np.isin(h[a:b].view("i8"), lists[lo + d].values.to_numpy(zero_copy_only=False))
-                    for i in (a + np.flatnonzero(wanted)).tolist():
-                        body, doc = raw[first[i] : end[i]], int(ids[lo + d])
-                        seen = met.setdefault(body, doc)
-                        out.append((int(h[i : i + 1].view("i8")[0]), doc, int(first[i] - begins[d]), body if seen == doc else None, int(end[i] - first[i])))
-            cols = list(zip(*out, strict=True)) or [()] * 5
+                chosen = [a + np.flatnonzero(np.isin(signed[a:b], lists[lo + d].values.to_numpy(zero_copy_only=False))) for d, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+                at = np.concatenate(chosen or [np.zeros(0, np.int64)])
+                raw, doc = part.tobytes(), ids[lo:hi][own[at]].tolist()
+                bodies = [raw[x:y] for x, y in zip(first[at].tolist(), end[at].tolist(), strict=True)]
+                firsts = [met.setdefault(x, d) for x, d in zip(bodies, doc, strict=True)]
+                cols[0].extend(signed[at].tolist())
+                cols[1].extend(doc)
+                cols[2].extend((first[at] - begins[own[at]]).tolist())
+                cols[3].extend(x if d == f else None for x, d, f in zip(bodies, doc, firsts, strict=True))
+                cols[4].extend((end[at] - first[at]).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64())], names=["hash", "doc_id", "start", "body", "size"])
 
     return rows.select("doc_id", "text", "hashes").mapInArrow(run, "hash bigint, doc_id bigint, start bigint, body binary, size bigint")
 
 
 def sorted_ranges(contexts: DataFrame, depth: int) -> DataFrame:
-    """doc_id, start, end covered, from contexts dealt by hash and sorted by it in each partition."""
+    """doc_id, start, end covered, from contexts dealt by hash and sorted by it and by document in each partition.
 
-    def ranges(held: list[tuple[int, int, int, bytes]]):
-        docs = np.array([x[1] for x in held])
-        own, at = repeated_windows([x[3] for x in held], docs, depth)
-        begin = np.array([x[2] for x in held])[own] + at if len(own) else at
-        doc = docs[own] if len(own) else at
+    Of equal contexts only the first document's is sorted, the others are
+    covered whole; an anchor left with one context has nothing to sort.
+    """
+    names = ["doc_id", "start", "end"]
+
+    def ranges(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        docs = np.array([x[0] for x in held])
+        own, at = repeated_windows([x[2] for x in held], docs, depth)
+        begin, doc = np.array([x[1] for x in held])[own] + at, docs[own]
         order = np.lexsort((begin, doc))
         doc, begin = doc[order], begin[order]
         new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (begin[1:] > begin[:-1] + 1)][: len(doc)])
         last = np.r_[new[1:] - 1, len(doc) - 1] if len(doc) else new
-        return pa.RecordBatch.from_arrays([pa.array(doc[new], pa.int64()), pa.array(begin[new], pa.int64()), pa.array(begin[last] + depth, pa.int64())], names=["doc_id", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[new], pa.int64()), pa.array(begin[new], pa.int64()), pa.array(begin[last] + depth, pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, bytes]] = []
         size = 0
+        now, group = None, {}  # the contexts of one anchor: body -> (document, its starts)
+
+        def closed() -> int:
+            if len(group) > 1:
+                held.extend((d, s, body) for body, (d, begins) in group.items() for s in begins)
+                return sum(len(body) * len(begins) for body, (_, begins) in group.items())
+            return 0
+
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= SORT_BYTES and held and held[-1][0] != row[0]:
-                    yield ranges(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
+            whole: tuple[list, ...] = ([], [], [])
+            for h, doc, start, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if h != now:
+                    size += closed()
+                    now, group = h, {}
+                    if size >= SORT_BYTES:
+                        yield ranges(held)
+                        held, size = [], 0
+                first = group.setdefault(body, (doc, []))
+                if first[0] == doc:
+                    first[1].append(start)
+                else:
+                    whole[0].append(doc)
+                    whole[1].append(start)
+                    whole[2].append(start + len(body))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in whole], names=names)
+        closed()
         if held:
             yield ranges(held)
 
