@@ -1 +1 @@
-
+"""Iterative models as small numpy functions that Spark runs per key."""
