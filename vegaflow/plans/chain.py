@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vegaflow.functions.numeric import RISK_FREE, bs_charm, bs_vanna, js_round, norm_pdf, safe_divide
 from vegaflow.plans.registry import query
 from vegaflow.sources.fixtures import CONTRACTS_SQL, RAW_SQL, contracts, raw_chain, sql_pdf, sql_round
 
-GEX = F.col("gamma") * F.col("open_interest") * 100 * F.col("spot") * F.col("spot") * F.lit(0.01) / F.lit(1e6)
+
+def gex() -> Column:
+    """Dollar gamma of a contract for a move of one percent, in millions."""
+    return F.col("gamma") * F.col("open_interest") * 100 * F.col("spot") * F.col("spot") * F.lit(0.01) / F.lit(1e6)
+
+
 GEX_SQL = "(gamma * open_interest * 100 * spot * spot * 0.01e0 / 1e6)"
 
 
 def by_strike(c: DataFrame) -> DataFrame:
     """Call and put dollar gamma (millions) of each strike of a run."""
     return c.groupBy("run_id", "trading_date", "spot", "strike").agg(
-        F.sum(F.when(F.col("is_call"), GEX).otherwise(0.0)).alias("call_gex"), F.sum(F.when(F.col("is_call"), 0.0).otherwise(GEX)).alias("put_gex")
+        F.sum(F.when(F.col("is_call"), gex()).otherwise(0.0)).alias("call_gex"), F.sum(F.when(F.col("is_call"), 0.0).otherwise(gex())).alias("put_gex")
     )
 
 
@@ -142,10 +147,10 @@ def chain_totals(c: DataFrame) -> DataFrame:
     notional = F.col("open_interest") * 100 * F.col("spot") * F.when(call, 1.0).otherwise(-1.0) / F.lit(1e6)
     zero = F.lit(0.0)
     return c.groupBy("run_id", "trading_date", "spot").agg(
-        F.sum(F.when(call, GEX).otherwise(zero)).alias("call_gex"),
-        F.sum(F.when(call, zero).otherwise(GEX)).alias("put_gex"),
-        F.sum(F.when(call & at_money, GEX).otherwise(zero)).alias("atm_call_gex"),
-        F.sum(F.when(~call & at_money, GEX).otherwise(zero)).alias("atm_put_gex"),
+        F.sum(F.when(call, gex()).otherwise(zero)).alias("call_gex"),
+        F.sum(F.when(call, zero).otherwise(gex())).alias("put_gex"),
+        F.sum(F.when(call & at_money, gex()).otherwise(zero)).alias("atm_call_gex"),
+        F.sum(F.when(~call & at_money, gex()).otherwise(zero)).alias("atm_put_gex"),
         F.count_if(at_money).alias("atm_contract_count"),
         F.count("*").alias("contract_count"),
         F.countDistinct("expiration_date").alias("expiration_count"),
@@ -269,7 +274,7 @@ SELECT run_id, expiration_date, {sql_round('gamma_usd', 3)} AS gamma_usd, n AS c
   CASE WHEN dte = 0 THEN '0dte' WHEN day(expiration_date) BETWEEN 15 AND 21 AND dayofweek(expiration_date) = 5 THEN CASE WHEN month(expiration_date) % 3 = 0 THEN 'quarterly' ELSE 'monthly' END ELSE 'weekly' END AS expiry_type FROM c""")
 def expiring_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dollar gamma that expires with each expiration, its running share, and its mid-rank among runs."""
-    g = contracts(spark, sf_dir).where("gamma > 0 and open_interest > 0").groupBy("run_id", "expiration_date", "dte").agg(F.sum(GEX).alias("gamma_usd"), F.count("*").alias("contract_count"))
+    g = contracts(spark, sf_dir).where("gamma > 0 and open_interest > 0").groupBy("run_id", "expiration_date", "dte").agg(F.sum(gex()).alias("gamma_usd"), F.count("*").alias("contract_count"))
     run = Window.partitionBy("run_id")
     same = Window.partitionBy("dte")
     share = F.sum("gamma_usd").over(run.orderBy("expiration_date")) / F.sum("gamma_usd").over(run) * 100

@@ -6,14 +6,26 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from vegaflow.functions.numeric import js_round
 from vegaflow.operators.series import band_join, mid_rank, relative_rotation, runs, split_adjusted
 from vegaflow.plans.registry import query
 from vegaflow.sources.fixtures import BARS30_SQL, BARS_SQL, PANEL_SQL, TERM_SQL, VIX_SQL, daily_bars, half_hour_bars, sql_round, symbol_panel, term_structure, vol_indices
 
-#: One series of days is bounded by the calendar; its windows run in one task by design.
-DAYS = Window.orderBy("trading_date")
+
+def days() -> WindowSpec:
+    """One series of days is bounded by the calendar; its windows run in one task by design."""
+    return Window.orderBy("trading_date")
+
+
+def symbol_days() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("trading_date")
+
+
+def latest() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy(F.desc("trading_date"))
+
 
 
 @query(f"WITH {TERM_SQL} SELECT trading_date, dte, trading_date + dte AS expiration_date, {sql_round('atm_iv', 6)} AS atm_iv FROM term")
@@ -36,10 +48,10 @@ def cloud_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     equality on the target; the five days are a stated query set.
     """
     t = term_structure(spark, sf_dir)
-    days = t.select(F.col("trading_date").alias("day")).distinct().orderBy(F.desc("day")).limit(5)
-    grid = days.select("day", F.explode(F.sequence(F.lit(0), F.lit(280))).alias("target"))
+    asked = t.select(F.col("trading_date").alias("day")).distinct().orderBy(F.desc("day")).limit(5)
+    grid = asked.select("day", F.explode(F.sequence(F.lit(0), F.lit(280))).alias("target"))
     near = band_join(t, "dte", F.lit(3), (0, 280), "target").where((F.col("target") >= 7) | (F.abs(F.col("dte") - F.col("target")) <= 1))
-    dated = near.join(F.broadcast(days), (F.col("trading_date") < F.col("day")) & (F.col("trading_date") >= F.date_sub("day", 365)))
+    dated = near.join(F.broadcast(asked), (F.col("trading_date") < F.col("day")) & (F.col("trading_date") >= F.date_sub("day", 365)))
     bands = dated.groupBy("day", "target").agg(F.percentile("atm_iv", F.array(*map(F.lit, QUANTILES))).alias("q"), F.count("atm_iv").alias("n"))
     out = grid.join(bands, ["day", "target"], "left")
     return out.select(F.col("day").alias("trading_date"), F.col("target").alias("dte"), *(js_round(F.col("q")[i], 6).alias(f"iv_p{int(q * 100)}") for i, q in enumerate(QUANTILES)), F.coalesce("n", F.lit(0)).alias("sample_count"))
@@ -50,10 +62,10 @@ YZ_K = 0.34 / (1.34 + 21 / 19)
 
 def yang_zhang(bars: DataFrame, n: int = 20) -> DataFrame:
     """Adds hv: annualised Yang-Zhang volatility of the last ``n`` days; null before n + 1 rows or if not positive."""
-    back = DAYS.rowsBetween(-(n - 1), 0)
+    back = days().rowsBetween(-(n - 1), 0)
     x = bars.withColumns(
         {
-            "_on": F.log(F.col("open") / F.lag("close").over(DAYS)),
+            "_on": F.log(F.col("open") / F.lag("close").over(days())),
             "_oc": F.log(F.col("close") / F.col("open")),
             "_rs": F.log(F.col("high") / F.col("close")) * F.log(F.col("high") / F.col("open")) + F.log(F.col("low") / F.col("close")) * F.log(F.col("low") / F.col("open")),
         }
@@ -128,23 +140,19 @@ s AS (SELECT *, count(x) OVER w AS n, var_samp(x) OVER w AS v FROM r WINDOW w AS
 SELECT trading_date, close AS spx_close, {sql_round('CASE WHEN n = 10 AND v > 0 THEN sqrt(v * 252) END', 4)} AS hv_10d FROM s""")
 def rolling_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-day realised volatility of closes, with full windows only."""
-    w = DAYS.rowsBetween(-9, 0)
-    r = daily_bars(spark, sf_dir).withColumn("x", F.log(F.col("close") / F.lag("close").over(DAYS)))
+    w = days().rowsBetween(-9, 0)
+    r = daily_bars(spark, sf_dir).withColumn("x", F.log(F.col("close") / F.lag("close").over(days())))
     v = F.var_samp("x").over(w)
     return r.withColumn("v", F.when((F.count("x").over(w) == 10) & (v > 0), F.sqrt(v * 252))).select("trading_date", F.col("close").alias("spx_close"), js_round(F.col("v"), 4).alias("hv_10d"))
 
 
-SYMBOL_DAYS = Window.partitionBy("symbol").orderBy("trading_date")
-LATEST = Window.partitionBy("symbol").orderBy(F.desc("trading_date"))
-
-
 @query(f"""WITH {VIX_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trading_date DESC) AS r FROM vix)
 SELECT symbol, count(*) AS n, max(trading_date) FILTER (r = 1) AS latest_date, max(close) FILTER (r = 1) AS latest, max(close) FILTER (r = 2) AS prior,
   {sql_round('(max(close) FILTER (r = 1) - max(close) FILTER (r = 2)) / max(close) FILTER (r = 2) * 100', 2)} AS change_pct,
   {sql_round('count(*) FILTER (r <= 252 AND close <= (SELECT close FROM l k WHERE k.symbol = l.symbol AND k.r = 1)) * 1e2 / count(*) FILTER (r <= 252)', 1)} AS pct_rank_252d FROM l GROUP BY symbol""")
 def vix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest, prior, change and one-year rank of each volatility index."""
-    l = vol_indices(spark, sf_dir).withColumns({"r": F.row_number().over(LATEST), "now": F.first("close").over(LATEST)})  # noqa: E741
+    l = vol_indices(spark, sf_dir).withColumns({"r": F.row_number().over(latest()), "now": F.first("close").over(latest())})  # noqa: E741
     at = lambda k: F.max(F.when(F.col("r") == k, F.col("close")))
     year = F.col("r") <= 252
     return l.groupBy("symbol").agg(
@@ -178,7 +186,7 @@ FROM g LEFT JOIN c ON c.lag_days = g.lag_days AND state = from_regime AND next =
 def vix_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regime transition probabilities at lags of 1, 5 and 21 days, on the full grid."""
     s = vol_indices(spark, sf_dir).where("symbol = 'VIX'").withColumn("state", regime_of(F.col("close")))
-    led = s.select("state", *(F.lead("state", k).over(DAYS).alias(f"n{k}") for k in (1, 5, 21)))
+    led = s.select("state", *(F.lead("state", k).over(days()).alias(f"n{k}") for k in (1, 5, 21)))
     nexts = F.array(*(F.struct(F.lit(k).alias("lag_days"), F.col(f"n{k}").alias("next")) for k in (1, 5, 21)))
     c = led.select("state", F.inline(nexts)).where("next is not null").groupBy("lag_days", "state", "next").agg(F.count("*").alias("n"))
     names = F.array(*map(F.lit, REGIMES))
@@ -194,7 +202,7 @@ SELECT symbol, n, {sql_round('-ln(b) * 252', 4)} AS kappa, {sql_round('exp(a / (
   {sql_round('exp(a / (1 - b) + (ln(last) - a / (1 - b)) * exp(ln(b) * 21))', 4)} AS expected_21d FROM f WHERE n >= 59 AND b > 0 AND b < 1""")
 def ou_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean reversion of log levels fitted as a first-order autoregression, per index."""
-    x = vol_indices(spark, sf_dir).where("close > 0").select("symbol", "trading_date", "close", F.log("close").alias("x"), F.lead(F.log("close")).over(SYMBOL_DAYS).alias("y"))
+    x = vol_indices(spark, sf_dir).where("close > 0").select("symbol", "trading_date", "close", F.log("close").alias("x"), F.lead(F.log("close")).over(symbol_days()).alias("y"))
     f = x.groupBy("symbol").agg(F.max_by("close", "trading_date").alias("last"), F.count("y").alias("n"), F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.sqrt(F.regr_syy("y", "x") / F.regr_count("y", "x") * (1 - F.regr_r2("y", "x"))).alias("sd"))
     b, theta = F.col("b"), F.col("a") / (1 - F.col("b"))
     kappa = -F.log(b) * 252
@@ -208,8 +216,8 @@ SELECT t.symbol, {sql_round('avg(ret) * 252', 6)} AS ann_return, {sql_round('std
   {sql_round('max(dd)', 6)} AS max_drawdown, max(trading_date) FILTER (r = 1) AS trough_date, (SELECT min(k.trading_date) FROM d k WHERE k.symbol = t.symbol AND k.growth = max(t.peak) FILTER (t.r = 1)) AS peak_date FROM t GROUP BY t.symbol""")
 def strategy_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth statistics and the deepest drawdown of each index with its dates."""
-    g = vol_indices(spark, sf_dir).withColumns({"growth": F.col("close") / F.first("close").over(SYMBOL_DAYS), "ret": F.log(F.col("close") / F.lag("close").over(SYMBOL_DAYS))})
-    so_far = SYMBOL_DAYS.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    g = vol_indices(spark, sf_dir).withColumns({"growth": F.col("close") / F.first("close").over(symbol_days()), "ret": F.log(F.col("close") / F.lag("close").over(symbol_days()))})
+    so_far = symbol_days().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     top = F.max(F.struct("growth", (-F.unix_date("trading_date")).alias("first"))).over(so_far)
     d = g.withColumn("top", top).withColumn("dd", (F.col("top.growth") - F.col("growth")) / F.col("top.growth"))
     worst = F.max(F.struct(F.round("dd", 12), (-F.unix_date("trading_date")).alias("first"), "trading_date", F.date_from_unix_date(-F.col("top.first")).alias("peak"))).alias("w")
@@ -226,8 +234,8 @@ SELECT a.trading_date, a.close AS vix, b.close AS vvix, {sql_round('CASE WHEN a.
 def vol_of_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volatility of the volatility index, its ratio's zone, and the curve's slope, by day."""
     v = vol_indices(spark, sf_dir)
-    w = DAYS.rowsBetween(-19, 0)
-    a = v.where("symbol = 'VIX'").withColumn("x", F.log(F.col("close") / F.lag("close").over(DAYS)))
+    w = days().rowsBetween(-19, 0)
+    a = v.where("symbol = 'VIX'").withColumn("x", F.log(F.col("close") / F.lag("close").over(days())))
     a = a.select("trading_date", F.col("close").alias("vix"), F.when(F.count("x").over(w) >= 16, F.stddev_samp("x").over(w) * math.sqrt(252) * 100).alias("rv"))
     side = lambda s, n: v.where(F.col("symbol") == s).select("trading_date", F.col("close").alias(n))
     j = a.join(side("VVIX", "vvix"), "trading_date").join(side("VIX3M", "vix3m"), "trading_date")
@@ -239,7 +247,7 @@ def vol_of_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT symbol, trading_date, {sql_round('rebased', 6)} AS rebased, {sql_round('(rank() OVER (PARTITION BY symbol ORDER BY close) - 1 + 0.5e0 * count(*) OVER (PARTITION BY symbol, close)) / count(*) OVER (PARTITION BY symbol) * 100', 4)} AS mid_rank FROM y""")
 def cross_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels rebased to 100 at the first day, and mid-ranks within the last year."""
-    l = vol_indices(spark, sf_dir).withColumns({"r": F.row_number().over(LATEST), "rebased": F.col("close") / F.first("close").over(SYMBOL_DAYS) * 100}).where("r <= 252")  # noqa: E741
+    l = vol_indices(spark, sf_dir).withColumns({"r": F.row_number().over(latest()), "rebased": F.col("close") / F.first("close").over(symbol_days()) * 100}).where("r <= 252")  # noqa: E741
     return l.select("symbol", "trading_date", js_round(F.col("rebased"), 6).alias("rebased"), js_round(mid_rank("close", ["symbol"]), 4).alias("mid_rank"))
 
 
@@ -247,7 +255,7 @@ def cross_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT symbol, max(close) FILTER (r = 1) AS now, max(close) FILTER (r = 22) AS month_ago, {sql_round('median(close)', 4)} AS median_close FROM l GROUP BY 1""")
 def vix_term_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index curve now, 21 days back, and its medians."""
-    l = vol_indices(spark, sf_dir).withColumn("r", F.row_number().over(LATEST))  # noqa: E741
+    l = vol_indices(spark, sf_dir).withColumn("r", F.row_number().over(latest()))  # noqa: E741
     at = lambda k: F.max(F.when(F.col("r") == k, F.col("close")))
     return l.groupBy("symbol").agg(at(1).alias("now"), at(22).alias("month_ago"), js_round(F.median("close"), 4).alias("median_close"))
 
@@ -289,7 +297,7 @@ SELECT symbol, trading_date, {sql_round('ratio', 5)} AS rs_ratio, {sql_round('mo
   CASE WHEN ratio >= 100 AND momentum >= 100 THEN 'leading' WHEN ratio >= 100 THEN 'weakening' WHEN momentum >= 100 THEN 'improving' ELSE 'lagging' END AS quadrant FROM pts WHERE r <= 10""")
 def relative_rotation_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last ten points of each symbol's relative rotation against the benchmark, and their quadrants."""
-    r = rotation_of(spark, sf_dir, 5, 63, 13).withColumn("r", F.row_number().over(LATEST)).where("r <= 10")
+    r = rotation_of(spark, sf_dir, 5, 63, 13).withColumn("r", F.row_number().over(latest())).where("r <= 10")
     return r.select("symbol", "trading_date", js_round(F.col("rs_ratio"), 5).alias("rs_ratio"), js_round(F.col("rs_momentum"), 5).alias("rs_momentum"), quadrant(F.col("rs_ratio"), F.col("rs_momentum")).alias("quadrant"))
 
 
@@ -299,7 +307,7 @@ SELECT symbol, as_of, {sql_round('(c0 / c1 - 1) * 100', 4)} AS change_1d, {sql_r
   CASE WHEN (c0 / c1 - 1) * 100 > 0.1e0 THEN 'up' WHEN (c0 / c1 - 1) * 100 < -0.1e0 THEN 'down' ELSE 'flat' END AS breadth FROM a""")
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes over one day, week and month, and the breadth class of the day."""
-    l = symbol_panel(spark, sf_dir).withColumn("r", F.row_number().over(LATEST)).where("r <= 22")  # noqa: E741
+    l = symbol_panel(spark, sf_dir).withColumn("r", F.row_number().over(latest())).where("r <= 22")  # noqa: E741
     at = lambda k: F.max(F.when(F.col("r") == k, F.col("close")))
     change = lambda k: (at(1) / at(k) - 1) * 100
     return l.groupBy("symbol").agg(F.max("trading_date").alias("as_of"), js_round(change(2), 4).alias("change_1d"), js_round(change(6), 4).alias("change_1w"), js_round(change(22), 4).alias("change_1m"), F.when(change(2) > 0.1, "up").when(change(2) < -0.1, "down").otherwise("flat").alias("breadth"))
@@ -311,8 +319,8 @@ SELECT symbol, {sql_round('pct', 4)} AS change_pct, row_number() OVER (ORDER BY
 def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change between the last two sessions of the market, for symbols that traded in both, with ranks."""
     p = symbol_panel(spark, sf_dir)
-    days = p.select("trading_date").distinct().orderBy(F.desc("trading_date")).limit(2).withColumn("k", F.row_number().over(Window.orderBy(F.desc("trading_date"))))
-    c = p.join(F.broadcast(days), "trading_date").groupBy("symbol").agg(*(F.max(F.when(F.col("k") == k, F.col("close"))).alias(n) for k, n in ((1, "now"), (2, "before"))))
+    sessions = p.select("trading_date").distinct().orderBy(F.desc("trading_date")).limit(2).withColumn("k", F.row_number().over(Window.orderBy(F.desc("trading_date"))))
+    c = p.join(F.broadcast(sessions), "trading_date").groupBy("symbol").agg(*(F.max(F.when(F.col("k") == k, F.col("close"))).alias(n) for k, n in ((1, "now"), (2, "before"))))
     m = c.where("now is not null and before is not null").withColumn("pct", (F.col("now") / F.col("before") - 1) * 100)
     return m.select("symbol", js_round(F.col("pct"), 4).alias("change_pct"), F.row_number().over(Window.orderBy(F.desc("pct"), "symbol")).alias("rank_up"), F.row_number().over(Window.orderBy("pct", "symbol")).alias("rank_down"))
 
@@ -324,7 +332,7 @@ SELECT trading_date, bucket_time, {sql_round('pct', 4)} AS pct, {sql_round('avg(
 def intraday_seasonality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-hour buckets against the prior session's close, with the mean of the last ten samples of a bucket."""
     b = half_hour_bars(spark, sf_dir).select(F.to_date("bucket").alias("trading_date"), F.date_format("bucket", "HH:mm").alias("bucket_time"), "close").where(F.col("bucket_time").between("09:30", "15:30"))
-    prior = b.groupBy("trading_date").agg(F.max_by("close", "bucket_time").alias("c")).select("trading_date", F.lag("c").over(DAYS).alias("p"))
+    prior = b.groupBy("trading_date").agg(F.max_by("close", "bucket_time").alias("c")).select("trading_date", F.lag("c").over(days()).alias("p"))
     x = b.join(prior, "trading_date").where("p <> 0").withColumn("pct", (F.col("close") / F.col("p") - 1) * 100)
     x = x.withColumn("r", F.row_number().over(Window.partitionBy("bucket_time").orderBy(F.desc("trading_date"))))
     return x.select("trading_date", "bucket_time", js_round(F.col("pct"), 4).alias("pct"), js_round(F.avg(F.when(F.col("r") <= 10, F.col("pct"))).over(Window.partitionBy("bucket_time")), 4).alias("mean_10d"))
@@ -337,7 +345,7 @@ WEEKDAYS = ("mon", "tue", "wed", "thu", "fri")
 SELECT week, {', '.join(f"{sql_round(f'max(pct) FILTER (d = {i + 1})', 4)} AS {n}" for i, n in enumerate(WEEKDAYS))} FROM w GROUP BY 1""")
 def daily_seasonality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily returns as a grid of week by weekday."""
-    r = daily_bars(spark, sf_dir).select("trading_date", ((F.col("close") / F.lag("close").over(DAYS) - 1) * 100).alias("pct")).where("pct is not null")
+    r = daily_bars(spark, sf_dir).select("trading_date", ((F.col("close") / F.lag("close").over(days()) - 1) * 100).alias("pct")).where("pct is not null")
     g = r.select(F.to_date(F.date_trunc("week", "trading_date")).alias("week"), F.lower(F.date_format("trading_date", "E")).alias("d"), "pct").groupBy("week").pivot("d", list(WEEKDAYS)).agg(F.max("pct"))
     return g.select("week", *(js_round(F.col(n), 4).alias(n) for n in WEEKDAYS))
 
