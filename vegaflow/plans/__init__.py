@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("chain", "daily", "surface", "records", "schedule", "text", "streams", "modelled")
+AREAS = ("chain", "daily", "surface", "records", "schedule", "text", "streams", "modelled", "assembled")
 
 
 def registered():
