@@ -58,33 +58,31 @@ def density(p: np.ndarray, spot: float, t: float, nodes: int = 401) -> dict:
     return {"mean": float(np.sum(0.5 * (f[1:] * x[1:] + f[:-1] * x[:-1]) * np.diff(x))), "q10": float(np.interp(0.1, cdf, x)), "q50": float(np.interp(0.5, cdf, x)), "q90": float(np.interp(0.9, cdf, x)), "raw_area": float(area[-1])}
 
 
-def binomial(s: float, k: float, t: float, sigma: float, steps: int, call: bool, american: bool, r: float = 0.045, q: float = 0.013) -> float:
-    """Cox-Ross-Rubinstein tree."""
-    dt = t / steps
-    up = math.exp(sigma * math.sqrt(dt))
+def binomial(s, k, t: float, sigma, steps: int, call, american: bool, r: float = 0.045, q: float = 0.013) -> np.ndarray:
+    """Cox-Ross-Rubinstein trees of many contracts with one maturity at once."""
+    s, k, sigma, call = (np.atleast_1d(np.asarray(x, float))[:, None] for x in (s, k, sigma, call))
+    dt, side = t / steps, 2 * call - 1
+    up = np.exp(sigma * math.sqrt(dt))
     p, disc = (math.exp((r - q) * dt) - 1 / up) / (up - 1 / up), math.exp(-r * dt)
-    side = 1 if call else -1
-    prices = s * up ** np.arange(-steps, steps + 1, 2.0)
-    v = np.maximum(side * (prices - k), 0)
+    v = np.maximum(side * (s * up ** np.arange(-steps, steps + 1, 2.0) - k), 0)
     for n in range(steps - 1, -1, -1):
-        v = disc * (p * v[1:] + (1 - p) * v[:-1])
+        v = disc * (p * v[:, 1:] + (1 - p) * v[:, :-1])
         if american:
-            prices = s * up ** np.arange(-n, n + 1, 2.0)
-            v = np.maximum(v, side * (prices - k))
-    return float(v[0])
+            v = np.maximum(v, side * (s * up ** np.arange(-n, n + 1, 2.0) - k))
+    return v[:, 0]
 
 
-def trinomial(s: float, k: float, t: float, sigma: float, steps: int, call: bool, r: float = 0.045, q: float = 0.013, stretch: float = math.sqrt(3)) -> float:
-    """European value on a three-way tree with the stretch of its jumps."""
+def trinomial(s, k, t: float, sigma, steps: int, call, r: float = 0.045, q: float = 0.013, stretch: float = math.sqrt(3)) -> np.ndarray:
+    """European values on three-way trees with the stretch of their jumps, many contracts at once."""
+    s, k, sigma, call = (np.atleast_1d(np.asarray(x, float))[:, None] for x in (s, k, sigma, call))
     dt = t / steps
     jump, drift = stretch * sigma * math.sqrt(dt), (r - q - sigma * sigma / 2) * dt
     a, b = sigma * sigma * dt / jump**2 + (drift / jump) ** 2, drift / jump
     pu, pd = 0.5 * (a + b), 0.5 * (a - b)
-    prices = s * np.exp(jump * np.arange(-steps, steps + 1))
-    v = np.maximum((1 if call else -1) * (prices - k), 0)
+    v = np.maximum((2 * call - 1) * (s * np.exp(jump * np.arange(-steps, steps + 1)) - k), 0)
     for _ in range(steps):
-        v = math.exp(-r * dt) * (pu * v[2:] + (1 - pu - pd) * v[1:-1] + pd * v[:-2])
-    return float(v[0])
+        v = math.exp(-r * dt) * (pu * v[:, 2:] + (1 - pu - pd) * v[:, 1:-1] + pd * v[:, :-2])
+    return v[:, 0]
 
 
 def merton_cf(u, t, p):
@@ -129,7 +127,7 @@ FOURIER: dict[str, tuple[Callable, tuple, tuple, tuple]] = {
 }
 
 
-def fourier_calls(cf: Callable, p, s: float, k: np.ndarray, t: float, r: float = 0.045, q: float = 0.013, nodes: int = 301) -> np.ndarray:
+def fourier_calls(cf: Callable, p, s: float, k: np.ndarray, t: float, r: float = 0.045, q: float = 0.013, nodes: int = 161) -> np.ndarray:
     """Calls by the single-integral formula on the line Im u = -1/2, with nodes on a tangent-mapped grid."""
     angle = (np.arange(nodes) + 0.5) / nodes * (math.pi / 2)
     u, weight = np.tan(angle) * 4, 4 / np.cos(angle) ** 2 * (math.pi / 2 / nodes)
@@ -139,7 +137,7 @@ def fourier_calls(cf: Callable, p, s: float, k: np.ndarray, t: float, r: float =
     return math.exp(-r * t) * (forward - np.sqrt(forward * k) / math.pi * terms.sum(axis=1))
 
 
-def fit_fourier(name: str, s: float, k: np.ndarray, t: float, vol: np.ndarray, most: int = 160) -> dict:
+def fit_fourier(name: str, s: float, k: np.ndarray, t: float, vol: np.ndarray, most: int = 110) -> dict:
     """Parameters and volatility error of a model fitted to a slice by the simplex."""
     cf, start, low, high = FOURIER[name]
     target = black_scholes(s, k, t, vol, 0.045, 0.013)

@@ -105,27 +105,29 @@ def local_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lattice_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binomial and trinomial values against the closed form, European and American, as steps grow."""
-    grid = contracts(spark, sf_dir).where("dte = 33 and strike % 200 = 0").select("run_id", "spot", "strike", "iv", "tau", "is_call").withColumn("steps", F.explode(F.array(*map(F.lit, (25, 50, 100)))))
+    grid = contracts(spark, sf_dir).select("run_id", "dte", "spot", "strike", "iv", "tau", "is_call").withColumn("steps", F.explode(F.array(*map(F.lit, (25, 50, 100)))))
 
-    def run(frames):
-        for f in frames:
-            rows = [(r.run_id, r.strike, bool(r.is_call), r.steps, surface.binomial(r.spot, r.strike, r.tau, r.iv, r.steps, r.is_call, False), surface.binomial(r.spot, r.strike, r.tau, r.iv, r.steps, r.is_call, True), surface.trinomial(r.spot, r.strike, r.tau, r.iv, r.steps, r.is_call)) for r in f.itertuples()]
-            yield pd.DataFrame(rows, columns=["run_id", "strike", "is_call", "steps", "european", "american", "trinomial"])
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        t, steps = float(g["tau"].iloc[0]), int(key[2])
+        args = (g["spot"].to_numpy(), g["strike"].to_numpy(), t, g["iv"].to_numpy(), steps, g["is_call"].to_numpy())
+        out = g[["run_id", "dte", "strike", "is_call", "steps"]].copy()
+        out["european"], out["american"], out["trinomial"] = surface.binomial(*args, False), surface.binomial(*args, True), surface.trinomial(*args)
+        return out
 
-    return grid.repartition("run_id", "strike").mapInPandas(run, "run_id int, strike double, is_call boolean, steps int, european double, american double, trinomial double")
+    return grid.groupBy("run_id", "dte", "steps").applyInPandas(run, "run_id int, dte int, strike double, is_call boolean, steps int, european double, american double, trinomial double")
 
 
 @query()
 def fourier_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jump, stochastic-volatility and pure-jump models fitted to one slice of each run; a task per (run, model)."""
-    q = slices(spark, sf_dir).where("dte = 33").withColumn("model", F.explode(F.array(*map(F.lit, surface.FOURIER))))
+    """Jump, stochastic-volatility and pure-jump models fitted to every slice; a group per (run, expiration, model)."""
+    q = slices(spark, sf_dir).withColumn("model", F.explode(F.array(*map(F.lit, surface.FOURIER))))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("strike")
-        f = surface.fit_fourier(key[1], float(g["spot"].iloc[0]), g["strike"].to_numpy(), 33 / 365, g["iv"].to_numpy())
-        return pd.DataFrame([{"run_id": key[0], **f}])
+        f = surface.fit_fourier(key[2], float(g["spot"].iloc[0]), g["strike"].to_numpy(), key[1] / 365, g["iv"].to_numpy())
+        return pd.DataFrame([{"run_id": key[0], "dte": key[1], **f}])
 
-    return q.groupBy("run_id", "model").applyInPandas(run, "run_id int, model string, params array<double>, rmse_vol double, priced int")
+    return q.groupBy("run_id", "dte", "model").applyInPandas(run, "run_id int, dte int, model string, params array<double>, rmse_vol double, priced int")
 
 
 @query()
@@ -176,7 +178,7 @@ def garch_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = returns(spark, sf_dir).withColumn("model", F.explode(F.array(*map(F.lit, garch.MODELS))))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"symbol": key[0], **garch.fit(key[1], g.sort_values("trading_date")["x"].to_numpy()[-750:])}])
+        return pd.DataFrame([{"symbol": key[0], **garch.fit(key[1], g.sort_values("trading_date")["x"].to_numpy())}])
 
     return jobs.groupBy("symbol", "model").applyInPandas(run, "symbol string, model string, k int, n int, nll double, aic double, bic double, persistence double, sigma_1d double, sigma_20d double")
 
@@ -198,7 +200,7 @@ def correlation_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = r.where("symbol <> 'VIX'").select("symbol", "trading_date", F.col("x").alias("y")).join(base, "trading_date").withColumn("kind", F.explode(F.array(F.lit("CCC"), F.lit("DCC"))))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"symbol": key[0], **garch.correlations(g.sort_values("trading_date").tail(500), key[1])}])
+        return pd.DataFrame([{"symbol": key[0], **garch.correlations(g.sort_values("trading_date"), key[1])}])
 
     return j.groupBy("symbol", "kind").applyInPandas(run, "symbol string, model string, k int, nll double, correlation double")
 

@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vegaflow.functions.numeric import js_round
+from vegaflow.operators.search import nearest_rows
 from vegaflow.plans.registry import query
 from vegaflow.sources.fixtures import sql_round, table
 
@@ -78,20 +79,14 @@ def keyword_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", c.otherwise("other").alias("family"))
 
 
-@query(f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id < 10),
+@query(f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, list_dot_product(qe, e) / (sqrt(list_dot_product(qe, qe)) * sqrt(list_dot_product(e, e))) AS sim FROM q, v WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM s WHERE sim >= 0.2e0)
 SELECT query_id, vec_id, {sql_round('sim', 6)} AS similarity, place FROM r WHERE place <= 6""")
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six rows nearest to each of ten query vectors by cosine, above a floor.
-
-    The ten queries are broadcast to the scan; each task keeps partial top lists.
-    """
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    s = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("sim", dot(F.col("qe"), F.col("e")) / (F.sqrt(dot(F.col("qe"), F.col("qe"))) * F.sqrt(dot(F.col("e"), F.col("e"))))).where(F.col("sim") >= 0.2)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
-    return s.withColumn("place", place).where("place <= 6").select("query_id", "vec_id", js_round(F.col("sim"), 6).alias("similarity"), "place")
+    """The six rows nearest to each query vector by cosine, above a floor; queries are the rows whose id 20 divides."""
+    v = table(spark, sf_dir, "embeddings")
+    r = nearest_rows(v, v.where("vec_id % 20 = 0"), 6, 0.2)
+    return r.select("query_id", F.col("id").alias("vec_id"), js_round(F.col("similarity"), 6).alias("similarity"), "place")
 
 
 HEADING = re.compile(r"#{2,3}\s+\S.*")
