@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,13 @@ def byte_slices(sizes: np.ndarray, limit: int):
         lo = hi
 
 
+def text_slices(batch: pa.RecordBatch, column: int, limit: int):
+    """Parts of a batch with at most ``limit`` bytes of the text column each, so that no task holds a whole batch as objects."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    for lo, hi in byte_slices(sizes, limit):
+        yield batch.slice(lo, hi - lo)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over 64 bits (in place where it can)."""
     x = x ^ (x >> np.uint64(30))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vegaflow.llm.common import Workspace, byte_slices, mix64
+from vegaflow.llm.common import Workspace, mix64, text_slices
 from vegaflow.llm.components import components
 
 #: 48 bands of 6: a pair at 0.8 is missed with probability (1 - 0.8**6)**48 < 1e-6.
@@ -39,8 +39,8 @@ BANDS, ROWS = 48, 6
 AGREE = 0.66
 #: Members to a finishing block.
 BLOCK = 256
-CHUNK_BYTES = 4 << 20
-HELD_WORDS = 300_000
+CHUNK_BYTES = 2 << 20
+HELD_WORDS = 200_000
 
 U = np.uint64
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -99,9 +99,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
-            sizes = np.array([len(x) if x else 0 for x in whole.column(1).to_pylist()])
-            for lo, hi in byte_slices(sizes, CHUNK_BYTES):
-                b = whole.slice(lo, hi - lo)
+            for b in text_slices(whole, 1, CHUNK_BYTES):
                 sets = []
                 for text in b.column(1).to_pylist():
                     if len(hashes) > HELD_WORDS:
@@ -126,7 +124,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, 1, CHUNK_BYTES)):
             sets = []
             for text in b.column(1).to_pylist():
                 if len(hashes) > HELD_WORDS:
@@ -145,7 +143,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, known = [], {}
+            keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 common = len(u) + len(v) - len(np.union1d(u, v))
@@ -250,6 +248,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
         extra = work.save(verified(more, docs, width, percent), "extra")
         if not extra.isEmpty():
             groups = components(work, links.unionAll(extra), "all")
+    for name in ("linked", "tried", "links", "named", "more"):  # the result reads members, groups and marks only
+        work.drop(name)
     found = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = marks.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -36,6 +36,8 @@ DEPTH, GRAM = 50, 24
 CHUNK_BYTES = 1 << 20
 #: Bytes of contexts whose suffixes are sorted together in a task.
 SORT_BYTES = 1 << 20
+#: Contexts of a batch that later ones of it are compared with; beyond it, the table starts anew.
+HELD_CONTEXTS = 200_000
 
 U = np.uint64
 
@@ -208,8 +210,9 @@ def sent_contexts(rows: DataFrame, depth: int, gram: int) -> DataFrame:
             flat, starts = byte_views(whole.column(1))
             ids, lists = whole.column(0).to_numpy(zero_copy_only=False), whole.column(2)
             met: dict[bytes, int] = {}
-            cols: tuple[list, ...] = ([], [], [], [], [])
             for lo, hi in byte_slices(np.diff(starts), CHUNK_BYTES):
+                if len(met) > HELD_CONTEXTS:
+                    met.clear()
                 base = int(starts[lo])
                 part = flat[base : starts[hi]]
                 begins = starts[lo : hi + 1] - base
@@ -221,12 +224,16 @@ def sent_contexts(rows: DataFrame, depth: int, gram: int) -> DataFrame:
                 raw, doc = part.tobytes(), ids[lo:hi][own[at]].tolist()
                 bodies = [raw[x:y] for x, y in zip(first[at].tolist(), end[at].tolist(), strict=True)]
                 firsts = [met.setdefault(x, d) for x, d in zip(bodies, doc, strict=True)]
-                cols[0].extend(signed[at].tolist())
-                cols[1].extend(doc)
-                cols[2].extend((first[at] - begins[own[at]]).tolist())
-                cols[3].extend(x if d == f else None for x, d, f in zip(bodies, doc, firsts, strict=True))
-                cols[4].extend((end[at] - first[at]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64())], names=["hash", "doc_id", "start", "body", "size"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(signed[at]),
+                        pa.array(doc, pa.int64()),
+                        pa.array((first[at] - begins[own[at]]).astype(np.int64)),
+                        pa.array([x if d == f else None for x, d, f in zip(bodies, doc, firsts, strict=True)], pa.binary()),
+                        pa.array((end[at] - first[at]).astype(np.int64)),
+                    ],
+                    names=["hash", "doc_id", "start", "body", "size"],
+                )
 
     return rows.select("doc_id", "text", "hashes").mapInArrow(run, "hash bigint, doc_id bigint, start bigint, body binary, size bigint")
 

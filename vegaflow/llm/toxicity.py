@@ -1,6 +1,6 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Positives are rows confirmed toxic; every other text counts as unlabelled. The
+Positives are rows confirmed toxic; the unlabelled texts are drawn from all rows. The
 risk of a classifier g with class prior p is
     p * R+(g) + max(0, R-_U(g) - p * R-_P(g)),
 with the logistic loss; when the bracket is negative, the step ascends on it
@@ -9,7 +9,7 @@ positives hidden among the unlabelled texts below zero.
 
 Features are words and word beginnings that are present in a text. The vocabulary
 is chosen on the learning rows: the features whose document rate among positives exceeds the rate
-among unlabelled texts most. The model is a numpy linear model plus bias; a
+among clean texts most. The model is a numpy linear model plus bias; a
 task scores whole texts by one pass over their words.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vegaflow.llm.common import held_out
+from vegaflow.llm.common import held_out, text_slices
 
 #: Words are runs of letters, digits or underscores, lower-cased.
 WORD = re.compile(r"\w+")
@@ -34,6 +34,7 @@ WORD = re.compile(r"\w+")
 MAX_POSITIVES, MAX_UNLABELLED, MAX_BYTES = 2_000, 8_000, 64 << 20
 #: Class prior of toxic text if the labels give none.
 DEFAULT_PRIOR = 0.05
+CHUNK_BYTES = 4 << 20
 
 
 #: Lengths of the word beginnings that count as features beside whole words; insults inflect.
@@ -60,17 +61,22 @@ class ToxicModel:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def choose_features(pos: dict[str, int], n: int, unl: dict[str, int], m: int, size: int) -> list[str]:
-    """Features by p * log((p + 1/n) / (u + 1/n)), p and u their document rates; ties by text."""
+def choose_features(pos: dict[str, int], n: int, unl: dict[str, int], m: int, prior: float, size: int) -> list[str]:
+    """Features by p * log((p + 1/n) / (c + 1/n)), p the document rate among positives, c that among clean texts.
+
+    The clean rate is the unlabelled one less the positives' share of it. Only
+    features at least 25 times as frequent in positives count. Ties by text.
+    """
     gain = {}
     for w, k in pos.items():
-        p, u = k / n, unl.get(w, 0) / max(1, m)
-        if p > 10 * u:
-            gain[w] = p * math.log((p + 1 / n) / (u + 1 / n))
+        p = k / n
+        c = max(0.0, unl.get(w, 0) / max(1, m) - prior * p) / (1 - prior)
+        if p > 25 * c:
+            gain[w] = p * math.log((p + 1 / n) / (c + 1 / n))
     return sorted(gain, key=lambda w: (-gain[w], w))[:size]
 
 
-def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, epochs: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, epochs: int = 800, rate: float = 0.08, l2: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model by full-batch non-negative PU descent (Adam steps)."""
     d = x_pos.shape[1]
     theta, mean, square = (np.zeros(d + 1) for _ in range(3))
@@ -129,7 +135,7 @@ def fit(positive: Iterable[str], unlabelled: Iterable[str], prior: float, size:
     ids = {f: i for f, i in ids.items() if counts[i] >= max(least, len(pos) // 30)}
     unl = [np.array([ids[f] for f in d & ids.keys()], np.int32) for d in without_copies(unlabelled)] if ids else []
     there = np.bincount(np.concatenate(unl), minlength=len(counts)) if unl else np.zeros(len(counts), int)
-    chosen = choose_features({f: int(counts[i]) for f, i in ids.items()}, max(1, len(pos)), {f: int(there[i]) for f, i in ids.items()}, len(unl), size) if unl else []
+    chosen = choose_features({f: int(counts[i]) for f, i in ids.items()}, max(1, len(pos)), {f: int(there[i]) for f, i in ids.items()}, len(unl), prior, size) if unl else []
     if not chosen:
         return ToxicModel({}, np.zeros(0), math.log(prior / (1 - prior)))
     columns = {ids[f]: k for k, f in enumerate(chosen)}
@@ -140,8 +146,9 @@ def fit(positive: Iterable[str], unlabelled: Iterable[str], prior: float, size:
 def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[Iterator[str], Iterator[str], float]:
     """(positives, unlabelled, prior) of the learning rows; the texts are bounded samples by a hash of the id.
 
-    Unlabelled is every learning row that no label confirms as toxic, the
-    unlabelled documents included. The labelled rows' toxic share is the prior.
+    The unlabelled texts are drawn from all learning rows, whatever their label,
+    so that toxic text has its prior share among them. The labelled rows' toxic
+    share is that prior.
     Text beyond the bounds is left out of the fit only; every row is scored.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -156,7 +163,8 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[Iterator[str], I
         share = F.lit(min(1 << 32, int((1 << 32) * most / max(1, there))))
         confirmed = marks.where("toxic = 1").select("doc_id")
         room = MAX_BYTES
-        for r in readable.where(draw < share).join(confirmed, "doc_id", "left_semi" if wanted else "left_anti").select("text").toLocalIterator():
+        rows = readable.where(draw < share)
+        for r in (rows.join(confirmed, "doc_id", "left_semi") if wanted else rows).select("text").toLocalIterator():
             room -= len(r["text"])
             if room < 0:
                 return
@@ -169,7 +177,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.7)
     """doc_id, score, predicted for every row; a null or empty text has the score of no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, 1, CHUNK_BYTES)):
             s = [model.score(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "score", "predicted"])
 
@@ -191,7 +199,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     model, at = fit(*training_texts(docs, labels)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, at, CHUNK_BYTES)):
             yield b.filter(pa.array([model.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
