@@ -135,10 +135,14 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach ``percent`` of Jaccard similarity."""
+def verified(work: Workspace, name: str, pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach ``percent`` of Jaccard similarity.
+
+    The sets are written first, so that the joins are of plain shuffles: the
+    pairs of a hub with very many members are split over tasks.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"])
+    sets = work.save(full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), f"{name}-sets")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +155,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    links = work.save(both.mapInArrow(run, f"a {kind}, b {kind}"), name)
+    work.drop(f"{name}-sets")
+    return links
 
 
 def fitting_sizes(x, y, percent: int):
@@ -213,7 +219,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     work = Workspace(spark, "near")
     marks = work.save(described(docs, width), "marks")
     full = marks.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    # written before it is joined: a class that holds a large share of the rows is then split over tasks
+    classes = work.save(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     members = work.save(full.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "n", "rep"), "members")
     reps = members.where("doc_id = rep").select("doc_id").distinct()
     firsts = full.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -228,7 +235,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     tried = tried.where((F.col("doc_id") != F.col("hub")) & fitting_sizes(F.col("n"), F.col("n_hub"), percent))
     tried = tried.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     tried = work.save(tried, "tried")
-    links = work.save(verified(tried, docs, width, percent), "links")
+    links = verified(work, "links", tried, docs, width, percent)
     groups = components(work, links, "stars")
 
     # buckets that the stars did not connect
@@ -245,10 +252,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     more = small.unionAll(large).groupBy("g", "i", "j").applyInPandas(lambda df: block_pairs(df, percent), "a bigint, b bigint").distinct()
     more = work.save(more.join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        extra = work.save(verified(more, docs, width, percent), "extra")
+        extra = verified(work, "extra", more, docs, width, percent)
         if not extra.isEmpty():
             groups = components(work, links.unionAll(extra), "all")
-    for name in ("linked", "tried", "links", "named", "more"):  # the result reads members, groups and marks only
+    for name in ("classes", "linked", "tried", "links", "named", "more"):  # the result reads members, groups and marks only
         work.drop(name)
     found = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = marks.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
