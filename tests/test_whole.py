@@ -1,0 +1,27 @@
+"""Queries that have no SQL do their whole job: against plain Python on the smallest tables."""
+
+import numpy as np
+
+from vegaflow.plans import registered
+from vegaflow.sources.fixtures import term_structure
+
+QUERIES = registered().QUERIES
+
+
+def test_bands_of_every_trading_day(spark, sf):
+    t = term_structure(spark, sf).toPandas()
+    day, dte, iv = np.array(t.trading_date, "datetime64[D]").astype(int), t.dte.to_numpy(), t.atm_iv.to_numpy()
+    r = QUERIES["cloud_bands_history"](spark, sf).toPandas()
+    assert len(r) == len(set(day)) * 281 == len(r[["trading_date", "dte"]].drop_duplicates())
+    for x in r.sample(500, random_state=0).itertuples():
+        at = np.datetime64(x.trading_date, "D").astype(int)
+        v = iv[(np.abs(dte - x.dte) <= (1 if x.dte < 7 else 3)) & (day >= at - 365) & (day <= at - 1)]
+        assert x.sample_count == len(v)
+        got = [x.iv_p10, x.iv_p30, x.iv_p50, x.iv_p70, x.iv_p90]
+        assert np.allclose(got, np.quantile(v, (0.1, 0.3, 0.5, 0.7, 0.9)), atol=2e-6) if len(v) else np.isnan(np.array(got, float)).all()
+    last = r[r.trading_date >= sorted(set(r.trading_date))[-5]]
+    five = QUERIES["cloud_bands"](spark, sf).toPandas()
+    key = ["trading_date", "dte"]
+    assert last.sort_values(key).reset_index(drop=True).equals(five.sort_values(key)[last.columns].reset_index(drop=True))
+    report = {x["phase"]: x["n_rows"] for x in QUERIES["end_of_day"](spark, sf).collect()}
+    assert report["cloud_bands"] == len(r)

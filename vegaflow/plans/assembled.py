@@ -131,7 +131,7 @@ def minute_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The end-of-day phases in dependency order.
-PHASES = {"term_structure": daily.daily_term_structure, "gex_stats": chain.daily_gex_stats, "cloud_bands": daily.cloud_bands, "vol_stats": daily.vol_stats, "vix_family": daily.vix_summary, "symbols": daily.performance, "intraday_bars": daily.intraday_seasonality, "reconciliation": surface.reconciliation}
+PHASES = {"term_structure": daily.daily_term_structure, "gex_stats": chain.daily_gex_stats, "cloud_bands": daily.cloud_bands_history, "vol_stats": daily.vol_stats, "vix_family": daily.vix_summary, "symbols": daily.performance, "intraday_bars": daily.intraday_seasonality, "reconciliation": surface.reconciliation}
 
 
 @query()

@@ -57,6 +57,25 @@ def cloud_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("day").alias("trading_date"), F.col("target").alias("dte"), *(js_round(F.col("q")[i], 6).alias(f"iv_p{int(q * 100)}") for i, q in enumerate(QUANTILES)), F.coalesce("n", F.lit(0)).alias("sample_count"))
 
 
+@query()
+def cloud_bands_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bands of every trading day: (trading_date, dte 0..280), as the daily table is filled.
+
+    Samples of a target are added up by day and value; one window by target over
+    the 365 days before takes the percentiles. A target has at most seven samples
+    a day, so a partition is bounded by the calendar.
+    """
+    t = term_structure(spark, sf_dir)
+    near = band_join(t, "dte", F.lit(3), (0, 280), "target").where((F.col("target") >= 7) | (F.abs(F.col("dte") - F.col("target")) <= 1))
+    samples = near.groupBy("trading_date", "target", "atm_iv").agg(F.count("atm_iv").alias("n"))
+    grid = t.select("trading_date").distinct().select("trading_date", F.explode(F.sequence(F.lit(0), F.lit(280))).alias("target"), F.lit(None).cast("double").alias("atm_iv"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+    stacked = samples.withColumn("asked", F.lit(False)).unionByName(grid).withColumn("day", F.unix_date("trading_date"))
+    year = Window.partitionBy("target").orderBy("day").rangeBetween(-365, -1)
+    quantiles = F.percentile("atm_iv", F.array(*map(F.lit, QUANTILES)), F.col("n")).over(year)
+    out = stacked.withColumns({"q": quantiles, "sample_count": F.coalesce(F.sum("n").over(year), F.lit(0))}).where("asked")
+    return out.select("trading_date", F.col("target").alias("dte"), *(js_round(F.col("q")[i], 6).alias(f"iv_p{int(q * 100)}") for i, q in enumerate(QUANTILES)), "sample_count")
+
+
 YZ_K = 0.34 / (1.34 + 21 / 19)
 
 
