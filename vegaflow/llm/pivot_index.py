@@ -15,7 +15,6 @@ vector and a spanning forest of them, never the pairs.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +29,8 @@ from vegaflow.llm.components import components
 
 #: Reference points (a bounded sample, by hash of the id) and nearest ones that describe a vector.
 PIVOTS, NEAREST = 512, 8
-#: Unrelated vectors that share a list, about, by which the number of shared pivots is chosen; vectors to a block.
-LIST_AIM, BLOCK = 1, 512
+#: Shared pivots that make a list, whatever the number of vectors, so that a pair's chance to meet is the same in every table; vectors to a block.
+SHARED, BLOCK = 2, 512
 CHUNK_ROWS = 4096
 
 
@@ -65,12 +64,9 @@ def readable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(id_col, vec_col).where(F.col(id_col).isNotNull()).mapInArrow(run, f"id {kind}, dim int, body binary, f1 bigint, f2 bigint")
 
 
-def shared_pivots(n: int, pivots: int, nearest: int) -> int:
-    """Least number of shared pivots by which a list holds about ``LIST_AIM`` unrelated vectors at most."""
-    for c in range(1, min(4, nearest) + 1):
-        if n * math.comb(nearest, c) <= LIST_AIM * max(1, math.comb(pivots, c)):
-            return c
-    return min(4, nearest)
+def shared_pivots(near: np.ndarray) -> int:
+    """Number of shared pivots that make a list, by the width of the marks of one dimension."""
+    return min(SHARED, near.shape[1])
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
@@ -90,8 +86,11 @@ def list_key(dim: int, members: np.ndarray) -> np.ndarray:
     return key.view("i8")
 
 
-def posted(reps: DataFrame, pivots: dict[int, np.ndarray], shared: int) -> DataFrame:
-    """id, n, body, near (sorted pivot numbers as bytes), keys (of the inverted lists that the vector is in)."""
+def posted(reps: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """id, n, body, near (sorted pivot numbers as bytes), keys (of the inverted lists that the vector is in).
+
+    A dimension with fewer vectors than pivots is one list, where all of them meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -102,8 +101,8 @@ def posted(reps: DataFrame, pivots: dict[int, np.ndarray], shared: int) -> DataF
                     at = np.flatnonzero(dims == dim)
                     own = b.take(pa.array(at))
                     x = np.frombuffer(b"".join(own.column(3).to_pylist()), "f8").reshape(len(at), dim)
-                    near = np.sort(nearest_pivots(unit(x), pivots[dim], NEAREST), axis=1).astype("<i2")
-                    sets = list(itertools.combinations(range(near.shape[1]), min(shared, near.shape[1])))
+                    near = np.sort(nearest_pivots(unit(x), pivots[dim], NEAREST), axis=1).astype("<i2") if len(pivots[dim]) == PIVOTS else np.zeros((len(at), 1), "<i2")
+                    sets = list(itertools.combinations(range(near.shape[1]), shared_pivots(near)))
                     keys = np.stack([list_key(dim, near[:, s]) for s in sets], axis=1)
                     marks = pa.array([r.tobytes() for r in near], pa.binary())
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(sets), pa.int32()), pa.array(keys.ravel()))
@@ -113,7 +112,7 @@ def posted(reps: DataFrame, pivots: dict[int, np.ndarray], shared: int) -> DataF
     return reps.select("id", "n", "dim", "body").mapInArrow(run, f"id {kind}, n bigint, body binary, near binary, keys array<bigint>")
 
 
-def list_links(rows: pd.DataFrame, shared: int, least: float) -> pd.DataFrame:
+def list_links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     """For the lists of one group: (a, b, n) where b null says that a has links to n vectors, and else a-b is of a spanning forest."""
     rows = rows.sort_values(["key", "id"], kind="stable")
     keys = rows["key"].to_numpy()
@@ -135,6 +134,7 @@ def list_links(rows: pd.DataFrame, shared: int, least: float) -> pd.DataFrame:
             continue
         x = unit(np.frombuffer(b"".join(bodies[lo:hi]), "f8").reshape(hi - lo, -1))
         near = np.frombuffer(b"".join(nears[lo:hi]), "<i2").reshape(hi - lo, -1)
+        shared = shared_pivots(near)
         p, q = np.nonzero(np.triu(x @ x.T >= least, 1))
         if i != j:
             cross = mine[lo + p] != mine[lo + q]
@@ -179,12 +179,10 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, i
     for dim in sizes:
         sample = reps.where(F.col("dim") == dim).orderBy(F.xxhash64(F.lit(5), "id"), "id").select("body").limit(PIVOTS).collect()
         pivots[dim] = unit(np.frombuffer(b"".join(bytes(r["body"]) for r in sample), "f8").reshape(len(sample), dim))
-    shared = shared_pivots(sum(sizes.values()), min((len(p) for p in pivots.values()), default=1), NEAREST)
-    shared = min([shared, *(len(p) for p in pivots.values())])
     if not sizes:
         empty = vectors.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
         return empty
-    described = work.save(posted(reps, pivots, shared), "described")
+    described = work.save(posted(reps, pivots), "described")
     # lists are counted by key alone; vectors travel only to lists where they meet another one
     lists = described.select("id", F.explode("keys").alias("key"))
     counts = lists.groupBy("key").count().where("count > 1")
@@ -194,7 +192,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, i
     groups = max(64, met.count() // 4096)
     small = dealt.where("blocks = 1").select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), "mine", "key", "id", "n", "body", "near")
     large = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("key").alias("g"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "id", "n", "body", "near")
-    found = small.unionAll(large).groupBy("g", "i", "j").applyInPandas(lambda df: list_links(df, shared, least), "a bigint, b bigint, n bigint")
+    found = small.unionAll(large).groupBy("g", "i", "j").applyInPandas(lambda df: list_links(df, least), "a bigint, b bigint, n bigint")
     found = work.save(found, "found")
     work.drop("met")
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
