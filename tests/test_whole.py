@@ -1,8 +1,11 @@
 """Queries that have no SQL do their whole job: against plain Python on the smallest tables."""
 
 import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from vegaflow.plans import registered
+from vegaflow.models import garch, surface
+from vegaflow.plans import modelled, registered
 from vegaflow.sources.fixtures import term_structure
 
 QUERIES = registered().QUERIES
@@ -25,3 +28,28 @@ def test_bands_of_every_trading_day(spark, sf):
     assert last.sort_values(key).reset_index(drop=True).equals(five.sort_values(key)[last.columns].reset_index(drop=True))
     report = {x["phase"]: x["n_rows"] for x in QUERIES["end_of_day"](spark, sf).collect()}
     assert report["cloud_bands"] == len(r)
+
+
+def test_a_smile_of_a_model_is_fitted_until_it_settles():
+    p, k = (0.04, 2.0, 0.05, 0.5, -0.5), np.linspace(4000, 6000, 41)
+    near = surface.fourier_calls(surface.heston_cf, p, 5000.0, k, 18 / 365)
+    assert np.abs(near - surface.fourier_calls(surface.heston_cf, p, 5000.0, k, 18 / 365, nodes=4001)).max() < 0.05
+    other = (0.06, 3.0, 0.04, 0.7, -0.6)
+    for t in (0.255, 0.46):
+        vol = surface.implied_volatility(surface.fourier_calls(surface.heston_cf, other, 5000.0, k, t), 5000.0, k, t, 0.045, 0.013)
+        f = surface.fit_fourier("heston", 5000.0, k, t, vol)
+        assert f["converged"] and f["rmse_vol"] < 1e-4
+        assert not surface.fit_fourier("heston", 5000.0, k, t, vol, most=5)["converged"]
+
+
+def test_variance_models_of_a_short_series_settle(spark, sf, monkeypatch):
+    whole = modelled.returns
+    monkeypatch.setattr(modelled, "returns", lambda s, d: whole(s, d).where("symbol in ('VIX', 'VVIX')").withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy("trading_date"))).where("i <= 200"))
+    models = QUERIES["garch_models"](spark, sf).toPandas()
+    assert len(models) == 2 * len(garch.MODELS) and models.converged.mean() > 0.9 and (models.sigma_1d > 0).all()
+    ensemble = QUERIES["garch_ensemble"](spark, sf).toPandas()
+    three = models[models.model.isin(["GARCH", "GJR", "EGARCH"])]
+    assert sorted(ensemble.symbol) == ["VIX", "VVIX"] and set(ensemble.best) <= {"GARCH", "GJR", "EGARCH"}
+    assert dict(zip(ensemble.symbol, ensemble.converged)) == three.groupby("symbol").converged.all().to_dict()
+    both = QUERIES["correlation_models"](spark, sf).toPandas()
+    assert sorted(both.model) == ["CCC", "DCC"] and both.converged.all()

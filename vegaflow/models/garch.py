@@ -14,9 +14,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 
-from vegaflow.models.optimise import simplex
+from vegaflow.models.optimise import settled_simplex
 
 FLOOR, CAP = 1e-10, 1e6
+#: A fit has settled when the likelihoods of its simplex differ by less, relatively.
+FIT_TOL = 1e-10
 
 
 @dataclasses.dataclass(frozen=True)
@@ -203,27 +205,28 @@ def likelihood(model: Model, theta: np.ndarray, x: np.ndarray, h0: float) -> flo
     return v + cost if math.isfinite(v) else 1e12
 
 
-def fit(name: str, returns: np.ndarray, most: int = 250) -> dict:
+def fit(name: str, returns: np.ndarray, most: int = 4000) -> dict:
     """Parameters, information criteria and the 1- and 20-day variance forecasts of demeaned returns (in percent)."""
     model, x = MODELS[name], returns - returns.mean()
     h0 = float(x.var()) or 1e-8
     start = np.array(model.start(h0))
-    theta, cost = simplex(lambda p: likelihood(model, p, x, h0), start, most=most)
+    theta, cost, settled = settled_simplex(lambda p: likelihood(model, p, x, h0), start, most=most, tol=FIT_TOL)
     theta = np.clip(theta, model.low, model.high)
     h = model.variances(theta, np.append(x, 0.0), h0)
     k, n = len(theta), len(x)
     keep = min(0.9999, max(0.0, model.persistence(theta)))
     ahead = h0 + (h[-1] - h0) * keep ** np.arange(20)
-    return {"model": name, "k": k, "n": n, "nll": cost, "aic": 2 * k + 2 * cost, "bic": k * math.log(n) + 2 * cost, "persistence": keep, "sigma_1d": math.sqrt(h[-1] * 252), "sigma_20d": math.sqrt(max(0.0, ahead.mean()) * 252)}
+    return {"model": name, "k": k, "n": n, "nll": cost, "aic": 2 * k + 2 * cost, "bic": k * math.log(n) + 2 * cost, "persistence": keep, "sigma_1d": math.sqrt(h[-1] * 252), "sigma_20d": math.sqrt(max(0.0, ahead.mean()) * 252), "converged": settled}
 
 
 def correlations(pdf: pd.DataFrame, kind: str) -> dict:
     """Constant or dynamic correlation of two series standardised by their own GARCH variances."""
-    z = []
+    z, all_settled = [], True
     for c in ("x", "y"):
         e = pdf[c].to_numpy() - pdf[c].mean()
         h0 = float(e.var())
-        theta, _ = simplex(lambda p, e=e, h0=h0: likelihood(MODELS["GARCH"], p, e, h0), np.array(MODELS["GARCH"].start(h0)), most=150)
+        theta, _, settled = settled_simplex(lambda p, e=e, h0=h0: likelihood(MODELS["GARCH"], p, e, h0), np.array(MODELS["GARCH"].start(h0)), most=4000, tol=FIT_TOL)
+        all_settled &= settled
         z.append(e / np.sqrt(garch(np.clip(theta, MODELS["GARCH"].low, MODELS["GARCH"].high), e, h0)))
     z = np.stack(z)
     flat = float(np.corrcoef(z)[0, 1])
@@ -241,7 +244,7 @@ def correlations(pdf: pd.DataFrame, kind: str) -> dict:
         return 0.5 * float(np.sum(np.log(one) + (z[0] ** 2 + z[1] ** 2 - 2 * rho * z[0] * z[1]) / one))
 
     if kind == "CCC":
-        return {"model": "CCC", "k": 7, "nll": cost(np.full(z.shape[1], flat)), "correlation": flat}
+        return {"model": "CCC", "k": 7, "nll": cost(np.full(z.shape[1], flat)), "correlation": flat, "converged": all_settled}
     free = lambda p: cost(path(*np.clip(p, 0, 0.995))) + 1e5 * max(0.0, float(np.clip(p, 0, 0.995).sum()) - 0.995)
-    p, v = simplex(free, np.array([0.03, 0.9]), most=80)
-    return {"model": "DCC", "k": 8, "nll": v, "correlation": float(path(*np.clip(p, 0, 0.995))[-1])}
+    p, v, settled = settled_simplex(free, np.array([0.03, 0.9]), most=4000, tol=FIT_TOL)
+    return {"model": "DCC", "k": 8, "nll": v, "correlation": float(path(*np.clip(p, 0, 0.995))[-1]), "converged": all_settled and settled}

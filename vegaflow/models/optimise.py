@@ -8,14 +8,20 @@ import numpy as np
 
 
 def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.1, most: int = 400, tol: float = 1e-8) -> tuple[np.ndarray, float]:
-    """Downhill simplex: reflect, expand, contract, shrink."""
-    n = len(start)
+    """The point and value of ``settled_simplex``."""
+    return settled_simplex(f, start, step, most, tol)[:2]
+
+
+def settled_simplex(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.1, most: int = 400, tol: float = 1e-8) -> tuple[np.ndarray, float, bool]:
+    """Downhill simplex: reflect, expand, contract, shrink; whether the values met within ``tol`` before ``most`` steps."""
+    n, settled = len(start), False
     points = np.vstack([start, *(start + step * (abs(start[i]) or 1.0) * np.eye(n)[i] for i in range(n))])
     values = np.array([f(p) for p in points])
     for _ in range(most):
         order = np.argsort(values, kind="stable")
         points, values = points[order], values[order]
         if values[-1] - values[0] <= tol * (1 + abs(values[0])):
+            settled = True
             break
         centre = points[:-1].mean(axis=0)
 
@@ -35,7 +41,7 @@ def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0
                 continue
         points[-1], values[-1] = p, v
     best = int(values.argmin())
-    return points[best], float(values[best])
+    return points[best], float(values[best]), settled
 
 
 def damped_least_squares(residuals: Callable[[np.ndarray], np.ndarray], start: np.ndarray, most: int = 80) -> tuple[np.ndarray, float]:

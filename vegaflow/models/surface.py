@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from vegaflow.models.optimise import black_scholes, damped_least_squares, implied_volatility, simplex
+from vegaflow.models.optimise import black_scholes, damped_least_squares, implied_volatility, settled_simplex
 
 
 def svi(p: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -127,33 +127,43 @@ FOURIER: dict[str, tuple[Callable, tuple, tuple, tuple]] = {
 }
 
 
-def fourier_calls(cf: Callable, p, s: float, k: np.ndarray, t: float, r: float = 0.045, q: float = 0.013, nodes: int = 161) -> np.ndarray:
+def fourier_calls(cf: Callable, p, s: float, k: np.ndarray, t: float, r: float = 0.045, q: float = 0.013, nodes: int = 601) -> np.ndarray:
     """Calls by the single-integral formula on the line Im u = -1/2, with nodes on a tangent-mapped grid."""
+    return fourier_pricer(s, k, t, r, q, nodes)(cf, p)
+
+
+def fourier_pricer(s: float, k: np.ndarray, t: float, r: float = 0.045, q: float = 0.013, nodes: int = 601) -> Callable:
+    """(characteristic function, parameters) -> calls; what doesn't depend on these is computed once."""
     angle = (np.arange(nodes) + 0.5) / nodes * (math.pi / 2)
     u, weight = np.tan(angle) * 4, 4 / np.cos(angle) ** 2 * (math.pi / 2 / nodes)
     forward = s * math.exp((r - q) * t)
-    phi = cf(u - 0.5j, t, p)
-    terms = np.real(np.exp(1j * np.outer(np.log(forward / k), u)) * (phi / (u * u + 0.25) * weight))
-    return math.exp(-r * t) * (forward - np.sqrt(forward * k) / math.pi * terms.sum(axis=1))
+    phase, weight = np.outer(np.log(forward / k), u), weight / (u * u + 0.25)
+    even, odd = np.cos(phase), np.sin(phase)
+
+    def calls(cf: Callable, p) -> np.ndarray:
+        phi = cf(u - 0.5j, t, p) * weight
+        return math.exp(-r * t) * (forward - np.sqrt(forward * k) / math.pi * (even @ phi.real - odd @ phi.imag))
+
+    return calls
 
 
-def fit_fourier(name: str, s: float, k: np.ndarray, t: float, vol: np.ndarray, most: int = 110) -> dict:
-    """Parameters and volatility error of a model fitted to a slice by the simplex."""
+def fit_fourier(name: str, s: float, k: np.ndarray, t: float, vol: np.ndarray, most: int = 4000) -> dict:
+    """Parameters and volatility error of a model fitted to a slice by the simplex, and whether it settled."""
     cf, start, low, high = FOURIER[name]
-    target = black_scholes(s, k, t, vol, 0.045, 0.013)
+    target, calls = black_scholes(s, k, t, vol, 0.045, 0.013), fourier_pricer(s, k, t)
 
     def cost(z: np.ndarray) -> float:
         p = np.clip(z, low, high)
         with np.errstate(all="ignore"):
-            c = fourier_calls(cf, tuple(p), s, k, t)
+            c = calls(cf, tuple(p))
         v = float(np.mean(((c - target) / s) ** 2))
         return (v if math.isfinite(v) else 1.0) + float(np.abs(z - p).sum())
 
-    z, _ = simplex(cost, np.array(start), step=0.25, most=most, tol=1e-14)
+    z, _, settled = settled_simplex(cost, np.array(start), step=0.25, most=most, tol=1e-14)
     p = np.clip(z, low, high)
-    fitted = implied_volatility(fourier_calls(cf, tuple(p), s, k, t), s, k, t, 0.045, 0.013)
+    fitted = implied_volatility(calls(cf, tuple(p)), s, k, t, 0.045, 0.013)
     ok = np.isfinite(fitted)
-    return {"model": name, "params": [float(x) for x in p], "rmse_vol": float(np.sqrt(np.mean((fitted[ok] - vol[ok]) ** 2))) if ok.any() else float("nan"), "priced": int(ok.sum())}
+    return {"model": name, "params": [float(x) for x in p], "rmse_vol": float(np.sqrt(np.mean((fitted[ok] - vol[ok]) ** 2))) if ok.any() else float("nan"), "priced": int(ok.sum()), "converged": settled}
 
 
 def vanna_volga(s: float, t: float, k: np.ndarray, pivots: tuple[float, float, float], vols: tuple[float, float, float]) -> np.ndarray:

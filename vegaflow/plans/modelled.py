@@ -127,7 +127,7 @@ def fourier_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = surface.fit_fourier(key[2], float(g["spot"].iloc[0]), g["strike"].to_numpy(), key[1] / 365, g["iv"].to_numpy())
         return pd.DataFrame([{"run_id": key[0], "dte": key[1], **f}])
 
-    return q.groupBy("run_id", "dte", "model").applyInPandas(run, "run_id int, dte int, model string, params array<double>, rmse_vol double, priced int")
+    return q.groupBy("run_id", "dte", "model").applyInPandas(run, "run_id int, dte int, model string, params array<double>, rmse_vol double, priced int, converged boolean")
 
 
 @query()
@@ -180,7 +180,7 @@ def garch_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"symbol": key[0], **garch.fit(key[1], g.sort_values("trading_date")["x"].to_numpy())}])
 
-    return jobs.groupBy("symbol", "model").applyInPandas(run, "symbol string, model string, k int, n int, nll double, aic double, bic double, persistence double, sigma_1d double, sigma_20d double")
+    return jobs.groupBy("symbol", "model").applyInPandas(run, "symbol string, model string, k int, n int, nll double, aic double, bic double, persistence double, sigma_1d double, sigma_20d double, converged boolean")
 
 
 @query()
@@ -189,7 +189,7 @@ def garch_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = garch_models(spark, sf_dir).where(F.col("model").isin("GARCH", "GJR", "EGARCH"))
     w = F.exp(F.lit(-0.5) * (F.col("bic") - F.min("bic").over(Window.partitionBy("symbol"))))
     m = m.withColumn("w", w)
-    return m.groupBy("symbol").agg((F.sum(F.col("w") * F.col("sigma_20d")) / F.sum("w")).alias("weighted_sigma"), F.avg("sigma_20d").alias("even_sigma"), F.min_by("model", "bic").alias("best"))
+    return m.groupBy("symbol").agg((F.sum(F.col("w") * F.col("sigma_20d")) / F.sum("w")).alias("weighted_sigma"), F.avg("sigma_20d").alias("even_sigma"), F.min_by("model", "bic").alias("best"), F.bool_and("converged").alias("converged"))
 
 
 @query()
@@ -202,7 +202,7 @@ def correlation_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"symbol": key[0], **garch.correlations(g.sort_values("trading_date"), key[1])}])
 
-    return j.groupBy("symbol", "kind").applyInPandas(run, "symbol string, model string, k int, nll double, correlation double")
+    return j.groupBy("symbol", "kind").applyInPandas(run, "symbol string, model string, k int, nll double, correlation double, converged boolean")
 
 
 @query()
