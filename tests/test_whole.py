@@ -53,3 +53,33 @@ def test_variance_models_of_a_short_series_settle(spark, sf, monkeypatch):
     assert dict(zip(ensemble.symbol, ensemble.converged)) == three.groupby("symbol").converged.all().to_dict()
     both = QUERIES["correlation_models"](spark, sf).toPandas()
     assert sorted(both.model) == ["CCC", "DCC"] and both.converged.all()
+
+
+def test_every_fitted_expiration_has_jump_wings_and_every_run_a_local_surface(spark, sf):
+    fits = QUERIES["svi_surface"](spark, sf).toPandas()
+    wings = QUERIES["fitted_jump_wings"](spark, sf).toPandas().set_index(["run_id", "dte"])
+    assert len(wings) == len(fits) > 4 and wings.index.is_unique
+    for f in fits.itertuples():
+        root = np.hypot(f.m, f.sigma)
+        w0 = f.a + f.b * (-f.rho * f.m + root)
+        if w0 > 1e-6:
+            x = wings.loc[(f.run_id, f.dte)]
+            assert np.allclose([x.v, x.psi, x.p, x.c], [w0 / (f.dte / 365), f.b * (f.rho - f.m / root) / 2 / np.sqrt(w0), f.b * (1 - f.rho) / np.sqrt(w0), f.b * (1 + f.rho) / np.sqrt(w0)], atol=1e-7)
+    local = QUERIES["fitted_local_volatility"](spark, sf).toPandas()
+    assert set(local.run_id) == set(fits.run_id) and set(local.groupby("run_id").size()) <= {1, 32 * 64}
+
+
+def test_local_volatility_by_cells():
+    rows = np.array(modelled.SURFACE)
+    t, p = rows[:, 0] / 365, rows[:, 1:]
+    got = surface.local_volatility_grid(t[::-1], p[::-1])
+    assert len(got["t"]) == 32 * 64 and (got["flag"] == "ok").any()
+    for c in range(0, 2048, 41):
+        x, y = got["t"][c], got["y"][c]
+        i = max(j for j in range(3) if j == 0 or t[j] < x)
+        w = lambda z, at: (1 - at) * surface.svi(p[i], z) + at * surface.svi(p[i + 1], z)
+        at, h = min(1, max(0, (x - t[i]) / (t[i + 1] - t[i]))), 1e-4
+        v, d1, d2 = w(y, at), (w(y + h, at) - w(y - h, at)) / (2 * h), (w(y + h, at) - 2 * w(y, at) + w(y - h, at)) / h**2
+        n = 1 - y / v * d1 + 0.25 * (-0.25 - 1 / v + y * y / v**2) * d1**2 + d2 / 2
+        want = (w(y, 1) - w(y, 0)) / (t[i + 1] - t[i]) / n
+        assert got["flag"][c] == "ok" and abs(got["local_vol"][c] - np.sqrt(want)) < 1e-5

@@ -45,6 +45,29 @@ def durrleman(p: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (1 - k * d1 / (2 * w)) ** 2 - d1 * d1 / 4 * (1 / w + 0.25) + d2 / 2
 
 
+def local_volatility_grid(t: np.ndarray, p: np.ndarray, rows: int = 32, columns: int = 64, half: float = 0.2) -> dict:
+    """Local volatility and a flag on a grid of years (geometric) and log-moneyness (even), by fitted slices ``p`` at years ``t``.
+
+    Total variance is linear in time between slices; cells without a value tell why.
+    """
+    order = np.argsort(t, kind="stable")
+    t, p = t[order], p[order]
+    years, y = np.geomspace(max(t[0], 7 / 365), max(t[-1], 7 / 365), rows), np.linspace(-half, half, columns)
+    b, rho, m, s = (p[:, i, None] for i in range(1, 5))
+    root = np.sqrt((y - m) ** 2 + s * s)
+    at = np.stack([p[:, :1] + b * (rho * (y - m) + root), b * (rho + (y - m) / root), b * s * s / root**3])
+    i = np.clip(np.searchsorted(t, years) - 1, 0, len(t) - 2)
+    share = np.clip((years - t[i]) / (t[i + 1] - t[i]), 0, 1)[:, None]
+    w, d1, d2 = (1 - share) * at[:, i] + share * at[:, i + 1]
+    slope = (at[0, i + 1] - at[0, i]) / (t[i + 1] - t[i])[:, None]
+    with np.errstate(all="ignore"):
+        n = 1 - y / w * d1 + 0.25 * (-0.25 - 1 / w + y * y / (w * w)) * d1 * d1 + 0.5 * d2
+        v = slope / n
+    flag = np.select([~(w > 0), slope < 0, ~(n > 0), ~(v >= 1e-5)], ["w-nonpos", "calendar-arb", "butterfly-arb", "clipped"], "ok")
+    years, y = np.broadcast_arrays(years[:, None], y)
+    return {"t": years.ravel(), "y": y.ravel(), "local_vol": np.where(flag == "ok", np.sqrt(np.abs(v)), np.nan).ravel(), "flag": flag.ravel()}
+
+
 def density(p: np.ndarray, spot: float, t: float, nodes: int = 401) -> dict:
     """Risk-neutral density from second differences of call prices; clipped and normalised; its mean and quantiles."""
     strikes = spot * np.exp(np.linspace(-0.6, 0.6, nodes))

@@ -27,7 +27,7 @@ def otm_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slices(spark, sf_dir).groupBy("run_id", "dte").agg(F.count("*").alias("n"), F.min("strike").alias("low"), F.max("strike").alias("high"), js_round(F.sum("iv"), 6).alias("sum_iv"))
 
 
-SVI_SCHEMA = "run_id int, dte int, n int, a double, b double, rho double, m double, sigma double, rmse double, butterfly_ok boolean, floor_ok boolean"
+SVI_SCHEMA = "run_id int, dte int, n int, a double, b double, rho double, m double, sigma double, rmse double, butterfly_ok boolean, floor_ok boolean, rmse_iv double"
 
 
 def svi_parameters(q: DataFrame) -> DataFrame:
@@ -38,7 +38,10 @@ def svi_parameters(q: DataFrame) -> DataFrame:
         k, iv = np.log(g["strike"].to_numpy() / g["spot"].to_numpy()), g["iv"].to_numpy()
         d1 = -k / (iv * np.sqrt(t)) + iv * np.sqrt(t) / 2
         fitted = surface.fit_svi(k, iv * iv * t, np.exp(-0.5 * d1 * d1) + 1e-3)
-        return pd.DataFrame([{"run_id": key[0], "dte": key[1], "n": len(g), **fitted}] if fitted else [], columns=["run_id", "dte", "n", "a", "b", "rho", "m", "sigma", "rmse", "butterfly_ok", "floor_ok"])
+        if fitted:
+            w = surface.svi([fitted[x] for x in ("a", "b", "rho", "m", "sigma")], k)
+            fitted["rmse_iv"] = float(np.sqrt(np.mean((np.sqrt(np.maximum(w, 0) / t) - iv) ** 2)))
+        return pd.DataFrame([{"run_id": key[0], "dte": key[1], "n": len(g), **fitted}] if fitted else [], columns=["run_id", "dte", "n", "a", "b", "rho", "m", "sigma", "rmse", "butterfly_ok", "floor_ok", "rmse_iv"])
 
     return q.groupBy("run_id", "dte").applyInPandas(run, SVI_SCHEMA)
 
@@ -46,7 +49,7 @@ def svi_parameters(q: DataFrame) -> DataFrame:
 @query()
 def svi_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smile parameters of every expiration, their error and arbitrage flags."""
-    return svi_parameters(slices(spark, sf_dir))
+    return svi_parameters(slices(spark, sf_dir)).drop("rmse_iv")
 
 
 @query()
@@ -74,13 +77,42 @@ def surface_df(spark: SparkSession) -> DataFrame:
 SELECT dte, {sql_round('w0 / t', 8)} AS v, {sql_round('b / sqrt(w0) / 2 * (-m / sqrt(m * m + s * s) + rho)', 8)} AS psi, {sql_round('b * (1 - rho) / sqrt(w0)', 8)} AS p, {sql_round('b * (1 + rho) / sqrt(w0)', 8)} AS c,
   {sql_round('(a + b * s * sqrt(1 - rho * rho)) / t', 8)} AS v_min, {sql_round('a - 0 + b * s * sqrt(1 - rho * rho) - w0', 8)} AS below FROM x""")
 def svi_jump_wings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smile parameters in the jump-wing form."""
+    """The closed forms on fixed parameters; ``fitted_jump_wings`` has those of every expiration."""
+    return jump_wings(surface_df(spark))
+
+
+def jump_wings(x: DataFrame, *keys: str) -> DataFrame:
+    """Smile parameters (dte, a, b, rho, m, s) in the jump-wing form."""
     w0 = F.col("a") + F.col("b") * (-F.col("rho") * F.col("m") + F.sqrt(F.col("m") * F.col("m") + F.col("s") * F.col("s")))
-    x = surface_df(spark).withColumns({"t": F.col("dte") / F.lit(365.0), "w0": w0})
+    x = x.withColumns({"t": F.col("dte") / F.lit(365.0), "w0": w0})
     low = F.col("a") + F.col("b") * F.col("s") * F.sqrt(1 - F.col("rho") * F.col("rho"))
     wing = lambda sign: F.col("b") * (1 + sign * F.col("rho")) / F.sqrt("w0")
     psi = F.col("b") / F.sqrt("w0") / 2 * (-F.col("m") / F.sqrt(F.col("m") * F.col("m") + F.col("s") * F.col("s")) + F.col("rho"))
-    return x.select("dte", js_round(F.col("w0") / F.col("t"), 8).alias("v"), js_round(psi, 8).alias("psi"), js_round(wing(-1), 8).alias("p"), js_round(wing(1), 8).alias("c"), js_round(low / F.col("t"), 8).alias("v_min"), js_round(low - F.col("w0"), 8).alias("below"))
+    return x.select(*keys, "dte", js_round(F.col("w0") / F.col("t"), 8).alias("v"), js_round(psi, 8).alias("psi"), js_round(wing(-1), 8).alias("p"), js_round(wing(1), 8).alias("c"), js_round(low / F.col("t"), 8).alias("v_min"), js_round(low - F.col("w0"), 8).alias("below"))
+
+
+@query()
+def fitted_jump_wings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jump-wing form of every fitted expiration; null where the variance at the money is not positive."""
+    x = jump_wings(svi_parameters(slices(spark, sf_dir)).withColumnRenamed("sigma", "s"), "run_id")
+    return x.select("run_id", "dte", *(F.when(F.col("v") > 0, F.col(c)).alias(c) for c in ("v", "psi", "p", "c", "v_min", "below")))
+
+
+#: Slices with a larger error of volatility, and runs with fewer slices, have no local-volatility surface.
+MOST_RMSE_IV, LEAST_SLICES = 0.012, 3
+
+
+@query()
+def fitted_local_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local volatility of the fitted surface of every run, on 32 x 64 cells with flags; a run without a surface has one row that says so."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g[g["rmse_iv"] <= MOST_RMSE_IV]
+        if len(g) < LEAST_SLICES:
+            return pd.DataFrame([{"run_id": key[0], "t": np.nan, "y": np.nan, "local_vol": np.nan, "flag": "no-surface"}])
+        return pd.DataFrame({"run_id": key[0], **surface.local_volatility_grid(g["dte"].to_numpy() / 365, g[["a", "b", "rho", "m", "sigma"]].to_numpy())})
+
+    return svi_parameters(slices(spark, sf_dir)).groupBy("run_id").applyInPandas(run, "run_id int, t double, y double, local_vol double, flag string")
 
 
 @query(f"""WITH {SURFACE_SQL}, g AS (SELECT *, k / 4e1 AS k FROM surface, (SELECT unnest(generate_series(-16, 16)) AS k)), y AS (SELECT dte, k_1 AS k, a, b, rho, m, s FROM (SELECT dte, a, b, rho, m, s, g.k_1 FROM (SELECT dte, a, b, rho, m, s, i / 4e1 AS k_1 FROM surface, (SELECT unnest(generate_series(-16, 16)) AS i)) g)),
