@@ -6,6 +6,10 @@ pass of an Aho-Corasick automaton over a document finds every exact piece hit;
 each hit fixes where the whole item would lie, and Myers' bit-parallel distance
 verifies that window. Items come in blocks of bounded size, each its own pass,
 so that the automaton of a task stays small however many items there are.
+
+Items of under ``SHORT`` characters say too little to be matched with edits:
+they have no budget, their one piece is the item itself, and a hit counts where
+whole words of the text make it up.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from pyspark.sql import types as T
 WORD = re.compile(r"\w+")
 #: Characters of normalised items to a block, and so to an automaton.
 BLOCK_CHARS = 4 << 20
-#: Items with fewer characters say too little to incriminate a document.
-MIN_CHARS = 20
+#: Normalised items with fewer characters are matched exactly, at word borders.
+SHORT = 20
+#: First characters of scripts written without spaces (Thai to Khmer, Han, Kana): every place in them is a word border.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 _MATCHERS: dict[int, "Matcher"] = {}
 
@@ -65,13 +71,24 @@ def nearest(window: str, m: int, peq: dict[str, int]) -> tuple[int, int]:
     return best, end
 
 
+def budget(item: str, rate: float) -> int:
+    """Edits that an item may have."""
+    return int(rate * len(item)) if len(item) >= SHORT else 0
+
+
+def stands_alone(text: str, lo: int, hi: int) -> bool:
+    """Are both ends of text[lo:hi] word borders?"""
+    left = lo == 0 or text[lo - 1] == " " or UNSPACED.match(text[lo]) or UNSPACED.match(text[lo - 1])
+    return bool(left and (hi == len(text) or text[hi] == " " or UNSPACED.match(text[hi - 1]) or UNSPACED.match(text[hi])))
+
+
 class Matcher:
     """The automaton of one block of items: (id, normalised text) pairs."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, t, int(rate * len(t)), masks(t)) for i, t in items]
+        self.items = [(i, t, budget(t, rate), masks(t)) for i, t in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for x, (_, t, k, _) in enumerate(self.items):
             c = cuts(len(t), k)
@@ -93,6 +110,12 @@ class Matcher:
                 _, item, k, peq = self.items[x]
                 if x in found and found[x][0] == 0:
                     continue
+                if len(item) < SHORT:
+                    if stands_alone(text, start, at + 1):
+                        found[x] = 0, at + 1
+                        if first_only:
+                            return [(x, 0, at + 1)]
+                    continue
                 seen = tried.setdefault(x, [])
                 if seen and any(abs(start - s) <= k for s in reversed(seen[-8:])):
                     continue  # the window tried there reaches this far
@@ -113,7 +136,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
     held, size = [], 0
     for r in benchmark.select(id_col, text_col).toLocalIterator():
         text = normalise(r[1])
-        if len(text) < MIN_CHARS:
+        if not text:
             continue
         held.append((r[0], text))
         size += len(text)
@@ -136,11 +159,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> Dat
 
     ``distance`` is the least edit distance of the normalised item to a part of
     the normalised text, at most ``rate`` of the item's length; ``end_char`` is
-    where that part first ends. Null and empty texts hold nothing; items under
-    ``MIN_CHARS`` normalised characters are skipped. Repeated rows repeat.
+    where that part first ends. Null and empty texts hold nothing, and null and
+    empty items are nowhere; items of under ``SHORT`` normalised characters are
+    found as whole words without an edit. Texts are read whole, however long.
+    Repeated rows repeat, as do repeated items; null ids are kept. An empty
+    table on either side gives no rows. Other columns are not read.
     """
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_kind}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, distance int, end_char bigint"
+    item_kind = benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {id_kind}, item_id {item_kind}, distance int, end_char bigint"
+    item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
     out = None
     for items in blocks(benchmark, "item_id", "text"):
         key = hash((tuple(items), rate))
@@ -150,7 +178,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> Dat
             for b in batches:
                 rows = [(d, items[x][0], n, end) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x, n, end in m.matches(t)]
                 ids, names, n, ends = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(names), pa.array(n, pa.int32()), pa.array(ends, pa.int64())] if rows else [pa.array([], b.schema.field(0).type), pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int64())], names=["doc_id", "item_id", "distance", "end_char"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(names, item_type), pa.array(n, pa.int32()), pa.array(ends, pa.int64())], names=["doc_id", "item_id", "distance", "end_char"])
 
         found = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = found if out is None else out.unionAll(found)
@@ -158,7 +186,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> Dat
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; no shuffle."""
+    """The rows of ``docs`` that hold no item, with all their columns; no shuffle.
+
+    Rows with a null or empty text hold nothing and stay; an empty benchmark
+    leaves ``docs`` as it is.
+    """
     at = docs.columns.index("text")
     for items in blocks(benchmark, "item_id", "text"):
         key = hash((tuple(items), rate))
