@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import dataclasses
 import html
+import json
 import re
 from collections.abc import Iterator
 
@@ -23,12 +24,11 @@ from pyspark.sql import functions as F
 
 from vegaflow.llm.crf import forward_backward, viterbi
 
-#: Elements whose content is never text of the page.
-SKIPPED = "script|style|title|textarea|iframe|template|svg|select|button|noscript|object|canvas"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is raw text: no tag counts in them but their own end. Those of the second kind end with the page.
+RAW, RAW_TO_END = frozenset("script style title textarea iframe xmp".split()), frozenset(("script", "style"))
+#: Ordinary elements whose content is not text of the page.
+HIDDEN = frozenset("template svg select button noscript object canvas audio video".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S | re.I)
 #: Elements that run inside a line of text and do not part blocks.
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +38,8 @@ NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 NAME_WORD = re.compile(r"[a-z]+")
 
 OTHER, ARTICLE = 0, 1
-MAX_PAGES, MAX_PAGE_CHARS = 200, 200_000
+#: Bounds of what is learnt from the input: pages, about, and blocks of each, which lie anywhere in it.
+MAX_PAGES, MAX_RUN = 200, 200
 
 
 @dataclasses.dataclass
@@ -49,14 +50,73 @@ class Block:
     linked: int
 
 
+@dataclasses.dataclass(slots=True)
+class Tag:
+    """A tag of a page: where it starts and where text goes on behind it, and the place of its end tag if it has one."""
+
+    start: int
+    after: int
+    name: str
+    closing: bool
+    attributes: str
+    end: int | None = None
+
+
+def tags_of(page: str) -> list[Tag]:
+    """Tags in page order (a comment is one without a name); raw elements are one tag with all they hold.
+
+    A raw element without an end tag holds nothing, but for scripts and styles,
+    which run to the end of the page; a self-closed one holds nothing either.
+    """
+    out: list[Tag] = []
+    endless: set[str] = set()
+    at = 0
+    while m := TOKEN.search(page, at):
+        at, name, attributes = m.end(), (m[2] or "").lower(), m[3] or ""
+        if name in RAW:
+            if not m[1] and not attributes.endswith("/"):
+                end = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(name)
+                    at = len(page) if name in RAW_TO_END else at
+            name = ""
+        out.append(Tag(m.start(), at, name, bool(m[1]), attributes))
+    return out
+
+
+def pair(tags: list[Tag]) -> None:
+    """Sets the end of hidden elements whose end tag comes before that of an element around them."""
+    stack: list[Tag] = []
+    for i, t in enumerate(tags):
+        if not t.name or (t.name in INLINE and t.name not in HIDDEN) or t.name in VOID:
+            continue
+        if not t.closing:
+            if not t.attributes.endswith("/"):
+                stack.append(t)
+            continue
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k].name == t.name:
+                stack[k].end = i if t.name in HIDDEN else None
+                del stack[k:]
+                break
+
+
 def blocks_of(page: str | None) -> list[Block]:
-    """Leaf blocks with text, in page order; white space is one space, references are decoded."""
+    """Leaf blocks with text, in page order; white space is one space, references are decoded.
+
+    Hidden elements are left out. One that is never closed hides only the text up
+    to the next block, so that a forgotten end tag cannot swallow an article.
+    """
     if not page:
         return []
+    tags = tags_of(page)
+    pair(tags)
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     held: list[str] = []
-    links, linked = 0, 0
+    links, linked, muted = 0, 0, False
 
     def end_block() -> None:
         nonlocal linked
@@ -68,38 +128,46 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def text_of(piece: str) -> None:
         nonlocal linked
-        if piece:
+        if piece and not muted:
             piece = html.unescape(piece)
             held.append(piece)
             if links:
                 linked += len(piece.strip())
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        text_of(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+    at = i = 0
+    while i < len(tags):
+        t = tags[i]
+        text_of(page[at : t.start])
+        at, i = t.after, i + 1
+        if t.name in HIDDEN:
+            if t.end is not None:
+                at, i = tags[t.end].after, t.end + 1
+            else:
+                muted = not t.closing and not t.attributes.endswith("/")
+            continue
+        if not t.name:
             continue
-        if tag in INLINE:
-            if tag == "a":
-                links = 0 if m[2] else 1
-            elif tag == "br":
+        if t.name in INLINE:
+            if t.name == "a":
+                links = 0 if t.closing else 1
+            elif t.name == "br":
                 held.append(" ")
             continue
+        if muted and t.name in ("option", "optgroup", "param", "source", "track", "path", "g"):
+            continue
         end_block()
-        links = 0
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+        links, muted = 0, False
+        if t.closing:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == t.name:
+                    del stack[k:]
                     break
             continue
-        if stack and (stack[-1][0] == "p" or tag in CLOSED_BY.get(stack[-1][0], ())):
+        if stack and (stack[-1][0] == "p" or t.name in CLOSED_BY.get(stack[-1][0], ())):
             stack.pop()
-        if tag not in VOID and not m[4].endswith("/"):
-            names = frozenset(w for g in NAMES.findall(m[4]) for w in NAME_WORD.findall("".join(g).lower()))
-            stack.append((tag, names))
+        if t.name not in VOID and not t.attributes.endswith("/"):
+            names = frozenset(w for g in NAMES.findall(t.attributes) for w in NAME_WORD.findall("".join(g).lower()))
+            stack.append((t.name, names))
     text_of(page[at:])
     end_block()
     return out
@@ -145,10 +213,10 @@ class BlockModel:
         return "\n\n".join(b.text for b, s in zip(blocks, self.states(blocks), strict=True) if s == ARTICLE)
 
 
-def fit(pages: list[tuple[list[Block], list[int]]], rounds: int = 150, rate: float = 0.1, l2: float = 1e-4) -> BlockModel:
-    """Maximum conditional likelihood by Adam over all labelled pages."""
-    pages = [(b, y) for b, y in pages if b]
-    feats = [features_of(b) for b, _ in pages]
+def fit(pages: list[tuple[list[set[str]], list[int]]], rounds: int = 150, rate: float = 0.1, l2: float = 1e-4) -> BlockModel:
+    """Maximum conditional likelihood by Adam over all labelled pages: features and label of each block."""
+    pages = [(f, y) for f, y in pages if f]
+    feats = [f for f, _ in pages]
     index: dict[str, int] = {}
     for fs in feats:
         for f in fs:
@@ -248,18 +316,42 @@ def self_labelled(page: str) -> tuple[list[Block], list[int]] | None:
     return (blocks, labels) if any(labels) else None
 
 
+def featured(labelled: tuple[list[Block], list[int]]) -> tuple[list[set[str]], list[int]]:
+    blocks, labels = labelled
+    return features_of(blocks), labels
+
+
 def train(pages: DataFrame) -> BlockModel:
-    """From built pages and a bounded sample, by hash of the id, of the input."""
+    """From built pages and a bounded sample, by hash of the id, of the input.
+
+    Of a page of the sample, a run of at most ``MAX_RUN`` blocks counts, with
+    the features that they have in the whole page; the hash says where it starts.
+    """
     n = pages.count()
-    share = F.lit(min(1 << 32, int((1 << 32) * MAX_PAGES / max(1, n))))
-    rows = pages.where(F.col("html").isNotNull() & (F.length("html") < MAX_PAGE_CHARS) & (F.pmod(F.xxhash64(F.lit(31), "page_id"), F.lit(1 << 32)) < share)).select("html").toLocalIterator()
-    own = [x for r in rows if (x := self_labelled(r["html"]))][: 2 * MAX_PAGES]
-    own = [(b[:200], y[:200]) for b, y in own]
-    return fit(built_pages(700) + own)
+    draw = F.pmod(F.xxhash64(F.lit(31), "page_id"), F.lit(1 << 32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for page, place in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own := self_labelled(page):
+                    feats, labels = featured(own)
+                    lo = place % max(1, len(labels) - MAX_RUN + 1)
+                    out.append(json.dumps([[sorted(f) for f in feats[lo : lo + MAX_RUN]], labels[lo : lo + MAX_RUN]]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["run"])
+
+    drawn = pages.where(F.col("html").isNotNull() & (draw < F.lit(min(1 << 32, int((1 << 32) * MAX_PAGES / max(1, n))))))
+    rows = drawn.select("html", F.pmod(F.xxhash64(F.lit(37), "page_id"), F.lit(1 << 31)).alias("place")).mapInArrow(run, "run string").collect()
+    own = [([set(f) for f in feats], labels) for feats, labels in (json.loads(r["run"]) for r in rows)]
+    return fit([featured(x) for x in built_pages(700)] + own)
 
 
 def main_text(pages: DataFrame, model: BlockModel | None = None) -> DataFrame:
-    """page_id, url, text, n_chars for every row; null, empty and textless pages give an empty text."""
+    """page_id, url, text, n_chars for every row; null, empty and textless pages give an empty text.
+
+    Pages are read whole, however long. Null ids and urls are kept, repeated rows
+    repeat, an empty table gives no rows, and other columns are not read.
+    """
     model = model or train(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
