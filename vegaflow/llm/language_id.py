@@ -30,8 +30,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 CHAIN = 64
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 17
-#: Bounds on what the driver learns from: texts and words of each language.
-MAX_TEXTS, MAX_WORDS = 400, 12_000
+#: Bounds on what is learnt from: texts of each language, about, and chains of each text, spread over all of it.
+MAX_TEXTS, MAX_CHAINS = 100, 4
 #: Distinct words whose scores a task holds; beyond it, the table starts anew.
 HELD_WORDS = 250_000
 CHUNK_BYTES = 2 << 20
@@ -41,7 +41,19 @@ U = np.uint64
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Lower-case runs of letters; digits of any script (² or Ⅷ too) part words as marks do."""
+    words = LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
+def chains_over(words: list[str]) -> list[str]:
+    """At most ``MAX_CHAINS`` chains of words from the beginning to the end of a text, at equal distances."""
+    if len(words) <= MAX_CHAINS * CHAIN:
+        return words
+    step = (len(words) - CHAIN) / (MAX_CHAINS - 1)
+    return [w for i in range(MAX_CHAINS) for w in words[int(i * step) : int(i * step) + CHAIN]]
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,19 +162,22 @@ def fit(texts: dict[str, list[list[str]]], rounds: int = 50, rate: float = 0.15,
 
 
 def training_words(docs: DataFrame) -> dict[str, list[list[str]]]:
-    """Words of a bounded sample, by hash of the id, of each language's learning rows."""
+    """Words of a bounded sample, by hash of the id, of each language's learning rows; cut to chains in the tasks."""
     learn = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
     if not counts:
         return {}
     share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 32, int((1 << 32) * MAX_TEXTS / n)))))
-    chosen = learn.where((F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 32)) < share[F.col("lang")]) & (F.octet_length("text") < 1 << 20))
+    chosen = learn.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 32)) < share[F.col("lang")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [chains_over(words_of(t)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), b.column(1)], names=["words", "lang"])
+
     out: dict[str, list[list[str]]] = {lang: [] for lang in counts}
-    room = dict.fromkeys(counts, MAX_WORDS)
-    for r in chosen.select("text", "lang").toLocalIterator():
-        words = words_of(r["text"])[: max(0, min(room[r["lang"]], 4 * CHAIN))]
-        room[r["lang"]] -= len(words)
-        out[r["lang"]].append(words)
+    for r in chosen.select("text", "lang").mapInArrow(run, "words array<string>, lang string").collect():
+        out[r["lang"]].append(r["words"])
     return out
 
 
@@ -222,5 +237,12 @@ def identify(docs: DataFrame, model: ChainModel) -> DataFrame:
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """Fit on the learning rows of ``docs`` and label every row; language and id are no inputs of a label."""
+    """Fit on the learning rows of ``docs`` and label every row; language and id are no inputs of a label.
+
+    Whole texts are labelled, however long. Null and empty texts and those
+    without a letter are ``und`` with score 0, and so is all if no row can be
+    learnt from. Rows with a null id or language are labelled and never learnt
+    from; repeated rows repeat; ties go to the first language by name. An empty
+    table gives no rows; other columns are not read.
+    """
     return identify(docs, fit(training_words(docs)))
