@@ -30,8 +30,8 @@ from vegaflow.llm.common import held_out, text_slices
 
 #: Words are runs of letters, digits or underscores, lower-cased.
 WORD = re.compile(r"\w+")
-#: Bounds on what the driver learns from: documents of each kind, and characters of all texts of a kind.
-MAX_POSITIVES, MAX_UNLABELLED, MAX_BYTES = 2_000, 8_000, 64 << 20
+#: Bounds on what the driver learns from: documents of each kind, about, by their distinct words.
+MAX_POSITIVES, MAX_UNLABELLED = 2_000, 8_000
 #: Class prior of toxic text if the labels give none.
 DEFAULT_PRIOR = 0.05
 CHUNK_BYTES = 4 << 20
@@ -56,7 +56,7 @@ class ToxicModel:
         z = self.bias
         if text:
             index, w = self.vocabulary, self.weights
-            for word in features(set(WORD.findall(text.lower()))) & index.keys():
+            for word in features(words_of(text)) & index.keys():
                 z += w[index[word]]
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
@@ -99,18 +99,21 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, epochs: int = 8
     return theta[:-1], float(theta[-1])
 
 
-def without_copies(texts: Iterable[str]) -> Iterator[set[str]]:
-    """Feature sets of the texts, one of each group of copies.
+def words_of(text: str | None) -> set[str]:
+    return set(WORD.findall(text.lower())) if text else set()
+
+
+def without_copies(texts: Iterable[set[str]]) -> Iterator[set[str]]:
+    """Feature sets of the texts, given by their words, one of each group of copies.
 
     A group is told by its two smallest word hashes (of words over seven
     letters, which are rarely shared by chance), so that a copied passage does
     not count as independent evidence.
     """
     seen = set()
-    for t in texts:
-        words = set(WORD.findall(t.lower()))
+    for words in texts:
         least = sorted(zlib.crc32(w.encode()) for w in words if len(w) > 7)[:2]
-        key = tuple(least) if len(least) == 2 else hash(t)
+        key = tuple(least) if len(least) == 2 else tuple(sorted(words))
         if key not in seen:
             seen.add(key)
             yield features(words)
@@ -123,8 +126,8 @@ def matrix(docs: list[np.ndarray], columns: dict[int, int]) -> np.ndarray:
     return out
 
 
-def fit(positive: Iterable[str], unlabelled: Iterable[str], prior: float, size: int = 512, least: int = 5) -> ToxicModel:
-    """A model from texts, each read once. Without positives every score is the prior.
+def fit(positive: Iterable[set[str]], unlabelled: Iterable[set[str]], prior: float, size: int = 512, least: int = 5) -> ToxicModel:
+    """A model from the word sets of texts, each read once. Without positives every score is the prior.
 
     Only features of enough positives are held for the unlabelled texts.
     """
@@ -143,32 +146,32 @@ def fit(positive: Iterable[str], unlabelled: Iterable[str], prior: float, size:
     return ToxicModel({f: k for k, f in enumerate(chosen)}, w, b)
 
 
-def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[Iterator[str], Iterator[str], float]:
-    """(positives, unlabelled, prior) of the learning rows; the texts are bounded samples by a hash of the id.
+def training_words(docs: DataFrame, labels: DataFrame) -> tuple[Iterator[set[str]], Iterator[set[str]], float]:
+    """(positives, unlabelled, prior) of the learning rows: word sets of whole texts, bounded samples by a hash of the id.
 
     The unlabelled texts are drawn from all learning rows, whatever their label,
     so that toxic text has its prior share among them. The labelled rows' toxic
-    share is that prior.
-    Text beyond the bounds is left out of the fit only; every row is scored.
+    share is that prior. Words are taken in the tasks; the driver holds distinct
+    ones of each text.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     learn = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
     known = learn.select("doc_id").join(marks, "doc_id").agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("t")).first()
     n, toxic, total = known["n"], known["t"] or 0, learn.count()
     prior = toxic / n if toxic else DEFAULT_PRIOR
-    readable = learn.where(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES // 256))
+    readable = learn.where(F.col("text").isNotNull())
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 32))
 
-    def texts(wanted: int, most: int, there: int) -> Iterator[str]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(words_of(t)) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["words"])
+
+    def texts(wanted: int, most: int, there: int) -> Iterator[set[str]]:
         share = F.lit(min(1 << 32, int((1 << 32) * most / max(1, there))))
         confirmed = marks.where("toxic = 1").select("doc_id")
-        room = MAX_BYTES
         rows = readable.where(draw < share)
-        for r in (rows.join(confirmed, "doc_id", "left_semi") if wanted else rows).select("text").toLocalIterator():
-            room -= len(r["text"])
-            if room < 0:
-                return
-            yield r["text"]
+        for r in (rows.join(confirmed, "doc_id", "left_semi") if wanted else rows).select("text").mapInArrow(distinct, "words array<string>").toLocalIterator():
+            yield set(r["words"])
 
     return texts(1, MAX_POSITIVES, toxic), texts(0, MAX_UNLABELLED, total), prior
 
@@ -188,15 +191,18 @@ def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.7)
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Fit on the learning rows of ``labels`` and score every row of ``docs``.
 
-    Labels, language, source and id are not inputs of a score. Rows with a null
-    id are scored and never learnt from; repeated rows are scored each.
+    Labels, language, source and id are not inputs of a score. Whole texts are
+    scored, however long; null and empty ones as texts without words. Rows with a
+    null id are scored and never learnt from; repeated rows are scored each. Of
+    several labels of an id the toxic one counts; null ones do not. Without
+    toxic learning rows every score is the prior; an empty table gives no rows.
     """
-    return score_documents(docs, fit(*training_texts(docs, labels)), threshold)
+    return score_documents(docs, fit(*training_words(docs, labels)), threshold)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, with all their columns; no shuffle."""
-    model, at = fit(*training_texts(docs, labels)), docs.columns.index("text")
+    model, at = fit(*training_words(docs, labels)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in text_slices(whole, at, CHUNK_BYTES)):
