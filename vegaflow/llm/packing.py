@@ -203,10 +203,10 @@ def tail_pieces(plan: dict, window: int, length: int, rank: int) -> list[tuple[i
 
 
 def tokenized(docs: DataFrame, encoder: tuple, end_id: int, window: int) -> DataFrame:
-    """doc_id, doc_tokens, crcs of the whole windows, tail length, tail ids as bytes."""
+    """doc_id, doc_tokens, crcs of the whole windows, tail length, tail ids as bytes, number of the row in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder.of(*encoder).ids
+        encode, seen = Encoder.of(*encoder).ids, 0
         for b in batches:
             tokens, crcs, tails, bodies = [], [], [], []
             for text in b.column(1).to_pylist():
@@ -216,24 +216,28 @@ def tokenized(docs: DataFrame, encoder: tuple, end_id: int, window: int) -> Data
                 crcs.append([crc32_u32(ids[i : i + window]) for i in range(0, whole, window)])
                 tails.append(len(ids) - whole)
                 bodies.append(ids[whole:].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.int32()), pa.array(bodies, pa.binary())], names=["doc_id", "doc_tokens", "crcs", "tail", "body"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.int32()), pa.array(bodies, pa.binary()), pa.array(np.arange(seen, seen + b.num_rows))], names=["doc_id", "doc_tokens", "crcs", "tail", "body", "nth"])
+            seen += b.num_rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, doc_tokens bigint, crcs array<bigint>, tail int, body binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, doc_tokens bigint, crcs array<bigint>, tail int, body binary, nth bigint")
 
 
 def pack(spark: SparkSession, docs: DataFrame, encoder: tuple, window: int = 1024, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``encoder`` is (json path, ranks path or None, split pattern or None). A null
-    or empty text is the end id alone. Each row is its own document, repeated
-    and null ids included. An empty table gives no pieces.
+    or empty text is the end id alone; a text of any length is encoded whole and
+    cut into as many windows as it fills. Each row is its own document, repeated
+    and null ids included. An empty table gives no pieces; other columns are not
+    read.
     """
     work = Workspace(spark, "packing")
     rows = work.save(tokenized(docs, encoder, end_id, window), "rows")
     n = rows.count()
     buckets = max(16, -(-n // BUCKET_ROWS))
-    bucket = F.pmod(F.xxhash64("doc_id", "doc_tokens", F.crc32("body")), F.lit(buckets)).cast("int")
+    # equal rows differ in their number, so that many of them are dealt over the buckets
+    bucket = F.pmod(F.xxhash64("doc_id", "doc_tokens", F.crc32("body"), "nth"), F.lit(buckets)).cast("int")
     keyed = rows.withColumn("bucket", bucket)
     # ranks within a length: counts of earlier buckets plus the place in the own bucket
     cells = keyed.groupBy("tail", "bucket").agg(F.count("*").alias("n"), F.sum(F.size("crcs")).alias("windows"))
@@ -257,7 +261,7 @@ def pack(spark: SparkSession, docs: DataFrame, encoder: tuple, window: int = 102
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"),
         F.coalesce(F.sum("windows").over(before), F.lit(0)).alias("window0"),
     )
-    own = Window.partitionBy("tail", "bucket").orderBy("doc_id", "doc_tokens", F.crc32("body"))
+    own = Window.partitionBy("tail", "bucket").orderBy("doc_id", "doc_tokens", F.crc32("body"), "nth")
     placed = (
         keyed.withColumn("_row", F.row_number().over(own) - 1)
         .withColumn("_windows", F.coalesce(F.sum(F.size("crcs")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
