@@ -1,13 +1,15 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 A bounded sample of vectors serves as reference points. Every vector is
-described by the ordered list of its nearest ones. Inverted lists hold the
-vectors under every set of ``shared`` pivots among their nearest: two vectors
-meet in a list exactly if at least so many of their nearest pivots agree. Pairs
-that meet are verified by cosine in double precision.
+described by its permutation: the list of its nearest pivots from nearest to
+farthest. Inverted lists hold the vectors under every two pivots of that list of
+which one is among the first ``HEAD``; a pivot far down the list says little
+about where a vector lies, so two of those make no list. Two vectors are
+candidates if they share such a pair, whatever the number of vectors. Candidates
+are verified by cosine in double precision.
 
 Equal vectors form a class and only one of each goes on. A pair is looked at in
-one list only, that of its least shared pivots, so counts need no distinct; a
+one list only, that of the least key both are in, so counts need no distinct; a
 list is cut into blocks of bounded size, whose tasks give sums of links per
 vector and a spanning forest of them, never the pairs.
 """
@@ -21,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vegaflow.llm.common import Workspace, mix64
@@ -29,8 +31,8 @@ from vegaflow.llm.components import components
 
 #: Reference points (a bounded sample, by hash of the id) and nearest ones that describe a vector.
 PIVOTS, NEAREST = 512, 8
-#: Shared pivots that make a list, whatever the number of vectors, so that a pair's chance to meet is the same in every table; vectors to a block.
-SHARED, BLOCK = 2, 512
+#: Places of the permutation of which a list needs one; vectors to a block. Neither depends on the number of vectors, so a pair's chance to meet is the same in every table.
+HEAD, BLOCK = 5, 1024
 CHUNK_ROWS = 4096
 
 
@@ -64,11 +66,6 @@ def readable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(id_col, vec_col).where(F.col(id_col).isNotNull()).mapInArrow(run, f"id {kind}, dim int, body binary, f1 bigint, f2 bigint")
 
 
-def shared_pivots(near: np.ndarray) -> int:
-    """Number of shared pivots that make a list, by the width of the marks of one dimension."""
-    return min(SHARED, near.shape[1])
-
-
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
     """(n, m) pivot numbers from nearest to farthest; ties by number."""
     sims = x @ pivots.T
@@ -78,16 +75,18 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
     return np.take_along_axis(top, order, 1)
 
 
-def list_key(dim: int, members: np.ndarray) -> np.ndarray:
-    """64-bit key of each row of pivot numbers in ascending order."""
-    key = np.full(len(members), dim + 1, np.uint64)
-    for c in range(members.shape[1]):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + members[:, c].astype(np.uint64) + np.uint64(1))
-    return key.view("i8")
+def list_keys(dims: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """(n, lists) 64-bit keys of the lists that permutations (rows of ``near``) are in; one of all where there is a single mark."""
+    m = near.shape[1]
+    places = [(i, j) for i, j in itertools.combinations(range(m), 2) if i < HEAD] if m > 1 else [(0, 0)]
+    i, j = np.array(places).T
+    lo, hi = np.minimum(near[:, i], near[:, j]).astype(np.uint64), np.maximum(near[:, i], near[:, j]).astype(np.uint64)
+    key = mix64((dims.astype(np.uint64) + np.uint64(1))[:, None] * np.uint64(0x9E3779B97F4A7C15) + lo + np.uint64(1))
+    return mix64(key * np.uint64(0x9E3779B97F4A7C15) + hi + np.uint64(1)).view("i8")
 
 
 def posted(reps: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """id, n, body, near (sorted pivot numbers as bytes), keys (of the inverted lists that the vector is in).
+    """id, n, body, near (pivot numbers from nearest to farthest, as bytes), keys (of the inverted lists that the vector is in).
 
     A dimension with fewer vectors than pivots is one list, where all of them meet.
     """
@@ -101,11 +100,10 @@ def posted(reps: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     at = np.flatnonzero(dims == dim)
                     own = b.take(pa.array(at))
                     x = np.frombuffer(b"".join(own.column(3).to_pylist()), "f8").reshape(len(at), dim)
-                    near = np.sort(nearest_pivots(unit(x), pivots[dim], NEAREST), axis=1).astype("<i2") if len(pivots[dim]) == PIVOTS else np.zeros((len(at), 1), "<i2")
-                    sets = list(itertools.combinations(range(near.shape[1]), shared_pivots(near)))
-                    keys = np.stack([list_key(dim, near[:, s]) for s in sets], axis=1)
+                    near = nearest_pivots(unit(x), pivots[dim], NEAREST).astype("<i2") if len(pivots[dim]) == PIVOTS else np.zeros((len(at), 1), "<i2")
+                    keys = list_keys(dims[at], near)
                     marks = pa.array([r.tobytes() for r in near], pa.binary())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(sets), pa.int32()), pa.array(keys.ravel()))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
                     yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(3), marks, lists], names=["id", "n", "body", "near", "keys"])
 
     kind = reps.schema["id"].dataType.simpleString()
@@ -114,10 +112,10 @@ def posted(reps: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
 def list_links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     """For the lists of one group: (a, b, n) where b null says that a has links to n vectors, and else a-b is of a spanning forest."""
-    rows = rows.sort_values(["key", "id"], kind="stable")
-    keys = rows["key"].to_numpy()
+    rows = rows.sort_values(["key", "mine", "id"], kind="stable")
+    keys, mine = rows["key"].to_numpy(), rows["mine"].to_numpy()
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    ids, n, mine = (rows[c].to_numpy() for c in ("id", "n", "mine"))
+    ids, n = rows["id"].to_numpy(), rows["n"].to_numpy()
     i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
     bodies, nears = rows["body"].to_numpy(), rows["near"].to_numpy()
     links: dict[int, int] = {}
@@ -133,29 +131,29 @@ def list_links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
         if hi - lo < 2:
             continue
         x = unit(np.frombuffer(b"".join(bodies[lo:hi]), "f8").reshape(hi - lo, -1))
-        near = np.frombuffer(b"".join(nears[lo:hi]), "<i2").reshape(hi - lo, -1)
-        shared = shared_pivots(near)
-        p, q = np.nonzero(np.triu(x @ x.T >= least, 1))
-        if i != j:
-            cross = mine[lo + p] != mine[lo + q]
-            p, q = p[cross], q[cross]
+        if i == j:
+            p, q = np.nonzero(np.triu(x @ x.T >= least, 1))
+        else:  # the rows of block i, then those of block j
+            cut = int(np.searchsorted(mine[lo:hi], j))
+            p, q = np.nonzero(x[:cut] @ x[cut:].T >= least)
+            q = q + cut
         if not len(p):
             continue
-        # a pair counts in the list of its least shared pivots only
-        common = (near[p][:, :, None] == near[q][:, None, :]).any(axis=2)
-        first = common & (np.cumsum(common, axis=1) <= shared)
-        whole = first.sum(axis=1) == shared
-        p, q, first = p[whole], q[whole], first[whole]
-        dim = x.shape[1]
-        own = list_key(dim, near[p][first].reshape(len(p), shared)) == keys[lo] if len(p) else np.zeros(0, bool)
-        for a, b in zip(p[own] + lo, q[own] + lo, strict=True):
-            u, v = int(ids[a]), int(ids[b])
-            links[u] = links.get(u, 0) + int(n[b])
-            links[v] = links.get(v, 0) + int(n[a])
-            ru, rv = root(u), root(v)
-            if ru != rv:
-                up[max(ru, rv)] = min(ru, rv)
-                forest.append((min(u, v), max(u, v)))
+        # a pair counts in the list of the least key that both are in
+        near = np.frombuffer(b"".join(nears[lo:hi]), "<i2").reshape(hi - lo, -1)
+        own = list_keys(np.full(hi - lo, x.shape[1]), near)
+        for a in range(0, len(p), CHUNK_ROWS):
+            u, v = p[a : a + CHUNK_ROWS], q[a : a + CHUNK_ROWS]
+            both = (own[u][:, :, None] == own[v][:, None, :]).any(axis=2)
+            here = np.where(both, own[u], np.iinfo(np.int64).max).min(axis=1) == keys[lo]
+            for k, m in zip((u[here] + lo).tolist(), (v[here] + lo).tolist(), strict=True):
+                s, t = int(ids[k]), int(ids[m])
+                links[s] = links.get(s, 0) + int(n[m])
+                links[t] = links.get(t, 0) + int(n[k])
+                rs, rt = root(s), root(t)
+                if rs != rt:
+                    up[max(rs, rt)] = min(rs, rt)
+                    forest.append((min(s, t), max(s, t)))
     a = list(links) + [x for x, _ in forest]
     b = [None] * len(links) + [y for _, y in forest]
     return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "n": pd.array([*links.values(), *[0] * len(forest)], "Int64")})
@@ -165,21 +163,27 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, i
     """One row per row of ``vectors``: id, n_links, component_id, kept.
 
     Vectors of different length are never linked; null, zero and broken ones
-    with nothing. Ids are taken as unique; a row with a null id is linked with
-    nothing, has a null component and is kept. Other columns are not read.
+    with nothing. An id stands for one vector: where rows that share it hold
+    different ones, the one of the least fingerprint counts and all its rows get
+    that answer. A row with a null id is linked with nothing, has a null
+    component and is kept. An empty table gives no rows; other columns are not
+    read.
     """
     work = Workspace(spark, "pivots")
-    able = work.save(readable(vectors, id_col, vec_col), "able")
-    classes = able.groupBy("f1", "f2", "dim").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    able = work.save(readable(vectors, id_col, vec_col), "read")
+    least_mark = work.save(able.groupBy("id").agg(F.min("f1").alias("f1")), "marks")
+    able = work.save(able.join(least_mark, ["id", "f1"], "left_semi").dropDuplicates(["id"]), "able")
+    # written before it is joined: a class that holds a large share of the rows is then split over tasks
+    classes = work.save(able.groupBy("f1", "f2", "dim").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     members = work.save(able.select("id", "f1", "f2", "dim").join(classes, ["f1", "f2", "dim"]).select("id", "rep", "n"), "members")
-    reps = able.join(members.where("id = rep").select("id", "n").dropDuplicates(["id"]), "id").dropDuplicates(["id"]).select("id", "n", "dim", "body")
+    reps = able.join(members.where("id = rep").select("id", "n"), "id").select("id", "n", "dim", "body")
     reps = work.save(reps, "reps")
-    sizes = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().collect()}
-    pivots = {}
-    for dim in sizes:
-        sample = reps.where(F.col("dim") == dim).orderBy(F.xxhash64(F.lit(5), "id"), "id").select("body").limit(PIVOTS).collect()
-        pivots[dim] = unit(np.frombuffer(b"".join(bytes(r["body"]) for r in sample), "f8").reshape(len(sample), dim))
-    if not sizes:
+    drawn = Window.partitionBy("dim").orderBy(F.xxhash64(F.lit(5), "id"), "id")
+    sample: dict[int, list[bytes]] = {}
+    for r in reps.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= PIVOTS).select("dim", "place", "body").collect():
+        sample.setdefault(r["dim"], []).append((r["place"], bytes(r["body"])))
+    pivots = {dim: unit(np.frombuffer(b"".join(x for _, x in sorted(own)), "f8").reshape(len(own), dim)) for dim, own in sample.items()}
+    if not pivots:
         empty = vectors.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
         return empty
     described = work.save(posted(reps, pivots), "described")
@@ -198,5 +202,5 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, i
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     linked = components(work, found.where("b is not null").select("a", "b"), "parts").toDF("rep", "component")
     known = members.join(links, "rep", "left").join(linked, "rep", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = vectors.select(F.col(id_col).alias("id")).join(known.dropDuplicates(["id"]), "id", "left")
+    out = vectors.select(F.col(id_col).alias("id")).join(known, "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
