@@ -17,7 +17,7 @@ from vegaflow.llm.pivot_index import near_vectors
 from vegaflow.llm.suffix_dedup import remove_repeats
 from vegaflow.llm.token_counts import count_tokens
 from vegaflow.llm.toxicity import toxicity
-from vegaflow.llm.url_filter import DEFAULT_WORDS, filter_urls
+from vegaflow.llm.url_filter import DEFAULT_RULES, filter_urls, host_rule, rule_table
 
 #: Fixed values of the URL query: (verdict, rule).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -52,7 +52,8 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    rules = [host_rule(action, rule) for action, rule in URL_RULES]
+    return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, [*rules, *DEFAULT_RULES]))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return count_tokens(spark, table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +98,7 @@ WITH cut AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '(^|[.-])({"|".join("-?".join(w) for w in DEFAULT_WORDS)})([.-]|$)') THEN 'block'
+    WHEN regexp_matches(host, '(^|[.-])({"|".join(r.name for r in DEFAULT_RULES)})([.-]|$)') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
 """

@@ -1,10 +1,11 @@
 """URL rules indexed by their rarest literal token, in DataFrame functions only.
 
 Every rule names the literal tokens that any URL it fits must hold as whole
-tokens. A rule is filed under the one that is rarest among the URLs; the tokens
-of a URL fetch the rules filed under them, and only those run their pattern.
-The index is a literal map in the projection, in parts of at most ``PART``
-rules, so any number of rules needs neither a join nor a shuffle.
+tokens. The index is a table: each rule is filed under the one of its tokens that
+is rarest among the URLs. The tokens of a URL are joined to it and so fetch the
+candidate rules; only those run their regular expression, and the best one that
+fits is kept. Any number of rules is one table; Spark broadcasts it while its
+written size is under the session's threshold and shuffles by token beyond.
 """
 
 from __future__ import annotations
@@ -12,25 +13,33 @@ from __future__ import annotations
 import dataclasses
 import re
 import string
-from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PART = 500
+from vegaflow.llm.common import Workspace
+
 TOKEN_SPLIT = "[^a-z0-9]+"
+RULE_SCHEMA = "rank int, name string, action string, pattern string, tokens array<string>"
 
 
 @dataclasses.dataclass(frozen=True)
 class UrlRule:
-    """``pattern`` runs on host + path. ``tokens`` are whole lower-case tokens it implies. Higher ``rank`` wins."""
+    """``pattern`` runs on host + path. ``tokens`` are whole lower-case tokens it implies. Higher ``rank`` wins; at rank 0 a rule gives a verdict and no name."""
 
+    rank: int
     name: str
     action: str
     pattern: str
     tokens: tuple[str, ...]
-    rank: int
-    listed: bool
+
+
+def quoted(text: str) -> str:
+    return re.sub(r"([^A-Za-z0-9/_ ])", r"\\\1", text)
+
+
+def tokens_in(text: str) -> list[str]:
+    return [t for t in re.split(TOKEN_SPLIT, text.lower()) if t]
 
 
 def host_rule(action: str, rule: str) -> UrlRule:
@@ -38,22 +47,27 @@ def host_rule(action: str, rule: str) -> UrlRule:
     host, slash, path = rule.partition("/")
     path = slash + path
     whole = re.split(TOKEN_SPLIT, path.lower())[:-1]  # the last may go on in the URL
-    tokens = [t for t in re.split(TOKEN_SPLIT, host.lower()) if t] + [t for t in whole if t]
-    return UrlRule(rule, action, rf"^(?:[^/]*\.)?{quoted(host)}{quoted(path)}" if path else rf"^(?:[^/]*\.)?{quoted(host)}(?:/|\z)", tuple(tokens), len(rule), True)
+    behind = quoted(path) if path else r"(?:/|\z)"
+    return UrlRule(len(rule), rule, action, rf"^(?:[^/]*\.)?{quoted(host)}{behind}", tuple(tokens_in(host) + [t for t in whole if t]))
 
 
 def word_rule(action: str, *words: str) -> UrlRule:
-    """A host with these words side by side between dots, hyphens or its ends."""
+    """A host with these words side by side between dots, hyphens or its ends; joined words are a token of their own, so such a rule of several has none."""
     body = "-?".join(map(quoted, words))
-    return UrlRule("-".join(words), action, rf"^(?:[^/]*[.-])?{body}(?:[./-]|\z)", words, 0, False)
-
+    return UrlRule(0, "-".join(words), action, rf"^(?:[^/]*[.-])?{body}(?:[./-]|\z)", words if len(words) == 1 else ())
 
-def quoted(text: str) -> str:
-    return re.sub(r"([^A-Za-z0-9/_ ])", r"\\\1", text)
 
-
-#: The method's own verdicts where no listed rule fits: kinds of hosts that are kept out of training data.
-DEFAULT_WORDS = (("casino",), ("bets",), ("pills",), ("adult",), ("porn",), ("spam",), ("ads", "track"), ("warez",))
+#: The method's own verdicts where no listed rule fits: words of hosts that are kept out of training data, by kind.
+KINDS = {
+    "gambling": ("bets", "betting", "bingo", "blackjack", "casino", "casinos", "gambling", "jackpot", "lottery", "poker", "roulette", "slots", "sportsbook"),
+    "adult": ("adult", "camgirls", "escort", "escorts", "hentai", "nude", "nudes", "porn", "porno", "sex", "xxx"),
+    "drugs": ("cialis", "pills", "steroids", "tramadol", "viagra", "xanax"),
+    "spam": ("clickbait", "freemoney", "getrichquick", "linkfarm", "spam"),
+    "adverts": ("adserver", "adservice", "adtech", "clicktracker", "doubleclick"),
+    "piracy": ("crackz", "cracks", "keygen", "keygens", "serialz", "torrent", "torrents", "warez"),
+    "fraud": ("botnet", "carding", "malware", "phishing", "ransomware", "scam"),
+}
+DEFAULT_RULES = tuple(word_rule("block", w) for kind in KINDS.values() for w in kind)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -71,44 +85,43 @@ def with_parts(df: DataFrame, url_col: str) -> DataFrame:
 
 
 def tokens_of(subject: Column) -> Column:
-    return F.array_distinct(F.split(ascii_lower(subject), TOKEN_SPLIT))
-
-
-def token_counts(parts: DataFrame, tokens: list[str]) -> dict[str, int]:
-    """In how many URLs each of the rules' tokens stands; as many rows as the rules have tokens."""
-    wanted = F.array(*map(F.lit, tokens))
-    found = parts.select(F.explode(F.array_intersect(tokens_of(F.concat("_host", "_path")), wanted)).alias("t"))
-    return {r["t"]: r["count"] for r in found.groupBy("t").count().collect()}
+    """Distinct tokens, and the empty one, under which rules without a token are filed."""
+    return F.array_union(F.split(ascii_lower(subject), TOKEN_SPLIT), F.array(F.lit("")))
 
 
-def fitting(subject: Column, tokens: Column, rules: list[UrlRule], counts: dict[str, int]) -> Column:
-    """Array of (rank, name, action) of the rules among ``rules`` that fit, found through the index."""
-    index: dict[str, list[UrlRule]] = defaultdict(list)
-    for r in rules:
-        index[min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)) if r.tokens else ""].append(r)
+def rule_table(spark: SparkSession, rules: list[UrlRule]) -> DataFrame:
+    return spark.createDataFrame([(r.rank, r.name, r.action, r.pattern, list(r.tokens)) for r in rules], RULE_SCHEMA)
 
-    def packed(r: UrlRule) -> Column:
-        return F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.pattern).alias("pattern"))
 
-    table = F.create_map(*(c for t, rs in sorted(index.items()) for c in (F.lit(t), F.array(*map(packed, rs)))))
-    keys = F.array_distinct(F.concat(tokens, F.array(F.lit(""))))
-    fetched = F.flatten(F.filter(F.transform(keys, lambda t: F.element_at(table, t)), lambda x: x.isNotNull()))
-    return F.filter(fetched, lambda r: F.regexp_like(subject, r["pattern"]))
+def filed(rules: DataFrame, held: DataFrame) -> DataFrame:
+    """The index: every rule with the one of its tokens that fewest of ``held`` (subject, token) rows have; ties by length, then text."""
+    wanted = rules.select(F.explode("tokens").alias("token")).distinct()
+    counts = held.join(wanted, "token", "left_semi").groupBy("token").count()
+    filing = rules.withColumn("token", F.explode_outer("tokens")).join(counts, "token", "left")
+    order = F.struct(F.coalesce("count", F.lit(0)), -F.length("token"), "token")
+    return filing.groupBy("rank", "name", "action", "pattern").agg(F.coalesce(F.min_by("token", order), F.lit("")).alias("token"))
 
 
-def filter_urls(pages: DataFrame, listed: list[tuple[str, str]], words: tuple[tuple[str, ...], ...] = DEFAULT_WORDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per row of ``pages``: id, host, path, rule (the longest listed rule that fits, else null), verdict.
+def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """One row per row of ``pages``: id, host, path, rule (the highest listed rule that fits, else null), verdict.
 
-    A null URL and one without ``://`` have empty host and path and are allowed.
-    Rules of equal length are taken in order of their text. Repeated rows repeat.
+    ``rules`` has the columns of ``RULE_SCHEMA``. A null URL and one without
+    ``://`` have empty host and path and are allowed, as is what no rule fits.
+    Rules of equal rank are taken in order of their text, the last wins. URLs are
+    read whole, however long. Null ids are kept, repeated rows repeat, an empty
+    table gives no rows, an empty rule table allows all; other columns are not
+    read. Each distinct URL is judged once.
     """
-    rules = [host_rule(a, r) for a, r in listed] + [word_rule("block", *w) for w in words]
-    parts = with_parts(pages.select(id_col, url_col), url_col)
-    counts = token_counts(parts, sorted({t for r in rules for t in r.tokens}))
-    shaped = parts.withColumn("_subject", F.concat("_host", "_path")).withColumn("_tokens", tokens_of(F.col("_subject")))
-    found = [fitting(F.col("_subject"), F.col("_tokens"), rules[i : i + PART], counts) for i in range(0, len(rules), PART)]
-    best = F.array_max(F.transform(F.concat(*found), lambda r: F.struct(r["rank"].alias("rank"), r["name"].alias("name"), r["action"].alias("action"))))
-    return shaped.withColumn("_best", best).select(
+    work = Workspace(pages.sparkSession, "urls")
+    parts = with_parts(pages.select(id_col, url_col), url_col).withColumn("_subject", F.concat("_host", "_path"))
+    subjects = parts.where("_subject <> ''").select(F.col("_subject").alias("subject")).distinct()
+    held = work.save(subjects, "subjects").select("subject", F.explode(tokens_of(F.col("subject"))).alias("token"))
+    index = work.save(filed(rules, held), "index")
+    fits = held.join(index, "token").where(F.regexp_like("subject", F.col("pattern")))
+    best = fits.groupBy("subject").agg(F.max(F.struct("rank", "name", "action")).alias("best"))
+    # written before it is joined, so that one URL on a large share of the rows is split over tasks
+    best = work.save(best.toDF("_subject", "_best"), "best")
+    return parts.join(best, "_subject", "left").select(
         id_col,
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
