@@ -1,22 +1,28 @@
 """Removal of repeated passages by sorting suffixes with bucket-pointer refinement.
 
-Every byte covered by an ``depth``-byte string that also starts in a document
-with a smaller id is removed. Sorting the suffixes of all texts together is
-needless where a suffix cannot repeat, so the work narrows in steps:
-
-1. Exact copies: a copy of an earlier text of at least ``depth`` bytes is covered whole.
-2. Anchors: among the ``GRAM``-byte grams of each window of ``depth`` bytes the
-   one with the least hash is its anchor. Equal strings have equal anchors at equal places, so a
-   string whose anchor occurs in one document only cannot repeat. Anchors are
-   grouped by hash; a batch of documents sends each anchor once.
-3. Contexts: the bytes of all windows that share a surviving anchor. A context
-   met before in the batch is a repeat as a whole and is not sent again.
-4. Contexts with equal anchors meet in one task, which sorts their suffixes to
-   ``depth`` bytes by bucket-pointer refinement: initial buckets of 8-byte grams, refined by
-   the bucket identifiers at later offsets (8, 16, 32 bytes on), each step reusing the identifiers just
-   updated. A bucket's least document keeps its string; those of others are
-   covered.
-5. Covered ranges are merged per document and cut out.
+Every byte covered by a ``depth``-byte string that also starts in a document
+with a smaller id is removed. Suffixes of different texts need to meet only where
+they can be equal, so they are dealt to tasks by anchors and sorted there:
+
+1. Anchors: among the ``GRAM``-byte grams of each window of ``depth`` bytes the
+   one with the least hash is its anchor. Equal strings have equal anchors at
+   equal places, so a string whose anchor occurs in one document only cannot
+   repeat. A batch of documents sends each anchor once.
+2. Contexts: the bytes of all windows that share a surviving anchor. They are the
+   suffixes to sort, and those with equal anchors meet in one task. An anchor with
+   very many contexts is dealt anew by the bytes beside it: a window holds half a
+   window's bytes on the left of its anchor or on the right, and equal windows
+   hold the same.
+3. A task sorts the suffixes of its contexts by bucket-pointer refinement. Buckets
+   of equal ``Q``-grams are split by sorting their members by the bucket pointers
+   of the suffixes that start where the bucket's known prefix ends. The pointers
+   are updated at once, so all later splits, of the new buckets first, reuse them.
+4. Of the suffixes that share ``depth`` bytes, the least document keeps its string;
+   those of others are covered. Covered ranges are merged per text and cut out.
+
+Before each shuffle equal input is aggregated: a copy of an earlier text is
+covered whole, as are contexts that the batch has met in an earlier document.
+Texts are told apart by id and hash, so rows that share an id keep their own.
 """
 
 from __future__ import annotations
@@ -38,6 +44,11 @@ CHUNK_BYTES = 1 << 20
 SORT_BYTES = 1 << 20
 #: Contexts of a batch that later ones of it are compared with; beyond it, the table starts anew.
 HELD_CONTEXTS = 200_000
+#: Contexts of an anchor above which it is dealt anew by its neighbours.
+HOT = 512
+#: Bytes of a first bucket (nine bits each, so that the end of a text has a symbol of its own), and suffixes split in one step.
+Q, STEP = 7, 1 << 16
+ENDED = 1 << 40
 
 U = np.uint64
 
@@ -92,48 +103,87 @@ def window_anchors(hashes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarra
     return at[first].astype(np.int64), first, np.r_[first[1:] - 1, n - 1]
 
 
-def bucket_ranks(keys: np.ndarray) -> np.ndarray:
-    """Bucket identifiers, dense and in the order of the keys."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    ids = np.empty(len(keys), np.int64)
-    ids[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
-    return ids
+def first_buckets(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, pointer, known): suffixes sorted by their first ``Q`` bytes; the pointer of each, which is
+    where its bucket starts in the order; by that place, how many bytes all suffixes of the bucket share.
+
+    A suffix that ends within ``Q`` bytes equals the others of its bucket to the end.
+    """
+    n = len(flat)
+    at = np.arange(n)
+    symbols = np.concatenate([flat.astype(U) + U(1), np.zeros(Q, U)])
+    key = np.zeros(n, U)
+    for k in range(Q):
+        key = (key << U(9)) | np.where(at + k < ends, symbols[k : k + n], U(0))
+    order = np.argsort(key)
+    new = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    pointer, known = np.empty(n, np.int64), np.full(n, Q, np.int64)
+    pointer[order] = np.repeat(new, np.diff(np.r_[new, n]))
+    known[new[ends[order[new]] - order[new] < Q]] = ENDED
+    return order, pointer, known
+
+
+def sorted_suffixes(flat: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, pointer) of all suffixes of ``flat`` sorted to ``depth`` bytes at least; ``ends[i]`` is where the text of position i ends."""
+    n = len(flat)
+    order, pointer, known = first_buckets(flat, ends)
+    starts = np.flatnonzero(pointer[order] == np.arange(n))
+    sizes = np.diff(np.r_[starts, n])
+    wanted = (sizes > 1) & (known[starts] < depth)
+    waiting = [(starts[wanted][::-1], sizes[wanted][::-1])]  # a stack: the buckets made last are at the end
+    while waiting:
+        starts, sizes = waiting.pop()
+        if not len(starts):
+            continue
+        take = max(1, int(np.searchsorted(np.cumsum(sizes[::-1]), STEP, "right")))
+        waiting.append((starts[:-take], sizes[:-take]))
+        starts, sizes = starts[-take:], sizes[-take:]
+        own = np.repeat(starts, sizes)
+        slots = own + np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        members, reach = order[slots], known[own]
+        ahead = members + reach
+        there = ahead < ends[members]
+        later = np.where(there, pointer[np.where(there, ahead, 0)], -1)
+        shared = np.where(there, reach + known[later], ENDED)
+        key = own * (n + 1) + later + 1
+        by = np.argsort(key)
+        # the slots of each bucket, in its own order
+        slots = np.sort(slots)
+        key, members, shared = key[by], members[by], shared[by]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[new, len(key)])
+        order[slots] = members
+        pointer[members] = np.repeat(slots[new], size)
+        known[slots[new]] = np.minimum(shared[new], ENDED)
+        more = (size > 1) & (shared[new] < depth)
+        waiting.append((slots[new][more][::-1], size[more][::-1]))
+    return order, pointer
 
 
 def refine(flat: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Bucket identifiers of all suffixes of ``flat`` by their first ``depth`` bytes.
+    """A number for every suffix of ``depth`` (8 or more) bytes, equal for those that share them; -1 for shorter ones.
 
-    ``ends[i]`` is where the text of position i ends; a suffix shorter than the
-    depth is in a bucket that no full one shares. Initial buckets are 8-byte
-    grams; every step sorts the members of buckets that hold several suffixes by the identifier at
-    the offset reached so far, so the depth doubles with each.
+    The sort may go deeper than ``depth``; neighbours of different buckets are
+    therefore compared by their bytes.
     """
     n = len(flat)
+    order, pointer = sorted_suffixes(flat, ends, depth)
+    order = order[ends[order] - order >= depth]
     padded = np.concatenate([flat, np.zeros(8, "u1")])
-    first = np.zeros(n, U)
+    words = np.zeros(n, U)
     for k in range(8):
-        first = (first << U(8)) | padded[k : k + n]
-    room = ends - np.arange(n)
-    ids = bucket_ranks(first)
-    ids[room < 8] = -1 - np.flatnonzero(room < 8)  # too short: alone
-    reached = 8
-    while reached < depth:
-        step = min(reached, depth - reached)
-        counts = np.bincount(ids[ids >= 0], minlength=1)
-        long = room >= reached + step
-        active = np.flatnonzero((ids >= 0) & long)
-        active = active[counts[ids[active]] > 1]
-        new = ids.copy()
-        short = np.flatnonzero((ids >= 0) & ~long)
-        new[short] = -1 - short
-        if len(active):
-            # one key of both identifiers: own in the high half, the later one (which may be negative) in the low half
-            pair = (ids[active] << 32) + (ids[active + step] + n + 1)
-            new[active] = bucket_ranks(pair) + ids.max() + 1
-        ids = new
-        reached += step
-    return ids
+        words = (words << U(8)) | padded[k : k + n]
+    a, b = order[:-1], order[1:]
+    differ = pointer[a] != pointer[b]
+    a, b = a[differ], b[differ]
+    unlike = np.zeros(len(a), bool)
+    for k in (*range(0, depth - 8, 8), depth - 8):
+        unlike |= words[a + k] != words[b + k]
+    differ[np.flatnonzero(differ)[~unlike]] = False
+    out = np.full(n, -1, np.int64)
+    if len(order):
+        out[order] = np.r_[0, np.cumsum(differ)]
+    return out
 
 
 def repeated_windows(contexts: list[bytes], docs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,161 +204,193 @@ def repeated_windows(contexts: list[bytes], docs: np.ndarray, depth: int) -> tup
     return owner[hit], hit - starts[owner[hit]]
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= DEPTH))
-
-
-def doc_anchors(flat: np.ndarray, starts: np.ndarray, depth: int, gram: int):
-    """(document, anchor hash, context start, context end) of a chunk; starts and ends within the chunk's bytes."""
+def doc_anchors(flat: np.ndarray, starts: np.ndarray, depth: int, gram: int, places: bool = False):
+    """(document, anchor hash, context start, context end) of a chunk, within the chunk's bytes; with ``places``, the anchor's place is third."""
     hashes = gram_hashes(flat, gram)
     out = []
     for d in range(len(starts) - 1):
         lo, hi = int(starts[d]), int(starts[d + 1])
         at, first, last = window_anchors(hashes[lo : hi - gram + 1], depth - gram + 1) if hi - lo >= depth else (np.zeros(0, np.int64),) * 3
         if len(at):
-            out.append((np.full(len(at), d), hashes[lo + at], lo + first, lo + last + depth))
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z, np.zeros(0, U), z, z
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            out.append((np.full(len(at), d), hashes[lo + at], lo + at, lo + first, lo + last + depth))
+    z = np.zeros(0, np.int64)
+    own, found, at, first, end = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (z, np.zeros(0, U), z, z, z)
+    return (own, found, at, first, end) if places else (own, found, first, end)
 
 
 def sent_anchors(docs: DataFrame, depth: int, gram: int) -> DataFrame:
-    """hash, doc_id, salt, more: each anchor once a batch with salt -1; repeats in the batch under their own salt.
+    """From (doc_id, text, mark): hash, doc_id, mark, salt, more. Each anchor once a batch with salt 0; its repeats in the batch under salts of their own.
 
-    ``more`` says that another document of the batch has the anchor as well.
+    ``more`` says that another text of the batch has the anchor as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             flat, starts = byte_views(whole.column(1))
-            ids = whole.column(0).to_numpy(zero_copy_only=False)
-            found_h, found_d = [], []
+            rows, found = np.arange(whole.num_rows), []
             for lo, hi in byte_slices(np.diff(starts), CHUNK_BYTES):
                 own, h, _, _ = doc_anchors(flat[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo], depth, gram)
-                found_h.append(h)
-                found_d.append(ids[lo:hi][own])
-            h, d = np.concatenate(found_h or [np.zeros(0, U)]), np.concatenate(found_d or [np.zeros(0, np.int64)])
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])][: len(h)]
-            h, d = h[new], d[new]
+                found.append((h, rows[lo:hi][own]))
+            h, row = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U), rows)
+            order = np.lexsort((row, h))
+            h, row = h[order], row[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
+            h, row = h[new], row[new]
             head = np.r_[True, h[1:] != h[:-1]][: len(h)]
             more = head & np.r_[~head[1:], False][: len(h)]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(d), pa.array(np.where(head, -1, d)), pa.array(more)], names=["hash", "doc_id", "salt", "more"])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), whole.column(0).take(at), whole.column(2).take(at), pa.array(np.where(head, 0, row + 1)), pa.array(more)], names=["hash", "doc_id", "mark", "salt", "more"])
+
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, "hash bigint, doc_id bigint, mark bigint, salt bigint, more boolean")
+
+
+CONTEXT = "hash bigint, doc_id bigint, mark bigint, start int, left int, body binary, size int"
+
+
+def context_batch(hashes, docs, marks, starts, lefts, bodies: list[bytes], met: dict[bytes, int]) -> pa.RecordBatch:
+    """A batch of contexts; those that an earlier document of ``met`` has are sent without their body: covered whole already."""
+    if len(met) > HELD_CONTEXTS:
+        met.clear()
+    firsts = [met.setdefault(x, d) for x, d in zip(bodies, docs, strict=True)]
+    kept = [x if d == f else None for x, d, f in zip(bodies, docs, firsts, strict=True)]
+    columns = [pa.array(hashes, pa.int64()), pa.array(docs, pa.int64()), pa.array(marks, pa.int64()), pa.array(starts, pa.int32()), pa.array(lefts, pa.int32()), pa.array(kept, pa.binary()), pa.array(list(map(len, bodies)), pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["hash", "doc_id", "mark", "start", "left", "body", "size"])
 
-    return docs.mapInArrow(run, "hash bigint, doc_id bigint, salt bigint, more boolean")
+
+def by_document(batch: pa.RecordBatch, column: int) -> pa.RecordBatch:
+    return batch.take(pa.array(np.argsort(batch.column(column).to_numpy(zero_copy_only=False), kind="stable")))
 
 
 def sent_contexts(rows: DataFrame, depth: int, gram: int) -> DataFrame:
-    """From (doc_id, text, hashes): hash, doc_id, start, body of contexts to sort; body null: covered whole already."""
+    """From (doc_id, text, mark, hashes): the contexts of the anchors among ``hashes``; ``left`` is the anchor's place in the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            order = np.argsort(whole.column(0).to_numpy(zero_copy_only=False), kind="stable")
-            whole = whole.take(pa.array(order))
+            whole = by_document(whole, 0)
             flat, starts = byte_views(whole.column(1))
-            ids, lists = whole.column(0).to_numpy(zero_copy_only=False), whole.column(2)
+            ids, marks, lists = whole.column(0).to_numpy(zero_copy_only=False), whole.column(2).to_numpy(zero_copy_only=False), whole.column(3)
             met: dict[bytes, int] = {}
             for lo, hi in byte_slices(np.diff(starts), CHUNK_BYTES):
-                if len(met) > HELD_CONTEXTS:
-                    met.clear()
                 base = int(starts[lo])
                 part = flat[base : starts[hi]]
                 begins = starts[lo : hi + 1] - base
-                own, h, first, end = doc_anchors(part, begins, depth, gram)
+                own, h, at, first, end = doc_anchors(part, begins, depth, gram, places=True)
                 signed = h.view("i8")
                 edges = np.searchsorted(own, np.arange(hi - lo + 1))
                 chosen = [a + np.flatnonzero(np.isin(signed[a:b], lists[lo + d].values.to_numpy(zero_copy_only=False))) for d, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-                at = np.concatenate(chosen or [np.zeros(0, np.int64)])
-                raw, doc = part.tobytes(), ids[lo:hi][own[at]].tolist()
-                bodies = [raw[x:y] for x, y in zip(first[at].tolist(), end[at].tolist(), strict=True)]
-                firsts = [met.setdefault(x, d) for x, d in zip(bodies, doc, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed[at]),
-                        pa.array(doc, pa.int64()),
-                        pa.array((first[at] - begins[own[at]]).astype(np.int64)),
-                        pa.array([x if d == f else None for x, d, f in zip(bodies, doc, firsts, strict=True)], pa.binary()),
-                        pa.array((end[at] - first[at]).astype(np.int64)),
-                    ],
-                    names=["hash", "doc_id", "start", "body", "size"],
-                )
-
-    return rows.select("doc_id", "text", "hashes").mapInArrow(run, "hash bigint, doc_id bigint, start bigint, body binary, size bigint")
+                k = np.concatenate(chosen or [np.zeros(0, np.int64)])
+                raw = part.tobytes()
+                bodies = [raw[x:y] for x, y in zip(first[k].tolist(), end[k].tolist(), strict=True)]
+                yield context_batch(signed[k], ids[lo:hi][own[k]].tolist(), marks[lo:hi][own[k]], first[k] - begins[own[k]], at[k] - first[k], bodies, met)
+
+    return rows.select("doc_id", "text", "mark", "hashes").mapInArrow(run, CONTEXT)
+
+
+def dealt_anew(contexts: DataFrame, depth: int, gram: int) -> DataFrame:
+    """Contexts of hot anchors in at most two parts each, under keys of the anchor and its neighbours.
+
+    With ``half`` bytes of a window beside its anchor, a window has at least so
+    many on the left, or more than the others' rest on the right.
+    """
+    half = (depth - gram) // 2
+    rest = depth - gram - half + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[bytes, int] = {}
+        for b in batches:
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+
+            def part(h: int, near: bytes, doc: int, mark: int, start: int, left: int, body: bytes, out=out) -> None:
+                for column, x in zip(out, (xxhash.xxh3_64_intdigest(near, h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), doc, mark, start, left, body), strict=True):
+                    column.append(x)
+
+            for h, doc, mark, start, left, body in zip(*(c.to_pylist() for c in by_document(b, 1).columns), strict=True):
+                last = len(body) - depth  # windows start from 0 to here
+                if left >= half:
+                    part(h, b"l" + body[left - half : left], doc, mark, start, left, body[: min(left - half, last) + depth])
+                if last >= (cut := max(0, left - half + 1)):
+                    part(h, b"r" + body[left + gram : left + gram + rest], doc, mark, start + cut, left - cut, body[cut:])
+            yield context_batch(*out, met)
+
+    return contexts.select("hash", "doc_id", "mark", "start", "left", "body").mapInArrow(run, CONTEXT)
 
 
 def sorted_ranges(contexts: DataFrame, depth: int) -> DataFrame:
-    """doc_id, start, end covered, from contexts dealt by hash and sorted by it and by document in each partition.
+    """doc_id, mark, start, end covered, from contexts dealt by hash and sorted by it and by document in each partition.
 
     Of equal contexts only the first document's is sorted, the others are
     covered whole; an anchor left with one context has nothing to sort.
     """
-    names = ["doc_id", "start", "end"]
-
-    def ranges(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        docs = np.array([x[0] for x in held])
-        own, at = repeated_windows([x[2] for x in held], docs, depth)
-        begin, doc = np.array([x[1] for x in held])[own] + at, docs[own]
-        order = np.lexsort((begin, doc))
-        doc, begin = doc[order], begin[order]
-        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (begin[1:] > begin[:-1] + 1)][: len(doc)])
+    names = ["doc_id", "mark", "start", "end"]
+
+    def ranges(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        docs, marks, starts = (np.array([x[k] for x in held], np.int64) for k in range(3))
+        own, at = repeated_windows([x[3] for x in held], docs, depth)
+        begin = starts[own] + at
+        order = np.lexsort((begin, marks[own], docs[own]))
+        own, begin = own[order], begin[order]
+        doc, mark = docs[own], marks[own]
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (begin[1:] > begin[:-1] + 1)][: len(doc)])
         last = np.r_[new[1:] - 1, len(doc) - 1] if len(doc) else new
-        return pa.RecordBatch.from_arrays([pa.array(doc[new], pa.int64()), pa.array(begin[new], pa.int64()), pa.array(begin[last] + depth, pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc[new], mark[new], begin[new], begin[last] + depth)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         size = 0
-        now, group = None, {}  # the contexts of one anchor: body -> (document, its starts)
+        now, group = None, {}  # the contexts of one anchor: body -> (document, its texts and starts)
 
         def closed() -> int:
             if len(group) > 1:
-                held.extend((d, s, body) for body, (d, begins) in group.items() for s in begins)
+                held.extend((doc, mark, start, body) for body, (doc, begins) in group.items() for mark, start in begins)
                 return sum(len(body) * len(begins) for body, (_, begins) in group.items())
             return 0
 
         for b in batches:
-            whole: tuple[list, ...] = ([], [], [])
-            for h, doc, start, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            whole: tuple[list, ...] = ([], [], [], [])
+            for h, doc, mark, start, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if h != now:
                     size += closed()
                     now, group = h, {}
                     if size >= SORT_BYTES:
                         yield ranges(held)
                         held, size = [], 0
-                first = group.setdefault(body, (doc, []))
+                first = group.setdefault(body, (doc, set()))
                 if first[0] == doc:
-                    first[1].append(start)
+                    first[1].add((mark, start))
                 else:
-                    whole[0].append(doc)
-                    whole[1].append(start)
-                    whole[2].append(start + len(body))
+                    for column, x in zip(whole, (doc, mark, start, start + len(body)), strict=True):
+                        column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in whole], names=names)
         closed()
         if held:
             yield ranges(held)
 
-    return contexts.select("hash", "doc_id", "start", "body").mapInArrow(run, "doc_id bigint, start bigint, end bigint")
+    return contexts.select("hash", "doc_id", "mark", "start", "body").mapInArrow(run, "doc_id bigint, mark bigint, start bigint, end bigint")
 
 
-def covered(spark: SparkSession, docs: DataFrame, work: Workspace, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, starts, ends): covered ranges of the documents that have any; not yet merged."""
-    able = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth))
-    marked = able.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("mark"), F.octet_length("text").cast("long").alias("size"))
-    marked = work.save(marked, "texts")
-    firsts = marked.groupBy("mark").agg(F.min("doc_id").alias("first"))
-    copies = work.save(marked.join(firsts, "mark").where("doc_id > first").select("doc_id", "size"), "copies")
-    alone = able.join(copies.select("doc_id"), "doc_id", "left_anti")
+def covered(docs: DataFrame, work: Workspace, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+    """(doc_id, mark, ranges): covered ranges of the texts that have any; not yet merged."""
+    able = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth))
+    texts = able.select("doc_id", "mark", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), F.octet_length("text").cast("long").alias("size"))
+    texts = work.save(texts, "texts")
+    # written before it is joined, so that a text on a large share of the rows is split over tasks
+    firsts = work.save(texts.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
+    copies = work.save(texts.join(firsts, "text_hash").where("doc_id > first").select("doc_id", "mark", "size").distinct(), "copies")
+    alone = able.join(copies, ["doc_id", "mark"], "left_anti")
     hashed = sent_anchors(alone, depth, gram)
     same = Window.partitionBy("hash", "salt")
-    shared = hashed.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).where("salt >= 0 or more or lo < hi")
-    shared = work.save(shared.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "anchors")
-    contexts = work.save(sent_contexts(able.join(shared, "doc_id"), depth, gram), "contexts")
-    whole = contexts.where("body is null").select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"))
-    dealt = contexts.where("body is not null").repartition("hash").sortWithinPartitions("hash", "doc_id")
+    shared = hashed.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).where("salt > 0 or more or lo < hi")
+    shared = work.save(shared.groupBy("doc_id", "mark").agg(F.collect_set("hash").alias("hashes")), "anchors")
+    contexts = work.save(sent_contexts(able.join(shared, ["doc_id", "mark"]), depth, gram), "contexts")
+    sent = contexts.where("body is not null")
+    hot = work.save(sent.groupBy("hash").count().where(F.col("count") > HOT).select("hash"), "hot")
+    anew = work.save(dealt_anew(sent.join(hot, "hash", "left_semi"), depth, gram), "anew")
+    ready = sent.join(hot, "hash", "left_anti").unionByName(anew.where("body is not null"))
+    dealt = ready.select("hash", "doc_id", "mark", "start", "body").repartition("hash").sortWithinPartitions("hash", "doc_id")
     part = work.save(sorted_ranges(dealt, depth), "ranges")
-    every = part.unionAll(whole).unionAll(copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    whole = contexts.unionByName(anew).where("body is null").select("doc_id", "mark", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end"))
+    every = part.unionAll(whole).unionAll(copies.select("doc_id", "mark", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
+    return every.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -332,17 +414,21 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def with_spans(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """All columns of ``docs`` and _ranges (null where nothing is covered)."""
-    return docs.join(ranges.withColumnRenamed("ranges", "_ranges"), "doc_id", "left")
+    found = ranges.toDF("_doc", "_mark", "_ranges")
+    return docs.join(found, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_mark")), "left").drop("_doc", "_mark")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
-    A null text is empty. Texts under ``depth`` bytes and rows with a null id
-    lose nothing. Ids are taken as unique. An empty table gives no rows.
+    A null text is empty; a text of any length is read whole. Texts under
+    ``depth`` bytes and rows with a null id lose nothing. Rows that share an id
+    are told apart by their texts: none is a document with a smaller id than the
+    other, so they take nothing from each other, and equal rows get the same
+    answer. An empty table gives no rows; other columns are not read.
     """
     work = Workspace(spark, "repeats")
-    rows = with_spans(docs.select("doc_id", "text"), covered(spark, docs, work, depth))
+    rows = with_spans(docs.select("doc_id", "text"), covered(docs, work, depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,7 +449,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
     ``n_chars``, if there, is counted anew. Rows whose text is left empty stay.
     """
     work = Workspace(spark, "repeats")
-    rows = with_spans(docs, covered(spark, docs, work, depth))
+    rows = with_spans(docs, covered(docs, work, depth))
     names, kept = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
