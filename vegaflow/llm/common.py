@@ -21,8 +21,9 @@ class Workspace:
     """Intermediate tables written to the folder all executors share.
 
     A written table cuts the lineage, so a lost executor costs only the tasks
-    that read it. The folder is ``spark.checkpoint.dir`` of the session; only
-    where that is unset (tests, a laptop) a folder of this machine is made.
+    that read it. The folder is ``spark.checkpoint.dir`` of the session. Where
+    that is unset, a local session makes a folder of this machine; on a cluster,
+    whose executors could not share it, that is an error.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -30,6 +31,8 @@ class Workspace:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not spark.sparkContext.getCheckpointDir():
+                if not spark.conf.get("spark.master", "local").startswith("local"):
+                    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
                 spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vegaflow-"))
             base = spark.sparkContext.getCheckpointDir()
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -10,12 +10,13 @@ hashing with t independent functions.
 
 1. Documents with the same shingle set form a class; only its least id goes on.
 2. Bands of coordinates are hashed; each bucket links its members to its hub, the
-   member that meets most others; those pairs are verified on the full sets.
-3. Buckets whose members are not all connected by then are finished exactly: in
-   blocks of bounded size, every pair from different components is compared, in
-   its first common bucket only, by sketch and then by the sets folded to 65,536
-   bits. A block gives only pairs that pass both, and those are verified on the
-   full sets.
+   member that meets most others. Those pairs, and those of a class with its least
+   id, are verified on the full sets.
+3. Buckets whose members are not all connected by then are finished: in blocks of
+   bounded size, every pair from different components is compared, in its first
+   common bucket only, by sketch and then by the sets folded to 65,536 bits, with
+   a bound that no pair at the threshold can fail. A block gives only pairs that
+   pass both, and those are verified on the full sets.
 4. Components are the transitive closure of the verified links.
 """
 
@@ -37,8 +38,8 @@ from vegaflow.llm.components import components
 BANDS, ROWS = 48, 6
 #: Share of agreeing coordinates that the finishing blocks ask for: 0.8 lies six deviations above.
 AGREE = 0.66
-#: Members to a finishing block.
-BLOCK = 256
+#: Members to a finishing block; rows and bytes of folded sets to a group of smaller buckets, about.
+BLOCK, GROUP_ROWS, GROUP_BYTES = 1024, 2048, 16 << 20
 CHUNK_BYTES = 2 << 20
 HELD_WORDS = 200_000
 
@@ -120,7 +121,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, set: the shingle hashes as bytes."""
+    """doc_id, set, f1: the shingle hashes as bytes, and the first half of their fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -130,26 +131,37 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 if len(hashes) > HELD_WORDS:
                     hashes.clear()
                 sets.append(shingle_set(text, width, hashes).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+            marks = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, sets)), "<i8")[::2]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(marks)], names=["doc_id", "set", "f1"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set binary, f1 bigint")
 
 
-def verified(work: Workspace, name: str, pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def that_count(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Of the rows of a repeated id, those with the set that stands for it."""
+    return rows.join(repeated.withColumnRenamed("f1", "_least"), "doc_id", "left").where("_least is null or f1 = _least").drop("_least")
+
+
+def verified(work: Workspace, name: str, pairs: DataFrame, docs: DataFrame, repeated: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach ``percent`` of Jaccard similarity.
 
     The sets are written first, so that the joins are of plain shuffles: the
     pairs of a hub with very many members are split over tasks.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = work.save(full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), f"{name}-sets")
+    sets = that_count(full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), width), repeated)
+    sets = work.save(sets.where("octet_length(set) > 0").drop("f1").dropDuplicates(["doc_id"]), f"{name}-sets")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                x, y = x.as_buffer(), y.as_buffer()
+                if x.equals(y):
+                    keep.append(True)
+                    continue
+                u, v = np.frombuffer(x, U), np.frombuffer(y, U)
                 common = len(u) + len(v) - len(np.union1d(u, v))
                 keep.append(100 * common >= percent * (len(u) + len(v) - common))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -173,8 +185,9 @@ def bitset(folded: bytes) -> int:
 def block_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs from different components with fitting sizes that pass the sketch and the folded sets.
 
-    Folding can only lower the common part by as many shingles as it joined in
-    the smaller set of such losses, which ``loose`` gives back: no link is lost.
+    The shingles that two sets share fold to at most so many fewer values as
+    either set lost by folding, its size less its distinct values. With the lesser
+    of both losses added, the common part is never taken for less than it is.
     """
     found: list[tuple[int, int]] = []
     crossing = rows["i"].iloc[0] != rows["j"].iloc[0]
@@ -184,6 +197,8 @@ def block_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         sk = np.frombuffer(b"".join(g["sketch"]), "u1").reshape(len(g), -1)
         bands = np.stack(g["bands"].to_list())
         bits: dict[int, int] = {}
+        folded = g["folded"].to_numpy()
+        lost = n - np.fromiter(map(len, folded), np.int64, len(g)) // 2
         for i in range(len(g) - 1):
             j = np.arange(i + 1, len(g))
             ok = (comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent)
@@ -200,10 +215,10 @@ def block_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
             for k in j.tolist():
                 for x in (i, k):
                     if x not in bits:
-                        bits[x] = bitset(g["folded"].iat[x])
+                        bits[x] = bitset(folded[x])
                 common = (bits[i] & bits[k]).bit_count()
-                loose = 4 + int(max(n[i], n[k])) ** 2 // 60_000
-                if 100 * (common + loose) >= percent * (int(n[i]) + int(n[k]) - common - loose):
+                common += int(min(lost[i], lost[k]))
+                if 100 * common >= percent * (int(n[i]) + int(n[k]) - common):
                     found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -214,49 +229,63 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     Sets hold the distinct ``width``-word shingles; with fewer words the whole
     sequence is one. Null, empty and blank texts have no shingle and no link. A
     row with a null id is linked with nothing, has a null component and is kept.
-    Repeated rows get the same answer each. An empty table gives no rows.
+    Repeated rows get the same answer each. An id stands for one text: where rows
+    that share it have different sets, the one of the least fingerprint counts,
+    and all rows of the id with a shingle get its component. Texts are read whole,
+    however long. An empty table gives no rows; other columns are not read.
     """
     work = Workspace(spark, "near")
     marks = work.save(described(docs, width), "marks")
     full = marks.where("n > 0 and doc_id is not null")
-    # written before it is joined: a class that holds a large share of the rows is then split over tasks
-    classes = work.save(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    members = work.save(full.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "n", "rep"), "members")
-    reps = members.where("doc_id = rep").select("doc_id").distinct()
-    firsts = full.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    repeated = full.groupBy("doc_id").agg(F.min("f1").alias("f1"), F.count("*").alias("rows")).where("rows > 1")
+    repeated = work.save(repeated.drop("rows"), "repeated")
+    # what is joined by a key that many rows may share is written first: the join is then one of plain shuffles and is split over tasks
+    one = that_count(full, repeated)
+    classes = work.save(one.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "classes")
+    copies = one.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    copies = work.save(copies, "copies")
+    firsts = one.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"])
     banded = firsts.select("doc_id", "n", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = work.save(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     linked = work.save(banded.join(buckets, "key"), "linked")
     # the hub of a bucket is the member that meets most others in all its buckets: the text that others were copied from
     met = linked.groupBy("doc_id").agg(F.sum("size").alias("met"))
     scored = linked.join(met, "doc_id")
     hubs = scored.groupBy("key").agg(F.min(F.struct(-F.col("met"), "doc_id", "n")).alias("hub"))
-    tried = linked.join(hubs.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("n_hub")), "key")
-    tried = tried.where((F.col("doc_id") != F.col("hub")) & fitting_sizes(F.col("n"), F.col("n_hub"), percent))
+    hubs = work.save(hubs.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("n_hub")), "hubs")
+    tried = linked.join(hubs, "key").where((F.col("doc_id") != F.col("hub")) & fitting_sizes(F.col("n"), F.col("n_hub"), percent))
     tried = tried.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     tried = work.save(tried, "tried")
-    links = verified(work, "links", tried, docs, width, percent)
-    groups = components(work, links, "stars")
+    links = verified(work, "links", tried.unionAll(copies), docs, repeated, width, percent)
+    groups = work.save(components(work, links, "stars"), "groups")
 
     # buckets that the stars did not connect
     named = linked.where("size > 2").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "size", F.coalesce("component", "doc_id").alias("component"))
     named = work.save(named, "named")
-    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = named.join(split, "key", "left_semi").join(firsts.select("doc_id", "sketch", "bands", "folded"), "doc_id")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("mine", mine)
+    split = work.save(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "split")
+    open_rows = work.save(named.join(split, "key", "left_semi"), "open")
+    known = open_rows.agg(F.count("*").alias("n"), F.sum(F.least(2 * F.col("n"), F.lit(1 << 17))).alias("bytes")).first()
+    groups_of_small = max(64, known["n"] // GROUP_ROWS, (known["bytes"] or 0) // GROUP_BYTES)
+    sketched = firsts.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sketch", "bands", "folded")
+    rest = open_rows.join(sketched, "doc_id").withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     carried = ["mine", "key", "doc_id", "n", "component", "sketch", "bands", "folded"]
-    small = rest.where("blocks = 1").select(F.pmod(F.col("key"), F.lit(1 << 12)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), *carried)
+    small = rest.where("blocks = 1").select(F.pmod(F.xxhash64("key"), F.lit(groups_of_small)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), *carried)
     large = rest.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("key").alias("g"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *carried)
     more = small.unionAll(large).groupBy("g", "i", "j").applyInPandas(lambda df: block_pairs(df, percent), "a bigint, b bigint").distinct()
     more = work.save(more.join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        extra = verified(work, "extra", more, docs, width, percent)
-        if not extra.isEmpty():
-            groups = components(work, links.unionAll(extra), "all")
-    for name in ("classes", "linked", "tried", "links", "named", "more"):  # the result reads members, groups and marks only
+        extra = verified(work, "extra", more, docs, repeated, width, percent)
+        # the stars are settled: only their least ids are linked further
+        near = groups.toDF("a", "ca")
+        far = groups.toDF("b", "cb")
+        over = extra.join(near, "a", "left").join(far, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        lower = components(work, over, "over").toDF("component", "lower")
+        joined = groups.unionAll(extra.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(groups, "id", "left_anti").select("id", F.col("id").alias("component")))
+        groups = joined.join(lower, "component", "left").select("id", F.coalesce("lower", "component").alias("component"))
+    for name in ("classes", "copies", "buckets", "linked", "hubs", "tried", "links", "named", "split", "open", "more"):  # the result reads groups and marks only
         work.drop(name)
-    found = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    alone = marks.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linked_ids = groups.toDF("doc_id", "component")
+    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    found = marks.select("doc_id", "n").join(linked_ids, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
