@@ -20,8 +20,19 @@ TEXT = st.text(alphabet="ab c▁\n.<s>é日 '", max_size=60)
 @given(TEXT)
 @settings(max_examples=200, deadline=None)
 def test_piece_counts_equal_the_library(text):
-    c = token_counts.PieceCounter(tokenizer_path("piece_bpe_32k.model"))
-    assert c.count(text) == len(c.model.encode(text))
+    c = token_counts.Pieces(tokenizer_path("piece_bpe_32k.model"))
+    assert c.parts_at_marks() and sum(c.of(token_counts.pre_tokens(text))) == len(c.model.encode(text))
+
+
+def test_rare_words_are_joined_by_shuffle(spark, sf, monkeypatch):
+    """With a broadcast table of 20 words, all others are counted by the join; sums equal the library's."""
+    monkeypatch.setattr(token_counts, "HEAD", 20)
+    path = tokenizer_path("piece_bpe_32k.model")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = docs.unionAll(docs.limit(5)).unionAll(spark.createDataFrame([(None, "x" * 300), (7, None)], docs.schema))
+    model = token_counts.Pieces(path).model
+    got = sorted((r["doc_id"] or -1, r["n_tokens"]) for r in token_counts.count_tokens(spark, docs, path).collect())
+    assert got == sorted((r["doc_id"] or -1, len(model.encode(r["text"] or ""))) for r in docs.collect())
 
 
 def test_ids_equal_the_tokenizers_library(spark, sf):
@@ -105,6 +116,26 @@ def test_repeats_against_brute_force(spark, sf):
     assert got == want
 
 
+def test_rows_that_share_an_id_keep_their_own_bytes(spark):
+    """Only X repeats document 1; Y, which has the same id as X, loses nothing, nor do they take from each other."""
+    passage, other = "a passage that two documents hold and that is long enough to be found", "another text that no document with a smaller id than five holds at all"
+    rows = [(1, passage), (5, passage + " X"), (5, other + " Y"), (5, other + " Y"), (5, other + " Z"), (9, other), (-3, "negative " + passage)]
+    got = suffix_dedup.remove_repeats(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    size = len(passage)
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got) == sorted(
+        [(-3, size + 9, 0), (1, size, size), (5, size + 2, size), (5, len(other) + 2, 0), (5, len(other) + 2, 0), (5, len(other) + 2, 0), (9, len(other), len(other))]
+    )
+
+
+def test_hot_anchors_are_dealt_anew(spark, sf, monkeypatch):
+    """With a bound of one context, every shared anchor goes by its neighbours; the result stays that of brute force."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    want = brute_repeats([(r["doc_id"], r["text"].encode()) for r in docs.collect()])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(spark, docs).collect()}
+    assert got == want
+
+
 @given(st.binary(min_size=1, max_size=80), st.integers(8, 24))
 @settings(max_examples=100, deadline=None)
 def test_refinement_groups_equal_prefixes(raw, depth):
@@ -201,7 +232,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_main_text_on_built_pages():
-    m = main_text.fit(main_text.built_pages(500))
+    m = main_text.fit([main_text.featured(x) for x in main_text.built_pages(500)])
     held = main_text.built_pages(100, seed=99)
     right = [m.states(b) == y for b, y in held]
     assert np.mean(right) > 0.9
