@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's documents. All but the last
 return the columns of documents; the last returns the packed pieces.
+
+Every stage takes an empty table and gives none back. Rows with a null id stay
+throughout, and repeated rows (same id, same text) share one fate in each stage.
+Other columns than text are carried along; n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -20,28 +24,32 @@ from vegaflow.llm.toxicity import without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; a null or empty text has no word against it."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8.
+
+    Five words, where op4's contract says two: shared phrases of two words would
+    join texts that merely treat the same matter. Texts without a word stay.
+    """
     gone = near_duplicates(spark, docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out of the texts."""
+    """Passages of 50 bytes and more that an earlier document holds are cut out; a text that is left empty stays, as do null texts."""
     return without_repeats(spark, docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty items are nowhere."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
+    """Pieces of packed sequences; a null or empty text is its end id alone."""
     return pack(spark, docs, byte_encoder())
 
 
