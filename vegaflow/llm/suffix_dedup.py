@@ -219,7 +219,7 @@ def doc_anchors(flat: np.ndarray, starts: np.ndarray, depth: int, gram: int, pla
 
 
 def sent_anchors(docs: DataFrame, depth: int, gram: int) -> DataFrame:
-    """From (doc_id, text, mark): hash, doc_id, mark, salt, more. Each anchor once a batch with salt 0; its repeats in the batch under salts of their own.
+    """From (doc_id, text): hash, doc_id, salt, more. Each anchor once a batch with salt 0; its repeats in the batch under salts of their own.
 
     ``more`` says that another text of the batch has the anchor as well.
     """
@@ -239,9 +239,9 @@ def sent_anchors(docs: DataFrame, depth: int, gram: int) -> DataFrame:
             head = np.r_[True, h[1:] != h[:-1]][: len(h)]
             more = head & np.r_[~head[1:], False][: len(h)]
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), whole.column(0).take(at), whole.column(2).take(at), pa.array(np.where(head, 0, row + 1)), pa.array(more)], names=["hash", "doc_id", "mark", "salt", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), whole.column(0).take(at), pa.array(np.where(head, 0, row + 1)), pa.array(more)], names=["hash", "doc_id", "salt", "more"])
 
-    return docs.select("doc_id", "text", "mark").mapInArrow(run, "hash bigint, doc_id bigint, mark bigint, salt bigint, more boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "hash bigint, doc_id bigint, salt bigint, more boolean")
 
 
 CONTEXT = "hash bigint, doc_id bigint, mark bigint, start int, left int, body binary, size int"
@@ -369,19 +369,26 @@ def sorted_ranges(contexts: DataFrame, depth: int) -> DataFrame:
 
 
 def covered(docs: DataFrame, work: Workspace, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, mark, ranges): covered ranges of the texts that have any; not yet merged."""
-    able = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth))
-    texts = able.select("doc_id", "mark", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), F.octet_length("text").cast("long").alias("size"))
-    texts = work.save(texts, "texts")
+    """(doc_id, mark, ranges): covered ranges of the texts that have any; not yet merged.
+
+    ``mark`` is 0, but a hash of the text where several texts share the id.
+    """
+    able = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth))
+    texts = work.save(able.select("doc_id", F.xxhash64("text").alias("own"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("text_hash"), F.octet_length("text").cast("long").alias("size")), "texts")
+    several = texts.groupBy("doc_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi")
+    several = work.save(several.select("doc_id", F.lit(True).alias("several")), "several")
+    marked = lambda rows, own: rows.join(several, "doc_id", "left").withColumn("mark", F.when(F.col("several"), own).otherwise(F.lit(0).cast("long"))).drop("several")
+    able = marked(able, F.xxhash64("text"))
     # written before it is joined, so that a text on a large share of the rows is split over tasks
     firsts = work.save(texts.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
-    copies = work.save(texts.join(firsts, "text_hash").where("doc_id > first").select("doc_id", "mark", "size").distinct(), "copies")
+    copies = marked(texts.join(firsts, "text_hash").where("doc_id > first"), F.col("own"))
+    copies = work.save(copies.select("doc_id", "mark", "size").distinct(), "copies")
     alone = able.join(copies, ["doc_id", "mark"], "left_anti")
     hashed = sent_anchors(alone, depth, gram)
     same = Window.partitionBy("hash", "salt")
     shared = hashed.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).where("salt > 0 or more or lo < hi")
-    shared = work.save(shared.groupBy("doc_id", "mark").agg(F.collect_set("hash").alias("hashes")), "anchors")
-    contexts = work.save(sent_contexts(able.join(shared, ["doc_id", "mark"]), depth, gram), "contexts")
+    shared = work.save(shared.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "anchors")
+    contexts = work.save(sent_contexts(able.join(shared, "doc_id"), depth, gram), "contexts")
     sent = contexts.where("body is not null")
     hot = work.save(sent.groupBy("hash").count().where(F.col("count") > HOT).select("hash"), "hot")
     anew = work.save(dealt_anew(sent.join(hot, "hash", "left_semi"), depth, gram), "anew")
@@ -415,7 +422,8 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def with_spans(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """All columns of ``docs`` and _ranges (null where nothing is covered)."""
     found = ranges.toDF("_doc", "_mark", "_ranges")
-    return docs.join(found, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_mark")), "left").drop("_doc", "_mark")
+    own = (F.col("_mark") == 0) | (F.col("_mark") == F.xxhash64("text"))
+    return docs.join(found, (F.col("doc_id") == F.col("_doc")) & own, "left").drop("_doc", "_mark")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
