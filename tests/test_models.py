@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from vegaflow.models import garch, regimes, surface
@@ -81,6 +82,51 @@ def test_regimes():
     assert c["sd"][0] < c["sd"][2] and c["share"].sum() == pytest.approx(1)
 
 
-def test_rough_paths_are_martingales():
-    x = surface.rough_paths(0.1, 1.5, -0.7, 0.04, 0.5, paths=4000)
-    assert np.exp(x).mean() == pytest.approx(1, abs=0.03)
+def test_forecasts_are_those_of_each_model():
+    x = np.random.default_rng(5).normal(size=400)
+    w, a, b = 0.05, 0.1, 0.85
+    h = garch.ahead("GARCH", np.array([w, a, b]), x, 1.0)
+    assert np.allclose(np.diff(h), [w + (a + b - 1) * v for v in h[:-1]])  # towards its own level, not the sample's
+    h = garch.ahead("IGARCH", np.array([w, a]), x, 1.0)
+    assert np.allclose(np.diff(h), w)  # never reverts
+    h = garch.ahead("GJR", np.array([w, 0.05, 0.1, b]), x, 1.0)
+    assert h[0] > 0 and np.allclose(np.diff(h), [w + (0.05 + 0.05 + b - 1) * v for v in h[:-1]])
+    assert np.isfinite(garch.ahead("EGARCH", np.array([0.0, 0.1, -0.05, 0.95]), x, 1.0)).all()
+    assert (garch.ahead("GAS", np.array([0.0, 0.05, 0.95]), x, 1.0) == garch.ahead("GAS", np.array([0.0, 0.05, 0.95]), x, 1.0)).all()
+
+
+def test_pairs_find_the_correlation():
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(600, 2))
+    f = pd.DataFrame({"x": z[:, 0], "y": 0.7 * z[:, 0] + np.sqrt(1 - 0.49) * z[:, 1]})
+    assert all(abs(garch.correlations(f, kind)["correlation"] - 0.7) < 0.15 for kind in garch.PAIRS)
+
+
+def test_bilinear_at_nodes_between_and_beyond():
+    t, y = np.array([0.1, 1.0]), np.array([-0.2, 0.0, 0.2])
+    g = np.array([[0.1, 0.2, np.nan], [0.3, 0.4, 0.5]])
+    got = surface.bilinear(t, y, g, np.array([0.1, 0.55, 5.0, 0.1]), np.array([-0.2, -0.1, 1.0, 0.2]))
+    assert np.allclose(got, [0.1, 0.25, 0.5, 1e-5**0.5])
+
+
+def test_surface_fit_finds_its_parameters():
+    t = np.repeat([0.1, 0.3, 1.0], 21)
+    k = np.tile(np.linspace(-0.2, 0.2, 21), 3)
+    iv = np.sqrt(surface.ssvi(0.04 * t, k, -0.6, 1.1, 0.45) / t)
+    got = surface.fit_ssvi(t, k, iv)
+    assert abs(got["rho"] + 0.6) < 0.03 and got["rmse_iv"] < 1e-3 and got["calendar_ok"] and got["butterfly_ok"]
+    assert surface.fit_ssvi(t[:10], k[:10], iv[:10]) is None
+
+
+def test_skew_law_finds_its_exponent(spark):
+    from vegaflow.plans.risk import skew_law
+
+    rows = []
+    for dte in (10, 30, 60, 120, 240):  # skew = 0.5 t^-0.4 at w0 = 0.04 t with m = 0
+        t = dte / 365
+        skew, sigma, rho = 0.5 * t**-0.4, 0.1, -0.5
+        b = skew * 2 * math.sqrt(t * 0.04 * t) / abs(rho)
+        rows.append((1, dte, 0.04 * t - b * sigma, b, rho, 0.0, sigma, 0.001))
+    rows += [(2, 30, 0.01, 0.1, -0.5, 0.0, 0.1, 0.5)]
+    got = {r["run_id"]: r for r in skew_law(spark.createDataFrame(rows, "run_id int, dte int, a double, b double, rho double, m double, sigma double, rmse_iv double")).collect()}
+    assert got[1]["slope"] == pytest.approx(-0.4) and got[1]["hurst"] == pytest.approx(0.1) and got[1]["level"] == pytest.approx(0.5) and got[2]["slope"] is None

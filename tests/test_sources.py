@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from vegaflow.functions import text
-from vegaflow.plans.text import chunks_of
+from vegaflow.plans.text import chunks
 from vegaflow.sources import landing, sinks
 from vegaflow.streaming.bars import completeness, drain, latest_rows, upsert_batches
 
@@ -75,19 +75,42 @@ def test_keyed_stream_writes_and_completeness(spark, tmp_path, sf):
     schema = "k int, v string"
     spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], schema).coalesce(1).write.mode("append").parquet(str(src / "x"))
     stream = lambda: spark.readStream.schema(schema).parquet(str(src / "*"))
-    upsert_batches(stream(), str(tmp_path / "out"), ["k"], str(tmp_path / "state")).awaitTermination()
+    upsert_batches(stream(), str(tmp_path / "out"), ["k"], ["v"], str(tmp_path / "state")).awaitTermination()
     spark.createDataFrame([(2, "c")], schema).coalesce(1).write.mode("append").parquet(str(src / "y"))
-    upsert_batches(stream(), str(tmp_path / "out"), ["k"], str(tmp_path / "state")).awaitTermination()
+    upsert_batches(stream(), str(tmp_path / "out"), ["k"], ["v"], str(tmp_path / "state")).awaitTermination()
     assert sorted(map(tuple, latest_rows(spark, str(tmp_path / "out"), ["k"]).collect())) == [(1, "a"), (2, "c")]
     from vegaflow.streaming.bars import event_stream
 
     assert {r.status for r in drain(spark, completeness(event_stream(spark, sf), 30)).collect()} <= {"pass", "warn", "fail"}
 
 
-def test_chunks():
-    assert chunks_of(None) == [] and chunks_of("short") == ["short"]
-    long = "## A\n" + "\n\n".join(["Para one is here. " * 30] * 8) + "\n### B\nend"
-    c = chunks_of(long)
-    assert all(x.startswith("## A") for x in c[:-1]) and c[-1] == "### B\n\nend" and max(map(len, c)) < 2500
+def test_chunks(spark):
+    def chunks_of(text):
+        return [r["content"] for r in chunks(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).orderBy("chunk_index").collect()]
+
+    assert chunks_of(None) == [] and chunks_of("short") == ["short"] and chunks_of(" \n ") == []
+    paragraph = "Para one is here. " * 30
+    c = chunks_of("## A\n" + "\n\n".join([paragraph] * 8) + "\n### B\nend")
+    assert len(c) > 3 and all(x.startswith("## A\n\n") for x in c[:-1]) and c[-1] == "### B\n\nend" and max(map(len, c)) < 2500
+    assert sum(x.count("Para") for x in c[:-1]) >= 240 and c[1].startswith("## A\n\n" + c[0][-200:])
     one = chunks_of("Sentence number one is long. " * 200)
-    assert len(one) > 2 and "".join(one).count("Sentence") >= 200
+    assert len(one) > 2 and "".join(one).count("Sentence") >= 200 and max(map(len, one)) < 2500
+
+
+def test_spreadsheet_rows_and_earnings_days(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "h.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Name</t></si><si><r><t>Al</t></r><r><t>pha</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3"><v>1.5</v></c><c r="C3" t="inlineStr"><is><t>x</t></is></c><c r="D3"/></row></sheetData></worksheet>')
+    (tmp_path / "broken.xlsx").write_bytes(b"no zip")
+    rows = landing.sheet_rows(spark, f"{tmp_path}/*.xlsx").orderBy("row").collect()
+    assert [(r["row"], r["cells"]) for r in rows] == [(1, {"A": "Name"}), (3, {"A": "Alpha", "B": "1.5", "C": "x"})]
+    days = tmp_path / "days"
+    days.mkdir()
+    (days / "20240105.json").write_text('[{"ticker": "abc", "releaseTime": 1, "q1RevEst": 2.5}, {"ticker": "d"}]')
+    (days / "20240108.json").write_text("")
+    got = landing.earnings_days(spark, str(days)).select(F.col("day").cast("string"), "place", "ticker", "releaseTime", "q1RevEst").orderBy("place").collect()
+    assert list(map(tuple, got)) == [("2024-01-05", 0, "abc", 1, 2.5), ("2024-01-05", 1, "d", None, None)]
+    assert landing.balanced('[1, "]", [2]] rest]') == '[1, "]", [2]]' and landing.balanced("[1") is None

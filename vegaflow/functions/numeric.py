@@ -93,6 +93,33 @@ def bs_volga(s: Column, k: Column, t: Column, sigma: Column, r: float = RISK_FRE
     return bs_vega(s, k, t, sigma, r, q) * d1 * (d1 - sigma * F.sqrt(t)) / sigma
 
 
+def bachelier_greeks(s: Column, k: Column, t: Column, sigma: Column, is_call: Column, r: float = RISK_FREE, q: float = DIVIDEND) -> tuple[Column, Column, Column]:
+    """(delta, gamma, vega per unit of lognormal volatility) under a normal spot whose volatility is ``sigma`` times the forward."""
+    forward = s * F.exp(F.lit(float(r - q)) * t)
+    spread = sigma * forward * F.sqrt(t)
+    d = (forward - k) / spread
+    carry = F.exp(F.lit(float(-q)) * t)
+    n = norm_cdf(d)
+    return carry * F.when(is_call, n).otherwise(n - 1), carry * norm_pdf(d) / spread, forward * F.exp(F.lit(float(-r)) * t) * norm_pdf(d) * F.sqrt(t)
+
+
+#: Bernoulli terms B(2k) / (2k (2k - 1)) of Stirling's series.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of positive numbers: Stirling's series at x + 8, carried back by the recurrence."""
+    y = x + F.lit(8.0)
+    series = F.lit(0.0)
+    for c in reversed(STIRLING):
+        series = F.lit(c) + series / (y * y)
+    top = (y - F.lit(0.5)) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series / y
+    below = x
+    for i in range(1, 8):
+        below = below * (x + F.lit(float(i)))
+    return top - F.log(below)
+
+
 def year_fraction(days: Column) -> Column:
     """Days over 365.25, at least one day of a 365-day year."""
     return F.when(days <= 0, F.lit(1 / 365.0)).otherwise(days.cast("double") / F.lit(365.25))

@@ -57,3 +57,22 @@ def significant(x: Column, digits: int) -> Column:
     """Rounded to significant digits, half up."""
     scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(x))))
     return F.when(x == 0, F.lit(0.0)).otherwise(F.floor(x * scale + F.lit(0.5)) / scale)
+
+
+#: Start and factor of the three 32-bit lanes, and what a character is multiplied by in each.
+LANES = (("a", 2166136261, 16777619, 1), ("b", 374761393, 2246822519, 31), ("c", 89568817, 3266489917, 17))
+
+
+def lanes(c: Column) -> Column:
+    """struct(a, b, c): three 32-bit hashes of a text by xor and multiplication; products are taken in halves, as 64 bits would overflow."""
+    codes = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
+
+    def lane(start: int, factor: int, times: int) -> Column:
+        def step(h: Column, code: Column) -> Column:
+            x = h.bitwiseXOR(code * F.lit(times).cast("long"))
+            high = F.shiftright(x, 16) * F.lit(factor).cast("long") % 65536 * 65536
+            return (high + x.bitwiseAND(F.lit(65535).cast("long")) * F.lit(factor).cast("long")) % F.lit(1 << 32)
+
+        return F.aggregate(codes, F.lit(start).cast("long"), step)
+
+    return F.struct(*(lane(*how).alias(name) for name, *how in LANES))

@@ -205,6 +205,44 @@ def likelihood(model: Model, theta: np.ndarray, x: np.ndarray, h0: float) -> flo
     return v + cost if math.isfinite(v) else 1e12
 
 
+#: Models whose variance is linear in the squared return, whatever its sign: expected squares stand in for returns to come.
+LINEAR = ("GARCH", "IGARCH", "CGARCH", "FIGARCH", "HYGARCH", "REALIZED", "GARCH-M")
+#: Reported persistence of models that never forget a shock.
+INTEGRATED = ("IGARCH", "FIGARCH")
+PATHS = 400
+
+
+def ahead(name: str, theta: np.ndarray, x: np.ndarray, h0: float, days: int = 20) -> np.ndarray:
+    """Expected variances of the next days under the model's own dynamics.
+
+    Linear models run on with expected squares; GJR as well, with half of its
+    asymmetry; all others are the mean of simulated paths of one seed.
+    """
+    model = MODELS[name]
+    h = float(model.variances(theta, np.append(x, 0.0), h0)[-1])
+    out = [h]
+    if name == "GJR":
+        w, a, g, b = theta
+        while len(out) < days:
+            out.append(w + (a + g / 2 + b) * out[-1])
+    elif name in LINEAR:
+        run = x
+        while len(out) < days:
+            run = np.append(run, math.sqrt(out[-1]))
+            out.append(float(model.variances(theta, np.append(run, 0.0), h0)[-1]))
+    else:
+        rng, sums = np.random.default_rng(97), np.zeros(days)
+        for z in rng.normal(size=(PATHS, days)):
+            path, v = [], h
+            sums[0] += h
+            for d in range(1, days):
+                path.append(math.sqrt(v) * z[d])
+                v = float(model.variances(theta, np.array([*path, 0.0]), h)[-1])
+                sums[d] += v
+        return sums / PATHS
+    return np.array(out)
+
+
 def fit(name: str, returns: np.ndarray, most: int = 4000) -> dict:
     """Parameters, information criteria and the 1- and 20-day variance forecasts of demeaned returns (in percent)."""
     model, x = MODELS[name], returns - returns.mean()
@@ -212,15 +250,65 @@ def fit(name: str, returns: np.ndarray, most: int = 4000) -> dict:
     start = np.array(model.start(h0))
     theta, cost, settled = settled_simplex(lambda p: likelihood(model, p, x, h0), start, most=most, tol=FIT_TOL)
     theta = np.clip(theta, model.low, model.high)
-    h = model.variances(theta, np.append(x, 0.0), h0)
+    later = ahead(name, theta, x, h0)
     k, n = len(theta), len(x)
-    keep = min(0.9999, max(0.0, model.persistence(theta)))
-    ahead = h0 + (h[-1] - h0) * keep ** np.arange(20)
-    return {"model": name, "k": k, "n": n, "nll": cost, "aic": 2 * k + 2 * cost, "bic": k * math.log(n) + 2 * cost, "persistence": keep, "sigma_1d": math.sqrt(h[-1] * 252), "sigma_20d": math.sqrt(max(0.0, ahead.mean()) * 252), "converged": settled}
+    keep = 1.0 if name in INTEGRATED else max(0.0, model.persistence(theta))
+    return {"model": name, "k": k, "n": n, "nll": cost, "aic": 2 * k + 2 * cost, "bic": k * math.log(n) + 2 * cost, "persistence": keep, "sigma_1d": math.sqrt(later[0] * 252), "sigma_20d": math.sqrt(max(0.0, later.mean()) * 252), "converged": settled}
+
+
+#: Models of two series.
+PAIRS = ("CCC", "DCC", "BEKK", "OGARCH")
+
+
+def diagonal_bekk(e: np.ndarray) -> dict:
+    """Covariances by own and cross products with diagonal weights, around the sample covariance (variance targeting)."""
+    target = e @ e.T / e.shape[1]
+    flat = target[[0, 0, 1], [0, 1, 1]]
+    products = np.stack([e[0] * e[0], e[0] * e[1], e[1] * e[1]], axis=1)
+
+    def path(p: np.ndarray) -> np.ndarray:
+        a, b = np.abs(p[:2]), np.abs(p[2:])
+        news, memory = np.array([a[0] ** 2, a[0] * a[1], a[1] ** 2]), np.array([b[0] ** 2, b[0] * b[1], b[1] ** 2])
+        base, h, out = (1 - news - memory) * flat, flat.copy(), []
+        for x in products:
+            out.append(h)
+            h = base + news * x + memory * h
+        return np.array([*out, h])
+
+    def cost(p: np.ndarray) -> float:
+        over = max(0.0, float((np.abs(p[:2]) ** 2 + np.abs(p[2:]) ** 2).max()) - 0.9995)
+        if over:
+            return 1e8 * (1 + over)
+        h = path(p)[:-1]
+        det = h[:, 0] * h[:, 2] - h[:, 1] ** 2
+        if not (det > 0).all():
+            return 1e8
+        return 0.5 * float(np.sum(2 * math.log(2 * math.pi) + np.log(det) + (h[:, 2] * products[:, 0] - 2 * h[:, 1] * products[:, 1] + h[:, 0] * products[:, 2]) / det))
+
+    p, v, settled = settled_simplex(cost, np.array([0.2, 0.2, 0.95, 0.95]), most=4000, tol=FIT_TOL)
+    last = path(p)[-1]
+    return {"model": "BEKK", "k": 7, "nll": v, "correlation": float(last[1] / math.sqrt(last[0] * last[2])), "converged": settled}
+
+
+def orthogonal_garch(e: np.ndarray) -> dict:
+    """Principal components with a variance model each; the correlation that they imply for the next day."""
+    _, vectors = np.linalg.eigh(e @ e.T / e.shape[1])
+    nll, next_variances, all_settled = 0.0, [], True
+    for f in vectors.T @ e:
+        h0 = float(f.var())
+        theta, v, settled = settled_simplex(lambda p, f=f, h0=h0: likelihood(MODELS["GARCH"], p, f, h0), np.array(MODELS["GARCH"].start(h0)), most=4000, tol=FIT_TOL)
+        theta = np.clip(theta, MODELS["GARCH"].low, MODELS["GARCH"].high)
+        nll, all_settled = nll + v, all_settled and settled
+        next_variances.append(float(garch(theta, np.append(f, 0.0), h0)[-1]))
+    h = vectors @ np.diag(next_variances) @ vectors.T
+    return {"model": "OGARCH", "k": 6, "nll": nll, "correlation": float(h[0, 1] / math.sqrt(h[0, 0] * h[1, 1])), "converged": all_settled}
 
 
 def correlations(pdf: pd.DataFrame, kind: str) -> dict:
-    """Constant or dynamic correlation of two series standardised by their own GARCH variances."""
+    """Correlation of two series: constant or dynamic, standardised by their own GARCH variances, or of a model of both."""
+    if kind in ("BEKK", "OGARCH"):
+        e = pdf[["x", "y"]].to_numpy().T
+        return (diagonal_bekk if kind == "BEKK" else orthogonal_garch)(e - e.mean(axis=1, keepdims=True))
     z, all_settled = [], True
     for c in ("x", "y"):
         e = pdf[c].to_numpy() - pdf[c].mean()

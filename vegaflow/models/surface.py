@@ -68,6 +68,63 @@ def local_volatility_grid(t: np.ndarray, p: np.ndarray, rows: int = 32, columns:
     return {"t": years.ravel(), "y": y.ravel(), "local_vol": np.where(flag == "ok", np.sqrt(np.abs(v)), np.nan).ravel(), "flag": flag.ravel()}
 
 
+#: Seeds (rho, eta, gamma) of the surface fit.
+SSVI_SEEDS = ((-0.7, 1.5, 0.5), (-0.5, 1.0, 0.4), (-0.9, 2.0, 0.6), (-0.3, 1.0, 0.3), (-0.75, 1.2, 0.45))
+SSVI_FIELDS = ("expirations", "rho", "eta", "gamma", "rmse_iv", "calendar_ok", "butterfly_most", "butterfly_ok", "converged")
+
+
+def ssvi(theta: np.ndarray, k: np.ndarray, rho: float, eta: float, gamma: float) -> np.ndarray:
+    """Total variance of the surface with the power-law curvature."""
+    x = curvature(theta, eta, gamma) * k
+    return theta / 2 * (1 + rho * x + np.sqrt((x + rho) ** 2 + 1 - rho * rho))
+
+
+def curvature(theta: np.ndarray, eta: float, gamma: float) -> np.ndarray:
+    return eta * theta**-gamma * (1 + theta) ** (gamma - 1)
+
+
+def fit_ssvi(t: np.ndarray, k: np.ndarray, iv: np.ndarray) -> dict | None:
+    """The surface of all quotes (years, log-moneyness, volatility); None without two expirations of five quotes.
+
+    Variance at the money is interpolated within each expiration; the three
+    other parameters minimise the squared error of volatility, from five seeds.
+    """
+    years = [x for x in np.unique(t) if (t == x).sum() >= 5]
+    if len(years) < 2:
+        return None
+    keep = np.isin(t, years)
+    t, k, iv = t[keep], k[keep], iv[keep]
+    at = {}
+    for x in years:
+        order = np.argsort(k[t == x])
+        at[x] = float(np.interp(0.0, k[t == x][order], iv[t == x][order])) ** 2 * x
+    theta = np.array([at[x] for x in t])
+    shape = lambda z: (math.tanh(z[0]), math.exp(min(5.0, z[1])), 1 / (1 + math.exp(-z[2])))
+    error = lambda z: float(np.mean((np.sqrt(np.maximum(ssvi(theta, k, *shape(z)), 0) / t) - iv) ** 2))
+    fits = [settled_simplex(error, np.array([math.atanh(rho), math.log(eta), math.log(gamma / (1 - gamma))])) for rho, eta, gamma in SSVI_SEEDS]
+    z, cost, settled = min(fits, key=lambda f: f[1])
+    rho, eta, gamma = shape(z)
+    levels = np.array([at[x] for x in years])
+    most = float((levels * curvature(levels, eta, gamma)).max() * (1 + abs(rho)))
+    return dict(zip(SSVI_FIELDS, (len(years), rho, eta, gamma, math.sqrt(cost), bool((np.diff(levels) >= -1e-10).all()), most, most <= 4 + 1e-6, settled), strict=True))
+
+
+def bilinear(t: np.ndarray, y: np.ndarray, grid: np.ndarray, at_t: np.ndarray, at_y: np.ndarray, least: float = 1e-5) -> np.ndarray:
+    """Volatility between the nodes of a grid (years by log-moneyness), held at its edges; missing nodes and results count as sqrt(least)."""
+    spare = math.sqrt(least)
+    nodes = np.where(np.isfinite(grid), grid, spare)
+
+    def place(axis: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.clip(x, axis[0], axis[-1])
+        i = np.clip(np.searchsorted(axis, x, "right") - 1, 0, len(axis) - 2)
+        span = axis[i + 1] - axis[i]
+        return i, np.where(span > 0, (x - axis[i]) / np.where(span > 0, span, 1), 0)
+
+    (i, u), (j, v) = place(t, np.asarray(at_t, float)), place(y, np.asarray(at_y, float))
+    out = (1 - u) * ((1 - v) * nodes[i, j] + v * nodes[i, j + 1]) + u * ((1 - v) * nodes[i + 1, j] + v * nodes[i + 1, j + 1])
+    return np.where(np.isfinite(out) & (out > 0), out, spare)
+
+
 def density(p: np.ndarray, spot: float, t: float, nodes: int = 401) -> dict:
     """Risk-neutral density from second differences of call prices; clipped and normalised; its mean and quantiles."""
     strikes = spot * np.exp(np.linspace(-0.6, 0.6, nodes))
@@ -201,25 +258,3 @@ def vanna_volga(s: float, t: float, k: np.ndarray, pivots: tuple[float, float, f
     for x, kk, v in ((x1, k1, vols[0]), (x2, k2, flat), (x3, k3, vols[2])):
         price = price + x * (call(kk, v) - call(kk, flat))
     return implied_volatility(price, s, k, t)
-
-
-def rough_paths(h: float, eta: float, rho: float, xi: float, t: float, steps: int = 100, paths: int = 400, seed: int = 42) -> np.ndarray:
-    """Terminal log-prices of a rough volatility model from the joint factor of the fractional and the driving noise."""
-    grid = np.arange(1, steps + 1) * t / steps
-    gamma = 0.5 - h
-    nodes = (np.arange(200) + 0.5) / 200
-    lo, hi = np.minimum.outer(grid, grid), np.maximum.outer(grid, grid)
-    x = nodes[:, None, None] ** (1 / (1 - gamma))  # removes the singularity at zero
-    frac = lo ** (1 - gamma) / (1 - gamma) * np.mean((hi - lo + lo * x) ** -gamma, axis=0) * 2 * h
-    cross = rho * math.sqrt(2 * h) / (h + 0.5) * (grid[:, None] ** (h + 0.5) - np.maximum(grid[:, None] - lo, 0) ** (h + 0.5))
-    joint = np.block([[frac, cross], [cross.T, lo]])
-    values, vectors = np.linalg.eigh(0.5 * (joint + joint.T))
-    root = vectors * np.sqrt(np.maximum(values, 0))
-    g = np.random.default_rng(seed).normal(size=(paths // 2, 2 * steps))
-    z = np.vstack([g, -g]) @ root.T
-    v = xi * np.exp(eta * z[:, :steps] - 0.5 * eta**2 * grid ** (2 * h))
-    v = np.hstack([np.full((len(v), 1), xi), v[:, :-1]])
-    dw = np.diff(np.hstack([np.zeros((len(z), 1)), z[:, steps:]]), axis=1)
-    return (np.sqrt(v) * dw - 0.5 * v * t / steps).sum(axis=1)
-
-

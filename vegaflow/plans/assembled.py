@@ -11,7 +11,9 @@ from vegaflow.functions.text import is_percent, leading_number, option_root, sig
 from vegaflow.operators.series import first_seeded_ema
 from vegaflow.plans import chain, daily, surface
 from vegaflow.plans.registry import query
+from vegaflow.session import shared_folder
 from vegaflow.sources.fixtures import BARS_SQL, CONTRACTS_SQL, PANEL_SQL, contracts, daily_bars, sql_round, symbol_panel, table
+from vegaflow.sources.sinks import append
 
 BENCHMARK = daily.BENCHMARK
 
@@ -45,7 +47,11 @@ def rotation_quadrants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("symbol", js_round(F.col("rs_ratio"), 5).alias("rs_ratio"), js_round(F.col("rs_momentum"), 5).alias("rs_momentum"), daily.quadrant(F.col("rs_ratio"), F.col("rs_momentum")).alias("quadrant"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PANEL_SQL}, wk AS (SELECT symbol, CAST(date_trunc('week', trading_date) AS DATE) AS week, max_by(close, trading_date) AS c FROM panel GROUP BY 1, 2),
+rs AS (SELECT a.symbol, a.week, a.c / b.c * 100 AS rs, row_number() OVER (PARTITION BY a.symbol ORDER BY a.week) AS i, count(*) OVER (PARTITION BY a.symbol) AS n FROM wk a JOIN wk b ON b.symbol = '{BENCHMARK}' AND b.week = a.week WHERE a.symbol <> '{BENCHMARK}'),
+{daily.ema_sql('rs', 'rs', 3, 'e1')}, s1 AS (SELECT symbol, i, e AS rs FROM e1), {daily.ema_sql('s1', 'rs', 26, 'e2')}, s2 AS (SELECT a.symbol, a.i, a.rs / b.e * 100 AS ratio FROM s1 a JOIN e2 b USING (symbol, i)),
+{daily.ema_sql('s2', 'ratio', 5, 'e3')}, pts AS (SELECT s2.symbol, rs.week, ratio, ratio / e * 100 AS momentum, row_number() OVER (PARTITION BY s2.symbol ORDER BY s2.i DESC) AS r FROM s2 JOIN e3 USING (symbol, i) JOIN rs USING (symbol, i) WHERE n >= 34)
+SELECT symbol, week, {sql_round('ratio', 5)} AS rs_ratio, {sql_round('momentum', 5)} AS rs_momentum, CASE WHEN ratio >= 100 AND momentum >= 100 THEN 'leading' WHEN ratio >= 100 THEN 'weakening' WHEN momentum >= 100 THEN 'improving' ELSE 'lagging' END AS quadrant FROM pts WHERE r <= 10""")
 def weekly_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative rotation on the last close of each ISO week (windows 3, 26 and 5), ten points each."""
     week = F.date_trunc("week", "trading_date")
@@ -54,7 +60,7 @@ def weekly_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rs = p.where(F.col("symbol") != BENCHMARK).join(bench, "week").select("symbol", "week", (F.col("c") / F.col("b") * 100).alias("rs"))
     r = daily.relative_rotation(rs, ["symbol"], "week", "rs", 3, 26, 5).where("n >= 34")
     r = r.withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("week")))).where("r <= 10")
-    return r.select("symbol", "week", "rs_ratio", "rs_momentum", daily.quadrant(F.col("rs_ratio"), F.col("rs_momentum")).alias("quadrant"))
+    return r.select("symbol", "week", js_round(F.col("rs_ratio"), 5).alias("rs_ratio"), js_round(F.col("rs_momentum"), 5).alias("rs_momentum"), daily.quadrant(F.col("rs_ratio"), F.col("rs_momentum")).alias("quadrant"))
 
 
 @query(f"""WITH {BARS_SQL}, r AS (SELECT trading_date, ln(close / lag(close) OVER (ORDER BY trading_date)) * 100 AS x FROM bars), c AS (SELECT trading_date, x - (SELECT avg(x) FROM r) AS e FROM r WHERE x IS NOT NULL)
@@ -93,21 +99,27 @@ def open_interest_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
 TARGETS = (7, 14, 30, 60, 90, 180)
 
 
-@query()
+def tenors_sql() -> str:
+    steps = ["e AS (SELECT DISTINCT run_id, dte FROM contracts)"]
+    for i, t in enumerate(TARGETS):
+        taken = "".join(f" AND NOT EXISTS (SELECT 1 FROM p{j} WHERE p{j}.run_id = e.run_id AND p{j}.dte = e.dte)" for j in range(i))
+        steps.append(f"p{i} AS (SELECT run_id, {t} AS target, arg_min(dte, abs(dte - {t}) * 1000 + dte) AS dte FROM e WHERE true{taken} GROUP BY 1)")
+    return f"WITH {CONTRACTS_SQL}, {', '.join(steps)} {' UNION ALL '.join(f'SELECT * FROM p{i}' for i in range(len(TARGETS)))}"
+
+
+@query(tenors_sql())
 def spaced_tenors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct expirations nearest to log-spaced targets, each taken once, in order of the targets."""
-    e = contracts(spark, sf_dir).select("run_id", "dte").distinct()
+    """Distinct expirations nearest to log-spaced targets, each taken once, in order of the targets: a fold over the targets, in columns."""
+    e = contracts(spark, sf_dir).groupBy("run_id").agg(F.collect_set("dte").alias("listed"))
+    none = F.array().cast("array<struct<target:int,dte:int>>")
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        left, rows = sorted(g["dte"]), []
-        for t in TARGETS:
-            if left:
-                pick = min(left, key=lambda d: (abs(d - t), d))
-                left.remove(pick)
-                rows.append((key[0], t, pick))
-        return pd.DataFrame(rows, columns=["run_id", "target", "dte"])
+    def take(acc, target):
+        pick = F.array_min(F.transform(acc["left"], lambda d: F.struct(F.abs(d - target).alias("off"), d.alias("dte"))))["dte"]
+        taken = F.when(pick.isNull(), acc["picks"]).otherwise(F.concat(acc["picks"], F.array(F.struct(target.alias("target"), pick.alias("dte")))))
+        return F.struct(F.when(pick.isNull(), acc["left"]).otherwise(F.array_remove(acc["left"], pick)).alias("left"), taken.alias("picks"))
 
-    return e.groupBy("run_id").applyInPandas(run, "run_id int, target int, dte int")
+    picks = F.aggregate(F.array(*map(F.lit, TARGETS)), F.struct(F.col("listed").alias("left"), none.alias("picks")), take, lambda acc: acc["picks"])
+    return e.select("run_id", F.inline(picks))
 
 
 @query("""WITH p AS (SELECT p_partkey, 'O:' || CASE p_partkey % 4 WHEN 0 THEN 'SPXW' WHEN 1 THEN 'SPX' WHEN 2 THEN 'AAPL' ELSE 'T' END || '240119C0' || CAST(p_partkey AS VARCHAR) AS sym, CASE WHEN p_partkey % 3 = 0 THEN '1,2' || CAST(p_partkey % 10 AS VARCHAR) || '0.5%' WHEN p_partkey % 3 = 1 THEN 'about -3.5 pts' ELSE 'none' END AS txt, CAST(p_retailprice AS DOUBLE) AS price FROM part)
@@ -136,11 +148,12 @@ PHASES = {"term_structure": daily.daily_term_structure, "gex_stats": chain.daily
 
 @query()
 def end_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run the phases in order; a failing phase is reported and does not stop the others."""
-    out = []
+    """Run the phases in order, each into a table of the shared folder; a failing phase is reported and does not stop the others."""
+    root, out = shared_folder(spark, "end-of-day"), []
     for name, phase in PHASES.items():
         try:
-            out.append((name, "success", phase(spark, sf_dir).count(), None))
+            append(phase(spark, sf_dir), f"{root}/{name}")
+            out.append((name, "success", spark.read.parquet(f"{root}/{name}").count(), None))
         except Exception as e:  # noqa: BLE001 - the report is the result
             out.append((name, "error", None, str(e)[:200]))
     return spark.createDataFrame(out, "phase string, status string, n_rows bigint, message string")

@@ -163,9 +163,9 @@ def chain_totals(c: DataFrame) -> DataFrame:
     )
 
 
-def gamma_index(atm_call, atm_put, atm_count, call, put, count):
+def gamma_index(atm_call, atm_put, atm_count, call, put, count, least_atm: int = 50, least: int = 1000):
     """10 (C - P) / (C + P) at the money if that has 50 contracts, else over the chain if it has 1000."""
-    return F.when((atm_call + atm_put > 0) & (atm_count >= 50), (atm_call - atm_put) / (atm_call + atm_put) * 10).when((call + put > 0) & (count >= 1000), (call - put) / (call + put) * 10)
+    return F.when((atm_call + atm_put > 0) & (atm_count >= least_atm), (atm_call - atm_put) / (atm_call + atm_put) * 10).when((call + put > 0) & (count >= least), (call - put) / (call + put) * 10)
 
 
 TOTALS_SQL = f"""{CONTRACTS_SQL}, totals AS (
@@ -225,7 +225,7 @@ def spot_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = contracts(spark, sf_dir).where("is_call")
     exps = calls.groupBy("run_id", "dte").count().where("count >= 5").groupBy("run_id").agg(F.min("dte").alias("dte"))
     w = Window.partitionBy("run_id").orderBy("strike")
-    x = calls.join(F.broadcast(exps), ["run_id", "dte"]).withColumns({f"{c}2": F.lead(c).over(w) for c in ("delta", "strike", "iv")})
+    x = calls.join(exps, ["run_id", "dte"]).withColumns({f"{c}2": F.lead(c).over(w) for c in ("delta", "strike", "iv")})
     brackets = F.coalesce((F.col("delta") >= 0.5) & (F.col("delta2") <= 0.5) & (F.col("delta") > F.col("delta2")), F.lit(False))
     t = F.when(brackets, (F.col("delta") - 0.5) / (F.col("delta") - F.col("delta2"))).otherwise(0.0)
     key = F.struct(F.when(brackets, 0).otherwise(1).alias("a"), F.when(brackets, 0.0).otherwise(F.abs(F.col("delta") - 0.5)).alias("b"), F.col("strike"))

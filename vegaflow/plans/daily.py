@@ -411,6 +411,18 @@ def oscillator_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("run_id").agg(F.min("trading_date").alias("first_date"), F.max("trading_date").alias("last_date"), F.count("*").alias("days"), F.max(F.signum("v")).cast("int").alias("side"), js_round(F.max(began), 4).alias("crossing_day"))
 
 
+@query(f"""WITH {OSC_SQL}, r AS (SELECT *, lag(v) OVER (ORDER BY trading_date) AS v0, lag(trading_date) OVER (ORDER BY trading_date) AS t0 FROM osc)
+SELECT CAST(datediff('day', DATE '1970-01-01', trading_date) AS DOUBLE) AS at_day, {sql_round('v', 4)} AS v, 'point' AS kind FROM r
+UNION ALL SELECT {sql_round("datediff('day', DATE '1970-01-01', t0) - v0 / (v - v0) * datediff('day', t0, trading_date)", 4)}, 0e0, 'crossing' FROM r WHERE v0 * v < 0""")
+def oscillator_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oscillator's points and, between two of unlike sign, the interpolated point where it is zero."""
+    v = vol_indices(spark, sf_dir).where("symbol = 'VIX'").select("trading_date", (F.col("close") - 22).alias("v"))
+    r = v.withColumns({"v0": F.lag("v").over(days()), "t0": F.lag("trading_date").over(days())})
+    zero = F.unix_date("t0") - F.col("v0") / (F.col("v") - F.col("v0")) * F.datediff("trading_date", "t0")
+    points = r.select(F.unix_date("trading_date").cast("double").alias("at_day"), js_round(F.col("v"), 4).alias("v"), F.lit("point").alias("kind"))
+    return points.unionAll(r.where(F.col("v0") * F.col("v") < 0).select(js_round(zero, 4), F.lit(0.0), F.lit("crossing")))
+
+
 @query(f"""WITH {VIX_SQL}, p AS (SELECT a.close AS x, b.close AS y FROM vix a JOIN vix b USING (trading_date) WHERE a.symbol = 'VIX' AND b.symbol = 'VVIX' AND b.close > 0)
 SELECT count(*) AS n, {sql_round('exp(regr_intercept(ln(y), x))', 6)} AS a, {sql_round('regr_slope(ln(y), x)', 6)} AS b, {sql_round('regr_r2(ln(y), x)', 6)} AS r2 FROM p HAVING count(*) >= 10""")
 def exponential_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

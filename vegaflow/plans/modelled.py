@@ -27,7 +27,7 @@ def otm_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slices(spark, sf_dir).groupBy("run_id", "dte").agg(F.count("*").alias("n"), F.min("strike").alias("low"), F.max("strike").alias("high"), js_round(F.sum("iv"), 6).alias("sum_iv"))
 
 
-SVI_SCHEMA = "run_id int, dte int, n int, a double, b double, rho double, m double, sigma double, rmse double, butterfly_ok boolean, floor_ok boolean, rmse_iv double"
+SVI_SCHEMA = "run_id int, dte int, spot double, n int, a double, b double, rho double, m double, sigma double, rmse double, butterfly_ok boolean, floor_ok boolean, rmse_iv double"
 
 
 def svi_parameters(q: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def svi_parameters(q: DataFrame) -> DataFrame:
         if fitted:
             w = surface.svi([fitted[x] for x in ("a", "b", "rho", "m", "sigma")], k)
             fitted["rmse_iv"] = float(np.sqrt(np.mean((np.sqrt(np.maximum(w, 0) / t) - iv) ** 2)))
-        return pd.DataFrame([{"run_id": key[0], "dte": key[1], "n": len(g), **fitted}] if fitted else [], columns=["run_id", "dte", "n", "a", "b", "rho", "m", "sigma", "rmse", "butterfly_ok", "floor_ok", "rmse_iv"])
+        return pd.DataFrame([{"run_id": key[0], "dte": key[1], "spot": float(g["spot"].iloc[0]), "n": len(g), **fitted}] if fitted else [], columns=["run_id", "dte", "spot", "n", "a", "b", "rho", "m", "sigma", "rmse", "butterfly_ok", "floor_ok", "rmse_iv"])
 
     return q.groupBy("run_id", "dte").applyInPandas(run, SVI_SCHEMA)
 
@@ -49,7 +49,7 @@ def svi_parameters(q: DataFrame) -> DataFrame:
 @query()
 def svi_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smile parameters of every expiration, their error and arbitrage flags."""
-    return svi_parameters(slices(spark, sf_dir)).drop("rmse_iv")
+    return svi_parameters(slices(spark, sf_dir)).drop("rmse_iv", "spot")
 
 
 @query()
@@ -58,7 +58,7 @@ def risk_neutral_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            rows = [{"run_id": r.run_id, "dte": r.dte, **surface.density(np.array([r.a, r.b, r.rho, r.m, r.sigma]), 5000.0 + 25.0 * (r.run_id - 4), r.dte / 365)} for r in f.itertuples()]
+            rows = [{"run_id": r.run_id, "dte": r.dte, **surface.density(np.array([r.a, r.b, r.rho, r.m, r.sigma]), r.spot, r.dte / 365)} for r in f.itertuples()]
             yield pd.DataFrame(rows, columns=["run_id", "dte", "mean", "q10", "q50", "q90", "raw_area"])
 
     return svi_parameters(slices(spark, sf_dir)).mapInPandas(run, "run_id int, dte int, mean double, q10 double, q50 double, q90 double, raw_area double")
@@ -226,10 +226,10 @@ def garch_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def correlation_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constant and dynamic correlation of each index with the first."""
+    """Correlation of each index with the first by four two-series models: constant, dynamic, diagonal BEKK, orthogonal factors."""
     r = returns(spark, sf_dir)
     base = r.where("symbol = 'VIX'").select("trading_date", F.col("x").alias("x"))
-    j = r.where("symbol <> 'VIX'").select("symbol", "trading_date", F.col("x").alias("y")).join(base, "trading_date").withColumn("kind", F.explode(F.array(F.lit("CCC"), F.lit("DCC"))))
+    j = r.where("symbol <> 'VIX'").select("symbol", "trading_date", F.col("x").alias("y")).join(base, "trading_date").withColumn("kind", F.explode(F.array(*map(F.lit, garch.PAIRS))))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"symbol": key[0], **garch.correlations(g.sort_values("trading_date"), key[1])}])
@@ -283,20 +283,3 @@ def detrended_fluctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = b.groupBy("size", F.floor(F.col("i") / F.col("size")).alias("box")).agg(F.count("*").alias("k"), (F.regr_syy("y", "i") - F.regr_sxy("y", "i") * F.regr_sxy("y", "i") / F.regr_sxx("y", "i")).alias("sse"))
     f = b.groupBy("size").agg(F.sqrt(F.sum("sse") / F.sum("k")).alias("f"), F.count("*").alias("boxes"))
     return f.agg(js_round(F.regr_slope(F.log("f"), F.log("size")), 6).alias("hurst"), js_round(F.regr_r2(F.log("f"), F.log("size")), 6).alias("r2"), F.sum("boxes").alias("boxes"))
-
-
-@query()
-def rough_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulated quantiles and skew of a rough volatility model for several roughness values, one task each."""
-    grid = spark.range(1).select(F.explode(F.array(*(F.lit(h) for h in (0.07, 0.12, 0.2, 0.35)))).alias("h")).select("h", F.explode(F.array(*(F.lit(t) for t in (0.1, 0.25, 1.0)))).alias("t"))
-
-    def run(frames):
-        for f in frames:
-            rows = []
-            for r in f.itertuples():
-                x = surface.rough_paths(r.h, 1.9, -0.7, 0.04, r.t)
-                z = (x - x.mean()) / x.std()
-                rows.append((r.h, r.t, *map(float, np.quantile(x, (0.1, 0.5, 0.9))), float((z**3).mean())))
-            yield pd.DataFrame(rows, columns=["h", "t", "q10", "q50", "q90", "skew"])
-
-    return grid.repartition(12, "h", "t").mapInPandas(run, "h double, t double, q10 double, q50 double, q90 double, skew double")

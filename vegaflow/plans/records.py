@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vegaflow.functions.numeric import js_round, to_number
+from vegaflow.functions.text import LANES
 from vegaflow.operators.series import latest_per_key, upserted
 from vegaflow.plans.registry import query
 from vegaflow.plans.surface import RUNS_SQL, run_log
-from vegaflow.sources.fixtures import BARS_SQL, TERM_SQL, daily_bars, sql_round, table, term_structure
+from vegaflow.sources.fixtures import BARS_SQL, CONTRACTS_SQL, TERM_SQL, contracts, daily_bars, sql_round, table, term_structure
+from vegaflow.sources.landing import SEED_RANGES, seeded
 
 
 @query(f"""WITH {BARS_SQL}, {TERM_SQL}, n AS (SELECT trading_date, avg(atm_iv) AS close, CAST(count(*) AS BIGINT) AS sample_count FROM term WHERE dte < 30 GROUP BY 1)
@@ -80,3 +82,37 @@ def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view", "purchase") & F.col("value").isNotNull())
     v = F.abs("value")
     return e.select("event_id", to_number(F.get_json_object("props", "$.k")).alias("k"), F.col("value").isNotNull().alias("has_value"), js_round(F.signum("value") * F.log1p(v), 6).alias("symlog"), F.when(v >= 100, "high").when(v >= 10, "mid").otherwise("low").alias("size_class"))
+
+
+@query("""SELECT o_orderkey AS run_id, CAST(o_orderdate AS DATE) AS trading_date FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 45)""")
+def non_empty_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that have any row of a kind: one hit is enough, so a semi-join stops there."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
+    return o.join(li, o.o_orderkey == li.l_orderkey, "left_semi").select(F.col("o_orderkey").alias("run_id"), F.to_date("o_orderdate").alias("trading_date"))
+
+
+@query(f"""WITH {CONTRACTS_SQL} SELECT run_id, count(*) AS listed, count(*) FILTER (gamma IS NOT NULL AND delta IS NOT NULL AND iv > 0.001e0 AND (dte <= 30 OR (day(expiration_date) BETWEEN 15 AND 21 AND isodow(expiration_date) = 5))) AS eligible, count(DISTINCT expiration_date) FILTER (dte > 30 AND day(expiration_date) BETWEEN 15 AND 21 AND isodow(expiration_date) = 5) AS monthly_targets FROM contracts GROUP BY 1""")
+def eligible_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts that an ingest keeps: with greeks and volatility, and within 30 days or of a monthly expiration."""
+    third = F.dayofmonth("expiration_date").between(15, 21) & (F.weekday("expiration_date") == 4)
+    sound = F.col("gamma").isNotNull() & F.col("delta").isNotNull() & (F.col("iv") > 0.001)
+    c = contracts(spark, sf_dir)
+    return c.groupBy("run_id").agg(F.count("*").alias("listed"), F.count_if(sound & ((F.col("dte") <= 30) | third)).alias("eligible"), F.countDistinct(F.when((F.col("dte") > 30) & third, F.col("expiration_date"))).alias("monthly_targets"))
+
+
+def lane_sql(start: int, factor: int, times: int) -> str:
+    x = f"xor(h, k * {times}::BIGINT)"
+    step = f"(({x} >> 16) * {factor}::BIGINT % 65536 * 65536 + ({x} & 65535) * {factor}::BIGINT) % 4294967296"
+    return f"list_reduce(list_transform(string_split(symbol, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, k: {step}, {start}::BIGINT)"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT p_brand AS symbol FROM part), h AS (SELECT symbol, {', '.join(f'{lane_sql(*how)} AS {n}' for n, *how in LANES)} FROM s),
+v AS (SELECT symbol, {', '.join(f'{low!r}::DOUBLE + {lane} / 4294967295e0 * {width!r}::DOUBLE AS {name}' for name, lane, low, width in SEED_RANGES)} FROM h), c AS (SELECT count(*) FILTER (length(symbol) = 7) * 1e0 / count(*) AS covered FROM s)
+SELECT symbol, CASE WHEN covered < 0.5e0 THEN 'seed' ELSE 'live' END AS mode, {sql_round('atm_iv', 6)} AS atm_iv, {sql_round('atm_iv + call_skew', 6)} AS call_25d_iv, {sql_round('atm_iv + put_skew', 6)} AS put_25d_iv, {sql_round('put_skew - call_skew', 6)} AS rr_skew FROM v, c""")
+def seed_skews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in skews of all symbols where under half of them have live data (here: those with a name of seven letters)."""
+    s = table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol")).distinct()
+    covered = s.agg((F.count_if(F.length("symbol") == 7) / F.count("*")).alias("covered"))
+    v = seeded(s).drop("mode").join(F.broadcast(covered))  # one row
+    put, call = F.col("put_skew"), F.col("call_skew")
+    return v.select("symbol", F.when(F.col("covered") < 0.5, "seed").otherwise("live").alias("mode"), js_round(F.col("atm_iv"), 6).alias("atm_iv"), js_round(F.col("atm_iv") + call, 6).alias("call_25d_iv"), js_round(F.col("atm_iv") + put, 6).alias("put_25d_iv"), js_round(put - call, 6).alias("rr_skew"))

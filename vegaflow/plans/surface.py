@@ -42,7 +42,7 @@ def fixed_strike_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = contracts(spark, sf_dir)
     sides = c.groupBy("run_id", "dte").agg(*(F.array_sort(F.collect_list(F.when(F.col("is_call") == call, F.struct("strike", "iv")))).alias(n) for n, call in (("calls", True), ("puts", False))))
     sides = sides.withColumn("e", F.row_number().over(Window.partitionBy("run_id").orderBy("dte"))).where("e > 1")
-    j = sides.join(F.broadcast(ladder(c)), "run_id").withColumn("side", F.when(F.col("target") > F.col("spot"), F.col("calls")).otherwise(F.col("puts")))
+    j = sides.join(ladder(c), "run_id").withColumn("side", F.when(F.col("target") > F.col("spot"), F.col("calls")).otherwise(F.col("puts")))
     lo, hi = F.element_at(F.filter("side", lambda x: x["strike"] <= F.col("target")), -1), F.filter("side", lambda x: x["strike"] >= F.col("target"))
     j = j.withColumns({"lo": F.when(F.size(F.filter("side", lambda x: x["strike"] <= F.col("target"))) > 0, lo), "hi": F.when(F.size(hi) > 0, F.element_at(hi, 1))})
     w = (F.col("target") - F.col("lo.strike")) / (F.col("hi.strike") - F.col("lo.strike"))
@@ -63,7 +63,7 @@ def skew_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skew of the expiration nearest 30 days, per run, with its average rank."""
     c = contracts(spark, sf_dir).where((F.col("iv") > 0.001) & (F.col("iv") < 5))
     e = c.groupBy("run_id", "dte").count().where("count >= 4").groupBy("run_id").agg(F.min_by("dte", F.struct(F.abs(F.col("dte") - 30), F.col("dte"))).alias("dte"))
-    x = c.join(F.broadcast(e), ["run_id", "dte"])
+    x = c.join(e, ["run_id", "dte"])
     near = F.struct(F.abs(F.col("strike") - F.col("spot")), F.col("strike"))
     off = F.struct(F.abs(F.abs("delta") - F.lit(0.25)), F.col("strike"))
     pick = lambda ok, key: F.min_by(F.when(ok, F.col("iv")), F.when(ok, key))

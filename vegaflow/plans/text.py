@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vegaflow.functions.numeric import js_round
 from vegaflow.operators.search import nearest_rows
-from vegaflow.plans.registry import query
-from vegaflow.sources.fixtures import sql_round, table
-
-#: Fixed values: (pattern, replacement) in order; patterns are case-insensitive and dots span nothing.
-PROSE = [
-    *((rf"<{t}[\s\S]*?</{t}>", "") for t in ("head", "script", "style", "nav", "footer", "svg")),
-    *((rf"<h{i}[^>]*>\s*", "\n\n" + "#" * max(2, i) + " ") for i in range(1, 7)),
-    (r"\s*</h[1-6]>", "\n\n"),
-    (r"<br\s*/?>", "\n"),
-    (r"</(p|div|section|article|li|tr)>", "\n\n"),
-    (r"<[^>]+>", ""),
-    ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), (r"&#\d+;", ""),
-    (r"[ \t]+", " "),
-    (r"\n\s*\n\s*\n+", "\n\n"),
-]
+from vegaflow.plans.registry import SQL, query
+from vegaflow.sources.fixtures import MACRO_SQL, macro_events, sql_round, table
+
+#: Elements that hold no prose, and those after whose end a paragraph is over.
+NO_PROSE = ("head", "script", "style", "nav", "footer", "svg")
+PARAGRAPHS = ("p", "div", "section", "article", "li", "tr")
+#: Named references that prose may hold.
+NAMED = {"nbsp": " ", "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'"}
+
+
+def prose_steps() -> list[tuple[str, str]]:
+    """(pattern, replacement) from markup to prose: drop, mark headings and line ends, strip tags, decode, tidy."""
+    gone = "|".join(rf"<{t}[\s\S]*?</{t}>" for t in NO_PROSE)
+    marks = [(rf"<h{level}[^>]*>\s*", f"\n\n{'#' * level} ") for level in range(3, 7)]
+    names = [(f"&{name};", out) for name, out in NAMED.items()]
+    return [
+        (gone, ""), (r"<h[12][^>]*>\s*", "\n\n## "), *marks, (rf"\s*</h[1-6]>|</(?:{'|'.join(PARAGRAPHS)})>", "\n\n"), (r"<br\s*/?>", "\n"), ("<[^>]+>", ""),
+        *names, (r"&#\d+;", ""), (r"[ \t]+", " "), (r"\n\s*\n\s*\n+", "\n\n"),
+    ]
+
+
+PROSE = prose_steps()
 
 
 def prose_of(c):
@@ -48,22 +51,31 @@ def html_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "prose", F.sha2("prose", 256).alias("content_hash"), F.ceil(F.length("prose") / F.lit(4.0)).alias("token_estimate"))
 
 
+#: Every tenth conversation's questions are asked once more by somebody else, so that there are repeats.
+ASKED_SQL = "asked AS (SELECT conv_id, role, text FROM conversations UNION ALL SELECT conv_id + 1000000, role, text FROM conversations WHERE conv_id % 10 = 0)"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "role", "text")
+    return c.unionAll(c.where("conv_id % 10 = 0").withColumn("conv_id", F.col("conv_id") + 1_000_000))
+
+
 NORM_SQL = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query(f"""WITH c AS (SELECT conv_id, {NORM_SQL} AS message, text FROM conversations WHERE role = 'user') SELECT message, count(*) AS times, count(DISTINCT conv_id) AS askers FROM c WHERE length(message) >= 4 GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT conv_id) >= 2""")
+@query(f"""WITH {ASKED_SQL}, c AS (SELECT conv_id, {NORM_SQL} AS message, text FROM asked WHERE role = 'user') SELECT message, count(*) AS times, count(DISTINCT conv_id) AS askers FROM c WHERE length(message) >= 4 GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT conv_id) >= 2""")
 def repeated_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User messages that are alike once normalised and come from two conversations at least."""
     norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]+", " "), r"\s+", " "))
-    c = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", norm.alias("message")).where(F.length("message") >= 4)
+    c = asked(spark, sf_dir).where("role = 'user'").select("conv_id", norm.alias("message")).where(F.length("message") >= 4)
     return c.groupBy("message").agg(F.count("*").alias("times"), F.countDistinct("conv_id").alias("askers")).where("times >= 2 and askers >= 2")
 
 
-@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN '_(empty)_' WHEN length(t) > 240 THEN substring(t, 1, 240) || '…' ELSE t END AS snippet FROM t""")
+@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN NULL WHEN length(t) > 240 THEN substring(t, 1, 240) || '…' ELSE t END AS snippet FROM t""")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 240 characters of each text in one line."""
+    """The first 240 characters of each text in one line; null where there are none."""
     t = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t"))
-    return t.select("doc_id", F.when(F.col("t") == "", "_(empty)_").when(F.length("t") > 240, F.concat(F.substring("t", 1, 240), F.lit("…"))).otherwise(F.col("t")).alias("snippet"))
+    return t.select("doc_id", F.when(F.col("t") == "", None).when(F.length("t") > 240, F.concat(F.substring("t", 1, 240), F.lit("…"))).otherwise(F.col("t")).alias("snippet"))
 
 
 FAMILIES = (("license", "licensed under|copyright|license"), ("contact", "@|phone|email"), ("secret", "token|password|api[_ ]key"), ("number", "[0-9]{4,}"))
@@ -89,55 +101,124 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("query_id", F.col("id").alias("vec_id"), js_round(F.col("similarity"), 6).alias("similarity"), "place")
 
 
-HEADING = re.compile(r"#{2,3}\s+\S.*")
-SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
-
-
-def sections_of(text: str) -> list[tuple[str, str]]:
-    """(heading line or empty, body) parts of a text, cut at level-2 and level-3 headings."""
-    out: list[tuple[str, list[str]]] = [("", [])]
-    for line in re.split(r"\r?\n", text):
-        if HEADING.fullmatch(line):
-            out.append((line, []))
-        else:
-            out[-1][1].append(line)
-    return [(h, "\n".join(b).strip()) for h, b in out]
-
-
-def chunks_of(text: str | None, target: int = 1500, most: int = 2500, overlap: int = 200) -> list[str]:
-    """Chunks of about ``target`` characters: whole short sections, else paragraphs, else sentences, with an overlap."""
-    out = []
-    for heading, body in sections_of(text or ""):
-        if not body:
-            continue
-        lead = f"{heading}\n\n" if heading else ""
-        if len(body) <= most:
-            out.append(lead + body)
-            continue
-        units = []  # (text, what follows it)
-        for p in filter(str.strip, re.split(r"\n{2,}", body)):
-            units += [(p, "\n\n")] if len(p) <= most else [(s, " ") for s in SENTENCE.split(p)]
-        held = lead
-        for unit, gap in units:
-            if held and len(held) + len(unit) + len(gap) > target:
-                out.append(held.strip())
-                held = lead + held[-overlap:] + gap
-            held += unit + gap
-        if held.strip():
-            out.append(held.strip())
-    return out
-
-
-@query()
+@query(f"""WITH q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0), best AS (SELECT query_id, similarity FROM ({SQL['vector_search']}) WHERE place = 1)
+SELECT CASE WHEN similarity IS NULL OR similarity < 0.5e0 THEN 'gap' WHEN similarity < 0.75e0 THEN 'weak' ELSE 'good' END AS bucket, count(*) AS queries, count(*) FILTER (query_id % 7 = 0) AS fallbacks, count(*) FILTER (query_id % 11 = 0) AS errors FROM q LEFT JOIN best USING (query_id) GROUP BY 1""")
+def similarity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries by how near their best answer is; ids stand for what went to another tool or failed."""
+    q = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
+    best = vector_search(spark, sf_dir).where("place = 1").select("query_id", "similarity")
+    x = F.col("similarity")
+    bucket = F.when(x.isNull() | (x < 0.5), "gap").when(x < 0.75, "weak").otherwise("good")
+    return q.join(best, "query_id", "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("queries"), F.count_if(F.col("query_id") % 7 == 0).alias("fallbacks"), F.count_if(F.col("query_id") % 11 == 0).alias("errors"))
+
+
+#: Longest words of a question that an answer must hold all of, and answers to a question.
+TERMS, ANSWERS = 3, 6
+
+
+@query(f"""WITH w AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark), t AS (SELECT item_id, term FROM w WHERE length(term) >= 4 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(term) DESC, term) <= {TERMS}),
+d AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents), f AS (SELECT doc_id, term, count(*) AS n FROM d WHERE term IN (SELECT term FROM t) GROUP BY 1, 2),
+h AS (SELECT item_id, doc_id, count(*) AS terms, CAST(sum(n) AS BIGINT) AS hits FROM t JOIN f USING (term) GROUP BY 1, 2)
+SELECT item_id, doc_id, hits, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS place FROM h WHERE terms = (SELECT count(*) FROM t k WHERE k.item_id = h.item_id) QUALIFY place <= {ANSWERS}""")
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a question falls back on without a near vector: the documents that hold all its terms, most hits first.
+
+    Only words that are a term of some question leave a document, added up before they are joined.
+    """
+    words = lambda c: F.split(F.lower(c), "[^a-z]+")
+    order = Window.partitionBy("item_id").orderBy(F.desc(F.length("term")), "term")
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).where(F.length("term") >= 4)
+    t = t.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= TERMS).select("item_id", "term")
+    asked_for = t.groupBy("item_id").agg(F.count("*").alias("wanted"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("term"))
+    f = d.join(t.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    h = t.join(f, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("terms"), F.sum("n").alias("hits")).join(asked_for, "item_id").where("terms = wanted")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))
+    return h.withColumn("place", place).where(F.col("place") <= ANSWERS).select("item_id", "doc_id", "hits", "place")
+
+
+#: How a source file may hold a text: between the back-ticks of an export.
+TEMPLATE = "export\\s+(?:default|const\\s+\\w+\\s*=)\\s*`([^`]*)`"
+
+
+@query(f"""WITH s AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'import x;' || chr(10) || 'export default `  ' || url || chr(10) || '`;' WHEN 1 THEN 'export const prompt = `' || url || '`' ELSE url END AS raw FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(raw, '{TEMPLATE}') THEN trim(regexp_extract(raw, '{TEMPLATE}', 1), ' ' || chr(10)) ELSE raw END AS template FROM s""")
+def template_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that a source file exports, else the whole file."""
+    url = F.col("url")
+    raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("import x;\nexport default `  "), url, F.lit("\n`;"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("export const prompt = `"), url, F.lit("`"))).otherwise(url)
+    s = table(spark, sf_dir, "pages").select("page_id", raw.alias("raw"))
+    return s.select("page_id", F.when(F.col("raw").rlike(TEMPLATE), F.trim(F.regexp_extract("raw", TEMPLATE, 1), F.lit(" \n"))).otherwise(F.col("raw")).alias("template"))
+
+
+#: Families of macro titles, first match wins (ignoring case).
+FAMILIES_OF_TITLES = (
+    ("FOMC", r"\bFOMC\b|Federal Funds Rate"), ("CPI", r"\bCPI\b|Consumer Price"), ("NFP", r"Non[- ]?Farm Employment Change|^NFP$"), ("GDP", r"\bGDP\b"), ("PCE", r"\bPCE\b"), ("PPI", r"\bPPI\b"), ("ISM", r"\bISM\b"), ("JOBS", "Unemployment Claims|Employment Change|Job Openings"),
+)
+
+
+@query(f"""WITH {MACRO_SQL}, t AS (SELECT event_id, CASE WHEN regexp_matches(title, '^[A-Z]{{2,3}}\\s+.') THEN regexp_replace(title, '^[A-Z]{{2,3}}\\s+', '') ELSE title END AS title, impact FROM macro)
+SELECT event_id, title, CASE WHEN impact IS NOT NULL THEN upper(impact[1]) || lower(impact[2:]) END AS impact, CASE {' '.join(f"WHEN regexp_matches(title, '(?i){p}') THEN '{n}'" for n, p in FAMILIES_OF_TITLES)} END AS family FROM t""")
+def event_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro titles without a leading country code, their impact with a capital, and the family they belong to (null: none)."""
+    code = r"^[A-Z]{2,3}\s+"
+    t = macro_events(spark, sf_dir).withColumn("title", F.when(F.col("title").rlike(code + "."), F.regexp_replace("title", code, "")).otherwise(F.col("title")))
+    family = None
+    for name, pattern in FAMILIES_OF_TITLES:
+        hit = F.col("title").rlike("(?i)" + pattern)
+        family = F.when(hit, name) if family is None else family.when(hit, name)
+    impact = F.concat(F.upper(F.substring("impact", 1, 1)), F.lower(F.substring("impact", 2, 100)))
+    return t.select("event_id", "title", impact.alias("impact"), family.alias("family"))
+
+
+#: Characters of a section that start a new chunk, of a section or paragraph that is left whole, and of the chunk before that a chunk repeats.
+STRIDE, WHOLE, OVERLAP = 1500, 2500, 200
+#: Signs that no text holds; they mark where to cut, as a plain split is the same everywhere.
+CUT, PART = "\x1e", "\x1f"
+CUTS = ((r"(?m)^(#{2,3}[ \t]+[^ \t\r\n])", CUT), (r"\n[ \t\r]*\n[ \t\r\n]*", PART), (r"([.!?])[ \t\r\n]+([A-Z])", PART))
+EDGES, HEAD = r"^[ \t\r\n]+|[ \t\r\n]+$", r"^#{2,3}[ \t]+[^\n]*"
+
+CHUNKS_SQL = f"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '{CUTS[0][0]}', chr(30) || '\\1', 'g'), chr(30))) AS part, generate_subscripts(string_split(regexp_replace(text, '{CUTS[0][0]}', chr(30) || '\\1', 'g'), chr(30)), 1) AS section FROM documents),
+b AS (SELECT doc_id, section, regexp_extract(part, '{HEAD}') AS heading, regexp_replace(substring(part, length(regexp_extract(part, '{HEAD}')) + 1), '{EDGES}', '', 'g') AS body FROM s),
+p AS (SELECT doc_id, section, heading, unnest(CASE WHEN length(body) <= {WHOLE} THEN [body] ELSE string_split(regexp_replace(body, '{CUTS[1][0]}', chr(31), 'g'), chr(31)) END) AS paragraph, generate_subscripts(CASE WHEN length(body) <= {WHOLE} THEN [body] ELSE string_split(regexp_replace(body, '{CUTS[1][0]}', chr(31), 'g'), chr(31)) END, 1) AS i FROM b WHERE body <> ''),
+u AS (SELECT doc_id, section, heading, i, unnest(CASE WHEN length(paragraph) <= {WHOLE} THEN [paragraph] ELSE string_split(regexp_replace(paragraph, '{CUTS[2][0]}', '\\1' || chr(31) || '\\2', 'g'), chr(31)) END) AS unit, generate_subscripts(CASE WHEN length(paragraph) <= {WHOLE} THEN [paragraph] ELSE string_split(regexp_replace(paragraph, '{CUTS[2][0]}', '\\1' || chr(31) || '\\2', 'g'), chr(31)) END, 1) AS j FROM p),
+k AS (SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id, section ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {STRIDE} AS place FROM u WHERE regexp_replace(unit, '{EDGES}', '', 'g') <> ''),
+g AS (SELECT doc_id, section, heading, place, string_agg(unit, chr(10) ORDER BY i, j) AS text FROM k GROUP BY ALL),
+c AS (SELECT doc_id, section, place, CASE WHEN heading <> '' THEN heading || chr(10) || chr(10) ELSE '' END || coalesce(right(lag(text) OVER (PARTITION BY doc_id, section ORDER BY place), {OVERLAP}) || chr(10), '') || text AS content FROM g)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section, place) - 1 AS chunk_index, content, sha256(content) AS content_hash, CAST(ceil(length(content) / 4e0) AS BIGINT) AS token_estimate FROM c"""
+
+
+def chunks(texts: DataFrame) -> DataFrame:
+    """Chunks of (doc_id, text): doc_id, chunk_index, content.
+
+    A text is cut at level-two and level-three headings. A section of up to
+    ``WHOLE`` characters is one chunk; a longer one falls into paragraphs, and
+    those of over ``WHOLE`` characters into sentences, and the units that start
+    within the same ``STRIDE`` of it make a chunk. Every chunk has its section's
+    heading and the end of the chunk before. The places come from running
+    lengths, so a text of any length is cut by windows, not by a loop.
+    """
+    split_at = lambda c, cut, out, sign: F.split(F.regexp_replace(c, F.lit(cut[0]), F.lit(out)), sign)
+    s = texts.select("doc_id", F.posexplode(split_at(F.col("text"), CUTS[0], CUT + "$1", CUT)).alias("section", "part"))
+    heading = F.regexp_extract("part", HEAD, 0)
+    b = s.select("doc_id", "section", heading.alias("heading"), F.regexp_replace(F.substring("part", F.length(heading) + 1, F.length("part")), EDGES, "").alias("body")).where("body <> ''")
+    unless_long = lambda c, parts: F.when(F.length(c) <= WHOLE, F.array(c)).otherwise(parts)
+    p = b.select("doc_id", "section", "heading", F.posexplode(unless_long(F.col("body"), split_at(F.col("body"), CUTS[1], PART, PART))).alias("i", "paragraph"))
+    u = p.select("doc_id", "section", "heading", "i", F.posexplode(unless_long(F.col("paragraph"), split_at(F.col("paragraph"), CUTS[2], f"$1{PART}$2", PART))).alias("j", "unit")).where(F.regexp_replace("unit", EDGES, "") != "")
+    before = Window.partitionBy("doc_id", "section").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, -1)
+    k = u.withColumn("place", F.floor(F.coalesce(F.sum(F.length("unit")).over(before), F.lit(0)) / F.lit(STRIDE)))
+    units = F.array_sort(F.collect_list(F.struct("i", "j", "unit")))
+    g = k.groupBy("doc_id", "section", "heading", "place").agg(F.array_join(units["unit"], "\n").alias("text"))
+    last = F.lag("text").over(Window.partitionBy("doc_id", "section").orderBy("place"))
+    lead = F.when(F.col("heading") != "", F.concat("heading", F.lit("\n\n"))).otherwise("")
+    c = g.withColumn("content", F.concat(lead, F.coalesce(F.concat(F.right(last, F.lit(OVERLAP)), F.lit("\n")), F.lit("")), F.col("text")))
+    return c.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "place")) - 1).alias("chunk_index"), "content")
+
+
+@query(CHUNKS_SQL)
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of documents with their place, hash and token estimate."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, i, c) for d, t in zip(f["doc_id"], f["text"], strict=True) for i, c in enumerate(chunks_of(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content"])
-
-    c = table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id bigint, chunk_index int, content string")
+    c = chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return c.withColumns({"content_hash": F.sha2("content", 256), "token_estimate": F.ceil(F.length("content") / F.lit(4.0))})
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,20 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, a local session gets a folder of this machine; on a
+    cluster, whose executors could not share it, that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="vegaflow-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     """A session for tests and small runs, in UTC with adaptive execution."""
     spark = (

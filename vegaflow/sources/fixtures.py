@@ -175,3 +175,39 @@ BARS30_SQL = """bars30 AS (
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with ts as an instant (the session is in UTC)."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+#: First day of the earnings feed and how many weekdays of it a calendar shows.
+FEED_START, FEED_DAYS = "2024-01-02", 20
+
+
+def earnings_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """day, place (order within the feed), ticker (as sent, lower case), company, release_time, q1_rev, q_sales: customers as reporting names."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.date_add(F.lit(FEED_START).cast("date"), (k % 28).cast("int")).alias("day"),
+        k.alias("place"),
+        F.concat(F.lit("brand#"), (k % 32).cast("string")).alias("ticker"),
+        F.col("c_name").alias("company"),
+        (k % 4).cast("int").alias("release_time"),
+        F.when(k % 5 == 0, None).when(k % 5 == 1, 0.0).otherwise(F.col("c_acctbal") * F.lit(1e6)).alias("q1_rev"),
+        F.when(k % 7 != 0, F.col("c_acctbal") * 2).alias("q_sales"),
+    )
+
+
+FEED_SQL = f"""feed AS (
+  SELECT DATE '{FEED_START}' + CAST(c_custkey % 28 AS INTEGER) AS day, c_custkey AS place, 'brand#' || CAST(c_custkey % 32 AS VARCHAR) AS ticker, c_name AS company, CAST(c_custkey % 4 AS INTEGER) AS release_time,
+    CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN 0e0 ELSE c_acctbal * 1e6 END AS q1_rev, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal * 2 END AS q_sales FROM customer)"""
+
+#: Titles that a macro calendar may carry, dealt to events by id.
+TITLES = ("US Federal Funds Rate", "Core CPI m/m", "Non-Farm Employment Change", "Advance GDP q/q", "Core PCE Price Index m/m", "PPI m/m", "ISM Manufacturing PMI", "US Unemployment Claims", "UK Bank Holiday", "German Ifo Business Climate", "FOMC Statement", "Trade Balance")
+
+
+def macro_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, ts, title, impact (as sent, lower case; some null)."""
+    k = F.col("event_id")
+    impact = F.element_at(F.array(*(F.lit(x) for x in ("high", "medium", "LOW", "holiday", "non-economic", None))), (k % 6 + 1).cast("int"))
+    return events(spark, sf_dir).select("event_id", "ts", F.element_at(F.array(*map(F.lit, TITLES)), (k % len(TITLES) + 1).cast("int")).alias("title"), impact.alias("impact"))
+
+
+MACRO_SQL = f"""macro AS (SELECT event_id, ts, [{', '.join(f"'{t}'" for t in TITLES)}][event_id % {len(TITLES)} + 1] AS title, ['high', 'medium', 'LOW', 'holiday', 'non-economic', NULL][event_id % 6 + 1] AS impact FROM events)"""

@@ -6,10 +6,17 @@ schema; nothing is inferred, and a broken record gives nulls, not a failure.
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vegaflow.functions.text import option_root, tag_text
+from vegaflow.functions.text import lanes, option_root, tag_text
 
 CHAIN_SCHEMA = """results array<struct<details: struct<ticker: string, contract_type: string, expiration_date: string, strike_price: double>,
  greeks: struct<delta: double, gamma: double, theta: double, vega: double>, implied_volatility: double, open_interest: bigint,
@@ -82,19 +89,85 @@ def feed_items(spark: SparkSession, path: str, item: str, fields: dict[str, str]
 def embedded_days(spark: SparkSession, path: str, schema: str = "array<struct<date: string, events: array<struct<title: string, impact: string>>>>") -> DataFrame:
     """Rows of the JSON list that a page holds after ``days:``; the list ends where its brackets balance.
 
-    The longest text that parses as a list is the balanced one, so candidates
-    end at each closing bracket and the parser decides.
+    Strings are blanked, then one pass over what is left counts brackets; so the
+    end is found in time linear in the page.
     """
-    whole = spark.read.option("wholetext", True).text(path)
-    tail = F.regexp_extract("value", r"(?s)days\s*:\s*(\[.*)", 1)
-    ends = F.filter(F.sequence(F.lit(1), F.length("tail")), lambda i: F.substring(F.col("tail"), i, F.lit(1)) == "]")
-    tries = F.transform("ends", lambda i: F.from_json(F.substring(F.col("tail"), F.lit(1), i), schema, {"mode": "PERMISSIVE"}))
-    d = whole.withColumn("tail", tail).where("tail <> ''").withColumn("ends", ends)
-    good = F.filter(tries, lambda x: x.isNotNull() & (F.size(x) > 0) & x[0]["date"].isNotNull())
-    longest = F.array_sort(good, lambda a, b: F.size(b) - F.size(a))[0]
-    return d.select(F.inline(longest))
+    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("value", r"(?s)days\s*:\s*(\[.*)", 1).alias("tail")).where("tail <> ''")
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"list": [balanced(t) for t in f["tail"]]})
+
+    lists = whole.mapInPandas(cut, "list string").where("list is not null")
+    return lists.select(F.inline(F.from_json("list", schema, {"mode": "PERMISSIVE"})))
+
+
+def balanced(text: str) -> str | None:
+    """The part of a text up to where its first bracket is closed, brackets in strings aside; None if it never is."""
+    depth = 0
+    for m in re.finditer(r'"(?:[^"\\]|\\.)*"|[\[\]]', text):
+        depth += {"[": 1, "]": -1}.get(m[0], 0)
+        if depth == 0 and m[0] == "]":
+            return text[: m.end()]
+    return None
+
+
+EARNINGS_SCHEMA = "ticker string, company string, releaseTime int, nextEPSDate string, confirmDate string, epsTime string, q1EstEPS double, q1RevEst double, qSales double, total double"
+
+
+def earnings_days(spark: SparkSession, path: str) -> DataFrame:
+    """Reporting names from one JSON list a day, in files named by day (yyyymmdd): day, place in the list, and the fields as sent.
+
+    A file that is empty or no list gives no rows.
+    """
+    whole = spark.read.option("wholetext", True).text(path).select("value", F.to_date(F.regexp_extract(F.input_file_name(), r"(\d{8})[^/]*$", 1), "yyyyMMdd").alias("day"))
+    rows = whole.select("day", F.posexplode(F.from_json("value", f"array<struct<{EARNINGS_SCHEMA.replace(' ', ':').replace(',:', ',')}>>")).alias("place", "r"))
+    return rows.where("r is not null").select("day", "place", "r.*")
+
+
+def sheet_rows(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """Rows of a worksheet of spreadsheet files: file, row number, cells (by column letter, as text).
+
+    A file is read whole by one task; a broken one gives no rows.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(name, *r) for name, content in zip(f["path"], f["content"], strict=True) for r in cells_of(content, sheet)]
+            yield pd.DataFrame(rows, columns=["file", "row", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row int, cells map<string,string>")
+
+
+def cells_of(content: bytes, sheet: int) -> list[tuple[int, dict[str, str]]]:
+    """(row number, column letter -> text) of a worksheet: shared and inline strings are looked up, numbers stay as written."""
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    text_of = lambda e: "".join(t.text or "" for t in e.iter(f"{ns}t"))
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            shared = [text_of(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+            root = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml"))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return []
+    out = []
+    for n, row in enumerate(root.iter(f"{ns}row"), 1):
+        cells = {}
+        for c in row.iter(f"{ns}c"):
+            value = c.find(f"{ns}v")
+            text = text_of(c) if c.get("t") == "inlineStr" else None if value is None else value.text
+            if text is not None:
+                cells[re.sub(r"\d", "", c.get("r", ""))] = shared[int(text)] if c.get("t") == "s" else text
+        out.append((int(row.get("r", n)), cells))
+    return out
+
+
+#: The range of each stand-in: at-the-money volatility, put skew, call skew.
+SEED_RANGES = (("atm_iv", "a", 0.2, 0.75), ("put_skew", "b", 0.005, 0.045), ("call_skew", "c", -0.015, 0.04))
 
 
 def seeded(symbols: DataFrame, symbol: str = "symbol") -> DataFrame:
-    """Deterministic stand-ins between 0 and 1 for symbols without live data, and the mode that says so."""
-    return symbols.withColumns({"seed": F.pmod(F.xxhash64(symbol), F.lit(1_000_003)) / F.lit(1_000_003.0), "mode": F.lit("seed")})
+    """Deterministic stand-ins for symbols without live data, by three hashes of the symbol, and the mode that says so."""
+    out = symbols.withColumn("_h", lanes(F.col(symbol)))
+    full = F.lit(float((1 << 32) - 1))
+    out = out.withColumns({name: F.lit(low) + F.col(f"_h.{lane}") / full * F.lit(width) for name, lane, low, width in SEED_RANGES})
+    return out.withColumns({"seed": F.col("_h.a") / full, "mode": F.lit("seed")}).drop("_h")

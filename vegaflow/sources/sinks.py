@@ -29,7 +29,7 @@ def write_run(header: DataFrame, contracts: DataFrame, levels: DataFrame, path:
     append(header, f"{path}/runs")
     append(levels, f"{path}/levels")
     whole = header.where("status = 'success'").select("run_id")
-    append(contracts.join(F.broadcast(whole), "run_id", "left_semi"), f"{path}/contracts", "trading_date")
+    append(contracts.join(whole, "run_id", "left_semi"), f"{path}/contracts", "trading_date")
 
 
 def expire(df: DataFrame, date: str, today: str, keep_days: int) -> DataFrame:

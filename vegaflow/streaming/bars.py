@@ -9,21 +9,22 @@ scheduled batch consumes what has arrived since the last run.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vegaflow.session import shared_folder
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the folder as a stream, ts as an instant."""
+
+def event_stream(spark: SparkSession, sf_dir: str, files: int = 64) -> DataFrame:
+    """Events of the folder as a stream, ts as an instant; a micro-batch takes at most so many files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files).parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def session_gate(events: DataFrame, first_hour: float = 9.5, last_hour: float = 16.5) -> DataFrame:
@@ -67,14 +68,22 @@ def completeness(events: DataFrame, expected: int, width: str = "1 day", late: s
 
 
 def running_levels(events: DataFrame, alpha: float = 0.2) -> DataFrame:
-    """First-value-seeded EMA of each type, kept as state across micro-batches."""
+    """First-value-seeded EMA of each type, kept as state across micro-batches.
+
+    A batch's rows of a type are sorted in one task; the source's rate options
+    (``maxFilesPerTrigger``) bound a batch.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level, seen = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for v in rows["value"]:
-            level = float(v) if level is None else float(v) * alpha + level * (1 - alpha)
-        seen += len(rows)
+        rows = pd.concat([f[["ts", "event_id", "value"]] for f in frames]).sort_values(["ts", "event_id"])
+        x = rows["value"].to_numpy("f8")
+        seen += len(x)
+        if level is None:
+            level, x = x[0], x[1:]
+        for part in np.array_split(x, max(1, len(x) // 500)):  # factors of longer runs would underflow
+            fade = (1 - alpha) ** np.arange(len(part), -1, -1.0)
+            level = float(level * fade[0] + alpha * (part @ fade[1:]))
         state.update((level, seen))
         yield pd.DataFrame({"event_type": [key[0]], "level": [level], "seen": [seen]})
 
@@ -83,8 +92,7 @@ def running_levels(events: DataFrame, alpha: float = 0.2) -> DataFrame:
 
 def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that has arrived, into a table of the shared folder, and read that."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vegaflow-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "stream")
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     else:
@@ -97,11 +105,18 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataF
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def upsert_batches(stream: DataFrame, target: str, keys: list[str], state: str) -> Any:
-    """Start a stream whose batches overwrite earlier rows of the same keys (a keyed, repeatable write)."""
+def upsert_batches(stream: DataFrame, target: str, keys: list[str], order: list[str], state: str) -> Any:
+    """Start a stream whose batches overwrite earlier rows of the same keys.
+
+    Of a batch's rows of one key the last by ``order`` (then by all columns) is
+    kept. A batch owns its folder and replaces it when it is run again, so a
+    replay after a failure changes nothing.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).withColumn("_batch", F.lit(number)).write.mode("append").partitionBy("_batch").parquet(target)
+        rest = [c for c in batch.columns if c not in keys and c not in order]
+        last = batch.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("r")).select(*keys, "r.*")
+        last.write.mode("overwrite").parquet(f"{target}/_batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
 
