@@ -10,33 +10,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Values that are averaged in one matrix product.
+EMA_BLOCK = 128
+
+
+def fading(start: float, values: np.ndarray, alpha: float) -> np.ndarray:
+    """Exponential average after each value, from a level before the first: a block of values is one product with the weights of its steps."""
+    out = np.empty(len(values))
+    steps = np.arange(min(EMA_BLOCK, len(values)))
+    weights = np.tril(alpha * (1 - alpha) ** (steps[:, None] - steps[None, :]).clip(0))
+    for lo in range(0, len(values), EMA_BLOCK):
+        part = values[lo : lo + EMA_BLOCK]
+        n = len(part)
+        out[lo : lo + n] = weights[:n, :n] @ part + start * (1 - alpha) ** (steps[:n] + 1)
+        start = out[lo + n - 1]
+    return out
+
+
 def sma_seeded_ema(values: np.ndarray, window: int) -> np.ndarray:
     """EMA with factor 2 / (window + 1), seeded by the mean of the first ``window`` valid values; gaps carry the last value."""
     if window <= 1:
         return values.copy()
     out = np.full(len(values), np.nan)
-    alpha, acc, seed = 2 / (window + 1), None, []
-    for i, v in enumerate(values):
-        valid = np.isfinite(v)
-        if acc is None:
-            if valid:
-                seed.append(v)
-                if len(seed) == window:
-                    acc = sum(seed) / window
-                    out[i] = acc
-        else:
-            if valid:
-                acc = v * alpha + acc * (1 - alpha)
-            out[i] = acc
+    valid = np.flatnonzero(np.isfinite(values))
+    if len(valid) < window:
+        return out
+    seed = values[valid[:window]].sum() / window
+    levels = np.concatenate([[seed], fading(seed, values[valid[window:]], 2 / (window + 1))])
+    first = valid[window - 1]
+    out[first:] = levels[np.searchsorted(valid[window - 1 :], np.arange(first, len(values)), "right") - 1]
     return out
 
 
 def first_seeded_ema(values: np.ndarray, window: int) -> np.ndarray:
     """EMA seeded with the first value."""
-    out, alpha = np.empty(len(values)), 2 / (window + 1)
-    for i, v in enumerate(values):
-        out[i] = v if i == 0 else v * alpha + out[i - 1] * (1 - alpha)
-    return out
+    return np.concatenate([values[:1], fading(values[0], values[1:], 2 / (window + 1))]) if len(values) else values.copy()
 
 
 def relative_rotation(df: DataFrame, keys: Sequence[str], order: str, value: str, smooth: int, slow: int, fast: int) -> DataFrame:
