@@ -32,10 +32,10 @@ from vegaflow.llm.common import Workspace, text_slices
 
 MARK = "▁"
 UNITS = re.compile(r" *[^ ]+| +$")
-#: Bound of the broadcast table: pre-tokens, and characters of one (at most 16 million in all).
-HEAD, HEAD_CHARS = 1 << 16, 256
+#: Bound of the broadcast table: pre-tokens, and characters of one (at most 34 million in all).
+HEAD, HEAD_CHARS = 1 << 17, 256
 #: Distinct pre-tokens that a task holds before it sends them on, and bytes of text to a step.
-HELD, CHUNK_BYTES = 200_000, 4 << 20
+HELD, CHUNK_BYTES = 1_000_000, 4 << 20
 
 
 def pre_tokens(text: str | None) -> list[str]:
@@ -114,11 +114,11 @@ def joined(docs: DataFrame, head: dict[str, int], id_col: str, text_col: str) ->
                     found = filter(None, found)
                 known.append(sum(found))
                 ends.append(len(words))
-            rare = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["word", "times"])
+            rare = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int32())], names=["word", "times"])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)], names=[id_col, "n_bytes", "known", "rare"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, known bigint, rare array<struct<word:string,times:bigint>>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, known bigint, rare array<struct<word:string,times:int>>")
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
@@ -132,7 +132,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, model_path: str, id_col:
     if not Pieces(model_path).parts_at_marks():
         raise ValueError("a piece of this vocabulary reaches over a word mark: pre-tokens cannot be counted on their own")
     work = Workspace(spark, "tokens")
-    counts = work.save(counted(work.save(met_words(docs, text_col), "words"), model_path), "pieces")
+    counts = work.save(counted(met_words(docs, text_col), model_path), "pieces")
     common = counts.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("texts"), "word").limit(HEAD)
     head = {r["word"]: r["pieces"] for r in common.select("word", "pieces").toLocalIterator()}
     rows = work.save(joined(docs, head, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "rows")
