@@ -10,8 +10,9 @@ hashing with t independent functions.
 
 1. Documents with the same shingle set form a class; only its least id goes on.
 2. Bands of coordinates are hashed; each bucket links its members to its hub, the
-   member that meets most others. Those pairs, and those of a class with its least
-   id, are verified on the full sets.
+   member that meets most others. Those pairs are verified on the full sets, as are
+   members of a class whose words differ from those of its least id (equal words,
+   told by their SHA-256, have equal sets).
 3. Buckets whose members are not all connected by then are finished: in blocks of
    bounded size, every pair from different components is compared, in its first
    common bucket only, by sketch and then by the sets folded to 65,536 bits, with
@@ -22,6 +23,7 @@ hashing with t independent functions.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,9 +55,13 @@ class WordHashes(dict):
         return h
 
 
-def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes: words parted by ASCII white space, A-Z lowered."""
-    words = text.encode().lower().split() if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Words parted by ASCII white space, A-Z lowered."""
+    return text.encode().lower().split() if text else []
+
+
+def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes."""
     if not words:
         return np.zeros(0, U)
     h = np.fromiter(map(hashes.__getitem__, words), U, len(words))
@@ -94,30 +100,32 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), bands, sketch (a byte a coordinate), folded (the set modulo 65,536)."""
+    """doc_id, n, f1, f2 (fingerprint of the set), words (digest of all words), bands, sketch (a byte a coordinate), folded (the set modulo 65,536)."""
     t = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
             for b in text_slices(whole, 1, CHUNK_BYTES):
-                sets = []
+                sets, digests = [], []
                 for text in b.column(1).to_pylist():
                     if len(hashes) > HELD_WORDS:
                         hashes.clear()
-                    sets.append(shingle_set(text, width, hashes))
+                    words = words_of(text)
+                    sets.append(shingle_set(words, width, hashes))
+                    digests.append(hashlib.sha256(b" ".join(words)).digest())
                 sk = sketches(sets, t)
                 marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
                 keys = band_keys(sk, BANDS, ROWS).view("i8")
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
                 small = (mix64(sk.copy()) & U(255)).astype("u1")
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), bands, pa.array([x.tobytes() for x in small], pa.binary()), pa.array([np.unique((s & U(0xFFFF)).astype("<u2")).tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "n", "f1", "f2", "bands", "sketch", "folded"],
+                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(digests, pa.binary()), bands, pa.array([x.tobytes() for x in small], pa.binary()), pa.array([np.unique((s & U(0xFFFF)).astype("<u2")).tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "n", "f1", "f2", "words", "bands", "sketch", "folded"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch binary, folded binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, words binary, bands array<bigint>, sketch binary, folded binary")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -130,7 +138,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
             for text in b.column(1).to_pylist():
                 if len(hashes) > HELD_WORDS:
                     hashes.clear()
-                sets.append(shingle_set(text, width, hashes).tobytes())
+                sets.append(shingle_set(words_of(text), width, hashes).tobytes())
             marks = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, sets)), "<i8")[::2]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(marks)], names=["doc_id", "set", "f1"])
 
@@ -148,7 +156,8 @@ def verified(work: Workspace, name: str, pairs: DataFrame, docs: DataFrame, repe
     The sets are written first, so that the joins are of plain shuffles: the
     pairs of a hub with very many members are split over tasks.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # written, so that Spark plans the join to the texts by the true size of the ids and shuffles no text for a few
+    ids = work.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
     sets = that_count(full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), width), repeated)
     sets = work.save(sets.where("octet_length(set) > 0").drop("f1").dropDuplicates(["doc_id"]), f"{name}-sets")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
@@ -169,6 +178,7 @@ def verified(work: Workspace, name: str, pairs: DataFrame, docs: DataFrame, repe
     kind = docs.schema["doc_id"].dataType.simpleString()
     links = work.save(both.mapInArrow(run, f"a {kind}, b {kind}"), name)
     work.drop(f"{name}-sets")
+    work.drop(f"{name}-ids")
     return links
 
 
@@ -241,22 +251,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     repeated = work.save(repeated.drop("rows"), "repeated")
     # what is joined by a key that many rows may share is written first: the join is then one of plain shuffles and is split over tasks
     one = that_count(full, repeated)
-    classes = work.save(one.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "classes")
-    copies = one.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    classes = one.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "words")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    classes = work.save(classes.select("f1", "f2", F.col("first.doc_id").alias("rep"), F.col("first.words").alias("rep_words")), "classes")
+    copies = one.select("doc_id", "f1", "f2", "words").join(classes, ["f1", "f2"]).where("doc_id <> rep")
+    copies = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), (F.col("words") == F.col("rep_words")).alias("same")).distinct()
     copies = work.save(copies, "copies")
     firsts = one.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"])
     banded = firsts.select("doc_id", "n", F.explode("bands").alias("key"))
     buckets = work.save(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    linked = work.save(banded.join(buckets, "key"), "linked")
+    linked = work.save(banded.join(buckets.hint("merge"), "key"), "linked")  # one plan at every size: buckets grow with the table
     # the hub of a bucket is the member that meets most others in all its buckets: the text that others were copied from
     met = linked.groupBy("doc_id").agg(F.sum("size").alias("met"))
     scored = linked.join(met, "doc_id")
     hubs = scored.groupBy("key").agg(F.min(F.struct(-F.col("met"), "doc_id", "n")).alias("hub"))
     hubs = work.save(hubs.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("n_hub")), "hubs")
-    tried = linked.join(hubs, "key").where((F.col("doc_id") != F.col("hub")) & fitting_sizes(F.col("n"), F.col("n_hub"), percent))
+    tried = linked.join(hubs.hint("merge"), "key").where((F.col("doc_id") != F.col("hub")) & fitting_sizes(F.col("n"), F.col("n_hub"), percent))
     tried = tried.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     tried = work.save(tried, "tried")
-    links = verified(work, "links", tried.unionAll(copies), docs, repeated, width, percent)
+    links = verified(work, "links", tried.unionAll(copies.where("not same").drop("same")), docs, repeated, width, percent).unionAll(copies.where("same").drop("same"))
     groups = work.save(components(work, links, "stars"), "groups")
 
     # buckets that the stars did not connect
