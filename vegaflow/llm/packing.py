@@ -30,6 +30,8 @@ from vegaflow.llm.common import Workspace, crc32_u32
 
 #: Rows to a ranking bucket, about; the number of buckets grows with the rows.
 BUCKET_ROWS = 50_000
+#: Share of the residual's square that a round of the least squares must remove for another to follow.
+LEAST_GAIN = 1e-5
 #: Texts wholly of these characters are encoded by the faster of two libraries with the same vocabulary.
 PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ]")
 
@@ -93,12 +95,19 @@ def nnls_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 200, bl
     residual = b.copy()
     padded = np.where(combos > 0, combos, 0)
 
-    def columns(which: np.ndarray) -> np.ndarray:
-        m = np.zeros((window, len(which)))
-        for k in range(3):
-            used = padded[which, k]
-            np.add.at(m, (used, np.arange(len(which))), (used > 0).astype(float))
-        return m
+    def used_lengths(which: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+        """A x: how many of each length the repeats use."""
+        lengths = padded[which]
+        return np.bincount(lengths.ravel(), np.where(lengths > 0, repeats[:, None], 0.0).ravel(), window)
+
+    def gram(which: np.ndarray) -> np.ndarray:
+        """A'A: how many lengths two columns share, each as often as both use it."""
+        lengths = padded[which]
+        out = np.zeros((len(which), len(which)))
+        for i in range(3):
+            for j in range(3):
+                out += (lengths[:, i, None] == lengths[None, :, j]) & (lengths[:, i, None] > 0)
+        return out
 
     for _ in range(rounds):
         gain = sum(np.where(padded[:, k] > 0, residual[padded[:, k]], 0.0) for k in range(3))
@@ -107,7 +116,7 @@ def nnls_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 200, bl
         order = order[np.argsort(-gain[order], kind="stable")]
         taken, chosen = np.zeros(window, bool), []
         for j in order:
-            if gain[j] <= 1e-7 or len(chosen) == block:
+            if gain[j] * scale < 1 or len(chosen) == block:  # its repeats would be rounded to none
                 break
             used = padded[j][padded[j] > 0]
             if not taken[used].any():
@@ -117,8 +126,8 @@ def nnls_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 200, bl
             break
         passive = np.concatenate([passive, np.array(chosen, np.int64)])
         while len(passive):
-            m = columns(passive)
-            z = np.linalg.solve(m.T @ m + 1e-9 * np.eye(len(passive)), m.T @ b)
+            lengths = padded[passive]
+            z = np.linalg.solve(gram(passive) + 1e-9 * np.eye(len(passive)), np.where(lengths > 0, b[lengths], 0.0).sum(axis=1))
             if (z > 0).all():
                 x[passive] = z
                 break
@@ -132,8 +141,8 @@ def nnls_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 200, bl
             x[passive[gone]] = 0
             passive = passive[~gone]
         before = float(residual @ residual)
-        residual = b - (columns(passive) @ x[passive] if len(passive) else 0)
-        if before - float(residual @ residual) <= 1e-9 * before:
+        residual = b - used_lengths(passive, x[passive])
+        if before - float(residual @ residual) <= LEAST_GAIN * before:
             break
     return x * scale
 
