@@ -17,6 +17,7 @@ from vegaflow.llm.pivot_index import near_vectors
 from vegaflow.llm.suffix_dedup import remove_repeats
 from vegaflow.llm.token_counts import count_tokens
 from vegaflow.llm.toxicity import toxicity
+from vegaflow.llm.turn_repair import repair
 from vegaflow.llm.url_filter import DEFAULT_RULES, filter_urls, host_rule, rule_table
 
 #: Fixed values of the URL query: (verdict, rule).
@@ -78,6 +79,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(spark, table(spark, sf_dir, "conversations"), damage=True)
+
+
 URL_SQL = f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -105,7 +110,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_suffix_dedup, op4_near_duplicates, op5_url_filter, op6_language_id, op7_main_text, op8_token_counts, op9_near_vectors, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_suffix_dedup, op4_near_duplicates, op5_url_filter, op6_language_id, op7_main_text, op8_token_counts, op9_near_vectors, op10_toxicity, op11_turn_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
