@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from vegaflow.llm.common import held_out, table
 from vegaflow.llm.decontamination import find_leaks
+from vegaflow.llm.heap_lloyd import product_codes
+from vegaflow.llm.inner_products import top_products
 from vegaflow.llm.language_id import language_id
 from vegaflow.llm.main_text import main_text
 from vegaflow.llm.near_duplicates import near_duplicates
@@ -83,6 +85,14 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(spark, table(spark, sf_dir, "conversations"), damage=True)
 
 
+def op12_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes(spark, table(spark, sf_dir, "embeddings"))
+
+
 URL_SQL = f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -110,7 +120,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_suffix_dedup, op4_near_duplicates, op5_url_filter, op6_language_id, op7_main_text, op8_token_counts, op9_near_vectors, op10_toxicity, op11_turn_repair)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_suffix_dedup, op4_near_duplicates, op5_url_filter, op6_language_id, op7_main_text, op8_token_counts, op9_near_vectors, op10_toxicity, op11_turn_repair, op12_inner_products, op13_product_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
