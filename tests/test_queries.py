@@ -40,7 +40,7 @@ def test_matches_sql(spark, sf, con, name):
     assert sorted(got.columns) == sorted(want.columns) and tidy(got) == tidy(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(REGISTRY.QUERIES) - set(REGISTRY.SQL) - {"garch_models", "garch_ensemble"}))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY.QUERIES) - set(REGISTRY.SQL)))
 def test_gives_rows(spark, sf, name):
     assert REGISTRY.QUERIES[name](spark, sf).count() > 0
 

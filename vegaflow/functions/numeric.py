@@ -7,6 +7,7 @@ would change results in the last digits.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,11 +43,14 @@ AS_P, AS_B = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1
 
 def norm_cdf(x: Column) -> Column:
     """Normal distribution by formula 26.2.17 of Abramowitz and Stegun (error under 7.5e-8)."""
-    k = F.lit(1.0) / (F.lit(1.0) + F.lit(AS_P) * F.abs(x))
+    return _upper(x, F.lit(1.0) / (F.lit(1.0) + F.lit(AS_P) * F.abs(x)), norm_pdf(x))
+
+
+def _upper(x: Column, k: Column, density: Column) -> Column:
     poly = F.lit(0.0)
     for b in reversed(AS_B):
         poly = k * (F.lit(b) + poly)
-    upper = norm_pdf(x) * poly
+    upper = density * poly
     return F.when(x >= 0, F.lit(1.0) - upper).otherwise(upper)
 
 
@@ -93,6 +97,50 @@ def bs_volga(s: Column, k: Column, t: Column, sigma: Column, r: float = RISK_FRE
     return bs_vega(s, k, t, sigma, r, q) * d1 * (d1 - sigma * F.sqrt(t)) / sigma
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; inside folds, which are not compiled, a repeated expression is a repeated computation."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Bracket of implied volatilities, steps of the search, and the error (as a share of spot) at which it stops.
+LEAST_VOL, MOST_VOL, VOL_STEPS, PRICE_TOL = 1e-4, 5.0, 60, 1e-14
+
+
+def implied_volatility(price: Column, s: Column, k: Column, t: Column, is_call: Column, r: float = RISK_FREE, q: float = DIVIDEND) -> Column:
+    """Volatility at which the closed form gives the price; null where no volatility of the bracket does.
+
+    A fold over a bounded number of steps: Newton's step from the present guess
+    where it stays within the bracket, else the middle of it; every step narrows
+    the bracket by the sign of its error.
+    """
+    forward, strike = s * F.exp(F.lit(float(-q)) * t), k * F.exp(F.lit(float(-r)) * t)
+    call = F.when(is_call, price).otherwise(price + forward - strike)
+    slack = F.lit(PRICE_TOL) * s
+
+    def cdf(x: Column) -> Column:
+        return let(F.lit(1.0) / (F.lit(1.0) + F.lit(AS_P) * F.abs(x)), lambda y: _upper(x, y, norm_pdf(x)))
+
+    def seen(lo: Column, hi: Column, v: Column) -> Column:
+        """lo, hi, v, error of the price at v, and vega."""
+
+        def at(d: Column, v: Column) -> Column:
+            value = forward * cdf(d) - strike * cdf(d - v * F.sqrt(t))
+            return F.struct(lo.alias("lo"), hi.alias("hi"), v.alias("v"), (value - call).alias("e"), (forward * norm_pdf(d) * F.sqrt(t)).alias("g"))
+
+        return let(v, lambda v: let(bs_d1(s, k, t, v, r, q), lambda d: at(d, v)))
+
+    def narrowed(a: Column, _: Column) -> Column:
+        lo, hi = F.when(a["e"] < 0, a["v"]).otherwise(a["lo"]), F.when(a["e"] < 0, a["hi"]).otherwise(a["v"])
+        newton = a["v"] - a["e"] / a["g"]
+        inside = (a["g"] > F.lit(1e-10)) & (newton > lo) & (newton < hi)
+        return F.when((F.abs(a["e"]) <= slack) | (a["hi"] - a["lo"] < F.lit(1e-15)), a).otherwise(seen(lo, hi, F.when(inside, newton).otherwise((lo + hi) / F.lit(2.0))))
+
+    start = seen(F.lit(LEAST_VOL), F.lit(MOST_VOL), F.lit(0.25))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(VOL_STEPS)), start, narrowed, lambda a: a["v"])
+    most = bs_price(s, k, t, F.lit(MOST_VOL), F.lit(True), r, q)
+    return F.when((call > F.greatest(forward - strike, F.lit(0.0))) & (call < most), found)
+
+
 def bachelier_greeks(s: Column, k: Column, t: Column, sigma: Column, is_call: Column, r: float = RISK_FREE, q: float = DIVIDEND) -> tuple[Column, Column, Column]:
     """(delta, gamma, vega per unit of lognormal volatility) under a normal spot whose volatility is ``sigma`` times the forward."""
     forward = s * F.exp(F.lit(float(r - q)) * t)

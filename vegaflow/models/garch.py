@@ -99,10 +99,11 @@ def cgarch(p, e, h0):
     """A slow and a fast component."""
     w, rho, phi, a, b = p
     out, q, h = [h0], h0, h0
-    for x in e[:-1].tolist():
-        q_next = w + rho * (q - w) + phi * (x * x - h)
-        h = min(CAP, max(FLOOR, q_next + a * (x * x - q) + b * (h - q)))
-        q = min(CAP, max(FLOOR, q_next))
+    for y in (e[:-1] ** 2).tolist():
+        q_next = w + rho * (q - w) + phi * (y - h)
+        h = q_next + a * (y - q) + b * (h - q)
+        h = FLOOR if h < FLOOR else CAP if h > CAP else h
+        q = FLOOR if q_next < FLOOR else CAP if q_next > CAP else q_next
         out.append(h)
     return np.array(out)
 
@@ -138,13 +139,15 @@ def hygarch(p, e, h0):
 def ms_garch(p, e, h0):
     """Two regimes with collapsed variance: the mixture by filtered regime probabilities."""
     w1, a1, b1, w2, a2, b2, stay1, stay2 = p
-    out, h, q = [h0], h0, 0.5
-    for x in e[:-1].tolist():
-        v1, v2 = max(FLOOR, w1 + a1 * x * x + b1 * h), max(FLOOR, w2 + a2 * x * x + b2 * h)
-        f1, f2 = (math.exp(-0.5 * x * x / v) / math.sqrt(v) for v in (v1, v2))
-        q = q * f1 / max(1e-300, q * f1 + (1 - q) * f2)
+    out, h, q, exp = [h0], h0, 0.5, math.exp
+    for y in (e[:-1] ** 2).tolist():
+        v1, v2 = w1 + a1 * y + b1 * h, w2 + a2 * y + b2 * h
+        v1, v2 = v1 if v1 > FLOOR else FLOOR, v2 if v2 > FLOOR else FLOOR
+        f1, f2 = q * exp(-0.5 * y / v1) / v1**0.5, (1 - q) * exp(-0.5 * y / v2) / v2**0.5
+        q = f1 / (f1 + f2) if f1 + f2 > 1e-300 else f1 / 1e-300
         q = q * stay1 + (1 - q) * (1 - stay2)
-        h = min(CAP, q * v1 + (1 - q) * v2)
+        h = q * v1 + (1 - q) * v2
+        h = h if h < CAP else CAP
         out.append(h)
     return np.array(out)
 

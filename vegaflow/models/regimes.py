@@ -68,14 +68,17 @@ def markov_switching(x: np.ndarray, rounds: int = 100, tol: float = 1e-7) -> dic
     return {"mean": mean[order], "sd": np.sqrt(var[order]), "stay": np.diag(move)[order], "calm_now": float(smooth[-1, order[0]]), "trace": trace}
 
 
-def wasserstein_clusters(x: np.ndarray, width: int = 20, k: int = 3, seed: int = 7, rounds: int = 50) -> dict:
+#: Random numbers by which the first centres are drawn, the same for every series.
+DRAWS = tuple(np.random.default_rng(7).random(3).tolist())
+
+
+def wasserstein_clusters(x: np.ndarray, width: int = 20, draws: tuple[float, ...] = DRAWS, rounds: int = 50) -> dict:
     """k-means of sliding windows as sorted samples: the squared distance is that of quantile functions."""
     windows = np.sort(np.lib.stride_tricks.sliding_window_view(x, width), axis=1)
-    rng = np.random.default_rng(seed)
-    centres = windows[[int(rng.integers(len(windows)))]]
-    while len(centres) < k:
-        d = ((windows[:, None] - centres) ** 2).mean(axis=2).min(axis=1)
-        centres = np.vstack([centres, windows[int(rng.choice(len(windows), p=d / d.sum()))]])
+    k, centres = len(draws), windows[[int(draws[0] * len(windows))]]
+    for draw in draws[1:]:
+        d = ((windows[:, None] - centres) ** 2).mean(axis=2).min(axis=1).cumsum()
+        centres = np.vstack([centres, windows[int(np.searchsorted(d, draw * d[-1], "right"))]])
     for _ in range(rounds):
         near = ((windows[:, None] - centres) ** 2).mean(axis=2).argmin(axis=1)
         new = np.stack([windows[near == j].mean(axis=0) if (near == j).any() else centres[j] for j in range(k)])

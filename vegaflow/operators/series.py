@@ -75,8 +75,8 @@ def split_adjusted(df: DataFrame, key: str, order: str, close: str) -> DataFrame
     return df.withColumn("_jump", jump).withColumn("adjusted_close", F.col(close) * F.exp(later)).drop("_jump")
 
 
-def as_of(left: DataFrame, right: DataFrame, left_on: str, right_on: str, values: Sequence[str], by: Sequence[str] = (), strict: bool = False) -> DataFrame:
-    """Left rows with the values of the right row latest at or before (``strict``: before) them, by keys.
+def as_of(left: DataFrame, right: DataFrame, left_on: str, right_on: str, values: Sequence[str], by: Sequence[str] = (), strict: bool = False, forward: bool = False) -> DataFrame:
+    """Left rows with the values of the right row latest at or before (``strict``: before) them, by keys; ``forward``: the first at or after.
 
     Both sides are stacked and the last right row is carried forward in one
     window per key, so the cost is one shuffle and one sort, however many rows
@@ -86,13 +86,25 @@ def as_of(left: DataFrame, right: DataFrame, left_on: str, right_on: str, values
     stacked = left.select(*names, F.col(left_on).alias("_at"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(right.select(F.struct(*values).alias("s")).schema["s"].dataType).alias("_right"))
     empty = [F.col(b) if b in by else F.lit(None).cast(left.schema[b].dataType).alias(b) for b in names]
     other = right.select(*empty, F.col(right_on).alias("_at"), F.lit(1 if strict else 0).alias("_side"), F.struct(*values).alias("_right"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("_at") if forward else F.asc("_at"), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mark = 0 if strict else 1
     kind = F.col("_side") == mark
     found = stacked.withColumn("_left", F.lit(True)).unionByName(other.withColumn("_left", F.lit(False))).withColumn("_right", F.last("_right", ignorenulls=True).over(w))
     return found.where(kind & F.col("_left")).select(*names, *(F.col(f"_right.{v}").alias(v) for v in values))
 
 
+def first_on_or_after(left: DataFrame, day: Column, right: DataFrame, right_day: str, reach: int = 400) -> DataFrame:
+    """Left rows with the columns of the right row first on or after their day, at most ``reach`` days ahead; nulls without one.
+
+    The right side is a calendar, and so bounded: each of its rows covers the days
+    behind the one before, and left rows find theirs by an equality join.
+    """
+    w = Window.orderBy(right_day)
+    start = F.greatest(F.date_add(F.lag(right_day).over(w), 1), F.date_sub(right_day, reach))
+    cover = right.withColumn("_from", F.coalesce(start, F.date_sub(right_day, reach))).withColumn("_day", F.explode(F.sequence("_from", right_day))).drop("_from")
+    return left.withColumn("_day", day).join(cover, "_day", "left").drop("_day")
+
+
 def band_join(samples: DataFrame, centre: str, width: Column, targets: tuple[int, int], name: str) -> DataFrame:
     """Each sample once for every integer target within ``width``: a band join as an explode, never a nested loop."""
     around = F.sequence(F.greatest(F.col(centre) - width, F.lit(targets[0])), F.least(F.col(centre) + width, F.lit(targets[1])))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +11,21 @@ from pyspark.sql import functions as F
 
 from vegaflow.functions.numeric import js_round
 from vegaflow.models import garch, regimes, surface
+from vegaflow.operators.clusters import window_clusters
 from vegaflow.plans.registry import query
 from vegaflow.sources.fixtures import BARS_SQL, CONTRACTS_SQL, contracts, daily_bars, sql_round, vol_indices
 
 
+def own_tasks(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key to many tasks for heavy work on small groups.
+
+    Adaptive execution goes by bytes and would merge all such groups into one
+    task; it leaves a stated number of partitions alone. There are many, so that
+    few groups share one.
+    """
+    return df.repartition(min(4096, 32 * df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-the-money quotes within 25 % of spot: run_id, dte, spot, strike, iv; a slice is a listing, and so bounded."""
     c = contracts(spark, sf_dir)
@@ -43,7 +56,7 @@ def svi_parameters(q: DataFrame) -> DataFrame:
             fitted["rmse_iv"] = float(np.sqrt(np.mean((np.sqrt(np.maximum(w, 0) / t) - iv) ** 2)))
         return pd.DataFrame([{"run_id": key[0], "dte": key[1], "spot": float(g["spot"].iloc[0]), "n": len(g), **fitted}] if fitted else [], columns=["run_id", "dte", "spot", "n", "a", "b", "rho", "m", "sigma", "rmse", "butterfly_ok", "floor_ok", "rmse_iv"])
 
-    return q.groupBy("run_id", "dte").applyInPandas(run, SVI_SCHEMA)
+    return own_tasks(q, "run_id", "dte").groupBy("run_id", "dte").applyInPandas(run, SVI_SCHEMA)
 
 
 @query()
@@ -112,7 +125,7 @@ def fitted_local_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
             return pd.DataFrame([{"run_id": key[0], "t": np.nan, "y": np.nan, "local_vol": np.nan, "flag": "no-surface"}])
         return pd.DataFrame({"run_id": key[0], **surface.local_volatility_grid(g["dte"].to_numpy() / 365, g[["a", "b", "rho", "m", "sigma"]].to_numpy())})
 
-    return svi_parameters(slices(spark, sf_dir)).groupBy("run_id").applyInPandas(run, "run_id int, t double, y double, local_vol double, flag string")
+    return own_tasks(svi_parameters(slices(spark, sf_dir)), "run_id").groupBy("run_id").applyInPandas(run, "run_id int, t double, y double, local_vol double, flag string")
 
 
 @query(f"""WITH {SURFACE_SQL}, g AS (SELECT *, k / 4e1 AS k FROM surface, (SELECT unnest(generate_series(-16, 16)) AS k)), y AS (SELECT dte, k_1 AS k, a, b, rho, m, s FROM (SELECT dte, a, b, rho, m, s, g.k_1 FROM (SELECT dte, a, b, rho, m, s, i / 4e1 AS k_1 FROM surface, (SELECT unnest(generate_series(-16, 16)) AS i)) g)),
@@ -146,20 +159,25 @@ def lattice_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         out["european"], out["american"], out["trinomial"] = surface.binomial(*args, False), surface.binomial(*args, True), surface.trinomial(*args)
         return out
 
-    return grid.groupBy("run_id", "dte", "steps").applyInPandas(run, "run_id int, dte int, strike double, is_call boolean, steps int, european double, american double, trinomial double")
+    return own_tasks(grid, "run_id", "dte", "steps").groupBy("run_id", "dte", "steps").applyInPandas(run, "run_id int, dte int, strike double, is_call boolean, steps int, european double, american double, trinomial double")
 
 
-@query()
-def fourier_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jump, stochastic-volatility and pure-jump models fitted to every slice; a group per (run, expiration, model)."""
-    q = slices(spark, sf_dir).withColumn("model", F.explode(F.array(*map(F.lit, surface.FOURIER))))
+def fitted_models(q: DataFrame, models: Sequence[str]) -> DataFrame:
+    """The named models fitted to every slice; a group per (run, expiration, model)."""
+    jobs = q.withColumn("model", F.explode(F.array(*map(F.lit, models))))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("strike")
         f = surface.fit_fourier(key[2], float(g["spot"].iloc[0]), g["strike"].to_numpy(), key[1] / 365, g["iv"].to_numpy())
         return pd.DataFrame([{"run_id": key[0], "dte": key[1], **f}])
 
-    return q.groupBy("run_id", "dte", "model").applyInPandas(run, "run_id int, dte int, model string, params array<double>, rmse_vol double, priced int, converged boolean")
+    return own_tasks(jobs, "run_id", "dte", "model").groupBy("run_id", "dte", "model").applyInPandas(run, "run_id int, dte int, model string, params array<double>, rmse_vol double, priced int, converged boolean")
+
+
+@query()
+def fourier_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jump, stochastic-volatility and pure-jump models fitted to every slice."""
+    return fitted_models(slices(spark, sf_dir), list(surface.FOURIER))
 
 
 @query()
@@ -178,7 +196,7 @@ def vanna_volga_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         ok = np.isfinite(got) & (k >= k[i[0]]) & (k <= k[i[2]])
         return pd.DataFrame([{"run_id": key[0], "dte": key[1], "n": int(ok.sum()), "rmse_vol": float(np.sqrt(np.mean((got[ok] - iv[ok]) ** 2)))}])
 
-    return slices(spark, sf_dir).groupBy("run_id", "dte").applyInPandas(run, "run_id int, dte int, n int, rmse_vol double")
+    return own_tasks(slices(spark, sf_dir), "run_id", "dte").groupBy("run_id", "dte").applyInPandas(run, "run_id int, dte int, n int, rmse_vol double")
 
 
 DELTA_SQL = "(0.02e0 - 0.03e0 * delta + 0.01e0 * delta * delta)"
@@ -204,21 +222,26 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vol_indices(spark, sf_dir).select("symbol", "trading_date", (F.log(F.col("close") / F.lag("close").over(w)) * 100).alias("x")).where("x is not null")
 
 
-@query()
-def garch_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The univariate variance models fitted to each index, one task per (symbol, model), with criteria and forecasts."""
-    jobs = returns(spark, sf_dir).withColumn("model", F.explode(F.array(*map(F.lit, garch.MODELS))))
+def fitted_variances(r: DataFrame, models: Sequence[str]) -> DataFrame:
+    """The named variance models fitted to each symbol's returns, a group per (symbol, model)."""
+    jobs = r.withColumn("model", F.explode(F.array(*map(F.lit, models))))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"symbol": key[0], **garch.fit(key[1], g.sort_values("trading_date")["x"].to_numpy())}])
 
-    return jobs.groupBy("symbol", "model").applyInPandas(run, "symbol string, model string, k int, n int, nll double, aic double, bic double, persistence double, sigma_1d double, sigma_20d double, converged boolean")
+    return own_tasks(jobs, "symbol", "model").groupBy("symbol", "model").applyInPandas(run, "symbol string, model string, k int, n int, nll double, aic double, bic double, persistence double, sigma_1d double, sigma_20d double, converged boolean")
+
+
+@query()
+def garch_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The univariate variance models fitted to each index, with criteria and forecasts."""
+    return fitted_variances(returns(spark, sf_dir), list(garch.MODELS))
 
 
 @query()
 def garch_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts weighted by criterion over three models, and evenly."""
-    m = garch_models(spark, sf_dir).where(F.col("model").isin("GARCH", "GJR", "EGARCH"))
+    m = fitted_variances(returns(spark, sf_dir), ("GARCH", "GJR", "EGARCH"))
     w = F.exp(F.lit(-0.5) * (F.col("bic") - F.min("bic").over(Window.partitionBy("symbol"))))
     m = m.withColumn("w", w)
     return m.groupBy("symbol").agg((F.sum(F.col("w") * F.col("sigma_20d")) / F.sum("w")).alias("weighted_sigma"), F.avg("sigma_20d").alias("even_sigma"), F.min_by("model", "bic").alias("best"), F.bool_and("converged").alias("converged"))
@@ -234,7 +257,7 @@ def correlation_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"symbol": key[0], **garch.correlations(g.sort_values("trading_date"), key[1])}])
 
-    return j.groupBy("symbol", "kind").applyInPandas(run, "symbol string, model string, k int, nll double, correlation double, converged boolean")
+    return own_tasks(j, "symbol", "kind").groupBy("symbol", "kind").applyInPandas(run, "symbol string, model string, k int, nll double, correlation double, converged boolean")
 
 
 @query()
@@ -246,7 +269,13 @@ def regime_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         mix, hmm, cl = regimes.gaussian_mixture(x), regimes.markov_switching(x), regimes.wasserstein_clusters(x)
         return pd.DataFrame([{"symbol": key[0], "calm_weight": mix["weight"][0], "calm_sd": mix["sd"][0], "wild_sd": mix["sd"][1], "two_regimes": mix["bic_two"] < mix["bic_one"], "stay_calm": hmm["stay"][0], "stay_wild": hmm["stay"][1], "calm_now": hmm["calm_now"], "cluster_sd": list(map(float, cl["sd"])), "cluster_now": cl["now"]}])
 
-    return returns(spark, sf_dir).groupBy("symbol").applyInPandas(run, "symbol string, calm_weight double, calm_sd double, wild_sd double, two_regimes boolean, stay_calm double, stay_wild double, calm_now double, cluster_sd array<double>, cluster_now int")
+    return own_tasks(returns(spark, sf_dir), "symbol").groupBy("symbol").applyInPandas(run, "symbol string, calm_weight double, calm_sd double, wild_sd double, two_regimes boolean, stay_calm double, stay_wild double, calm_now double, cluster_sd array<double>, cluster_now int")
+
+
+@query()
+def regime_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the 20-day return distributions of each index, calm first, and the one it is in now; windows are rows, rounds are aggregations."""
+    return window_clusters(spark, returns(spark, sf_dir), "symbol", "trading_date", "x", 20, regimes.DRAWS)
 
 
 LAGS, MOMENTS = (1, 2, 3, 5, 8, 13, 21, 34, 55), (0.5, 1.0, 1.5, 2.0, 3.0)

@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vegaflow.functions.numeric import bachelier_greeks, bs_charm, bs_delta, bs_gamma, bs_vanna, bs_vega, bs_volga, js_round, log_gamma
+from vegaflow.functions.numeric import bachelier_greeks, bs_charm, bs_delta, bs_gamma, bs_price, bs_vanna, bs_vega, bs_volga, implied_volatility, js_round, log_gamma
 from vegaflow.models import surface
-from vegaflow.plans.modelled import slices, svi_parameters
+from vegaflow.operators.stochastic import BUMP, END_SPREADS, LEAST_END, NODES, heston_greeks
+from vegaflow.plans.modelled import fitted_models, own_tasks, slices, svi_parameters
 from vegaflow.plans.registry import query
 from vegaflow.sources.fixtures import CONTRACTS_SQL, contracts, sql_cdf, sql_pdf, sql_round, table
 
@@ -19,22 +20,90 @@ R, Q = 0.045, 0.013
 CARRY_SQL = f"""{CONTRACTS_SQL}, carried AS (SELECT run_id, dte, strike, is_call, spot, iv, tau, spot * exp({R - Q!r}::DOUBLE * tau) AS f, exp(-{Q!r}::DOUBLE * tau) AS dq, (ln(spot / strike) + ({R - Q!r}::DOUBLE + 0.5e0 * iv * iv) * tau) / (iv * sqrt(tau)) AS d, iv * spot * exp({R - Q!r}::DOUBLE * tau) * sqrt(tau) AS sn FROM contracts)"""
 NORMAL_D = "((f - strike) / sn)"
 
-
-@query(f"""WITH {CARRY_SQL}, m AS (
+#: Speed, volatility and correlation of the variance where nothing is fitted; level and mean are those at the money.
+KAPPA, XI, RHO = 2.0, 0.4, -0.7
+
+
+def money_slices(c: DataFrame) -> DataFrame:
+    """run_id, dte, tau and the five parameters of each slice: variance and its mean from the quote nearest the spot."""
+    near = F.min_by("iv", F.struct(F.abs(F.col("strike") - F.col("spot")), "strike", "is_call"))
+    at = c.groupBy("run_id", "dte").agg(F.max("tau").alias("tau"), near.alias("v"))
+    return at.select("run_id", "dte", "tau", (F.col("v") * F.col("v")).alias("v0"), F.lit(KAPPA).alias("kappa"), (F.col("v") * F.col("v")).alias("theta"), F.lit(XI).alias("xi"), F.lit(RHO).alias("rho"))
+
+
+def under_heston(c: DataFrame, slices: DataFrame) -> DataFrame:
+    """run_id, dte, strike, is_call, delta, gamma, vega of every contract."""
+    g = heston_greeks(c, slices, ["run_id", "dte"], R, Q).drop("price")
+    of = c.select("run_id", "dte", "strike", "is_call", "tau").join(g, ["run_id", "dte", "strike"])
+    delta = F.when(F.col("is_call"), F.col("delta")).otherwise(F.col("delta") - F.exp(F.lit(-Q) * F.col("tau")))
+    return of.select("run_id", "dte", "strike", "is_call", delta.alias("delta"), "gamma", "vega")
+
+
+def heston_sql() -> str:
+    """CTEs from ``carried`` to ``heston`` (delta, gamma and vega of calls by run, expiration and strike)."""
+    ends = {"": "v0", "up_": f"pow(sqrt(v0) + {BUMP!r}::DOUBLE, 2)", "down_": f"greatest(pow(sqrt(v0) - {BUMP!r}::DOUBLE, 2), 1e-8)"}
+    values = ", ".join(f"exp(a_re + b_re * {v}) * cos(a_im + b_im * {v}) AS {n}re, exp(a_re + b_re * {v}) * sin(a_im + b_im * {v}) AS {n}im" for n, v in ends.items())
+    sums = ", ".join(f"sum(CASE WHEN j = {j} THEN (cos(u * x) * {n}im + sin(u * x) * {n}re) / u * gap / pi() END) AS {n}p{j}" for n in ends for j in (1, 2))
+    price = lambda n: f"(spot * dq * (0.5e0 + {n}p1) - strike * exp(-{R!r}::DOUBLE * tau) * (0.5e0 + {n}p2))"
+    return f"""
+money AS (SELECT run_id, dte, max(tau) AS tau, arg_min(iv, {{'a': abs(strike - spot), 'b': strike, 'c': is_call}}) AS v FROM carried GROUP BY 1, 2),
+node AS (SELECT run_id, dte, tau, v * v AS v0, v * v AS theta, ({LEAST_END!r}::DOUBLE + {END_SPREADS!r}::DOUBLE / sqrt(v * v * tau)) / {NODES} AS gap, i, j FROM money, (SELECT unnest(generate_series(0, {NODES - 1})) AS i), (SELECT unnest([1, 2]) AS j)),
+n0 AS (SELECT *, (i + 0.5e0) * gap AS u, CASE WHEN j = 1 THEN {KAPPA - RHO * XI!r}::DOUBLE ELSE {KAPPA!r}::DOUBLE END AS be_re, {-RHO * XI!r}::DOUBLE * (i + 0.5e0) * gap AS be_im FROM node),
+n1 AS (SELECT *, be_re * be_re - be_im * be_im + {XI * XI!r}::DOUBLE * u * u AS s_re, 2 * be_re * be_im + CASE WHEN j = 1 THEN -1 ELSE 1 END * {XI * XI!r}::DOUBLE * u AS s_im FROM n0),
+n2 AS (SELECT *, sqrt((sqrt(s_re * s_re + s_im * s_im) + s_re) / 2) AS d_re, CASE WHEN s_im < 0 THEN -1 ELSE 1 END * sqrt(greatest(sqrt(s_re * s_re + s_im * s_im) - s_re, 0) / 2) AS d_im FROM n1),
+n3 AS (SELECT *, be_re - d_re AS l_re, be_im - d_im AS l_im, ((be_re - d_re) * (be_re + d_re) + (be_im - d_im) * (be_im + d_im)) / (pow(be_re + d_re, 2) + pow(be_im + d_im, 2)) AS g_re, ((be_im - d_im) * (be_re + d_re) - (be_re - d_re) * (be_im + d_im)) / (pow(be_re + d_re, 2) + pow(be_im + d_im, 2)) AS g_im, exp(-d_re * tau) * cos(-d_im * tau) AS e_re, exp(-d_re * tau) * sin(-d_im * tau) AS e_im FROM n2),
+n4 AS (SELECT *, 1 - (g_re * e_re - g_im * e_im) AS r_re, -(g_re * e_im + g_im * e_re) AS r_im FROM n3),
+n5 AS (SELECT *, (r_re * (1 - g_re) - r_im * g_im) / (pow(1 - g_re, 2) + g_im * g_im) AS q_re, (r_im * (1 - g_re) + r_re * g_im) / (pow(1 - g_re, 2) + g_im * g_im) AS q_im, ((1 - e_re) * r_re - e_im * r_im) / (r_re * r_re + r_im * r_im) AS f_re, (-e_im * r_re - (1 - e_re) * r_im) / (r_re * r_re + r_im * r_im) AS f_im FROM n4),
+n6 AS (SELECT *, {KAPPA / (XI * XI)!r}::DOUBLE * theta * (l_re * tau - ln(q_re * q_re + q_im * q_im)) AS a_re, {KAPPA / (XI * XI)!r}::DOUBLE * theta * (l_im * tau - 2 * atan2(q_im, q_re)) AS a_im, (l_re * f_re - l_im * f_im) / {XI * XI!r}::DOUBLE AS b_re, (l_re * f_im + l_im * f_re) / {XI * XI!r}::DOUBLE AS b_im FROM n5),
+values_at AS (SELECT run_id, dte, j, u, gap, {values} FROM n6),
+strikes AS (SELECT DISTINCT run_id, dte, strike, spot, tau, dq, ln(spot / strike) + {R - Q!r}::DOUBLE * tau AS x FROM carried),
+summed_up AS (SELECT run_id, dte, strike, spot, tau, dq, {sums}, sum(CASE WHEN j = 1 THEN (cos(u * x) * re - sin(u * x) * im) * gap / pi() END) AS slope FROM strikes JOIN values_at USING (run_id, dte) GROUP BY ALL),
+heston AS (SELECT run_id, dte, strike, dq * (0.5e0 + p1) AS delta, dq * slope / spot AS gamma, ({price('up_')} - {price('down_')}) / {2 * BUMP!r}::DOUBLE AS vega FROM summed_up)"""
+
+
+@query(f"""WITH {CARRY_SQL}, {heston_sql()}, m AS (
   SELECT run_id, dte, strike, is_call, 'lognormal' AS model, dq * ({sql_cdf('d')} - CASE WHEN is_call THEN 0e0 ELSE 1e0 END) AS delta, dq * {sql_pdf('d')} / (spot * iv * sqrt(tau)) AS gamma, spot * dq * {sql_pdf('d')} * sqrt(tau) AS vega FROM carried
-  UNION ALL SELECT run_id, dte, strike, is_call, 'normal', dq * ({sql_cdf(NORMAL_D)} - CASE WHEN is_call THEN 0e0 ELSE 1e0 END), dq * {sql_pdf(NORMAL_D)} / sn, f * exp(-{R!r}::DOUBLE * tau) * {sql_pdf(NORMAL_D)} * sqrt(tau) FROM carried)
+  UNION ALL SELECT run_id, dte, strike, is_call, 'normal', dq * ({sql_cdf(NORMAL_D)} - CASE WHEN is_call THEN 0e0 ELSE 1e0 END), dq * {sql_pdf(NORMAL_D)} / sn, f * exp(-{R!r}::DOUBLE * tau) * {sql_pdf(NORMAL_D)} * sqrt(tau) FROM carried
+  UNION ALL SELECT run_id, dte, strike, is_call, 'heston', h.delta - CASE WHEN is_call THEN 0e0 ELSE dq END, h.gamma, h.vega FROM carried JOIN heston h USING (run_id, dte, strike))
 SELECT run_id, dte, strike, is_call, model, {sql_round('delta', 6)} AS delta, {sql_round('gamma', 9)} AS gamma, {sql_round('vega', 4)} AS vega FROM m""")
 def cross_model_greeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delta, gamma and vega of every contract under a lognormal and a normal spot of equal volatility at the money."""
+    """Delta, gamma and vega of every contract under a lognormal and a normal spot of equal volatility, and under stochastic volatility that is the slice's at the money."""
     c = contracts(spark, sf_dir)
     s, k, t, v, call = (F.col(x) for x in ("spot", "strike", "tau", "iv", "is_call"))
     lognormal = F.struct(F.lit("lognormal").alias("model"), bs_delta(s, k, t, v, call, R, Q).alias("delta"), bs_gamma(s, k, t, v, R, Q).alias("gamma"), bs_vega(s, k, t, v, R, Q).alias("vega"))
     delta, gamma, vega = bachelier_greeks(s, k, t, v, call, R, Q)
     normal = F.struct(F.lit("normal").alias("model"), delta.alias("delta"), gamma.alias("gamma"), vega.alias("vega"))
     x = c.select("run_id", "dte", "strike", "is_call", F.inline(F.array(lognormal, normal)))
+    moving = under_heston(c, money_slices(c)).select("run_id", "dte", "strike", "is_call", F.lit("heston").alias("model"), "delta", "gamma", "vega")
+    x = x.unionAll(moving)
     return x.select("run_id", "dte", "strike", "is_call", "model", js_round(F.col("delta"), 6).alias("delta"), js_round(F.col("gamma"), 9).alias("gamma"), js_round(F.col("vega"), 4).alias("vega"))
 
 
+#: Contracts whose price hardly moves with volatility have no implied one.
+LEAST_VEGA = 0.01
+
+
+@query(f"""WITH {CONTRACTS_SQL}, v AS (SELECT *, spot * {sql_pdf('d1')} * sqrt(tau) AS vega, spot * {sql_cdf('d1')} - strike * exp(-0.045e0 * tau) * {sql_cdf('(d1 - iv * sqrt(tau))')} AS call FROM contracts)
+SELECT run_id, dte, strike, is_call, {sql_round('CASE WHEN is_call THEN call ELSE call - spot + strike * exp(-0.045e0 * tau) END', 4)} AS price, {sql_round(f'CASE WHEN vega >= {LEAST_VEGA!r}::DOUBLE THEN iv END', 5)} AS implied_volatility FROM v""")
+def implied_volatilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every contract's volatility found back from its price alone; null where the price says nothing of it."""
+    s, k, t, call = (F.col(x) for x in ("spot", "strike", "tau", "is_call"))
+    p = contracts(spark, sf_dir).select("run_id", "dte", "spot", "strike", "tau", "is_call", bs_price(s, k, t, F.col("iv"), call).alias("price"))
+    p = p.withColumn("v", implied_volatility(F.col("price"), s, k, t, call))
+    known = F.when(bs_vega(s, k, t, F.col("v")) >= F.lit(LEAST_VEGA), F.col("v"))
+    return p.select("run_id", "dte", "strike", "is_call", js_round(F.col("price"), 4).alias("price"), js_round(known, 5).alias("implied_volatility"))
+
+
+@query()
+def calibrated_heston_greeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price, delta, gamma and vega of the calls on every strike under the stochastic volatility that fits its slice, with the fit's error."""
+    c = contracts(spark, sf_dir)
+    p = fitted_models(slices(spark, sf_dir), ("heston",)).withColumn("years", F.col("dte") / F.lit(365.0))
+    p = p.select("run_id", "dte", F.col("years").alias("tau"), *(F.col("params")[i].alias(n) for i, n in enumerate(("v0", "kappa", "theta", "xi", "rho"))), "rmse_vol")
+    g = heston_greeks(c.withColumn("tau", F.col("dte") / F.lit(365.0)), p, ["run_id", "dte"], R, Q)
+    return g.join(p.select("run_id", "dte", "rmse_vol"), ["run_id", "dte"])
+
+
 #: The grid of log-moneyness: fiftieths from -10 to 10.
 GRID = 10
 
@@ -80,7 +149,7 @@ def ssvi_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"run_id": key[0], **fitted} for fitted in [surface.fit_ssvi(g["dte"].to_numpy() / 365, np.log(g["strike"].to_numpy() / g["spot"].to_numpy()), g["iv"].to_numpy())] if fitted], columns=["run_id", *surface.SSVI_FIELDS])
 
-    return slices(spark, sf_dir).groupBy("run_id").applyInPandas(run, "run_id int, expirations int, rho double, eta double, gamma double, rmse_iv double, calendar_ok boolean, butterfly_most double, butterfly_ok boolean, converged boolean")
+    return own_tasks(slices(spark, sf_dir), "run_id").groupBy("run_id").applyInPandas(run, "run_id int, expirations int, rho double, eta double, gamma double, rmse_iv double, calendar_ok boolean, butterfly_most double, butterfly_ok boolean, converged boolean")
 
 
 #: Slices that say something about the skew at the money: older than five days and fitted well.

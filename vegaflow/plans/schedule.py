@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from vegaflow.functions.calendar import holidays_df, market_holidays, third_friday, trading_days
 from vegaflow.functions.numeric import js_round
+from vegaflow.operators.series import first_on_or_after
+from vegaflow.plans.chain import METRICS_SQL, expiration_metrics_of
 from vegaflow.plans.registry import query
-from vegaflow.sources.fixtures import events, sql_round, table
+from vegaflow.sources.fixtures import MACRO_SQL, contracts, events, macro_events, sql_round, table
 
 HOLIDAYS_SQL = "(SELECT unnest([" + ", ".join(f"DATE '{d}'" for d in market_holidays(2023, 2025)) + "]) AS holiday)"
 
@@ -49,6 +51,26 @@ def event_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("expiration", ahead).select("event_id", "title", "ts", "expiration", F.when(gap <= 1, "24h").when(gap <= 2, "48h").when(gap <= 3, "72h").otherwise("later").alias("urgency"))
 
 
+@query(f"""WITH {METRICS_SQL}, {MACRO_SQL}, told AS (SELECT min(event_id) AS event_id, title, ts, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS event_date FROM macro GROUP BY title, ts),
+listed AS (SELECT (SELECT min(event_date) FROM told) + dte AS expiration, dte, spot, atm_iv FROM metrics WHERE run_id = (SELECT max(run_id) FROM metrics) AND atm_iv IS NOT NULL)
+SELECT event_id, title, event_date, expiration, dte, {sql_round('atm_iv', 6)} AS atm_iv, {sql_round('spot * atm_iv * sqrt(dte / 365e0)', 4)} AS move, {sql_round('atm_iv * sqrt(dte / 365e0) * 100', 6)} AS move_pct
+FROM told ASOF LEFT JOIN listed ON told.event_date <= listed.expiration""")
+def event_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each announcement once, with the latest run's first expiration on or after its New York day and the move that the volatility at the money implies until then.
+
+    The run's expirations lie as many days behind the first announcement as they
+    lie behind the run.
+    """
+    told = macro_events(spark, sf_dir).groupBy("title", "ts").agg(F.min("event_id").alias("event_id")).withColumn("event_date", F.to_date(F.from_utc_timestamp("ts", "America/New_York")))
+    run = expiration_metrics_of(contracts(spark, sf_dir)).where("atm_iv is not null")
+    last = run.agg(F.max("run_id").alias("run_id"))
+    first = told.agg(F.min("event_date").alias("first"))
+    listed = run.join(last, "run_id", "left_semi").join(F.broadcast(first)).select(F.date_add("first", F.col("dte")).alias("expiration"), "dte", "spot", "atm_iv")
+    x = first_on_or_after(told, F.col("event_date"), listed, "expiration")
+    share = F.col("atm_iv") * F.sqrt(F.col("dte") / F.lit(365.0))
+    return x.select("event_id", "title", "event_date", "expiration", "dte", js_round(F.col("atm_iv"), 6).alias("atm_iv"), js_round(F.col("spot") * share, 4).alias("move"), js_round(share * 100, 6).alias("move_pct"))
+
+
 @query(f"""WITH c AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal, DATE '2024-01-02' + CAST(c_custkey % 28 AS INTEGER) AS day FROM customer), f AS (SELECT * FROM c WHERE c_acctbal >= 1000 AND isodow(day) < 6 AND day NOT IN (SELECT holiday FROM {HOLIDAYS_SQL}))
 SELECT day, c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'BMO' WHEN 1 THEN 'AMC' ELSE 'Unknown' END AS session, {sql_round('c_acctbal', 2)} AS revenue, row_number() OVER (PARTITION BY day ORDER BY round(c_acctbal, 2) DESC, c_custkey) AS place FROM f""")
 def reporting_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
