@@ -11,10 +11,12 @@ semantic tags.
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,10 @@ from vegaflow.llm.crf import forward_backward, viterbi
 RAW, RAW_TO_END = frozenset("script style title textarea iframe xmp".split()), frozenset(("script", "style"))
 #: Ordinary elements whose content is not text of the page.
 HIDDEN = frozenset("template svg select button noscript object canvas audio video".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S | re.I)
+#: How a tag, a comment or a declaration begins; of a name, so many characters count.
+OPENING = re.compile(r"<(?:(!--)|(/?)([a-z][^\s/>]{0,63})|[!?/])", re.I)
+RAW_END = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?(?:>|\Z)", re.I) for name in RAW}
+MARKS = re.compile("[>\"']")
 #: Elements that run inside a line of text and do not part blocks.
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,8 +49,11 @@ MAX_PAGES, MAX_RUN = 200, 200
 
 @dataclasses.dataclass
 class Block:
+    """Text with the innermost element around it, all elements and the words of their names, and how much is linked."""
+
     text: str
-    tags: tuple[str, ...]
+    own: str
+    tags: frozenset[str]
     names: frozenset[str]
     linked: int
 
@@ -62,47 +70,110 @@ class Tag:
     end: int | None = None
 
 
+class TagEnds:
+    """Where the tag that is open at a place ends: the next ``>`` outside quotes.
+
+    Marks are listed once, and each knows the end behind it once it was asked for,
+    so all questions about a page take time linear in its length.
+    """
+
+    def __init__(self, page: str):
+        self.places = [m.start() for m in MARKS.finditer(page)]
+        self.kinds = [page[p] for p in self.places]
+        self.closing, last = [0] * len(self.places), {}
+        for i in range(len(self.places) - 1, -1, -1):
+            self.closing[i] = last.get(self.kinds[i], -1)
+            last[self.kinds[i]] = i
+        self.known: dict[int, int] = {}
+
+    def after(self, place: int) -> int:
+        """The place of that ``>``, or -1 where there is none or a quote is never closed."""
+        i, way, found = bisect.bisect_left(self.places, place), [], -1
+        while i < len(self.places):
+            if i in self.known:
+                found = self.known[i]
+                break
+            way.append(i)
+            if self.kinds[i] == ">":
+                found = self.places[i]
+                break
+            if self.closing[i] < 0:
+                break
+            i = self.closing[i] + 1
+        self.known.update(dict.fromkeys(way, found))
+        return found
+
+
 def tags_of(page: str) -> list[Tag]:
     """Tags in page order (a comment is one without a name); raw elements are one tag with all they hold.
 
     A raw element without an end tag holds nothing, but for scripts and styles,
-    which run to the end of the page; a self-closed one holds nothing either.
+    which run to the end of the page; a self-closed one holds nothing either. An
+    end tag of a raw element may carry anything behind its name.
     """
     out: list[Tag] = []
     endless: set[str] = set()
-    at = 0
-    while m := TOKEN.search(page, at):
-        at, name, attributes = m.end(), (m[2] or "").lower(), m[3] or ""
+    ends, at, last = TagEnds(page), 0, page.rfind(">")
+    while m := OPENING.search(page, at):
+        start, name, attributes = m.start(), (m[3] or "").lower(), ""
+        if m[1]:
+            at = page.find("-->", m.end())
+            at = at + 3 if at >= 0 else len(page)
+        elif m.end() > last:  # no tag from here on has an end
+            at = start + 1
+            continue
+        elif name:
+            end = ends.after(m.end())
+            if end < 0:
+                at = start + 1
+                continue
+            attributes, at = page[m.end() : end], end + 1
+        else:
+            at = page.find(">", m.end()) + 1
         if name in RAW:
-            if not m[1] and not attributes.endswith("/"):
-                end = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if not m[2] and not attributes.endswith("/"):
+                end = None if name in endless else RAW_END[name].search(page, at)
                 if end:
                     at = end.end()
                 else:
                     endless.add(name)
                     at = len(page) if name in RAW_TO_END else at
             name = ""
-        out.append(Tag(m.start(), at, name, bool(m[1]), attributes))
+        out.append(Tag(start, at, name, bool(m[2]), attributes))
     return out
 
 
 def pair(tags: list[Tag]) -> None:
     """Sets the end of hidden elements whose end tag comes before that of an element around them."""
     stack: list[Tag] = []
+    held: Counter[str] = Counter()
     for i, t in enumerate(tags):
         if not t.name or (t.name in INLINE and t.name not in HIDDEN) or t.name in VOID:
             continue
         if not t.closing:
             if not t.attributes.endswith("/"):
                 stack.append(t)
+                held[t.name] += 1
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].name == t.name:
-                stack[k].end = i if t.name in HIDDEN else None
-                del stack[k:]
+        while held[t.name]:
+            top = stack.pop()
+            held[top.name] -= 1
+            if top.name == t.name:
+                top.end = i if t.name in HIDDEN else None
                 break
 
 
+#: Elements inside each other whose tags and names count; deeper ones take those of the element around them.
+DEPTH = 512
+
+
+@dataclasses.dataclass(slots=True)
+class Element:
+    tag: str
+    tags: frozenset[str]
+    names: frozenset[str]
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks with text, in page order; white space is one space, references are decoded.
 
@@ -114,7 +185,8 @@ def blocks_of(page: str | None) -> list[Block]:
     tags = tags_of(page)
     pair(tags)
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = [Element("none", frozenset(), frozenset())]
+    open_ones: Counter[str] = Counter()
     held: list[str] = []
     links, linked, muted = 0, 0, False
 
@@ -122,7 +194,7 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(held).split())
         if text:
-            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), linked))
+            out.append(Block(text, stack[-1].tag, stack[-1].tags, stack[-1].names, linked))
         held.clear()
         linked = 0
 
@@ -158,31 +230,37 @@ def blocks_of(page: str | None) -> list[Block]:
         end_block()
         links, muted = 0, False
         if t.closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == t.name:
-                    del stack[k:]
+            while open_ones[t.name]:
+                top = stack.pop()
+                open_ones[top.tag] -= 1
+                if top.tag == t.name:
                     break
             continue
-        if stack and (stack[-1][0] == "p" or t.name in CLOSED_BY.get(stack[-1][0], ())):
-            stack.pop()
+        if stack[-1].tag == "p" or t.name in CLOSED_BY.get(stack[-1].tag, ()):
+            open_ones[stack.pop().tag] -= 1
         if t.name not in VOID and not t.attributes.endswith("/"):
-            names = frozenset(w for g in NAMES.findall(t.attributes) for w in NAME_WORD.findall("".join(g).lower()))
-            stack.append((t.name, names))
+            around = stack[-1]
+            tags_now, names = around.tags, around.names
+            if len(stack) <= DEPTH:
+                own = {w for g in NAMES.findall(t.attributes) for w in NAME_WORD.findall("".join(g).lower())}
+                tags_now, names = tags_now if t.name in tags_now else tags_now | {t.name}, names if own <= names else names | own
+            stack.append(Element(t.name, tags_now, names))
+            open_ones[t.name] += 1
     text_of(page[at:])
     end_block()
     return out
 
 
 def features_of(blocks: list[Block]) -> list[set[str]]:
-    has_main = any(t in ("article", "main") for b in blocks for t in b.tags)
+    has_main = any(not MAIN_TAGS.isdisjoint(b.tags) for b in blocks)
     out = []
     for i, b in enumerate(blocks):
         words, share = b.text.count(" ") + 1, b.linked / len(b.text)
-        f = {"own " + (b.tags[-1] if b.tags else "none"), f"words {min(5, words.bit_length())}", f"linked {min(3, int(share * 3.3))}", "always"}
+        f = {"own " + b.own, f"words {min(5, words.bit_length())}", f"linked {min(3, int(share * 3.3))}", "always"}
         f.update("in " + t for t in b.tags)
         f.update("name " + n for n in b.names)
         if has_main:
-            f.add("inside" if "article" in b.tags or "main" in b.tags else "outside")
+            f.add("inside" if not MAIN_TAGS.isdisjoint(b.tags) else "outside")
         if b.text[-1] in ".!?\"'”»:;":
             f.add("closed")
         if i == 0:
@@ -312,7 +390,7 @@ BOILER_NAMES = {"ad", "ads", "advert", "advertisement", "sidebar", "comment", "c
 def self_labelled(page: str) -> tuple[list[Block], list[int]] | None:
     """Blocks and labels of a page that has a main element, else None."""
     blocks = blocks_of(page)
-    labels = [int(bool(MAIN_TAGS & {*b.tags}) and not BOILER_TAGS & {*b.tags} and not BOILER_NAMES & b.names) for b in blocks]
+    labels = [int(bool(MAIN_TAGS & b.tags) and not BOILER_TAGS & b.tags and not BOILER_NAMES & b.names) for b in blocks]
     return (blocks, labels) if any(labels) else None
 
 
@@ -327,7 +405,7 @@ def train(pages: DataFrame) -> BlockModel:
     Of a page of the sample, a run of at most ``MAX_RUN`` blocks counts, with
     the features that they have in the whole page; the hash says where it starts.
     """
-    n = pages.count()
+    n = pages.agg(F.approx_count_distinct("page_id")).first()[0]
     draw = F.pmod(F.xxhash64(F.lit(31), "page_id"), F.lit(1 << 32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,6 +419,7 @@ def train(pages: DataFrame) -> BlockModel:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["run"])
 
     drawn = pages.where(F.col("html").isNotNull() & (draw < F.lit(min(1 << 32, int((1 << 32) * MAX_PAGES / max(1, n))))))
+    drawn = drawn.groupBy("page_id").agg(F.min("html").alias("html"))  # of an id that repeats, one row
     rows = drawn.select("html", F.pmod(F.xxhash64(F.lit(37), "page_id"), F.lit(1 << 31)).alias("place")).mapInArrow(run, "run string").collect()
     own = [([set(f) for f in feats], labels) for feats, labels in (json.loads(r["run"]) for r in rows)]
     return fit([featured(x) for x in built_pages(700)] + own)
