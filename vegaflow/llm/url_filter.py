@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import dataclasses
 import re
+import json
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,7 +91,9 @@ def tokens_of(subject: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: list[UrlRule]) -> DataFrame:
-    return spark.createDataFrame([(r.rank, r.name, r.action, r.pattern, list(r.tokens)) for r in rules], RULE_SCHEMA)
+    """The rules as rows, from one literal that Spark's JSON functions read."""
+    listed = json.dumps([{"rank": r.rank, "name": r.name, "action": r.action, "pattern": r.pattern, "tokens": list(r.tokens)} for r in rules])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(listed), f"array<struct<{RULE_SCHEMA}>>")))
 
 
 def filed(rules: DataFrame, held: DataFrame) -> DataFrame:
