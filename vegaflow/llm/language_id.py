@@ -164,11 +164,12 @@ def fit(texts: dict[str, list[list[str]]], rounds: int = 50, rate: float = 0.15,
 def training_words(docs: DataFrame) -> dict[str, list[list[str]]]:
     """Words of a bounded sample, by hash of the id, of each language's learning rows; cut to chains in the tasks."""
     learn = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("count")).collect()}
     if not counts:
         return {}
     share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 32, int((1 << 32) * MAX_TEXTS / n)))))
     chosen = learn.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 32)) < share[F.col("lang")])
+    chosen = chosen.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.*")  # of an id that repeats, one row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

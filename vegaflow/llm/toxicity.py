@@ -157,7 +157,7 @@ def training_words(docs: DataFrame, labels: DataFrame) -> tuple[Iterator[set[str
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     learn = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
     known = learn.select("doc_id").join(marks, "doc_id").agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("t")).first()
-    n, toxic, total = known["n"], known["t"] or 0, learn.count()
+    n, toxic, total = known["n"], known["t"] or 0, learn.agg(F.approx_count_distinct("doc_id")).first()[0]
     prior = toxic / n if toxic else DEFAULT_PRIOR
     readable = learn.where(F.col("text").isNotNull())
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 32))
@@ -170,7 +170,9 @@ def training_words(docs: DataFrame, labels: DataFrame) -> tuple[Iterator[set[str
         share = F.lit(min(1 << 32, int((1 << 32) * most / max(1, there))))
         confirmed = marks.where("toxic = 1").select("doc_id")
         rows = readable.where(draw < share)
-        for r in (rows.join(confirmed, "doc_id", "left_semi") if wanted else rows).select("text").mapInArrow(distinct, "words array<string>").toLocalIterator():
+        rows = rows.join(confirmed, "doc_id", "left_semi") if wanted else rows
+        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))  # of an id that repeats, one row
+        for r in rows.select("text").mapInArrow(distinct, "words array<string>").toLocalIterator():
             yield set(r["words"])
 
     return texts(1, MAX_POSITIVES, toxic), texts(0, MAX_UNLABELLED, total), prior
