@@ -419,11 +419,13 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
-def with_spans(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and _ranges (null where nothing is covered)."""
-    found = ranges.toDF("_doc", "_mark", "_ranges")
-    own = (F.col("_mark") == 0) | (F.col("_mark") == F.xxhash64("text"))
-    return docs.join(found, (F.col("doc_id") == F.col("_doc")) & own, "left").drop("_doc", "_mark")
+def with_spans(docs: DataFrame, ranges: DataFrame) -> tuple[DataFrame, str]:
+    """All columns of ``docs`` and one of ranges (null where nothing is covered), and its name, which is none of theirs."""
+    taken = {c.lower() for c in docs.columns}
+    free = next(p for p in ("_" * n for n in range(1, len(taken) + 2)) if not {p + "doc", p + "mark", p + "ranges"} & taken)
+    found = ranges.toDF(free + "doc", free + "mark", free + "ranges")
+    own = (F.col(free + "mark") == 0) | (F.col(free + "mark") == F.xxhash64("text"))
+    return docs.join(found, (F.col("doc_id") == F.col(free + "doc")) & own, "left").drop(free + "doc", free + "mark"), free + "ranges"
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -436,7 +438,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
     answer. An empty table gives no rows; other columns are not read.
     """
     work = Workspace(spark, "repeats")
-    rows = with_spans(docs.select("doc_id", "text"), covered(docs, work, depth))
+    rows, spans_col = with_spans(docs.select("doc_id", "text"), covered(docs, work, depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -448,7 +450,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "_ranges").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>")
+    return rows.select("doc_id", "text", spans_col).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -457,12 +459,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
     ``n_chars``, if there, is counted anew. Rows whose text is left empty stay.
     """
     work = Workspace(spark, "repeats")
-    rows = with_spans(docs, covered(docs, work, depth))
+    rows, spans_col = with_spans(docs, covered(docs, work, depth))
     names, kept = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if not r else kept_bytes(t.encode(), merged(r)).decode(errors="ignore") for t, r in zip(b.column("text").to_pylist(), b.column("_ranges").to_pylist(), strict=True)]
+            texts = [t if not r else kept_bytes(t.encode(), merged(r)).decode(errors="ignore") for t, r in zip(b.column("text").to_pylist(), b.column(spans_col).to_pylist(), strict=True)]
             columns = {n: b.column(n) for n in names}
             columns["text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
