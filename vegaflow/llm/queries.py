@@ -14,6 +14,7 @@ from vegaflow.llm.inner_products import top_products
 from vegaflow.llm.language_id import language_id
 from vegaflow.llm.main_text import main_text
 from vegaflow.llm.near_duplicates import near_duplicates
+from vegaflow.llm.oracles import PRODUCTS_SQL, REPAIR_SQL, codes_sql
 from vegaflow.llm.packing import pack
 from vegaflow.llm.pivot_index import near_vectors
 from vegaflow.llm.suffix_dedup import remove_repeats
@@ -124,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": URL_SQL}
+    return {"op5_url_filter": URL_SQL, "op11_turn_repair": REPAIR_SQL, "op12_inner_products": PRODUCTS_SQL, "op13_product_codes": codes_sql()}
