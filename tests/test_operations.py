@@ -7,7 +7,6 @@ import os
 import threading
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,7 +196,7 @@ def test_the_day_to_work_on(spark):
 
 
 def test_contracts_of_partial_runs_stay_out_and_state_goes(spark, tmp_path):
-    t = lambda d, h=0: pd.Timestamp(2024, 1, d, h)
+    t = lambda d, h=0: dt.datetime(2024, 1, d, h)
     heads = [[(1, t(1), "success"), (2, t(1), "partial"), (3, t(2), "success")], [(9, t(20), "success")], [(10, t(25), "success")]]
     rows = [[(1, t(1, 1), 1.0), (2, t(1, 1), 2.0), (3, t(1, 1), 3.0), (3, t(2, 5), 4.0)], [(9, t(20, 1), 6.0), (1, t(5), 5.0)], [(10, t(25, 1), 7.0)]]
     h, c = "run_id bigint, captured_at timestamp, status string", "run_id bigint, at timestamp, strike double"
@@ -215,7 +214,7 @@ def test_contracts_of_partial_runs_stay_out_and_state_goes(spark, tmp_path):
 def test_sources_go_stale_without_a_word(spark, tmp_path):
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema, at = "event_type string, ts timestamp", lambda m: pd.Timestamp(2024, 1, 2, 10) + pd.Timedelta(minutes=m)
+    schema, at = "event_type string, ts timestamp", lambda m: dt.datetime(2024, 1, 2, 10) + dt.timedelta(minutes=m)
     folder = tmp_path / "in"
 
     def arrive(i, rows):

@@ -10,44 +10,87 @@ from vegaflow.operators.search import nearest_rows
 from vegaflow.plans.registry import SQL, query
 from vegaflow.sources.fixtures import MACRO_SQL, macro_events, sql_round, table
 
-#: Elements that hold no prose, and those after whose end a paragraph is over.
-NO_PROSE = ("head", "script", "style", "nav", "footer", "svg")
-PARAGRAPHS = ("p", "div", "section", "article", "li", "tr")
-#: Named references that prose may hold.
-NAMED = {"nbsp": " ", "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'"}
-
-
-def prose_steps() -> list[tuple[str, str]]:
-    """(pattern, replacement) from markup to prose: drop, mark headings and line ends, strip tags, decode, tidy."""
-    gone = "|".join(rf"<{t}[\s\S]*?</{t}>" for t in NO_PROSE)
-    marks = [(rf"<h{level}[^>]*>\s*", f"\n\n{'#' * level} ") for level in range(3, 7)]
-    names = [(f"&{name};", out) for name, out in NAMED.items()]
-    return [
-        (gone, ""), (r"<h[12][^>]*>\s*", "\n\n## "), *marks, (rf"\s*</h[1-6]>|</(?:{'|'.join(PARAGRAPHS)})>", "\n\n"), (r"<br\s*/?>", "\n"), ("<[^>]+>", ""),
-        *names, (r"&#\d+;", ""), (r"[ \t]+", " "), (r"\n\s*\n\s*\n+", "\n\n"),
-    ]
-
-
-PROSE = prose_steps()
-
-
-def prose_of(c):
-    for pattern, out in PROSE:
-        c = F.regexp_replace(c, F.lit("(?i)" + pattern), F.lit(out))
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
-def prose_sql(c: str) -> str:
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    for pattern, out in PROSE:
-        c = f"regexp_replace({c}, {q(pattern)}, {q(out)}, 'gi')"
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
-
-
-@query(f"WITH p AS (SELECT page_id, {prose_sql('html')} AS prose FROM pages) SELECT page_id, prose, sha256(prose) AS content_hash, CAST(ceil(length(prose) / 4e0) AS BIGINT) AS token_estimate FROM p")
+#: A page as pieces: tags, runs of text, and signs that open no tag.
+PIECE, TAG_NAME, COMMENT = "<[^<>]*>|[^<]+|<", "^<(/?[A-Za-z][A-Za-z0-9]*)[^<>]*>$", "<!--[\\s\\S]*?-->"
+#: Elements without prose: what raw ones hold is no markup, so they are settled before the others.
+RAW, APART = ("head", "script", "style"), ("nav", "footer", "svg")
+#: What a tag stands for in prose: the level of a heading in marks, an end of a paragraph, an end of a line.
+HEADINGS = {f"h{n}": "\n\n" + "#" * max(2, n) + " " for n in range(1, 7)}
+ENDS = {"/" + t: "\n\n" for t in ("p", "div", "section", "article", "li", "tr", *HEADINGS)} | {"br": "\n"}
+#: References that prose may hold, in the order in which they are read.
+REFERENCES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"))
+#: What is left to tidy: other numbered references, blanks, and more than one empty line.
+TIDY = (("&#[0-9]+;", ""), ("[ \\t]+", " "), ("\\n\\s*\\n\\s*\\n", "\n\n"), ("^\\s+|\\s+$", ""))
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def inside_sql(names: tuple[str, ...]) -> str:
+    before, behind = "PARTITION BY page_id ORDER BY i", "PARTITION BY page_id ORDER BY i DESC"
+    last = lambda tag, w: f"max(i) FILTER (tag = '{tag}') OVER ({w})"
+    one = lambda n: f"coalesce({last(n, before)} > coalesce({last('/' + n, before)}, -1), false) AND min(i) FILTER (tag = '/{n}') OVER ({behind}) IS NOT NULL"
+    return " OR ".join(f"({one(n)})" for n in names)
+
+
+def prose_sql() -> str:
+    marks = " ".join(f"WHEN '{t}' THEN {quoted(m)}" for t, m in (HEADINGS | ENDS).items())
+    heads = lambda slash: ", ".join(f"'{slash}{h}'" for h in HEADINGS)
+    text = "string_agg(piece, '' ORDER BY i)"
+    for sign, out in REFERENCES:
+        text = f"replace({text}, {quoted(sign)}, {quoted(out)})"
+    for pattern, out in TIDY:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(out)}, 'g')"
+    return f"""cut AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '{COMMENT}', '', 'g'), '{PIECE}') AS l FROM pages),
+piece AS (SELECT page_id, unnest(l) AS piece, unnest(generate_series(1, len(l))) AS i FROM cut), tagged AS (SELECT *, lower(regexp_extract(piece, '{TAG_NAME}', 1)) AS tag, piece LIKE '<%>' AS is_tag FROM piece),
+raw AS (SELECT * FROM tagged QUALIFY NOT ({inside_sql(RAW)})), shown AS (SELECT * FROM raw QUALIFY NOT ({inside_sql(APART)})),
+said AS (SELECT page_id, i, CASE WHEN is_tag THEN coalesce(CASE tag {marks} END, '') ELSE regexp_replace(regexp_replace(piece, CASE WHEN lag(tag, 1, '') OVER w IN ({heads('')}) THEN '^\\s+' ELSE '^$' END, ''), CASE WHEN lead(tag, 1, '') OVER w IN ({heads('/')}) THEN '\\s+$' ELSE '^$' END, '') END AS piece FROM shown WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+p AS (SELECT page_id, {text} AS prose FROM said GROUP BY 1)"""
+
+
+def prose(pages: DataFrame) -> DataFrame:
+    """page_id, prose of every row: text with headings as marks and paragraphs apart; empty where there is none.
+
+    A page is walked once as rows of pieces; what is shown, and what a tag stands
+    for, comes from the rows around it in the page's window.
+    """
+    w = Window.partitionBy("row").orderBy("i")
+    before, behind = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    at = lambda tag, f, frame: f(F.when(F.col("tag") == tag, F.col("i"))).over(frame)
+
+    def outside(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        hidden = F.lit(False)
+        for n in names:
+            opened = F.coalesce(at(n, F.max, before) > F.coalesce(at("/" + n, F.max, before), F.lit(-1)), F.lit(False))
+            hidden = hidden | (opened & at("/" + n, F.min, behind).isNotNull())
+        return df.withColumn("hidden", hidden).where("not hidden").drop("hidden")
+
+    pieces = F.regexp_extract_all(F.regexp_replace(F.coalesce("html", F.lit("")), F.lit(COMMENT), F.lit("")), F.lit(PIECE), 0)
+    # one empty piece at the end, which nothing hides: every page has a row
+    x = pages.withColumn("row", F.monotonically_increasing_id()).select("row", "page_id", F.posexplode(F.array_append(pieces, "")).alias("i", "piece"))
+    x = x.withColumns({"tag": F.lower(F.regexp_extract("piece", TAG_NAME, 1)), "is_tag": F.col("piece").startswith("<") & F.col("piece").endswith(">")})
+    x = outside(outside(x, RAW), APART)
+    after_head, before_end = F.lag("tag", 1, "").over(w).isin(*HEADINGS), F.lead("tag", 1, "").over(w).isin(*("/" + h for h in HEADINGS))
+    mark = F.coalesce(F.create_map(*(F.lit(v) for kv in (HEADINGS | ENDS).items() for v in kv))[F.col("tag")], F.lit(""))
+    x = x.withColumns({"after_head": after_head, "before_end": before_end})
+    bare = F.when(F.col("after_head"), F.regexp_replace("piece", "^\\s+", "")).otherwise(F.col("piece"))
+    bare = F.when(F.col("before_end"), F.regexp_replace(bare, "\\s+$", "")).otherwise(bare)
+    x = x.withColumn("out", F.when(F.col("is_tag"), mark).otherwise(bare))
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("i", "out")))["out"], "")
+    g = x.groupBy("row", "page_id").agg(text.alias("prose"))
+    c = F.col("prose")
+    for sign, out in REFERENCES:
+        c = F.replace(c, F.lit(sign), F.lit(out))
+    for pattern, out in TIDY:
+        c = F.regexp_replace(c, F.lit(pattern), F.lit(out))
+    return g.select("page_id", c.alias("prose"))
+
+
+@query(f"WITH {prose_sql()} SELECT page_id, coalesce(prose, '') AS prose, sha256(coalesce(prose, '')) AS content_hash, CAST(ceil(length(coalesce(prose, '')) / 4e0) AS BIGINT) AS token_estimate FROM pages LEFT JOIN p USING (page_id)")
 def html_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose of pages with headings as marks, its hash and a token estimate."""
-    p = table(spark, sf_dir, "pages").select("page_id", prose_of(F.col("html")).alias("prose"))
+    """Prose of pages with headings as marks, its hash and a token estimate; a page without any has an empty one."""
+    p = prose(table(spark, sf_dir, "pages"))
     return p.select("page_id", "prose", F.sha2("prose", 256).alias("content_hash"), F.ceil(F.length("prose") / F.lit(4.0)).alias("token_estimate"))
 
 
