@@ -66,11 +66,21 @@ def test_every_fitted_expiration_has_jump_wings_and_every_run_a_local_surface(sp
             x = wings.loc[(f.run_id, f.dte)]
             assert np.allclose([x.v, x.psi, x.p, x.c], [w0 / (f.dte / 365), f.b * (f.rho - f.m / root) / 2 / np.sqrt(w0), f.b * (1 - f.rho) / np.sqrt(w0), f.b * (1 + f.rho) / np.sqrt(w0)], atol=1e-7)
     local = QUERIES["fitted_local_volatility"](spark, sf).toPandas()
-    assert set(local.run_id) == set(fits.run_id) and set(local.groupby("run_id").size()) <= {1, 32 * 64}
+    assert set(local.run_id) == set(fits.run_id) and set(local.groupby("run_id").size()) == {32 * 64}
+    assert (local.flag == "ok").mean() > 0.5 and local[local.flag == "ok"].local_vol.between(0.01, 3).all()
+
+
+def test_the_skew_of_smiles_decays_as_they_were_made(spark, sf):
+    law = QUERIES["skew_power_law"](spark, sf).toPandas()
+    assert (law.slices >= 3).all() and (law.r2 > 0.9).all() and law.slope.between(-0.6, -0.2).all() and law.level.gt(0).all()
+
+
+#: Parameters of a surface: (dte, a, b, rho, m, sigma).
+SURFACE = [(30, 0.002, 0.04, -0.4, 0.01, 0.12), (60, 0.004, 0.05, -0.35, 0.01, 0.15), (120, 0.008, 0.06, -0.3, 0.02, 0.2), (240, 0.016, 0.07, -0.25, 0.02, 0.25)]
 
 
 def test_local_volatility_by_cells():
-    rows = np.array(modelled.SURFACE)
+    rows = np.array(SURFACE)
     t, p = rows[:, 0] / 365, rows[:, 1:]
     got = surface.local_volatility_grid(t[::-1], p[::-1])
     assert len(got["t"]) == 32 * 64 and (got["flag"] == "ok").any()

@@ -57,7 +57,13 @@ def cloud_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("day").alias("trading_date"), F.col("target").alias("dte"), *(js_round(F.col("q")[i], 6).alias(f"iv_p{int(q * 100)}") for i, q in enumerate(QUANTILES)), F.coalesce("n", F.lit(0)).alias("sample_count"))
 
 
-@query()
+HISTORY_SQL = f"""WITH {TERM_SQL}, near AS (SELECT trading_date AS day, target, atm_iv FROM term, (SELECT unnest(generate_series(-3, 3)) AS k) o, (SELECT CAST(unnest(generate_series(0, 280)) AS INTEGER) AS target) g WHERE target = dte + k AND (target >= 7 OR abs(k) <= 1)),
+stacked AS (SELECT day, target, atm_iv, false AS asked FROM near UNION ALL SELECT day, CAST(unnest(generate_series(0, 280)) AS INTEGER), NULL, true FROM (SELECT DISTINCT trading_date AS day FROM term)),
+q AS (SELECT day, target, asked, {', '.join(f'quantile_cont(atm_iv, {q}) OVER w AS q{int(q * 100)}' for q in QUANTILES)}, count(atm_iv) OVER w AS n FROM stacked WINDOW w AS (PARTITION BY target ORDER BY day RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))
+SELECT CAST(day AS DATE) AS trading_date, target AS dte, {', '.join(f"{sql_round(f'q{int(q * 100)}', 6)} AS iv_p{int(q * 100)}" for q in QUANTILES)}, n AS sample_count FROM q WHERE asked"""
+
+
+@query(HISTORY_SQL)
 def cloud_bands_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bands of every trading day: (trading_date, dte 0..280), as the daily table is filled.
 

@@ -40,6 +40,21 @@ def otm_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slices(spark, sf_dir).groupBy("run_id", "dte").agg(F.count("*").alias("n"), F.min("strike").alias("low"), F.max("strike").alias("high"), js_round(F.sum("iv"), 6).alias("sum_iv"))
 
 
+#: The smiles of ``quoted_smiles``: skew, curvature and its decay, and how far a quote may lie off.
+RHO, ETA, DECAY, OFF = -0.6, 1.1, 0.45, 0.001
+
+
+def quoted_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices whose quotes lie near a smile: the run's level, a curvature that decays with maturity as a power, and a small part of each quote's own deviation."""
+    x = slices(spark, sf_dir)
+    level = x.groupBy("run_id").agg(F.avg("iv").alias("level"))
+    t, k = F.col("dte") / F.lit(365.0), F.log(F.col("strike") / F.col("spot"))
+    theta = F.col("level") * F.col("level") * t
+    bend = F.lit(ETA) * F.pow(theta, F.lit(-DECAY)) * F.pow(1 + theta, F.lit(DECAY - 1)) * k
+    w = theta / 2 * (1 + RHO * bend + F.sqrt((bend + RHO) * (bend + RHO) + (1 - RHO * RHO)))
+    return x.join(level, "run_id").select("run_id", "dte", "spot", "strike", (F.sqrt(w / t) + OFF * (F.col("iv") - F.col("level"))).alias("iv"))
+
+
 SVI_SCHEMA = "run_id int, dte int, spot double, n int, a double, b double, rho double, m double, sigma double, rmse double, butterfly_ok boolean, floor_ok boolean, rmse_iv double"
 
 
@@ -77,21 +92,25 @@ def risk_neutral_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return svi_parameters(slices(spark, sf_dir)).mapInPandas(run, "run_id int, dte int, mean double, q10 double, q50 double, q90 double, raw_area double")
 
 
-#: Parameters of the closed-form surface queries: (dte, a, b, rho, m, sigma).
-SURFACE = [(30, 0.002, 0.04, -0.4, 0.01, 0.12), (60, 0.004, 0.05, -0.35, 0.01, 0.15), (120, 0.008, 0.06, -0.3, 0.02, 0.2), (240, 0.016, 0.07, -0.25, 0.02, 0.25)]
-SURFACE_SQL = "surface(dte, a, b, rho, m, s) AS (VALUES " + ", ".join("(" + ", ".join(f"{x!r}::DOUBLE" if isinstance(x, float) else str(x) for x in row) + ")" for row in SURFACE) + ")"
+#: The closed-form surface of a slice: its mean volatility v and years t give a = A v^2 t, b = B v sqrt(t), s = S + T sqrt(t).
+SHAPE = {"A": 0.4, "B": 0.3, "rho": -0.4, "m": 0.01, "S": 0.15, "T": 0.05}
+SURFACE_SQL = f"""{CONTRACTS_SQL}, level AS (SELECT run_id, dte, dte / 365e0 AS t, avg(iv) AS v FROM contracts GROUP BY 1, 2),
+surface AS (SELECT run_id, dte, {SHAPE['A']!r}::DOUBLE * v * v * t AS a, {SHAPE['B']!r}::DOUBLE * v * sqrt(t) AS b, {SHAPE['rho']!r}::DOUBLE AS rho, {SHAPE['m']!r}::DOUBLE AS m, {SHAPE['S']!r}::DOUBLE + {SHAPE['T']!r}::DOUBLE * sqrt(t) AS s FROM level)"""
 
 
-def surface_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SURFACE, "dte int, a double, b double, rho double, m double, s double")
+def surface_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, dte, a, b, rho, m, s of every slice, from its mean volatility."""
+    t, v = F.col("dte") / F.lit(365.0), F.col("v")
+    level = contracts(spark, sf_dir).groupBy("run_id", "dte").agg(F.avg("iv").alias("v"))
+    return level.select("run_id", "dte", (SHAPE["A"] * v * v * t).alias("a"), (SHAPE["B"] * v * F.sqrt(t)).alias("b"), F.lit(SHAPE["rho"]).alias("rho"), F.lit(SHAPE["m"]).alias("m"), (F.lit(SHAPE["S"]) + SHAPE["T"] * F.sqrt(t)).alias("s"))
 
 
 @query(f"""WITH {SURFACE_SQL}, x AS (SELECT *, dte / 365e0 AS t, a + b * (-rho * m + sqrt(m * m + s * s)) AS w0 FROM surface)
-SELECT dte, {sql_round('w0 / t', 8)} AS v, {sql_round('b / sqrt(w0) / 2 * (-m / sqrt(m * m + s * s) + rho)', 8)} AS psi, {sql_round('b * (1 - rho) / sqrt(w0)', 8)} AS p, {sql_round('b * (1 + rho) / sqrt(w0)', 8)} AS c,
+SELECT run_id, dte, {sql_round('w0 / t', 8)} AS v, {sql_round('b / sqrt(w0) / 2 * (-m / sqrt(m * m + s * s) + rho)', 8)} AS psi, {sql_round('b * (1 - rho) / sqrt(w0)', 8)} AS p, {sql_round('b * (1 + rho) / sqrt(w0)', 8)} AS c,
   {sql_round('(a + b * s * sqrt(1 - rho * rho)) / t', 8)} AS v_min, {sql_round('a - 0 + b * s * sqrt(1 - rho * rho) - w0', 8)} AS below FROM x""")
 def svi_jump_wings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closed forms on fixed parameters; ``fitted_jump_wings`` has those of every expiration."""
-    return jump_wings(surface_df(spark))
+    """The jump-wing form of the closed-form surface of every slice; ``fitted_jump_wings`` has that of the fits."""
+    return jump_wings(surface_df(spark, sf_dir), "run_id")
 
 
 def jump_wings(x: DataFrame, *keys: str) -> DataFrame:
@@ -125,26 +144,26 @@ def fitted_local_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
             return pd.DataFrame([{"run_id": key[0], "t": np.nan, "y": np.nan, "local_vol": np.nan, "flag": "no-surface"}])
         return pd.DataFrame({"run_id": key[0], **surface.local_volatility_grid(g["dte"].to_numpy() / 365, g[["a", "b", "rho", "m", "sigma"]].to_numpy())})
 
-    return own_tasks(svi_parameters(slices(spark, sf_dir)), "run_id").groupBy("run_id").applyInPandas(run, "run_id int, t double, y double, local_vol double, flag string")
+    return own_tasks(svi_parameters(quoted_smiles(spark, sf_dir)), "run_id").groupBy("run_id").applyInPandas(run, "run_id int, t double, y double, local_vol double, flag string")
 
 
-@query(f"""WITH {SURFACE_SQL}, g AS (SELECT *, k / 4e1 AS k FROM surface, (SELECT unnest(generate_series(-16, 16)) AS k)), y AS (SELECT dte, k_1 AS k, a, b, rho, m, s FROM (SELECT dte, a, b, rho, m, s, g.k_1 FROM (SELECT dte, a, b, rho, m, s, i / 4e1 AS k_1 FROM surface, (SELECT unnest(generate_series(-16, 16)) AS i)) g)),
+@query(f"""WITH {SURFACE_SQL}, g AS (SELECT *, k / 4e1 AS k FROM surface, (SELECT unnest(generate_series(-16, 16)) AS k)), y AS (SELECT run_id, dte, k_1 AS k, a, b, rho, m, s FROM (SELECT run_id, dte, a, b, rho, m, s, g.k_1 FROM (SELECT run_id, dte, a, b, rho, m, s, i / 4e1 AS k_1 FROM surface, (SELECT unnest(generate_series(-16, 16)) AS i)) g)),
 w AS (SELECT *, a + b * (rho * (k - m) + sqrt((k - m) * (k - m) + s * s)) AS w, b * (rho + (k - m) / sqrt((k - m) * (k - m) + s * s)) AS d1, b * s * s / pow((k - m) * (k - m) + s * s, 1.5e0) AS d2 FROM y),
-q AS (SELECT *, (1 - k * d1 / (2 * w)) * (1 - k * d1 / (2 * w)) - d1 * d1 / 4 * (1 / w + 0.25e0) + d2 / 2 AS g, lead(w) OVER (PARTITION BY k ORDER BY dte) AS w2, lead(dte) OVER (PARTITION BY k ORDER BY dte) AS dte2 FROM w)
-SELECT dte, {sql_round('k', 6)} AS k, {sql_round('sqrt(w / (dte / 365e0))', 8)} AS iv, {sql_round('g', 8)} AS durrleman, g >= 0 AS butterfly_ok, coalesce(w2 >= w, true) AS calendar_ok,
+q AS (SELECT *, (1 - k * d1 / (2 * w)) * (1 - k * d1 / (2 * w)) - d1 * d1 / 4 * (1 / w + 0.25e0) + d2 / 2 AS g, lead(w) OVER (PARTITION BY run_id, k ORDER BY dte) AS w2, lead(dte) OVER (PARTITION BY run_id, k ORDER BY dte) AS dte2 FROM w)
+SELECT run_id, dte, {sql_round('k', 6)} AS k, {sql_round('sqrt(w / (dte / 365e0))', 8)} AS iv, {sql_round('g', 8)} AS durrleman, g >= 0 AS butterfly_ok, coalesce(w2 >= w, true) AS calendar_ok,
   {sql_round('CASE WHEN g > 0 AND w2 > w THEN sqrt((w2 - w) / ((dte2 - dte) / 365e0) / g) END', 8)} AS local_vol FROM q""".replace("g AS (SELECT *, k / 4e1 AS k FROM surface, (SELECT unnest(generate_series(-16, 16)) AS k)), ", ""))
 def local_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Implied and local volatility on a grid of the surface with butterfly and calendar checks (columns only)."""
+    """Implied and local volatility on a grid of every run's closed-form surface with butterfly and calendar checks (columns only)."""
     k, m, s = F.col("k"), F.col("m"), F.col("s")
     root = F.sqrt((k - m) * (k - m) + s * s)
-    x = surface_df(spark).withColumn("i", F.explode(F.sequence(F.lit(-16), F.lit(16)))).withColumn("k", F.col("i") / F.lit(40.0))
+    x = surface_df(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(-16), F.lit(16)))).withColumn("k", F.col("i") / F.lit(40.0))
     x = x.withColumns({"w": F.col("a") + F.col("b") * (F.col("rho") * (k - m) + root), "d1": F.col("b") * (F.col("rho") + (k - m) / root), "d2": F.col("b") * s * s / F.pow((k - m) * (k - m) + s * s, F.lit(1.5))})
     w, d1 = F.col("w"), F.col("d1")
     inner = 1 - k * d1 / (2 * w)
-    later = Window.partitionBy("i").orderBy("dte")
+    later = Window.partitionBy("run_id", "i").orderBy("dte")
     x = x.withColumns({"g": inner * inner - d1 * d1 / 4 * (1 / w + 0.25) + F.col("d2") / 2, "w2": F.lead("w").over(later), "dte2": F.lead("dte").over(later)})
     local = F.when((F.col("g") > 0) & (F.col("w2") > w), F.sqrt((F.col("w2") - w) / ((F.col("dte2") - F.col("dte")) / F.lit(365.0)) / F.col("g")))
-    return x.select("dte", js_round(k, 6).alias("k"), js_round(F.sqrt(w / (F.col("dte") / F.lit(365.0))), 8).alias("iv"), js_round(F.col("g"), 8).alias("durrleman"), (F.col("g") >= 0).alias("butterfly_ok"), F.coalesce(F.col("w2") >= w, F.lit(True)).alias("calendar_ok"), js_round(local, 8).alias("local_vol"))
+    return x.select("run_id", "dte", js_round(k, 6).alias("k"), js_round(F.sqrt(w / (F.col("dte") / F.lit(365.0))), 8).alias("iv"), js_round(F.col("g"), 8).alias("durrleman"), (F.col("g") >= 0).alias("butterfly_ok"), F.coalesce(F.col("w2") >= w, F.lit(True)).alias("calendar_ok"), js_round(local, 8).alias("local_vol"))
 
 
 @query()

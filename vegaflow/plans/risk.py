@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vegaflow.functions.numeric import bachelier_greeks, bs_charm, bs_delta, bs_gamma, bs_price, bs_vanna, bs_vega, bs_volga, implied_volatility, js_round, log_gamma
 from vegaflow.models import surface
 from vegaflow.operators.stochastic import BUMP, END_SPREADS, LEAST_END, NODES, heston_greeks
-from vegaflow.plans.modelled import fitted_models, own_tasks, slices, svi_parameters
+from vegaflow.plans.modelled import fitted_models, own_tasks, quoted_smiles, slices, svi_parameters
 from vegaflow.plans.registry import query
 from vegaflow.sources.fixtures import CONTRACTS_SQL, contracts, sql_cdf, sql_pdf, sql_round, table
 
@@ -175,4 +175,4 @@ def skew_law(p: DataFrame) -> DataFrame:
 @query()
 def skew_power_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the skew at the money decays with maturity, and the roughness that the decay implies, per run."""
-    return skew_law(svi_parameters(slices(spark, sf_dir)))
+    return skew_law(svi_parameters(quoted_smiles(spark, sf_dir)))

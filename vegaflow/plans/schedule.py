@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vegaflow.functions.calendar import holidays_df, market_holidays, third_friday, trading_days
+from vegaflow.functions.calendar import holidays_df, market_holidays, third_friday
 from vegaflow.functions.numeric import js_round
 from vegaflow.operators.series import first_on_or_after
 from vegaflow.plans.chain import METRICS_SQL, expiration_metrics_of
@@ -13,22 +13,37 @@ from vegaflow.plans.registry import query
 from vegaflow.sources.fixtures import MACRO_SQL, contracts, events, macro_events, sql_round, table
 
 HOLIDAYS_SQL = "(SELECT unnest([" + ", ".join(f"DATE '{d}'" for d in market_holidays(2023, 2025)) + "]) AS holiday)"
+#: Years whose market holidays the calendars know; orders outside of them are the caller's to add.
+FIRST_YEAR, LAST_YEAR = 1990, 2030
+CLOSED_SQL = "(SELECT unnest([" + ", ".join(f"DATE '{d}'" for d in market_holidays(FIRST_YEAR, LAST_YEAR)) + "]) AS holiday)"
+SPAN_SQL = "span AS (SELECT CAST(min(o_orderdate) AS DATE) AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders)"
 
 
-@query(f"""WITH d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2023-12-01', TIMESTAMP '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS trading_date), t AS (SELECT * FROM d WHERE isodow(trading_date) < 6 AND trading_date NOT IN (SELECT holiday FROM {HOLIDAYS_SQL}))
-SELECT trading_date, lag(trading_date) OVER (ORDER BY trading_date) AS previous_day, CAST(row_number() OVER (PARTITION BY date_trunc('month', trading_date) ORDER BY trading_date) AS INTEGER) AS day_of_month FROM t QUALIFY previous_day IS NOT NULL""")
+def order_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lo, hi: first and last day of the orders."""
+    return table(spark, sf_dir, "orders").agg(F.to_date(F.min("o_orderdate")).alias("lo"), F.to_date(F.max("o_orderdate")).alias("hi"))
+
+
+@query(f"""WITH {SPAN_SQL}, d AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS trading_date FROM span), t AS (SELECT * FROM d WHERE isodow(trading_date) < 6 AND trading_date NOT IN (SELECT holiday FROM {CLOSED_SQL})),
+n AS (SELECT CAST(o_orderdate AS DATE) AS trading_date, count(*) AS orders FROM orders GROUP BY 1)
+SELECT t.trading_date, lag(t.trading_date) OVER (ORDER BY t.trading_date) AS previous_day, CAST(row_number() OVER (PARTITION BY date_trunc('month', t.trading_date) ORDER BY t.trading_date) AS INTEGER) AS day_of_month, coalesce(orders, 0) AS orders FROM t LEFT JOIN n USING (trading_date) QUALIFY previous_day IS NOT NULL""")
 def trading_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trading days with the one before and their number within the month."""
-    t = trading_days(spark, "2023-12-01", "2024-12-31")
-    return t.select("trading_date", F.lag("trading_date").over(Window.orderBy("trading_date")).alias("previous_day"), F.row_number().over(Window.partitionBy(F.trunc("trading_date", "month")).orderBy("trading_date")).alias("day_of_month")).where("previous_day is not null")
+    """Trading days in the span of the orders with the one before, their number within the month, and the orders of each."""
+    d = order_span(spark, sf_dir).select(F.explode(F.sequence("lo", "hi")).alias("trading_date")).where(F.weekday("trading_date") < 5)
+    t = d.join(F.broadcast(holidays_df(spark, FIRST_YEAR, LAST_YEAR)), F.col("trading_date") == F.col("holiday"), "left_anti")
+    n = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("trading_date")).agg(F.count("*").alias("orders"))
+    t = t.join(n, "trading_date", "left")
+    # a calendar: as many rows as there are days
+    return t.select("trading_date", F.lag("trading_date").over(Window.orderBy("trading_date")).alias("previous_day"), F.row_number().over(Window.partitionBy(F.trunc("trading_date", "month")).orderBy("trading_date")).alias("day_of_month"), F.coalesce("orders", F.lit(0)).alias("orders")).where("previous_day is not null")
 
 
-@query(f"""WITH m AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2023-01-01', TIMESTAMP '2025-12-01', INTERVAL 1 MONTH)) AS DATE) AS m), f AS (SELECT m, m + CAST((12 - isodow(m)) % 7 AS INTEGER) + 14 AS third FROM m)
-SELECT m AS month, third AS third_friday, CASE WHEN third IN (SELECT holiday FROM {HOLIDAYS_SQL}) THEN third - 1 ELSE third END AS expiration FROM f""")
+@query(f"""WITH {SPAN_SQL}, m AS (SELECT CAST(unnest(generate_series(date_trunc('month', CAST(lo AS TIMESTAMP)), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS m FROM span), f AS (SELECT m, m + CAST((12 - isodow(m)) % 7 AS INTEGER) + 14 AS third FROM m)
+SELECT m AS month, third AS third_friday, CASE WHEN third IN (SELECT holiday FROM {CLOSED_SQL}) THEN third - 1 ELSE third END AS expiration FROM f""")
 def monthly_expirations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Third Fridays, rolled back a day where the market is closed."""
-    m = spark.range(1).select(F.explode(F.expr("sequence(date'2023-01-01', date'2025-12-01', interval 1 month)")).alias("month")).withColumn("third_friday", third_friday(F.col("month")))
-    j = m.join(F.broadcast(holidays_df(spark, 2023, 2025)), F.col("third_friday") == F.col("holiday"), "left")
+    """Third Fridays of the months that the orders span, rolled back a day where the market is closed."""
+    months = F.sequence(F.trunc("lo", "month"), F.col("hi"), F.expr("interval 1 month"))
+    m = order_span(spark, sf_dir).select(F.explode(months).alias("month")).withColumn("third_friday", third_friday(F.col("month")))
+    j = m.join(F.broadcast(holidays_df(spark, FIRST_YEAR, LAST_YEAR)), F.col("third_friday") == F.col("holiday"), "left")
     return j.select("month", "third_friday", F.when(F.col("holiday").isNotNull(), F.date_sub("third_friday", 1)).otherwise(F.col("third_friday")).alias("expiration"))
 
 
