@@ -169,7 +169,7 @@ def local_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lattice_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binomial and trinomial values against the closed form, European and American, as steps grow."""
-    grid = contracts(spark, sf_dir).select("run_id", "dte", "spot", "strike", "iv", "tau", "is_call").withColumn("steps", F.explode(F.array(*map(F.lit, (25, 50, 100)))))
+    grid = contracts(spark, sf_dir).select("run_id", "dte", "spot", "strike", "iv", "tau", "is_call").withColumn("steps", F.explode(F.array(*map(F.lit, (5, 25, 50, 100, 200, 400)))))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         t, steps = float(g["tau"].iloc[0]), int(key[2])
