@@ -10,7 +10,7 @@ from vegaflow.plans import daily
 from vegaflow.plans.daily import latest, symbol_days
 from vegaflow.plans.modelled import SURFACE_SQL, surface_df
 from vegaflow.plans.registry import SQL, query
-from vegaflow.sources.fixtures import BARS_SQL, MACRO_SQL, PANEL_SQL, VIX_SQL, daily_bars, macro_events, sql_cdf, sql_round, symbol_panel, vol_indices
+from vegaflow.sources.fixtures import BARS_SQL, MACRO_SQL, PANEL_SQL, VIX_SQL, contracts, daily_bars, macro_events, sql_cdf, sql_round, symbol_panel, vol_indices
 
 #: The curve from front to long; symbols without a series have a gap there.
 CURVE = ("VIX1D", "VIX9D", "VIX", "VIX3M", "VIX6M", "VIX1Y")
@@ -159,3 +159,35 @@ def heatmap_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = tiles(p, p).withColumn("feed", F.lit("live"))
     return up.unionByName(tiles(p.where("false"), p).withColumn("feed", F.lit("down")))
 
+
+
+#: The grid of a run's surface: fortieths of log-moneyness up to EDGE / 40 either side, by listed expirations; and the days that it is looked up at.
+EDGE, TENORS = 16, (10, 30, 45, 60, 90, 120, 200)
+
+
+@query(f"""WITH {SURFACE_SQL}, grid AS (SELECT run_id, dte, i, sqrt((a + b * (rho * (i / 4e1 - m) + sqrt(pow(i / 4e1 - m, 2) + s * s))) / (dte / 365e0)) AS iv FROM surface, (SELECT unnest(generate_series(-{EDGE}, {EDGE})) AS i)),
+asked AS (SELECT DISTINCT run_id, strike, tenor, greatest(-{EDGE / 40!r}::DOUBLE, least({EDGE / 40!r}::DOUBLE, ln(strike / spot))) * 40 AS y FROM contracts, (SELECT unnest({list(TENORS)}) AS tenor)),
+ends AS (SELECT a.*, least({EDGE - 1}, CAST(floor(y) AS INTEGER)) AS i, coalesce(max(l.dte) FILTER (l.dte <= tenor), min(l.dte)) AS t0, coalesce(min(l.dte) FILTER (l.dte >= tenor), max(l.dte)) AS t1 FROM asked a JOIN (SELECT DISTINCT run_id, dte FROM surface) l USING (run_id) GROUP BY ALL)
+SELECT e.run_id, e.strike, e.tenor, {sql_round('(CASE WHEN t1 > t0 THEN (t1 - tenor) / CAST(t1 - t0 AS DOUBLE) ELSE 1e0 END) * (g00.iv * (1 - (y - e.i)) + g01.iv * (y - e.i)) + (CASE WHEN t1 > t0 THEN (tenor - t0) / CAST(t1 - t0 AS DOUBLE) ELSE 0e0 END) * (g10.iv * (1 - (y - e.i)) + g11.iv * (y - e.i))', 8)} AS iv
+FROM ends e JOIN grid g00 ON g00.run_id = e.run_id AND g00.dte = t0 AND g00.i = e.i JOIN grid g01 ON g01.run_id = e.run_id AND g01.dte = t0 AND g01.i = e.i + 1 JOIN grid g10 ON g10.run_id = e.run_id AND g10.dte = t1 AND g10.i = e.i JOIN grid g11 ON g11.run_id = e.run_id AND g11.dte = t1 AND g11.i = e.i + 1""")
+def surface_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volatility of every listed strike at fixed tenors, between the four nodes around it on its run's grid; held at the grid's edges.
+
+    A run's grid is one row of arrays (as many as it has expirations), so a strike
+    finds its nodes in its own row after one join by run.
+    """
+    k, m, s = F.col("k"), F.col("m"), F.col("s")
+    w = F.col("a") + F.col("b") * (F.col("rho") * (k - m) + F.sqrt((k - m) * (k - m) + s * s))
+    nodes = surface_df(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(-EDGE), F.lit(EDGE)))).withColumn("k", F.col("i") / F.lit(40.0))
+    rows = nodes.select("run_id", "dte", "i", F.sqrt(w / (F.col("dte") / F.lit(365.0))).alias("iv")).groupBy("run_id", "dte").agg(F.array_sort(F.collect_list(F.struct("i", "iv")))["iv"].alias("ivs"))
+    grids = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("dte", "ivs"))).alias("grid"))
+    asked = contracts(spark, sf_dir).select("run_id", "spot", "strike").distinct().withColumn("tenor", F.explode(F.array(*map(F.lit, TENORS))))
+    edge = F.lit(EDGE / 40)
+    x = asked.withColumn("y", F.greatest(-edge, F.least(edge, F.log(F.col("strike") / F.col("spot")))) * 40).withColumn("i", F.least(F.lit(EDGE - 1), F.floor("y").cast("int"))).join(grids, "run_id")
+    below, above = F.filter("grid", lambda g: g["dte"] <= F.col("tenor")), F.filter("grid", lambda g: g["dte"] >= F.col("tenor"))
+    x = x.withColumns({"lo": F.coalesce(F.try_element_at(below, F.lit(-1)), F.element_at("grid", 1)), "hi": F.coalesce(F.try_element_at(above, F.lit(1)), F.element_at("grid", -1))})
+    share, at = F.col("y") - F.col("i"), F.col("i") + EDGE
+    level = lambda side: F.col(f"{side}.ivs")[at] * (1 - share) + F.col(f"{side}.ivs")[at + 1] * share
+    gap, into = F.col("hi.dte") - F.col("lo.dte"), F.col("tenor") - F.col("lo.dte")
+    iv = F.when(gap > 0, (gap - into) / gap * level("lo") + into / gap * level("hi")).otherwise(level("lo"))
+    return x.select("run_id", "strike", "tenor", js_round(iv, 8).alias("iv"))
