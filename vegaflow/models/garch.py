@@ -191,6 +191,7 @@ MODELS: dict[str, Model] = {
     "HYGARCH": Model(hygarch, lambda v: (0.05 * v, 0.2, 0.4, 0.5, 0.5, 0.1), *_box(W, (0, 0.9), (0.01, 0.99), (0, 0.95), (0, 1), A), lambda p: 0.99),
     "MS-GARCH": Model(ms_garch, lambda v: (0.02 * v, 0.05, 0.85, 0.2 * v, 0.1, 0.85, 0.97, 0.95), *_box(W, A, B, W, A, B, (0.5, 0.999), (0.5, 0.999)), lambda p: max(p[1] + p[2], p[4] + p[5])),
     "REALIZED": Model(realized, lambda v: (0.05 * v, 0.3, 0.65), *_box(W, (0, 0.9), B), total(1, 2)),
+    "HEAVY": Model(realized, lambda v: (0.05 * v, 0.2, 0.75), *_box(W, (0, 0.5), B), total(1, 2)),
     "GARCH-M": Model(lambda p, e, h0: garch(p[:3], e, h0), lambda v: (0.05 * v, 0.08, 0.87, 0.0, 0.0), *_box(W, A, B, (-1, 1), (-1, 1)), total(1, 2), mean=lambda p, h: p[3] + p[4] * np.sqrt(h)),
 }
 
@@ -219,7 +220,8 @@ def ahead(name: str, theta: np.ndarray, x: np.ndarray, h0: float, days: int = 20
     """Expected variances of the next days under the model's own dynamics.
 
     Linear models run on with expected squares; GJR as well, with half of its
-    asymmetry; all others are the mean of simulated paths of one seed.
+    asymmetry; HEAVY takes the measure to follow its variance; all others are the
+    mean of simulated paths of one seed.
     """
     model = MODELS[name]
     h = float(model.variances(theta, np.append(x, 0.0), h0)[-1])
@@ -228,6 +230,10 @@ def ahead(name: str, theta: np.ndarray, x: np.ndarray, h0: float, days: int = 20
         w, a, g, b = theta
         while len(out) < days:
             out.append(w + (a + g / 2 + b) * out[-1])
+    elif name == "HEAVY":
+        w, a, b = theta
+        while len(out) < days:
+            out.append(w + (a + b) * out[-1])
     elif name in LINEAR:
         run = x
         while len(out) < days:
