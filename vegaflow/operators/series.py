@@ -118,6 +118,27 @@ def runs(df: DataFrame, key: Sequence[str], order: str, state: Column) -> DataFr
     return df.withColumn("_state", state).withColumn("_new", changed).withColumn("run_id", F.sum("_new").over(w)).drop("_new", "_state")
 
 
+def sign_segments(df: DataFrame, day: str, a: str, b: str) -> DataFrame:
+    """day, a, b, segment (from 0), side, crossing: stretches in which ``a`` is not under ``b``, or is, with the point where they cross at the end of one and the start of the next.
+
+    The crossing lies between two days by the share of the earlier gap in both
+    gaps (half where both are none); its day is rounded down. The series is one of
+    days, and so bounded; days are distinct.
+    """
+    w = Window.orderBy(day)
+    over = F.col(a) >= F.col(b)
+    x = df.select(day, a, b).withColumns({"_side": F.when(over, "above").otherwise("below"), "_day": F.lag(day).over(w), "_a": F.lag(a).over(w), "_b": F.lag(b).over(w)})
+    x = x.withColumn("_new", F.coalesce(F.col("_side") != F.lag("_side").over(w), F.lit(False))).withColumn("segment", F.sum(F.col("_new").cast("int")).over(w))
+    first, second = F.abs(F.col("_a") - F.col("_b")), F.abs(F.col(a) - F.col(b))
+    at = F.when(first + second > 0, first / (first + second)).otherwise(0.5)
+    level = F.col("_a") + at * (F.col(a) - F.col("_a"))
+    other = F.when(F.col("_side") == "above", "below").otherwise("above")
+    ends = F.inline(F.array(F.struct((F.col("segment") - 1).alias("segment"), other.alias("side")), F.struct("segment", F.col("_side").alias("side"))))
+    moved = F.date_add("_day", F.floor(at * F.datediff(day, "_day")).cast("int"))
+    crossed = x.where("_new").select(moved.alias(day), level.alias(a), level.alias(b), "_side", "segment").select(day, a, b, ends).withColumn("crossing", F.lit(True))
+    return x.select(day, a, b, "segment", F.col("_side").alias("side"), F.lit(False).alias("crossing")).unionByName(crossed)
+
+
 def mid_rank(value: str, partition: Sequence[str]) -> Column:
     """(below + half of equal) / n * 100."""
     w = Window.partitionBy(*partition)

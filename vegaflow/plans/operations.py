@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vegaflow.functions.calendar import market_holidays
 from vegaflow.functions.numeric import js_round
 from vegaflow.operators.search import nearest_rows
-from vegaflow.plans import daily
+from vegaflow.operators.series import sign_segments
+from vegaflow.plans import daily, surface
 from vegaflow.plans.registry import SQL, query
 from vegaflow.plans.text import keyword_search
 from vegaflow.session import shared_folder
 from vegaflow.sources.backfill import run_days
 from vegaflow.sources.chain_source import ChainSource
-from vegaflow.sources.fixtures import BARS_SQL, CONTRACTS_SQL, TERM_SQL, contracts, daily_bars, sql_round, table
+from vegaflow.sources.fixtures import BARS_SQL, CONTRACTS_SQL, MACRO_SQL, TERM_SQL, VIX_SQL, contracts, daily_bars, macro_events, sql_round, table, vol_indices
 from vegaflow.sources.sync import stored, sync_chunks
-from vegaflow.streaming.bars import completeness, drain, event_stream
+from vegaflow.streaming.bars import completeness, drain, event_stream, ingest_gate
 from vegaflow.streaming.runs import complete_runs, liveness
 
 #: Contracts of a page; the first of the next page is its last, as on a listing that moves while it is read.
@@ -147,3 +149,69 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near.unionByName(words.join(near.select("item_id").distinct(), "item_id", "left_anti"))
     none = q.join(found.select("item_id").distinct(), "item_id", "left_anti").select("item_id", F.lit(None).cast("long").alias("doc_id"), F.lit("none").alias("kind"), F.lit(None).cast("double").alias("score"), F.lit(0).alias("place"))
     return found.unionByName(none)
+
+
+CLOSED = [str(d) for d in market_holidays(2023, 2025)]
+ET = "timezone('America/New_York', timezone('UTC', ts))"
+
+
+@query(f"""SELECT event_id, event_type FROM events WHERE isodow({ET}) < 6 AND CAST({ET} AS DATE) NOT IN ({', '.join(f"DATE '{d}'" for d in CLOSED)}) AND hour({ET}) + minute({ET}) / 60e0 BETWEEN 9.5e0 AND 16.5e0
+UNION ALL SELECT event_id, event_type || ' (forced)' FROM events""")
+def stream_ingest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that the timed ingest takes up on trading days within its hours, and those of a forced run."""
+    e = event_stream(spark, sf_dir)
+    forced = ingest_gate(e, CLOSED, force=True).withColumn("event_type", F.concat("event_type", F.lit(" (forced)")))
+    return drain(spark, ingest_gate(e, CLOSED).unionByName(forced).select("event_id", "event_type"))
+
+
+CHECKS = ("spx_close_xcheck", "run_count", "partial_rate", "atm_iv_null_rate", "late_snapshot")
+
+
+@query(f"""WITH r AS ({SQL['reconciliation']}), g AS (SELECT DISTINCT trading_date, unnest([{', '.join(f"'{c}'" for c in CHECKS)}]) AS check_name FROM r), s AS (SELECT trading_date, check_name, coalesce(status, 'skip') AS status FROM g LEFT JOIN r USING (trading_date, check_name))
+SELECT check_name, {', '.join(f"count(*) FILTER (status = '{x}') AS n_{x}" for x in ('pass', 'warn', 'fail', 'skip'))} FROM s GROUP BY ROLLUP (check_name)""")
+def reconciliation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each probe passed, warned, failed or had nothing to go by, and all of them (null name)."""
+    r = surface.reconciliation(spark, sf_dir).select("trading_date", "check_name", "status")
+    grid = r.select("trading_date").distinct().withColumn("check_name", F.explode(F.array(*map(F.lit, CHECKS))))
+    s = grid.join(r, ["trading_date", "check_name"], "left").withColumn("status", F.coalesce("status", F.lit("skip")))
+    return s.rollup("check_name").agg(*(F.count_if(F.col("status") == x).alias(f"n_{x}") for x in ("pass", "warn", "fail", "skip")))
+
+
+@query(f"""WITH {MACRO_SQL}, m AS (SELECT *, datediff('day', date_trunc('week', (SELECT min(ts) FROM macro)), date_trunc('day', ts)) AS d FROM macro),
+u AS (SELECT ts, title, 'xml' AS source, 0 AS week FROM m WHERE d < 7 UNION ALL SELECT ts, title, 'html', w FROM m, (SELECT unnest(generate_series(1, 4)) AS w) WHERE d BETWEEN 7 * w - 1 AND 7 * w + 6)
+SELECT ts, title, min_by(source, week) AS source, CAST(min(week) AS INTEGER) AS week, count(*) AS times FROM u GROUP BY 1, 2""")
+def announced_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announcements of five weeks from their two kinds of source, each once: the first week's feed, then a page a week, which begins with the day before."""
+    m = macro_events(spark, sf_dir)
+    start = m.agg(F.date_trunc("week", F.min("ts")).alias("start"))
+    m = m.join(F.broadcast(start)).withColumn("d", F.datediff("ts", "start"))
+    feed = m.where("d < 7").select("ts", "title", F.lit("xml").alias("source"), F.lit(0).alias("week"))
+    w = F.explode(F.filter(F.array(*map(F.lit, range(1, 5))), lambda w: F.col("d").between(7 * w - 1, 7 * w + 6)))
+    page = m.select("ts", "title", F.lit("html").alias("source"), w.alias("week"))
+    return feed.unionByName(page).groupBy("ts", "title").agg(F.min_by("source", "week").alias("source"), F.min("week").alias("week"), F.count("*").alias("times"))
+
+
+@query(f"""WITH {CONTRACTS_SQL}, e AS (SELECT DISTINCT run_id, trading_date, expiration_date, CAST(trading_date AS TIMESTAMP) + INTERVAL 14 HOUR + run_id * INTERVAL 37 MINUTE AS captured_at FROM contracts), f AS (SELECT *, greatest(0, (epoch_us(CAST(expiration_date AS TIMESTAMP) + INTERVAL 20 HOUR) - epoch_us(captured_at)) / 864e8) AS left_days FROM e)
+SELECT run_id, expiration_date, datediff('day', trading_date, expiration_date) AS whole_days, {sql_round('left_days', 1)} AS tenths, {sql_round('left_days', 6)} AS fractional FROM f""")
+def days_to_expiration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days to each expiration's close, from the moment a run was captured: between dates, to a tenth, and as a fraction; none under zero."""
+    e = contracts(spark, sf_dir).select("run_id", "trading_date", "expiration_date").distinct()
+    captured = F.unix_micros(F.col("trading_date").cast("timestamp")) + F.lit(14 * 3_600_000_000) + F.col("run_id").cast("long") * F.lit(37 * 60_000_000)
+    close = F.unix_micros(F.col("expiration_date").cast("timestamp")) + F.lit(20 * 3_600_000_000)
+    left = F.greatest(F.lit(0.0), (close - captured) / F.lit(864e8))
+    return e.select("run_id", "expiration_date", F.datediff("expiration_date", "trading_date").cast("long").alias("whole_days"), js_round(left, 1).alias("tenths"), js_round(left, 6).alias("fractional"))
+
+
+@query(f"""WITH {VIX_SQL}, d AS (SELECT a.trading_date, a.close AS far, b.close AS near, CASE WHEN a.close >= b.close THEN 'above' ELSE 'below' END AS side FROM vix a JOIN vix b ON b.trading_date = a.trading_date AND b.symbol = 'VIX' WHERE a.symbol = 'VIX3M'),
+l AS (SELECT *, lag(trading_date) OVER w AS d0, lag(far) OVER w AS far0, lag(near) OVER w AS near0, coalesce(side <> lag(side) OVER w, false) AS new FROM d WINDOW w AS (ORDER BY trading_date)), s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (ORDER BY trading_date) AS segment, CASE WHEN abs(far0 - near0) + abs(far - near) > 0 THEN abs(far0 - near0) / (abs(far0 - near0) + abs(far - near)) ELSE 0.5e0 END AS share FROM l),
+c AS (SELECT d0 + CAST(floor(share * (trading_date - d0)) AS INTEGER) AS trading_date, far0 + share * (far - far0) AS y, segment, side FROM s WHERE new)
+SELECT trading_date, {sql_round('far', 6)} AS far, {sql_round('near', 6)} AS near, CAST(segment AS BIGINT) AS segment, side, false AS crossing FROM s
+UNION ALL SELECT trading_date, {sql_round('y', 6)}, {sql_round('y', 6)}, CAST(segment AS BIGINT), side, true FROM c UNION ALL SELECT trading_date, {sql_round('y', 6)}, {sql_round('y', 6)}, CAST(segment - 1 AS BIGINT), CASE side WHEN 'above' THEN 'below' ELSE 'above' END, true FROM c""")
+def curve_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches in which the three-month index is over the front one, or under it, with the points where they cross."""
+    v = vol_indices(spark, sf_dir)
+    far, near = (v.where(F.col("symbol") == s).select("trading_date", F.col("close").alias(n)) for s, n in (("VIX3M", "far"), ("VIX", "near")))
+    # a crossing has one level on both lines
+    x = sign_segments(far.join(near, "trading_date"), "trading_date", "far", "near")
+    level = lambda c: js_round(F.when(F.col("crossing"), F.col("far")).otherwise(F.col(c)), 6).alias(c)
+    return x.select("trading_date", level("far"), level("near"), "segment", "side", "crossing")

@@ -9,7 +9,7 @@ scheduled batch consumes what has arrived since the last run.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -34,6 +34,15 @@ def session_gate(events: DataFrame, first_hour: float = 9.5, last_hour: float =
     return events.where((F.weekday(et) < 5) & (hour >= first_hour) & (hour < last_hour))
 
 
+def ingest_gate(events: DataFrame, closed_days: Sequence[str] = (), force: bool = False, first_hour: float = 9.5, last_hour: float = 16.5) -> DataFrame:
+    """What a timed run takes up: weekdays that are no holiday, from the first to the last hour of New York, both included; all of it when forced."""
+    if force:
+        return events
+    et = F.from_utc_timestamp("ts", "America/New_York")
+    hour = F.hour(et) + F.minute(et) / F.lit(60.0)
+    return events.where((F.weekday(et) < 5) & ~F.to_date(et).cast("string").isin(*closed_days) & hour.between(first_hour, last_hour))
+
+
 def tumbling_bars(events: DataFrame, width: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Open, high, low, close and count per tumbling window, final once the watermark has passed it."""
     w = F.window("ts", width)
