@@ -63,7 +63,9 @@ def relative_rotation(df: DataFrame, keys: Sequence[str], order: str, value: str
         return out[np.isfinite(ratio) & np.isfinite(momentum)]
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*keys, order))
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, rs_ratio double, rs_momentum double, n long")
+    # a stated number of partitions: adaptive execution would give all series to one task
+    tasks = min(4096, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, f"{kinds}, rs_ratio double, rs_momentum double, n long")
 
 
 def split_adjusted(df: DataFrame, key: str, order: str, close: str) -> DataFrame:
