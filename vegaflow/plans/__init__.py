@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("chain", "daily", "surface", "records", "schedule", "text", "streams", "modelled", "assembled", "earnings", "payloads", "risk", "operations", "volatility")
+AREAS = ("chain", "daily", "surface", "records", "schedule", "text", "streams", "modelled", "assembled", "earnings", "payloads", "risk", "operations", "volatility", "smiles")
 
 
 def registered():

@@ -199,25 +199,6 @@ def fourier_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted_models(slices(spark, sf_dir), list(surface.FOURIER))
 
 
-@query()
-def vanna_volga_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smiles rebuilt from three quotes of each slice and their error."""
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("strike")
-        k, iv, s = g["strike"].to_numpy(), g["iv"].to_numpy(), float(g["spot"].iloc[0])
-        if len(k) < 5:
-            return pd.DataFrame([], columns=["run_id", "dte", "n", "rmse_vol"])
-        i = [int(np.abs(k / s - x).argmin()) for x in (0.92, 1.0, 1.08)]
-        if len(set(i)) < 3:
-            return pd.DataFrame([], columns=["run_id", "dte", "n", "rmse_vol"])
-        got = surface.vanna_volga(s, key[1] / 365, k, tuple(k[i]), tuple(iv[i]))
-        ok = np.isfinite(got) & (k >= k[i[0]]) & (k <= k[i[2]])
-        return pd.DataFrame([{"run_id": key[0], "dte": key[1], "n": int(ok.sum()), "rmse_vol": float(np.sqrt(np.mean((got[ok] - iv[ok]) ** 2)))}])
-
-    return own_tasks(slices(spark, sf_dir), "run_id", "dte").groupBy("run_id", "dte").applyInPandas(run, "run_id int, dte int, n int, rmse_vol double")
-
-
 DELTA_SQL = "(0.02e0 - 0.03e0 * delta + 0.01e0 * delta * delta)"
 
 
