@@ -29,3 +29,14 @@ def test_a_small_dimension_is_exact_beside_a_large_one(spark):
     want = (u @ u.T >= 0.9).sum(axis=1) - 1
     got = {r["vec_id"]: r["n_links"] for r in pivot_index.near_vectors(spark, df, least=0.9).collect()}
     assert want.sum() > 0 and [got[i] for i in range(300)] == want.tolist()
+
+
+def test_many_small_dimensions_need_no_pivots(spark):
+    """Twins in 60 dimensions of a few vectors each are linked; without a usable vector nothing is."""
+    rng = np.random.default_rng(13)
+    rows = [(10 * d + i, x.tolist()) for d in range(2, 62) for x in [rng.normal(size=d)] for i, x in enumerate((x, 2 * x, -x))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivot_index.near_vectors(spark, df).collect()}
+    assert got == {i: (1, i - i % 10) if i % 10 < 2 else (0, i) for i, _ in rows}
+    nothing = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "vec_id bigint, embedding array<double>")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in pivot_index.near_vectors(spark, nothing).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]

@@ -100,7 +100,7 @@ def posted(reps: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     at = np.flatnonzero(dims == dim)
                     own = b.take(pa.array(at))
                     x = np.frombuffer(b"".join(own.column(3).to_pylist()), "f8").reshape(len(at), dim)
-                    near = nearest_pivots(unit(x), pivots[dim], NEAREST).astype("<i2") if len(pivots[dim]) == PIVOTS else np.zeros((len(at), 1), "<i2")
+                    near = nearest_pivots(unit(x), pivots[dim], NEAREST).astype("<i2") if dim in pivots else np.zeros((len(at), 1), "<i2")
                     keys = list_keys(dims[at], near)
                     marks = pa.array([r.tobytes() for r in near], pa.binary())
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
@@ -179,13 +179,13 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, i
     reps = able.join(members.where("id = rep").select("id", "n"), "id").select("id", "n", "dim", "body")
     reps = work.save(reps, "reps")
     drawn = Window.partitionBy("dim").orderBy(F.xxhash64(F.lit(5), "id"), "id")
-    sample: dict[int, list[bytes]] = {}
-    for r in reps.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= PIVOTS).select("dim", "place", "body").collect():
+    sampled = reps.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= PIVOTS)
+    full = F.max("place").over(Window.partitionBy("dim")) == PIVOTS
+    sample: dict[int, list[tuple[int, bytes]]] = {}
+    # dimensions with fewer vectors than pivots need none, so none of theirs come to the driver
+    for r in sampled.withColumn("full", full).where("full").select("dim", "place", "body").toLocalIterator():
         sample.setdefault(r["dim"], []).append((r["place"], bytes(r["body"])))
     pivots = {dim: unit(np.frombuffer(b"".join(x for _, x in sorted(own)), "f8").reshape(len(own), dim)) for dim, own in sample.items()}
-    if not pivots:
-        empty = vectors.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
-        return empty
     described = work.save(posted(reps, pivots), "described")
     # lists are counted by key alone; vectors travel only to lists where they meet another one
     lists = described.select("id", F.explode("keys").alias("key"))
