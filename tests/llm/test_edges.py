@@ -88,6 +88,28 @@ def test_suffix_dedup(spark, docs, empty):
     assert cut.where("doc_id = 8").first()["text"] == "end"
 
 
+def test_suffix_dedup_short_texts_of_a_shared_id(spark):
+    body = "a passage of well over fifty bytes that two documents have in common"
+    rows = [(1, body), (5, "x" + body), (5, "short"), (5, ""), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(spark, df).where("doc_id = 5").collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([(len(body) + 1, len(body), 1, sha("x")), (5, 0, 0, sha("short")), (0, 0, 0, sha("")), (0, 0, 0, sha(""))])
+    assert sorted((r["text"] or "" for r in suffix_dedup.without_repeats(spark, df).where("doc_id = 5").collect())) == ["", "", "short", "x"]
+
+
+def test_suffix_dedup_deals_batches_in_any_order(spark):
+    body = "the same fifty or more bytes around one hot anchor, in two documents"
+    hashes = spark.createDataFrame([(7, 20, 0, 0, 20, body.encode(), len(body)), (7, 10, 0, 0, 20, body.encode(), len(body))], suffix_dedup.CONTEXT).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        dealt = suffix_dedup.dealt_anew(hashes, suffix_dedup.DEPTH, suffix_dedup.GRAM).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # a context goes without its body only where a smaller document has sent it
+    assert dealt and all(r["body"] is not None for r in dealt if r["doc_id"] == 10)
+
+
 def test_decontamination(docs, empty, bench, spark):
     r = decontamination.find_leaks(docs, bench).collect()
     assert {(x["doc_id"], x["item_id"], x["distance"]) for x in r} == {(5, 1, 0), (6, 1, 0)}

@@ -296,8 +296,8 @@ def dealt_anew(contexts: DataFrame, depth: int, gram: int) -> DataFrame:
     rest = depth - gram - half + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[bytes, int] = {}
         for b in batches:
+            met: dict[bytes, int] = {}  # of this batch only: the documents of the next one may be smaller
             out: tuple[list, ...] = ([], [], [], [], [], [])
 
             def part(h: int, near: bytes, doc: int, mark: int, start: int, left: int, body: bytes, out=out) -> None:
@@ -419,12 +419,16 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
-def with_spans(docs: DataFrame, ranges: DataFrame) -> tuple[DataFrame, str]:
-    """All columns of ``docs`` and one of ranges (null where nothing is covered), and its name, which is none of theirs."""
+def with_spans(docs: DataFrame, ranges: DataFrame, depth: int) -> tuple[DataFrame, str]:
+    """All columns of ``docs`` and one of ranges (null where nothing is covered), and its name, which is none of theirs.
+
+    Texts under ``depth`` bytes have no ranges, but may share the id of a text that has.
+    """
     taken = {c.lower() for c in docs.columns}
     free = next(p for p in ("_" * n for n in range(1, len(taken) + 2)) if not {p + "doc", p + "mark", p + "ranges"} & taken)
     found = ranges.toDF(free + "doc", free + "mark", free + "ranges")
     own = (F.col(free + "mark") == 0) | (F.col(free + "mark") == F.xxhash64("text"))
+    own &= F.octet_length("text") >= depth
     return docs.join(found, (F.col("doc_id") == F.col(free + "doc")) & own, "left").drop(free + "doc", free + "mark"), free + "ranges"
 
 
@@ -438,7 +442,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
     answer. An empty table gives no rows; other columns are not read.
     """
     work = Workspace(spark, "repeats")
-    rows, spans_col = with_spans(docs.select("doc_id", "text"), covered(docs, work, depth))
+    rows, spans_col = with_spans(docs.select("doc_id", "text"), covered(docs, work, depth), depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -459,7 +463,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
     ``n_chars``, if there, is counted anew. Rows whose text is left empty stay.
     """
     work = Workspace(spark, "repeats")
-    rows, spans_col = with_spans(docs, covered(docs, work, depth))
+    rows, spans_col = with_spans(docs, covered(docs, work, depth), depth)
     names, kept = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
