@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vegaflow.models import garch, surface
-from vegaflow.plans import modelled, registered
+from vegaflow.plans import daily, modelled, registered
 from vegaflow.sources.fixtures import term_structure
 
 QUERIES = registered().QUERIES
@@ -30,6 +30,17 @@ def test_bands_of_every_trading_day(spark, sf):
     assert report["cloud_bands"] == len(r)
 
 
+def test_the_latest_premium_ranks_among_its_year_before_it_is_rounded(spark, monkeypatch):
+    rows = [("2001-07-30", 0.26, 54.5), ("2001-07-31", 0.26, 54.16926979926346), ("2001-08-01", 0.26, 54.87404894965621)]
+    stats = spark.createDataFrame(rows, "day string, iv double, hv double").selectExpr("to_date(day) as trading_date", "iv", "hv")
+    monkeypatch.setattr(daily, "vol_stats_of", lambda *_: stats)
+    r = QUERIES["vrp_summary"](spark, "").first()
+    assert (r["vrp"], r["prev_vrp"], r["pct_rank_252d"]) == (-54.614049, -53.90927, 33.3)
+    monkeypatch.setattr(daily, "vol_stats_of", lambda *_: stats.where("iv - hv < -54.5"))
+    r = QUERIES["vrp_summary"](spark, "").first()
+    assert (r["vrp"], r["prev_vrp"], r["pct_rank_252d"]) == (-54.614049, None, 100.0)
+
+
 def test_a_smile_of_a_model_is_fitted_until_it_settles():
     p, k = (0.04, 2.0, 0.05, 0.5, -0.5), np.linspace(4000, 6000, 41)
     near = surface.fourier_calls(surface.heston_cf, p, 5000.0, k, 18 / 365)

@@ -156,8 +156,9 @@ def vrp_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = vol_stats_of(spark, sf_dir).where("hv is not null and iv is not null").select("trading_date", F.round(F.col("iv") - F.col("hv"), 9).alias("vrp"))
     year = d.orderBy(F.desc("trading_date")).limit(252)
     a = year.agg(F.max("trading_date").alias("trading_date"), F.max_by("vrp", "trading_date").alias("vrp"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("trading_date", "vrp"))).alias("all"))
-    below = F.size(F.filter("all", lambda x: x["vrp"] <= F.col("vrp")))
-    return a.select("trading_date", js_round(F.col("vrp"), 6).alias("vrp"), js_round(F.element_at("all", -2)["vrp"], 6).alias("prev_vrp"), js_round(below * 100.0 / F.col("n"), 1).alias("pct_rank_252d"))
+    # a step of its own: beside the rounded column of that name, a lambda's vrp is the rounded one
+    a = a.withColumn("below", F.size(F.filter("all", lambda x: x["vrp"] <= F.col("vrp"))))
+    return a.select("trading_date", js_round(F.col("vrp"), 6).alias("vrp"), js_round(F.try_element_at("all", F.lit(-2))["vrp"], 6).alias("prev_vrp"), js_round(F.col("below") * 100.0 / F.col("n"), 1).alias("pct_rank_252d"))
 
 
 @query(f"""WITH {BARS_SQL}, r AS (SELECT trading_date, close, ln(close / lag(close) OVER (ORDER BY trading_date)) AS x FROM bars),
