@@ -152,6 +152,21 @@ def test_sync_writes_only_what_changed(spark, monkeypatch):
     assert sync.versions(spark, path) == ["full-5"]
 
 
+def test_sync_joins_places_and_hashes_only(spark):
+    path = shared_folder(spark, "sync")
+    kind = "source string, chunk_index int, content string"
+    first = spark.createDataFrame([("a", 0, "1"), ("a", 1, None), (None, 0, "x"), ("b", 0, "y")], kind)
+    assert sync.sync_chunks(spark, path, first.where("false")) == sync.Report(0, 0, 0, 0, 0) and sync.versions(spark, path) == []
+    assert sync.sync_chunks(spark, path, first) == sync.Report(1, 3, 0, 0, 0)
+    assert sync.sync_chunks(spark, path, first) == sync.Report(2, 1, 2, 0, 0)  # a chunk without a source equals none that is stored
+    assert sync.stored(spark, path, ()).count() == 3 and {(r["source"], r["content"]) for r in sync.stored(spark, path).collect()} == {("a", "1"), (None, "x"), ("b", "y")}
+    new = first.withColumn("content_hash", F.sha2("content", 256))
+    for df in (sync.stored(spark, path, ()), sync.changes(spark, path, new, None)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        reads = [line for line in plan.splitlines() if "ReadSchema" in line]
+        assert reads and not any("content:" in line for line in reads)
+
+
 # backfill
 
 

@@ -74,7 +74,7 @@ def chunk_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for run, (texts, sources) in enumerate(((d, None), (d, None), (edited, listed)), 1):
         r = sync_chunks(spark, path, fixed_chunks(texts), sources)
-        out.append((run, r.version, r.upserted, r.unchanged, r.orphans, r.retired, stored(spark, path).count()))
+        out.append((run, r.version, r.upserted, r.unchanged, r.orphans, r.retired, stored(spark, path, ()).count()))
     return spark.createDataFrame(out, "run int, version int, upserted bigint, unchanged bigint, orphans bigint, retired bigint, stored bigint")
 
 
