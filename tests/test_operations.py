@@ -16,11 +16,12 @@ from vegaflow.operators import search
 from vegaflow.operators.clusters import window_clusters
 from vegaflow.operators.series import as_of, first_on_or_after
 from vegaflow.operators.stochastic import heston_greeks
-from vegaflow.plans import modelled
+from vegaflow.plans import daily, modelled
 from vegaflow.session import shared_folder
 from vegaflow.sources import sync
 from vegaflow.sources.backfill import ledger, resolve_day, run_days
 from vegaflow.sources.chain_source import ChainSource
+from vegaflow.sources.fixtures import daily_bars, orders_of
 from vegaflow.streaming.runs import complete_runs, liveness
 
 
@@ -170,6 +171,23 @@ def test_sync_joins_places_and_hashes_only(spark):
 # backfill
 
 
+def test_phases_of_days_join_their_orders_only(spark, sf):
+    days = [r[0] for r in daily_bars(spark, sf).orderBy(F.desc("trading_date")).limit(3).collect()][::2]
+    mine = orders_of(spark, sf, days, shared_folder(spark, "orders"))
+    assert {r[0].date() for r in mine.select("o_orderdate").distinct().collect()} == set(days)
+    for query in (daily.daily_term_structure, daily.vol_stats):
+        of = lambda df: sorted(map(str, df.where(F.col("trading_date").isin(days)).collect()))
+        assert of(query(spark, sf, mine)) == of(query(spark, sf)) != []
+    # beside the whole orders nothing may be broadcast here; beside those of the days no line item is shuffled
+    size = sum(os.path.getsize(f.removeprefix("file://")) for f in mine.inputFiles())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(4 * size))
+    try:
+        plan = lambda *a: daily.daily_term_structure(spark, sf, *a)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan() and "SortMergeJoin" not in plan(mine)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_days_are_replaced_and_failures_taken_up_alone(spark):
     root, days, ran, broken = shared_folder(spark, "days"), [dt.date(2024, 1, d) for d in (2, 3, 4)], [], [True]
     rows = lambda n: spark.createDataFrame([(d, i) for d in days for i in range(n)], "trading_date date, i int")

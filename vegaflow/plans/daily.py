@@ -29,9 +29,9 @@ def latest() -> WindowSpec:
 
 
 @query(f"WITH {TERM_SQL} SELECT trading_date, dte, trading_date + dte AS expiration_date, {sql_round('atm_iv', 6)} AS atm_iv FROM term")
-def daily_term_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At-the-money volatility by day and days to expiration."""
-    return term_structure(spark, sf_dir).select("trading_date", "dte", F.date_add("trading_date", F.col("dte")).alias("expiration_date"), js_round(F.col("atm_iv"), 6).alias("atm_iv"))
+def daily_term_structure(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """At-the-money volatility by day and days to expiration; of the days of ``orders`` only, if given."""
+    return term_structure(spark, sf_dir, orders).select("trading_date", "dte", F.date_add("trading_date", F.col("dte")).alias("expiration_date"), js_round(F.col("atm_iv"), 6).alias("atm_iv"))
 
 
 QUANTILES = (0.1, 0.3, 0.5, 0.7, 0.9)
@@ -128,14 +128,15 @@ VOL_STATS_SQL = f"""{BARS_SQL}, {TERM_SQL}, logs AS (
   SELECT v.trading_date, close, CASE WHEN n = 20 AND yz > 0 THEN sqrt(yz * 252) END AS hv, iv FROM v LEFT JOIN cm30 USING (trading_date))"""
 
 
-def vol_stats_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return yang_zhang(daily_bars(spark, sf_dir)).join(constant_maturity(term_structure(spark, sf_dir)), "trading_date", "left")
+def vol_stats_of(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Bars of all days with hv, and iv; with ``orders``, days that have none among them have no iv."""
+    return yang_zhang(daily_bars(spark, sf_dir)).join(constant_maturity(term_structure(spark, sf_dir, orders)), "trading_date", "left")
 
 
 @query(f"WITH {VOL_STATS_SQL} SELECT trading_date, {sql_round('hv', 6)} AS hv_20d_yz, {sql_round('iv', 6)} AS iv_30d_cm, {sql_round('iv - hv', 6)} AS vrp_spread FROM stats")
-def vol_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yang-Zhang volatility, constant-maturity implied volatility and their difference."""
-    s = vol_stats_of(spark, sf_dir)
+def vol_stats(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Yang-Zhang volatility, constant-maturity implied volatility and their difference; with ``orders``, whole for their days only."""
+    s = vol_stats_of(spark, sf_dir, orders)
     return s.select("trading_date", js_round(F.col("hv"), 6).alias("hv_20d_yz"), js_round(F.col("iv"), 6).alias("iv_30d_cm"), js_round(F.col("iv") - F.col("hv"), 6).alias("vrp_spread"))
 
 

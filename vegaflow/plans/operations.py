@@ -15,7 +15,7 @@ from vegaflow.plans.text import keyword_search
 from vegaflow.session import shared_folder
 from vegaflow.sources.backfill import run_days
 from vegaflow.sources.chain_source import ChainSource
-from vegaflow.sources.fixtures import BARS_SQL, CONTRACTS_SQL, MACRO_SQL, TERM_SQL, VIX_SQL, contracts, daily_bars, macro_events, sql_round, table, vol_indices
+from vegaflow.sources.fixtures import BARS_SQL, CONTRACTS_SQL, MACRO_SQL, TERM_SQL, VIX_SQL, contracts, daily_bars, macro_events, orders_of, sql_round, table, vol_indices
 from vegaflow.sources.sync import stored, sync_chunks
 from vegaflow.streaming.bars import completeness, drain, event_stream, ingest_gate
 from vegaflow.streaming.runs import complete_runs, liveness
@@ -89,7 +89,8 @@ def day_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last days filled in one job a phase, the same asked for again (nothing to do), and the last day replaced by an override: one copy of each."""
     root = shared_folder(spark, "backfill")
     days = [r[0] for r in daily_bars(spark, sf_dir).select("trading_date").orderBy(F.desc("trading_date")).limit(BACK_DAYS).collect()]
-    phases = {"term_structure": lambda _: daily.daily_term_structure(spark, sf_dir), "vol_stats": lambda _: daily.vol_stats(spark, sf_dir)}
+    taken = lambda asked: orders_of(spark, sf_dir, asked, shared_folder(spark, "orders"))
+    phases = {"term_structure": lambda asked: daily.daily_term_structure(spark, sf_dir, taken(asked)), "vol_stats": lambda asked: daily.vol_stats(spark, sf_dir, taken(asked))}
     run_days(spark, root, phases, days)
     run_days(spark, root, phases, days)
     run_days(spark, root, phases, days[:1], force=True)

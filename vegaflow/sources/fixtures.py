@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,9 +110,9 @@ BARS_SQL = """bars AS (
     min(o_totalprice) AS low, max_by(o_totalprice, o_orderkey) AS close FROM orders GROUP BY 1)"""
 
 
-def term_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """trading_date, dte (0..280), atm_iv."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+def term_structure(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """trading_date, dte (0..280), atm_iv; of the days of ``orders`` only, if given."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders") if orders is None else orders
     return (
         li.join(o, li.l_orderkey == o.o_orderkey)
         .groupBy(F.to_date("o_orderdate").alias("trading_date"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 281).cast("int").alias("dte"))
@@ -123,6 +126,13 @@ TERM_SQL = """term AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
+def orders_of(spark: SparkSession, sf_dir: str, days: Sequence[date], path: str) -> DataFrame:
+    """o_orderkey, o_orderdate of the days. Written to ``path``, so that Spark plans joins by their true size: beside those of a few days, no line item is shuffled."""
+    o = table(spark, sf_dir, "orders").where(F.to_date("o_orderdate").isin(list(days)))
+    o.select("o_orderkey", "o_orderdate").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def symbol_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, trading_date, close: brands by ship day, one with a split in 1999."""
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
