@@ -77,6 +77,14 @@ def test_near_duplicates(spark, docs, empty):
     assert near_duplicates.near_duplicates(spark, empty).count() == 0
 
 
+def test_near_duplicates_shuffle_few_texts_in_vain(spark):
+    docs = spark.range(-20000, 20000).selectExpr("id as doc_id", "'t' as text")
+    ids = docs.where("doc_id % 10 = 0").select("doc_id")
+    found = {r[0] for r in near_duplicates.maybe_among(docs, ids).select("doc_id").collect()}
+    assert {r[0] for r in ids.collect()} <= found and len(found) < 4000 + 0.05 * 36000
+    assert near_duplicates.maybe_among(docs, ids.where("false")).count() == 0
+
+
 def test_suffix_dedup(spark, docs, empty):
     r = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(spark, docs).collect()}
     assert r[1]["n_bytes"] == 0 and r[1]["kept_sha256"] == hashlib.sha256(b"").hexdigest()

@@ -43,6 +43,8 @@ AGREE = 0.66
 #: Members to a finishing block; rows and bytes of folded sets to a group of smaller buckets, about.
 BLOCK, GROUP_ROWS, GROUP_BYTES = 1024, 2048, 16 << 20
 CHUNK_BYTES = 2 << 20
+#: Bits to an id in the filter of texts, bits of it at most (16 MB), and of one bitmap of Spark.
+FILTER_BITS, MOST_BITS, BITMAP = 32, 1 << 27, 1 << 15
 HELD_WORDS = 200_000
 
 U = np.uint64
@@ -150,6 +152,20 @@ def that_count(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     return rows.join(repeated.withColumnRenamed("f1", "_least"), "doc_id", "left").where("_least is null or f1 = _least").drop("_least")
 
 
+def maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``, and a few others: a filter before a join, so that it shuffles few texts in vain.
+
+    Hashes of the ids are marked in bitmaps, ``FILTER_BITS`` to an id but at most
+    ``MOST_BITS`` in all, which is what is broadcast.
+    """
+    bits = min(MOST_BITS, max(BITMAP, 1 << (FILTER_BITS * max(1, ids.count()) - 1).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    marked = ids.groupBy(F.floor(place / BITMAP).alias("_block")).agg(F.bitmap_construct_agg(place % BITMAP).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place % BITMAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (place % 8).cast("int")) == 1
+    return docs.join(F.broadcast(marked), (F.floor(place / BITMAP) == F.col("_block")) & hit, "left_semi")
+
+
 def verified(work: Workspace, name: str, pairs: DataFrame, docs: DataFrame, repeated: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach ``percent`` of Jaccard similarity.
 
@@ -158,7 +174,8 @@ def verified(work: Workspace, name: str, pairs: DataFrame, docs: DataFrame, repe
     """
     # written, so that Spark plans the join to the texts by the true size of the ids and shuffles no text for a few
     ids = work.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    sets = that_count(full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), width), repeated)
+    texts = maybe_among(docs.select("doc_id", "text"), ids).join(ids, "doc_id", "left_semi")
+    sets = that_count(full_sets(texts, width), repeated)
     sets = work.save(sets.where("octet_length(set) > 0").drop("f1").dropDuplicates(["doc_id"]), f"{name}-sets")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
 
@@ -278,7 +295,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     open_rows = work.save(named.join(split, "key", "left_semi"), "open")
     known = open_rows.agg(F.count("*").alias("n"), F.sum(F.least(2 * F.col("n"), F.lit(1 << 17))).alias("bytes")).first()
     groups_of_small = max(64, known["n"] // GROUP_ROWS, (known["bytes"] or 0) // GROUP_BYTES)
-    sketched = firsts.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sketch", "bands", "folded")
+    # their ids are those of ``firsts``; of all other rows, next to none are shuffled
+    open_ids = open_rows.select("doc_id").distinct()
+    sketched = maybe_among(full.select("doc_id", "f1", "sketch", "bands", "folded"), open_ids).join(open_ids.hint("merge"), "doc_id", "left_semi")
+    sketched = that_count(sketched, repeated).dropDuplicates(["doc_id"]).drop("f1")
     rest = open_rows.join(sketched, "doc_id").withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
     rest = rest.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     carried = ["mine", "key", "doc_id", "n", "component", "sketch", "bands", "folded"]
